@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspan.llm import contamination, sharding, sstable, substrings
+from quillspan.llm import contamination, neardup, sharding, sstable, substrings
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,14 +31,20 @@ def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.token_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
     "op4_substrings": op4_substrings,
     "op5_sharding": op5_sharding,
     "op8_token_ids": op8_token_ids,
+    "op9_neardup": op9_neardup,
 }
 
 ORACLES: dict[str, str] = {
     "op2_decontamination": contamination.ORACLE,
     "op4_substrings": substrings.ORACLE,
+    "op9_neardup": neardup.ORACLE,
 }

@@ -112,8 +112,9 @@ def shingles(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
 def distinct_shingles(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     """As ``shingles``, each once per text, ordered by text and hash."""
     h, text = shingles(w, size)
-    order = np.lexsort((h, text))
-    h, text = h[order], text[order]
+    cut = np.searchsorted(text, np.arange(len(w.first)))
+    for s, e in zip(cut[:-1].tolist(), cut[1:].tolist()):
+        h[s:e].sort()
     keep = np.ones(len(h), bool)
     keep[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
     return h[keep], text[keep]
