@@ -68,10 +68,10 @@ def segment_hashes(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, base: int
     return mix64((sums[hi] - sums[lo]) * inv[lo] + (hi - lo).astype(np.uint64) * np.uint64(_Q))
 
 
-def split_words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
-    """Words of the texts ``data[offsets[i]:offsets[i+1]]``."""
+def split_words(data: np.ndarray, offsets: np.ndarray, lower: bool = False, between: np.ndarray = _SPACE) -> Words:
+    """Words of the texts ``data[offsets[i]:offsets[i+1]]``. ``between``: for each byte, whether it stands between words."""
     n = len(data)
-    word = ~_SPACE[data]
+    word = ~between[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     before = np.zeros(n, bool)
@@ -84,7 +84,7 @@ def split_words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> W
     return Words(data, offsets, start, end, h, np.searchsorted(start, offsets))
 
 
-def texts(array: pa.Array, most_bytes: int = 2_000_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def texts(array: pa.Array, most_bytes: int = 1_000_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Slices (from row, to row, bytes, offsets) of a string array, nulls as empty; a slice holds at most ``most_bytes`` or one text."""
     array = array.cast(pa.large_string()).fill_null("") if len(array) else array.cast(pa.large_string())
     if not len(array):
