@@ -18,7 +18,7 @@ from tokenizers.pre_tokenizers import CharDelimiterSplit
 from quillspan.llm.words import _BYTE, _R, segment_hashes
 
 #: Pieces kept per process; beyond it the cache starts anew.
-CACHE_CHUNKS = 1_000_000
+CACHE_CHUNKS = 500_000
 
 
 #: Byte classes: 1 letter, 2 digit, 3 other visible ASCII, 4 apostrophe, 5 a line break or tab, 0 anything else.

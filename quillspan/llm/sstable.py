@@ -43,7 +43,7 @@ MAGIC = 0x51535354
 FOOTER = struct.Struct("<QQQQQQII")
 BLOCK_BYTES = 64 << 10
 #: Bytes of input a shard takes; with it the number of shards follows the input.
-SHARD_INPUT_BYTES = 24 << 20
+SHARD_INPUT_BYTES = 8 << 20
 BITS_PER_KEY, PROBES = 10, 4
 
 
