@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspan.llm import contamination, neardup, quality, sharding, sstable, substrings, toxicity
+from quillspan.llm import contamination, embeddings, neardup, quality, sharding, sstable, substrings, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.linked(table(spark, sf_dir, "embeddings"))
+
+
 def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_substrings": op4_substrings,
     "op5_sharding": op5_sharding,
     "op6_quality": op6_quality,
+    "op7_embeddings": op7_embeddings,
     "op8_token_ids": op8_token_ids,
     "op9_neardup": op9_neardup,
     "op10_toxicity": op10_toxicity,
@@ -58,5 +63,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op2_decontamination": contamination.ORACLE,
     "op4_substrings": substrings.ORACLE,
+    "op7_embeddings": embeddings.ORACLE,
     "op9_neardup": neardup.ORACLE,
 }
