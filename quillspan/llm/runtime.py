@@ -17,9 +17,30 @@ from pyspark.sql import functions as F
 #: Bits of a key filter. Fixed: the broadcast stays 1 MiB whatever the input; a full filter lets rows through and the join behind it decides.
 FILTER_BITS = 1 << 23
 
+#: Bounds of what one Python worker is handed at once, whatever the length of texts.
+ARROW_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "4000", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
+
+
+def _give_memory_back() -> None:
+    """Have the C library return large arrays to the system at once, so that a worker's size follows what it holds now."""
+    try:
+        import ctypes
+
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 512 << 10)
+        libc.mallopt(-1, 1 << 20)
+    except (OSError, AttributeError):
+        pass
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
+_give_memory_back()
+
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per application, so that workers can import it wherever they run."""
+    for name, value in ARROW_BATCH.items():
+        spark.conf.set(name, value)
     sc = spark.sparkContext
     if getattr(sc, "_quillspan_shipped", False):
         return
