@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspan.llm import contamination, embeddings, neardup, quality, sharding, sstable, substrings, toxicity
+from quillspan.llm import contamination, embeddings, neardup, pii, quality, sharding, sstable, substrings, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detected(table(spark, sf_dir, "documents"))
+
+
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.deduplicated(table(spark, sf_dir, "documents"), with_text=False)
 
@@ -51,6 +55,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
+    "op3_pii": op3_pii,
     "op4_substrings": op4_substrings,
     "op5_sharding": op5_sharding,
     "op6_quality": op6_quality,
