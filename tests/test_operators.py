@@ -1,0 +1,88 @@
+import pytest
+from pyspark.sql import functions as F
+
+from quillspan.operators import audit as A
+from quillspan.operators import corpus as C
+from quillspan.operators import scorecard as S
+
+# Published cells: category, per-language accuracy (in answers of n), weight of the full set.
+CELLS = [
+    ("biology", 4, (3, 4, 2), 36), ("business", 4, (2, 3, 2), 40), ("chemistry", 6, (2, 5, 4), 56), ("computer science", 2, (2, 2, 1), 20), ("economics", 4, (1, 1, 2), 42),
+    ("engineering", 5, (1, 2, 1), 48), ("health", 3, (2, 2, 2), 35), ("history", 2, (1, 1, 1), 19), ("law", 5, (1, 0, 0), 48), ("math", 7, (7, 7, 7), 68), ("other", 5, (3, 3, 4), 46),
+    ("philosophy", 2, (2, 2, 2), 25), ("physics", 7, (6, 7, 7), 65), ("psychology", 4, (4, 4, 4), 40),
+]
+
+
+def test_weighted_accuracy_published(spark):
+    rows = [(i, lang, c, i < good) for c, n, goods, _ in CELLS for lang, good in zip(("en", "es", "zh"), goods) for i in range(n)]
+    weights = spark.createDataFrame([(c, w) for c, _, _, w in CELLS], "category string, weight long")
+    got = {r["lang"]: r for r in S.weighted_accuracy(spark.createDataFrame(rows, "id int, lang string, category string, correct boolean"), weights).collect()}
+    assert [round(got[k]["weighted_accuracy"], 4) for k in ("en", "es", "zh")] == [0.6199, 0.7156, 0.6523]
+    assert got["en"]["categories"] == 14 and got["en"]["least_n"] == 2
+
+
+def records(spark, rows):
+    return spark.createDataFrame(rows, "id long, lang string, correct boolean, content string, finish_reason string, prompt_tokens long, completion_tokens long")
+
+
+def test_efficiency_and_pairs(spark):
+    r = records(spark, [(1, "en", True, "x", "stop", 10, 100), (2, "en", False, " ", "length", 10, 300), (1, "es", True, "y", "stop", 20, 200), (3, "es", True, None, "length", 20, 50)])
+    e = {x["lang"]: x for x in S.efficiency(r).collect()}
+    assert e["en"]["success_per_1k"] == 2.5 and e["en"]["n_empty"] == 1 and e["es"]["n_correct_and_stop"] == 1
+    p = S.efficiency_pairs(r).first()
+    assert p["paired_ids"] == 1 and p["ids_more_tokens"] == 1 and p["success_pct_of_base"] == 100 * 4 / 2.5
+    g = S.gate(r).first()
+    assert g["pairs"] == 1 and g["passed"] and round(g["total_ratio"], 6) == 2
+
+
+def test_published_pair_rates(spark):
+    # 27B run: 244, 238 and 234 successes for 101212, 139699 and 122495 tokens
+    assert [round(1000 * a / b, 4) for a, b in ((244, 101212), (238, 139699), (234, 122495))] == [2.4108, 1.7037, 1.9103]
+
+
+def test_label_tally(spark):
+    rows = spark.createDataFrame([("w", "E", 25270, 1058), ("w", "O", 100, 200), ("w", "O", 50, 20)], "grp string, label string, v long, b long")
+    got = {(r["grp"], r["label"]): r for r in A.label_tally(rows, "grp", "label", "v", "b", rows).collect()}
+    assert set(got) == {("w", "E"), ("w", "O"), ("w", "all")} and got["w", "all"]["share_of_group"] == 1 and got["w", "O"]["sum_value"] == 150
+
+
+def test_audits(spark):
+    r = spark.createDataFrame([(1, "en"), (1, "es"), (2, "en"), (2, "en")], "id long, lang string")
+    with pytest.raises(ValueError):
+        A.require_unique(r, ["id", "lang"])
+    assert A.in_all(r, "id", "lang", ["en", "es"]).collect()[0][0] == 1
+    with pytest.raises(ValueError):
+        A.only_ids(r, spark.createDataFrame([(9,)], "id long"), "id", whole=True)
+    fixes = spark.createDataFrame([(1, "en", "de")], "id long, original string, fixed string")
+    out = A.overlaid(r.where("id = 1 AND lang = 'en'"), fixes, "id", "lang").first()
+    assert out["lang"] == "de" and out["is_fixed"]
+    with pytest.raises(Exception, match="differs"):
+        A.overlaid(r.where("id = 1 AND lang = 'es'"), fixes, "id", "lang").collect()
+    assert A.stray_labels(r, spark.createDataFrame([(7, "en", "A")], "id long, lang string, label string"), ["id", "lang"]).count() == 1
+
+
+def test_quotas(spark):
+    sizes = [("general-1", 12675, 1), ("general-2", 7171, 2), ("science-1", 2347, 3), ("post", 2081, 4), ("think", 823, 5), ("s1", 320, 6), ("code", 268, 7), ("chat", 35, 8)]
+    got = C.largest_remainder(spark.createDataFrame(sizes, "domain string, n long, first long"), 1200)
+    assert [r["quota"] for r in got.orderBy("first").collect()] == [591, 335, 109, 97, 38, 15, 13, 2]
+    quota = C.capped_quotas({"a": 2, "b": 50, "c": 48}, 20)
+    assert sum(quota.values()) == 20 and 1 <= quota["a"] <= 2
+    with pytest.raises(ValueError):
+        C.capped_quotas({"a": 2}, 5)
+
+
+def test_overlap(spark):
+    words = " ".join(f"w{i}" for i in range(20))
+    docs = spark.createDataFrame([(1, words.upper() + "!"), (2, "x " + " ".join(words.split()[:13])), (3, " ".join(words.split()[:12])), (4, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, words)], "item_id long, text string")
+    assert {r["doc_id"]: r["reason"] for r in C.overlaps(docs, bench, "doc_id").collect()} == {1: "exact", 2: "ngram"}
+    assert [r[0] for r in C.without_overlap(docs, bench, "doc_id").select("doc_id").orderBy("doc_id").collect()] == [3, 4]
+
+
+def test_describe(spark):
+    rows = spark.createDataFrame([("g", v) for v in (1, 2, 3, 4)], "g string, v long")
+    r = C.described(rows, "g", "v").first()
+    assert (r["median"], r["p90"], r["most"], r["sum"], r["mean"]) == (3, 4, 4, 10, 2.5)
+    assert C.zipped(rows.withColumn("p", F.col("v")), rows.withColumn("p", F.col("v")), "p", ["g"], ["v"]).count() == 4
+    with pytest.raises(Exception, match="aligned"):
+        C.zipped(rows.withColumn("p", F.col("v")), rows.withColumn("p", F.col("v")).withColumn("g", F.lit("h")), "p", ["g"], ["v"]).collect()
