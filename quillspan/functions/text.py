@@ -161,3 +161,15 @@ def detect_language(text: Column | str, languages: tuple[str, ...] = ("en", "es"
 
 def _hits(words: Column, stop: tuple[str, ...]) -> Column:
     return F.size(F.filter(words, lambda w: w.isin(*stop)))
+
+
+def rendered_chat(messages: Column | str, start: str = "<|im_start|>", end: str = "<|im_end|>") -> Column:
+    """Messages as one text: role and content between turn marks."""
+    one = lambda m: F.concat(F.lit(start), m["role"], F.lit("\n"), m["content"], F.lit(f"{end}\n"))
+    return F.array_join(F.transform(_col(messages), one), "")
+
+
+def loss_labels(ids: Column | str, offsets: Column | str, start: Column, end: Column, ignore: int = -100) -> Column:
+    """Token ids as labels where a token's offsets (start, end) lie within a span of the text, ``ignore`` elsewhere."""
+    inside = lambda t, o: F.when((o["start"] >= start) & (o["end"] <= end), t).otherwise(F.lit(ignore).cast("long"))
+    return F.zip_with(_col(ids), _col(offsets), inside)

@@ -137,3 +137,19 @@ def table_status(stats: DataFrame, manifest: DataFrame, key: str, languages: lis
 def latest(rows: DataFrame, group: str, value: str, order: str) -> DataFrame:
     """The value of the last row of each group, ties by the largest value."""
     return rows.groupBy(group).agg(F.max(F.struct(order, value)).alias("_m")).select(group, F.col(f"_m.{value}").alias(value), F.col(f"_m.{order}").alias(order))
+
+
+def enriched(items: DataFrame, source: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """``items`` with ``columns`` looked up by key where they lack them; a value of its own stays."""
+    have = items
+    for c in columns:
+        if c not in have.columns:
+            have = have.withColumn(c, F.lit(None).cast(source.schema[c].dataType))
+    found = source.select(*keys, *(F.col(c).alias(f"_{c}") for c in columns))
+    return have.join(found, keys, "left").withColumns({c: F.coalesce(c, f"_{c}") for c in columns}).drop(*(f"_{c}" for c in columns))
+
+
+def match_counts(rows: DataFrame, group: str, got: str, want: str) -> DataFrame:
+    """Of each group the rows, those whose two values agree (nulls agree), and the smallest value wanted but missed."""
+    same = F.col(got).eqNullSafe(F.col(want))
+    return rows.groupBy(group).agg(F.count("*").alias("n"), F.count_if(same).alias("matches"), F.min(F.when(~same, F.col(want))).alias("first_miss"))

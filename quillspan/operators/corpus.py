@@ -136,3 +136,8 @@ def share_of_total(rows: DataFrame, group: str, part: str, value: str) -> DataFr
 def within_all(rows: DataFrame, lengths: list[str], limit: int) -> DataFrame:
     """Rows whose every length is within the limit; none is cut short."""
     return rows.where(F.greatest(*lengths) <= limit)
+
+
+def step_totals(rows: DataFrame, step: str, tokens: str, loss_tokens: str) -> DataFrame:
+    """Tokens of each step and the share of them that carries loss."""
+    return rows.groupBy(step).agg(F.sum(tokens).alias("tokens"), ratio(F.sum(loss_tokens), F.sum(tokens)).alias("loss_share"))

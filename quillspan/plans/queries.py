@@ -471,3 +471,32 @@ def set_operators(spark, d):
     docs = table(spark, d, "documents")
     pick = lambda w: docs.where(w).select("doc_id", "source")
     return pick("lang = 'en'").intersect(pick("n_chars > 1000")).union(pick("lang = 'es'").exceptAll(pick("n_chars > 500"))).distinct()
+
+
+@query(f"""WITH {RECORDS}, a AS (SELECT id, category, n_chars FROM records WHERE lang = 'en' AND id % 5 <> 0), b AS (SELECT id, category, CASE WHEN id % 7 = 0 THEN n_chars + 1 ELSE n_chars END AS n_chars FROM records WHERE lang = 'en' AND id % 6 <> 0)
+SELECT id, CASE WHEN a.category IS NULL THEN 'only right' WHEN b.category IS NULL THEN 'only left' ELSE 'n_chars' END AS difference FROM a FULL JOIN b USING (id) WHERE a.category IS NULL OR b.category IS NULL OR a.n_chars <> b.n_chars""")
+def structural_diff(spark, d):
+    r = views.records(spark, d).where("lang = 'en'").select("id", "category", "n_chars")
+    other = r.where("id % 6 <> 0").withColumn("n_chars", F.when(F.col("id") % 7 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars")))
+    return A.misaligned(r.where("id % 5 <> 0"), other, "id", ["category", "n_chars"])
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN lang ELSE source END AS lang, source FROM documents")
+def enrichment(spark, d):
+    docs = table(spark, d, "documents")
+    some = docs.select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("lang")).alias("lang"))
+    return A.enriched(some, docs.select("doc_id", F.col("source").alias("lang"), "source"), ["doc_id"], ["lang", "source"])
+
+
+@query("SELECT lang, count(*) AS n, count(*) FILTER (n_chars = length(text) OR (n_chars IS NULL AND text IS NULL)) AS matches, min(CASE WHEN n_chars IS DISTINCT FROM length(text) THEN length(text) END)::BIGINT AS first_miss FROM documents GROUP BY lang")
+def token_match(spark, d):
+    docs = table(spark, d, "documents").select("lang", F.col("n_chars").cast("long").alias("got"), F.length("text").cast("long").alias("want"))
+    return A.match_counts(docs, "lang", "got", "want")
+
+
+@query(f"""WITH {MESSAGES}, t AS (SELECT (row_number() OVER (ORDER BY row_index) - 1) // 8 AS step, length(array_to_string(list_transform(messages, lambda m: '<|im_start|>' || m.role || chr(10) || m.content || '<|im_end|>' || chr(10)), '')) AS tokens, length(messages[-1].content) AS loss FROM messages)
+SELECT step, sum(tokens)::BIGINT AS tokens, round(sum(loss)::DOUBLE / sum(tokens)::DOUBLE, 6) AS loss_share FROM t GROUP BY step""")
+def loss_share(spark, d):
+    m = views.messages(spark, d).withColumn("all", F.lit(1))
+    m = m.select("all", "row_index", F.length(T.rendered_chat("messages")).cast("long").alias("tokens"), F.length(F.element_at("messages", -1)["content"]).cast("long").alias("loss"))
+    return rounded(C.step_totals(C.batches(m, "all", "row_index", 8), "step", "tokens", "loss"))

@@ -75,3 +75,9 @@ def test_vectors(spark):
     df = spark.createDataFrame([([1.0, 2.0, 2.0], [1.0, 2.0, 3.0])], "p array<double>, q array<double>")
     r = df.select(V.argmax(F.col("p")), V.first_divergence(F.col("p"), F.col("q")), V.first_divergence(F.col("p"), F.col("p")), V.kl(V.log_softmax(F.col("p")), V.log_softmax(F.col("p")))).first()
     assert r[0] == 1 and r[1] == 2 and r[2] is None and abs(r[3]) < 1e-12
+
+
+def test_chat_and_labels(spark):
+    assert one(spark, T.rendered_chat, [("user", "a")], "array<struct<role:string,content:string>>") == "<|im_start|>user\na<|im_end|>\n"
+    df = spark.createDataFrame([([5, 6, 7], [(0, 2), (2, 4), (4, 9)])], "ids array<long>, offsets array<struct<start:long,end:long>>")
+    assert df.select(T.loss_labels("ids", "offsets", F.lit(2), F.lit(5))).first()[0] == [-100, 6, -100]
