@@ -1,0 +1,429 @@
+"""Each operator beside a plain version of what it should do, on hard little inputs."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
+import pytest
+import zstandard
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from quillspan.llm import bpe, components, contamination, embeddings, labels, neardup, pieces, pii, quality, sharding, sstable, substrings, toxicity
+from quillspan.llm.runtime import key_filter, maybe_in
+from quillspan.llm.words import split_words, texts
+
+BPE, SP = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def shingles(text, n):
+    w = WORD.findall((text or "").translate(LOWER))
+    return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set()
+
+
+def groups(ids, linked):
+    root = {i: i for i in ids}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in linked:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {i: find(i) for i in ids}
+
+
+def test_words():
+    data = ["a  b\tc", "", "é ß", " x"]
+    for lo, hi, d, o in texts(pa.array([*data, None])):
+        w = split_words(d, o)
+        got = [bytes(d[s:e]).decode() for s, e in zip(w.start, w.end)]
+        assert got == [x for t in data for x in WORD.findall(t)] and w.count.tolist() == [3, 0, 2, 1, 0]
+
+
+# 1
+def paths(v, b):
+    if not b:
+        return {(): 0.0}
+    by = {v.bytes[i]: (int(i), w) for i, w in zip(v.id, v.weight)}
+    out = {}
+    for n in range(1, len(b) + 1):
+        if b[:n] in by:
+            i, w = by[b[:n]]
+            out |= {(i, *rest): w + x for rest, x in paths(v, b[n:]).items()}
+    return out
+
+
+def test_sampling_follows_the_lattice():
+    v = pieces.vocabulary(SP)
+    every = paths(v, b" cat")
+    total = np.logaddexp.reduce(list(every.values()))
+    p = {k: np.exp(w - total) for k, w in every.items()}
+    n = 6000
+    data = np.frombuffer(b"cat" * n, np.uint8)
+    s = pieces.Sampler(v, data, np.arange(n + 1) * 3, pieces.mix64(np.arange(n, dtype=np.uint64)))
+    found = s.run(3)
+    first, second, weight = defaultdict(int), defaultdict(int), 0.0
+    for d, got in enumerate(found):
+        ids = [tuple(s.ids(e, d).tolist()) for e, _, _ in got]
+        assert len(set(ids)) == min(3, len(p)) and [x[2] for x in got] == sorted((x[2] for x in got), reverse=True)
+        assert all(abs(lp - np.log(p[i])) < 1e-9 for i, (_, lp, _) in zip(ids, got))
+        first[ids[0]] += 1
+        second[ids[0], ids[1]] += 1
+        weight += sum(np.exp(lp - pieces.log_inclusion(lp, s.kappa[d])) for _, lp, _ in got)
+    for k, q in p.items():
+        assert abs(first[k] / n - q) < 0.03
+        for m, r in p.items():
+            if m != k:
+                assert abs(second[k, m] / n - q * r / (1 - q)) < 0.03
+    assert abs(weight / n - 1) < 0.05  # inverse inclusion weights are unbiased
+
+
+def test_pieces(docs, empty, spark):
+    rows = pieces.sampled(docs, SP, k=2).collect()
+    assert all(r["decoded"] for r in rows)
+    by = defaultdict(list)
+    for r in rows:
+        by[r["doc_id"]].append(r)
+    assert [len(by[i]) for i in (200, 201, 202, 206)] == [1, 1, 2, 2] and by[200][0]["n_tokens"] == 0
+    assert by[0][0]["ids_crc32"] == zlib.crc32(np.array(by[0][0]["ids"], "<u4").tobytes())
+    again = {(r["doc_id"], r["sample"]): r["ids"] for r in pieces.sampled(docs.repartition(7), SP, k=2).collect()}
+    assert all(again[r["doc_id"], r["sample"]] == r["ids"] for r in rows)
+    odd = spark.createDataFrame([(1, "日本 ▁é\n\t 😀  a"), (2, "a" * 3000), (3, "  ")], "doc_id long, text string")
+    assert all(r["decoded"] for r in pieces.sampled(odd, SP).collect())
+    back = {r["doc_id"]: r["text"] for r in pieces.decoded(pieces.encoded(odd, SP), SP).collect()}
+    assert back == {1: "日本  é\n\t 😀  a", 2: "a" * 3000, 3: "  "}
+    assert pieces.sampled(empty, SP).count() == 0
+
+
+# 2
+def test_contamination(docs, corpus, spark, empty):
+    items = [(1, corpus[125 - 100 + 30][1] or "x"), (2, " ".join(f"z{i}" for i in range(30))), (3, "one"), (4, None), (5, " "), (6, "a b c")]
+    passage = corpus[-1][1].split()[:33]
+    edited = list(passage)
+    edited[3] = "changed"
+    items += [(7, " ".join(passage)), (8, " ".join(edited)), (9, " ".join(passage[:12])), (7, " ".join(passage))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((r["doc_id"], r["item_id"], r["n_item"], r["n_shared"]) for r in contamination.contaminated(docs, bench).collect() if r["doc_id"] is not None)
+    want = []
+    for i, t in corpus:
+        own = shingles(t, 5)
+        for k, x in items:
+            q = shingles(x, 5)
+            if q and len(q & own) >= 0.8 * len(q):
+                want.append((i, k, len(q), len(q & own)))
+    assert got == sorted(want) and len(got) > 10
+    kept = contamination.clean(docs, bench)
+    assert kept.columns == docs.columns and kept.where("doc_id IS NULL").count() == 1
+    assert contamination.contaminated(empty, bench).count() == 0 and contamination.contaminated(docs, bench.limit(0)).count() == 0
+
+
+# 3
+PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def luhn(d):
+    return sum(sum(divmod(int(c) * (2 if i % 2 else 1), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+
+
+def valid(kind, v):
+    d = re.sub("[^0-9]", "", v)
+    return {"email": True, "ip": kind == "ip" and all(int(p) <= 255 for p in v.split(".")), "card": 13 <= len(d) <= 19 and luhn(d), "phone": 9 <= len(d) <= 15}[kind]
+
+
+def base_spans(t):
+    return ",".join(f"{k}:{m.start()}:{m.end()}" for k, p in PATTERNS.items() for m in re.finditer(p, t or "") if valid(k, m.group()))
+
+
+def test_pii(spark, empty):
+    hard = ["mail a@b.c.@d.e now", "x@y", "x@y.z. 1.2.3.4.5 300.1.1.1 01.002.3.255", "4111 1111 1111 1111 and 4111-1111-1111-1112 +1 (555) 123-4567 x +12 3", "é@b.co ü +491234567890 " * 3, None, ""]
+    hard += ["a" * 3000, "1" * 2000, "+" * 50 + "1 2", "@.@.a@b-c.d-e.f@g.h", "1.1.1.1" * 300, "a@b" + ".c" * 20000, "中 1.2.3.4 😀 b@c.de"]
+    told = [f"see filler{i} of boss at boss@corp.com on Zebrafish plan filler{i * 7}" for i in range(8)] + ["the plan to see words at of boss on corp"] * 40
+    rows = list(enumerate(hard + told))
+    df = spark.createDataFrame([(i, t, "k") for i, t in rows] + [(None, "b@c.de", "k")], "doc_id long, text string, base string")
+    got = {r["doc_id"]: r for r in pii.detected(df).collect()}
+    for i, t in rows:
+        want = base_spans(t)
+        assert got[i]["base_sha256"] == hashlib.sha256(want.encode()).hexdigest() and got[i]["spans"].startswith(want)
+        assert [got[i][f"n_{k}"] for k in PATTERNS] == [want.count(k + ":") for k in PATTERNS]
+    assert got[None]["n_email"] == 1
+    where = told[0].index("Zebrafish")
+    assert f"term:{where}:{where + 9}" in got[len(hard)]["spans"] and got[len(hard) + 20]["n_terms"] == 0
+    clean = pii.sanitised(df)
+    assert clean.columns == df.columns
+    out = {r["doc_id"]: r["text"] for r in clean.collect()}
+    assert out[5] is None and out[6] == "" and out[3] == "[CARD] and 4111-1111-1111-1112 [PHONE] x +12 3" and "Zebrafish" not in out[len(hard)] and "[EMAIL]" in out[len(hard)]
+    assert out[len(hard) + 20] == told[20]
+    assert pii.detected(empty).count() == 0 and pii.sanitised(empty).count() == 0
+
+
+def test_prefix_sums(spark):
+    df = spark.createDataFrame([(list(range(n)),) for n in (0, 1, 127, 128, 129, 700)], "v array<long>")
+    for r in df.select("v", pii.prefix_sums(F.col("v")).alias("s")).collect():
+        assert r["s"] == np.cumsum(r["v"]).tolist()
+
+
+# 4
+def removed(rows, length=20):
+    first, out = {}, {}
+    for d, w in sorted(rows.items()):
+        for i in range(len(w) - length + 1):
+            first.setdefault(tuple(w[i : i + length]), (d, i))
+    for d, w in rows.items():
+        gone = [False] * len(w)
+        for i in range(len(w) - length + 1):
+            if first[tuple(w[i : i + length])] != (d, i):
+                gone[i : i + length] = [True] * length
+        out[d] = gone
+    return out
+
+
+def check_substrings(spark, rows, parts=3):
+    df = spark.createDataFrame([(i, t, 0) for i, t in rows.items()], "doc_id long, text string, d int").repartition(parts)
+    w = {i: WORD.findall(t or "") for i, t in rows.items()}
+    gone = removed(w)
+    for r in substrings.deduplicated(df).collect():
+        i = r["doc_id"]
+        kept = " ".join(x for x, g in zip(w[i], gone[i]) if not g)
+        assert (r["n_words"], r["n_removed"], r["kept_text"]) == (len(w[i]), sum(gone[i]), kept), i
+        assert r["kept_sha256"] == hashlib.sha256(kept.encode()).hexdigest()
+        assert sum(x["end"] - x["start"] for x in r["repeats"]) == sum(gone[i])
+
+
+def test_substrings(spark, corpus, docs, empty):
+    check_substrings(spark, dict(corpus))
+    rng = random.Random(3)
+    few = {i: " ".join(rng.choice("ab") for _ in range(rng.randint(0, 120))) for i in range(30)} | {-5: "a " * 300, 50: "b " * 19, 51: "b " * 20}
+    check_substrings(spark, few)
+    parts = [" ".join(f"{c}{i}" for i in range(rng.randint(8, 40))) for c in "abcdefgh"]
+    check_substrings(spark, {i: " ".join(rng.choice(parts) for _ in range(6)) for i in range(60)}, parts=8)
+    assert substrings.deduplicated(docs).where("doc_id IS NULL").first()["n_removed"] == 0
+    assert substrings.deduplicated(empty).count() == 0
+
+
+# 5
+def test_sharding(docs, spark, empty):
+    names = [f"s{i}" for i in range(7)]
+    table = sharding.lookup_table(names, 101)
+    counts = np.bincount(table)
+    assert table.min() >= 0 and counts.max() - counts.min() <= 1
+    # plain version of taking turns
+    prefer = [[(sharding._number(f"{s}|offset") % 101 + j * (sharding._number(f"{s}|skip") % 100 + 1)) % 101 for j in range(101)] for s in names]
+    slots, turn = {}, 0
+    while len(slots) < 101:
+        slots[next(x for x in prefer[turn % 7] if x not in slots)] = turn % 7
+        turn += 1
+    assert [slots[i] for i in range(101)] == table.tolist()
+    fewer = sharding.lookup_table(names[:-1], 101)
+    assert (fewer != table)[table != 6].sum() < 35
+    for bad in ((names, 100), ([], 101), (["a", "a"], 101)):
+        with pytest.raises(ValueError):
+            sharding.lookup_table(*bad)
+    rows = sharding.place(docs, shards=names, table_size=101).collect()
+    assert len(rows) == docs.count()
+    for r in rows:
+        key = "" if r["doc_id"] is None else str(r["doc_id"])
+        slot = int(hashlib.md5(key.encode()).hexdigest()[:15], 16) % 101
+        assert r["slot"] == slot and r["shard"] == names[table[slot]]
+    assert sharding.place(empty).count() == 0
+    assert abs(sharding.lookup_table(["a", "b"], 101, [3, 1]).tolist().count(0) - 76) <= 1
+
+
+def test_write_sharded(docs, spark, tmp_path):
+    sharding.write_sharded(docs, str(tmp_path / "s"), shards=["a", "b"])
+    assert spark.read.parquet(str(tmp_path / "s")).count() == docs.count()
+
+
+# 6
+def test_quality(spark, docs, empty):
+    rng = random.Random(2)
+    good = [" ".join(rng.choice(["the", "of", "a", "stone", "river", "light", "walks", "seen"]) for _ in range(rng.randint(5, 60))).capitalize() + "." for _ in range(150)]
+    bad = [" ".join(x.upper() + "!!" for x in g.split()) if i % 2 else " ".join(f"{x}$$$" for x in g.split()) for i, g in enumerate(good)]
+    rows = pa.table({"text": good[:120] + bad[:120], "label": [1] * 120 + [0] * 120})
+    net = quality.fit(rows)
+    held = spark.createDataFrame(list(enumerate(good[120:] + bad[120:])), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in quality.scored(held, net).collect()}
+    assert sum(got[i]["predicted"] == (i < 30) for i in got) >= 58
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) and r["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) for i, r in got.items())
+    assert quality.scored(docs, net).count() == docs.count() and quality.scored(empty, net).count() == 0
+    assert quality.accepted(docs, net).columns == docs.columns
+    assert quality.probabilities(quality.fit(rows.slice(0, 5)), np.zeros(0, np.uint8), np.zeros(2, np.int64))[0] > 0.8
+    # max-pooling over slices of one text equals that of the whole
+    raw = np.frombuffer(good[0].encode() * 50, np.uint8)
+    blocks, equal, first = quality.blocks(raw, np.array([0, len(raw)]))
+    y = quality._responses(net, quality._inputs(net, blocks, equal))
+    assert np.allclose(quality.pooled(net, raw, np.array([0, len(raw)]))[0], np.maximum(y.max(0) + net.bias, 0), atol=1e-5)
+
+
+def test_samples(spark, docs):
+    lab = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    got = labels.sample(docs, lab, "quality", 5, 10_000).to_pylist()
+    assert len(got) == 10 and sum(r["label"] for r in got) == 5
+    assert labels.sample(docs, lab.limit(0), "quality", 5, 100).num_rows == 0
+
+
+# 7
+def test_embeddings(spark, empty):
+    rng = np.random.default_rng(1)
+    base = rng.normal(size=(60, 64))
+    rows = [(i, v.tolist()) for i, v in enumerate(base)]
+    for i in range(30):
+        rows.append((100 + i, (base[i % 6] + rng.normal(size=64) * rng.uniform(0.02, 0.2)).tolist()))
+    rows += [(200, base[0].tolist()), (201, (base[0] * 3).tolist()), (202, None), (203, [0.0] * 64), (204, [float("nan")] + [1.0] * 63), (205, [None] + [1.0] * 63), (206, []), (207, base[1][:32].tolist())]
+    df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, id int").repartition(4)
+    ok = [(i, np.array(v) / np.linalg.norm(v)) for i, v in rows if v and len(v) == 64 and None not in v and np.isfinite(v).all() and np.any(v)]
+    pairs = [(a, b) for x, (a, u) in enumerate(ok) for b, v in ok[:x] if u @ v >= 0.95]
+    want = groups([i for i, _ in rows], pairs)
+    n = defaultdict(int)
+    for a, b in pairs:
+        n[a] += 1
+        n[b] += 1
+    got = {r["vec_id"]: r for r in embeddings.linked(df).collect()}
+    assert len(pairs) > 40 and all(got[i]["n_links"] == n[i] and got[i]["component_id"] == want[i] and got[i]["kept"] == (want[i] == i) for i, _ in rows)
+    small, embeddings.BLOCK = embeddings.BLOCK, 4
+    try:
+        assert {r["vec_id"]: r["n_links"] for r in embeddings.linked(df).collect()} == {i: r["n_links"] for i, r in got.items()}
+    finally:
+        embeddings.BLOCK = small
+    assert embeddings.linked(df.limit(0)).count() == 0
+
+
+def test_lattice():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(200, 8)) * 3
+    best, other = embeddings.nearest_e8(x)
+    near = np.concatenate([np.zeros((1, 8), np.int64), embeddings._NEIGHBOURS])
+    assert len(embeddings._NEIGHBOURS) == 240 and ((best % 2).sum(1) % 8 == 0).all()
+    d = ((2 * x - best) ** 2).sum(1)
+    assert all((((2 * x - best - v) ** 2).sum(1) >= d - 1e-9).all() for v in near)
+    assert (((2 * x - other) ** 2).sum(1) >= d - 1e-9).all()
+
+
+def test_recall_at_the_threshold():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(2000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    y = rng.normal(size=x.shape)
+    y -= (y * x).sum(1)[:, None] * x
+    y /= np.linalg.norm(y, axis=1)[:, None]
+    y = 0.951 * x + np.sqrt(1 - 0.951**2) * y
+    scale = embeddings.SCALE * np.sqrt(8 / 64)
+    a, b = (embeddings.cells(v, scale, embeddings.TABLES, embeddings.PROBES) for v in (x, y))
+    assert ((a[:, :, :1] == b).any(2) | (b[:, :, :1] == a).any(2)).any(1).mean() > 0.99
+
+
+# 8
+def test_bpe_is_exact():
+    odd = [" a  b  c　 d", "", " ", "<|endoftext|> x", "it's  \n\n x  y é   z", "  lead", "a'b don't !'s '' 12'34 x' y 'z", "é, à! ×÷a ñ.", "a.\nB\n\nC \n d\te", "中文 字, x", "a\x1cb \x1d c", "x\x00y"]
+    rng = random.Random(0)
+    odd += ["".join(rng.choice("ab é'.,1 \n\t!ñ中ß×") for _ in range(200)) for _ in range(200)]
+    t = Tokenizer.from_file(BPE)
+    t.encode_special_tokens = True
+    e = bpe.ChunkEncoder(BPE)
+    for lo, hi, d, o in texts(pa.array([*odd, None])):
+        ids, n = e.encode(d, o)
+        got = [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
+    assert got == [x.ids for x in t.encode_batch([*odd, ""], add_special_tokens=False)]
+
+
+def test_sstable(docs, empty, spark):
+    t = Tokenizer.from_file(BPE)
+    t.encode_special_tokens = True
+    small, sstable.BLOCK_BYTES = sstable.BLOCK_BYTES, 64
+    try:
+        rows = sorted(docs.select("doc_id", "text").collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0))
+        got = sorted(sstable.token_ids(docs, BPE).collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0))
+    finally:
+        sstable.BLOCK_BYTES = small
+    at = 0
+    for r, g in zip(rows, got, strict=True):
+        ids = [*t.encode(r["text"] or "", add_special_tokens=False).ids, 0]
+        assert (g["doc_id"], g["start"], g["n_tokens"], g["ids_crc32"]) == (r["doc_id"], at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+    assert sstable.token_ids(empty, BPE).count() == 0
+
+
+def test_table_lookup():
+    for width, top in ((2, 60_000), (4, 1 << 20)):
+        w = sstable.TableWriter(width)
+        rng = random.Random(width)
+        ids = sorted(rng.sample(range(-(1 << 40), 1 << 62), 500))
+        values = {i: [rng.randrange(top) for _ in range(rng.randint(0, 400))] for i in [None, *ids]}
+        raw = b"".join(s + b"\n" for k in [None, *ids] for s in w.add(sstable.key_of(k), np.array(values[k], f"<u{width}").tobytes()))
+        raw += b"".join(s + b"\n" for s in w.finish())
+        table = sstable.Table(raw)
+        assert len(table.places) > 3 and [sstable.id_of(k) for k, _ in table.entries()] == [None, *ids]
+        assert all(table.get(i).tolist() == values[i] for i in [None, *ids[::7]])
+        missing = [i + 1 for i in ids if i + 1 not in values]
+        assert all(table.get(i) is None for i in missing) and table.get((1 << 63) - 1) is None
+        with pytest.raises((ValueError, zstandard.ZstdError)):
+            list(sstable.Table(raw[:20] + bytes([raw[20] ^ 1]) + raw[21:]).entries())
+
+
+# 9
+def test_neardup(spark, corpus, empty):
+    rng = random.Random(7)
+    base = [f"t{i}" for i in range(120)]
+    rows = dict(corpus)
+    for i in range(60):
+        w = list(base)
+        for _ in range(rng.randint(0, 9)):
+            w[rng.randrange(len(w))] = f"u{rng.randrange(1000)}"
+        rows[300 + i] = " ".join(w)
+    sets = {i: shingles(t, 2) for i, t in rows.items()}
+    ids = sorted(rows)
+    linked = [(a, b) for x, a in enumerate(ids) for b in ids[:x] if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    want = groups(ids, linked)
+    df = spark.createDataFrame([(i, t, "a", 2) for i, t in rows.items()] + [(None, "null id", "a", 2)], "doc_id long, text string, x string, component long").repartition(4)
+    got = {r["doc_id"]: r for r in neardup.near_duplicates(df).collect()}
+    assert len(linked) > 200
+    for i in ids:
+        assert (got[i]["n_shingles"], got[i]["component_id"], got[i]["kept"]) == (len(sets[i]), want[i], want[i] == i)
+    assert got[None]["component_id"] is None and got[None]["kept"]
+    kept = neardup.deduplicated(df)
+    assert kept.columns == df.columns and sorted(r[0] for r in kept.where("doc_id IS NOT NULL").select("doc_id").collect()) == sorted(set(want.values()))
+    assert neardup.near_duplicates(empty).count() == 0
+    assert neardup.near_duplicates(df.where("doc_id < 3")).count() == 3
+
+
+def test_components(spark):
+    rng = random.Random(1)
+    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(150)] + [(i, i + 1) for i in range(400, 430)]
+    got = {r["id"]: r["component"] for r in components.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    nodes = {x for a, b in pairs if a != b for x in (a, b)}
+    want = groups(nodes, [(a, b) for a, b in pairs if a != b])
+    assert got == want
+
+
+def test_key_filter(spark):
+    keys = spark.range(0, 5000, 7).select("id")
+    bits = key_filter(keys)
+    hit = spark.range(5000).where(maybe_in(spark, bits)(F.col("id")))
+    assert keys.join(hit, "id").count() == keys.count() and hit.count() < keys.count() + 60
+
+
+# 10
+def test_toxicity(spark, docs, empty):
+    rng = random.Random(9)
+    plain = ["stone", "river", "light", "walks", "seen", "und", "grün"]
+    bad = ["idiot", "moron", "stupid", "worthless"]
+    texts_ = [" ".join(rng.choice(plain) for _ in range(rng.randint(3, 80))) for _ in range(400)]
+    toxic = [i % 3 == 0 for i in range(400)]
+    texts_ = [f"{t} {rng.choice(bad)}, {t}" if y else t for t, y in zip(texts_, toxic)]
+    chain = toxicity.fit_table(pa.table({"text": texts_[:300], "label": [int(y) for y in toxic[:300]]}))
+    assert chain.categories == ("insult", "contempt", "toxic") and [len(w) for w in chain.weights] == [len(chain.words) + 1 + i for i in range(3)]
+    held = spark.createDataFrame(list(enumerate(texts_[300:])), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in toxicity.scored(held, chain).collect()}
+    assert sum(got[i]["predicted"] == int(toxic[300 + i]) for i in got) >= 98
+    assert all(got[i]["p_insult"] > 0.5 for i in got if "moron" in texts_[300 + i]) and all(got[i]["p_insult"] < 0.5 for i in got if "stupid" in texts_[300 + i])
+    assert toxicity.scored(docs, chain).count() == docs.count() and toxicity.scored(empty, chain).count() == 0
+    assert toxicity.fit_table(pa.table({"text": pa.array([], pa.string()), "label": pa.array([], pa.int32())})).categories == chain.categories

@@ -1,0 +1,27 @@
+"""The pipeline's stages on small documents, each beside what it should keep."""
+
+import corpus_pipeline as P
+
+
+def test_stages(spark, tmp_path, corpus):
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in corpus] + [(500, f"mail me@x.org {corpus[0][1]} at once", "en", "s", 5), (501, "GO!! STOP!! NOW!! " * 15, "en", "s", 270)]
+    rows += [(600 + i, " ".join(("GO!! STOP!! NOW!!" if i % 2 else "a calm river walks by").split() * 9), "en", "s", 9) for i in range(60)]
+    d = str(tmp_path)
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(600 + i, 1 - i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([(1, " ".join(corpus[-1][1].split()[:33]))], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    assert [n for n, _ in P.STAGES] == ["quality", "near_dedup", "decontamination", "pii", "pieces"]
+    kept = {}
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, docs, d)
+        assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        out.write.parquet(f"{d}/{name}")
+        docs = spark.read.parquet(f"{d}/{name}")
+        kept[name] = {r["doc_id"]: r for r in docs.collect()}
+    assert 501 not in kept["quality"] and 0 in kept["quality"]
+    assert 0 in kept["near_dedup"] and not {100, 101, 204} & set(kept["near_dedup"])
+    assert not {120, 207} & set(kept["decontamination"]) and 0 in kept["decontamination"]
+    if 500 in kept["pii"]:
+        assert "[EMAIL]" in kept["pii"][500]["text"] and kept["pii"][500]["n_chars"] == len(kept["pii"][500]["text"])
+    assert P.run(spark, d).select("doc_id").distinct().count() == len(kept["pii"])
