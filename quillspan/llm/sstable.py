@@ -42,7 +42,7 @@ from quillspan.llm.words import texts
 MAGIC = 0x51535354
 FOOTER = struct.Struct("<QQQQQQII")
 BLOCK_BYTES = 64 << 10
-#: Bytes of input a shard takes; with it the number of shards follows the input.
+#: Bytes of input a shard takes, so that the number of shards follows the input. A reader holds one shard: this suits executors of 3 GB, larger ones take larger shards.
 SHARD_INPUT_BYTES = 8 << 20
 BITS_PER_KEY, PROBES = 10, 4
 
@@ -184,7 +184,7 @@ def size_of_input(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
-def write_tables(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0) -> None:
+def write_tables(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, shard_bytes: int = SHARD_INPUT_BYTES) -> None:
     """Encode ``docs`` (doc_id, text) and write the shards under ``path``.
 
     Null texts count as empty; every document ends with ``end_id``. Rows with
@@ -217,9 +217,10 @@ def write_tables(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0) -
         if out.docs:
             yield batch([*held, *out.finish()])
 
-    parts = max(1, -(-size_of_input(docs.select("doc_id", "text")) // SHARD_INPUT_BYTES))
+    size = size_of_input(docs.select("doc_id", "text"))
+    parts = [max(1, -(-size // shard_bytes))] if size < 1 << 60 else []  # no estimate: as many as a shuffle has
     order = ["doc_id", F.xxhash64("text")]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(*parts, *order).sortWithinPartitions(*order)
     rows.mapInArrow(write, "section binary").select(F.col("section").cast("string")).write.text(path)
 
 
