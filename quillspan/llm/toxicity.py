@@ -29,7 +29,7 @@ from quillspan.llm.labels import FOLDS, held_out, sample
 from quillspan.llm.runtime import mix64, ship
 from quillspan.llm.words import split_words, texts
 
-PER_CLASS, MOST_BYTES = 3000, 8192
+PER_CLASS, MOST_BYTES = 2000, 4096
 LEAST_TEXTS, LEAST_Z, MOST_FEATURES, RIDGE, CUT = 5, 5.0, 512, 1.0, 0.5
 CATEGORIES = ("insult", "contempt", "toxic")
 SEEDS = {"insult": ("idiot", "moron", "clown", "loser", "scum", "fool"), "contempt": ("stupid", "pathetic", "worthless", "disgusting", "trash", "garbage")}
@@ -99,12 +99,13 @@ def weak_labels(toxic: np.ndarray, data: np.ndarray, offsets: np.ndarray, seeds:
 def fit(labels: dict[str, np.ndarray], data: np.ndarray, offsets: np.ndarray, fold: np.ndarray) -> Chain:
     """A chain over ``labels`` in their order; ``fold`` numbers the fold of each text. A category of one class has a constant model."""
     n = len(offsets) - 1
-    text, h = present(data, offsets)
-    key = np.unique(np.stack([h, text.astype(np.uint64)], 1), axis=0) if len(h) else np.zeros((0, 2), np.uint64)
-    words, at, count = np.unique(key[:, 0], return_inverse=True, return_counts=True)
+    w = split_words(data, offsets, lower=True, between=_BETWEEN)
+    seen = [np.unique(w.hash[s:e]) for s, e in zip(w.first[:-1].tolist(), w.first[1:].tolist())]
+    text = np.repeat(np.arange(n), [len(x) for x in seen])
+    words, at, count = np.unique(np.concatenate([*seen, np.zeros(0, np.uint64)]), return_inverse=True, return_counts=True)
     best = np.zeros(len(words))
     for y in labels.values():
-        ones = np.bincount(at, y[key[:, 1].astype(np.int64)], minlength=len(words))
+        ones = np.bincount(at, y[text], minlength=len(words))
         share = y.mean() if n else 0
         best = np.maximum(best, np.abs(ones - count * share) / np.sqrt(np.maximum(count * share * (1 - share), 1e-9)))
     good = np.flatnonzero((count >= LEAST_TEXTS) & (best >= LEAST_Z))
