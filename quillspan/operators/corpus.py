@@ -100,7 +100,7 @@ def interleaved(rows: DataFrame, started: DataFrame, key: str, lang: str, langua
     begun = started.select(key).distinct().withColumn("_begun", F.lit(1))
     place = F.array_position(F.array(*map(F.lit, languages)), F.col(lang))
     out = rows.join(begun, key, "left")
-    return out.withColumn("position", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.coalesce("_begun", F.lit(0)).desc(), key, place))).drop("_begun")
+    return out.withColumn("position", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.coalesce("_begun", F.lit(0)).desc(), key, place)).cast("long")).drop("_begun")
 
 
 def batches(rows: DataFrame, group: str, order: str, size: int) -> DataFrame:
