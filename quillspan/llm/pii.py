@@ -27,8 +27,12 @@ from pyspark.sql import functions as F
 from quillspan.llm.runtime import written
 
 REACH, SUPPORT, GENERALISE, REMOVE = 80, 3, 0.75, 0.9
-#: Revealing terms that are broadcast at most (some 40 bytes each); beyond it the join is dealt by term.
+#: Revealing terms that are broadcast at most (under 300 bytes each); beyond it the join is dealt by term.
 BROADCAST_TERMS = 50_000
+#: Occurrences of such terms that are broadcast at most (as much each); beyond it documents and hits are dealt by doc_id.
+BROADCAST_HITS = 100_000
+#: Longest word that counts as a term, in code points.
+LONGEST_TERM = 64
 KINDS = ("email", "ip", "card", "phone")
 # Fixed patterns, possessive where that changes no match. A run is entered at its start or where the last match ended, so no run is read twice.
 _PATTERN = {
@@ -46,18 +50,29 @@ _LOWEST = -(1 << 63)
 _SPAN = "array<struct<kind:string,start:long,end:long,value:string>>"
 
 
+def bound(value: Column, body) -> Column:
+    """``body`` of a value that is computed once a row. An expression used inside a lambda function would be computed for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def prefix_sums(numbers: Column, block: int = 128) -> Column:
     """Running totals of an array of longs, in two levels, so that the cost stays near linear."""
+    none = F.array().cast("array<long>")
 
     def running(values: Column) -> Column:
-        start = F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<long>").alias("out"))
+        start = F.struct(F.lit(0).cast("long").alias("sum"), none.alias("out"))
         return F.aggregate(values, start, lambda a, x: F.struct((a["sum"] + x).alias("sum"), F.concat(a["out"], F.array(a["sum"] + x)).alias("out")), lambda a: a["out"])
 
-    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(numbers) - 1) / block).cast("int")), lambda i: running(F.slice(numbers, i * block + 1, block)))
-    with_totals = F.transform(parts, lambda p: F.struct(p.alias("part"), F.element_at(p, -1).alias("total")))
-    start = F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<array<long>>").alias("out"))
-    joined = F.aggregate(with_totals, start, lambda a, p: F.struct((a["sum"] + p["total"]).alias("sum"), F.concat(a["out"], F.array(F.transform(p["part"], lambda x: x + a["sum"]))).alias("out")), lambda a: F.flatten(a["out"]))
-    return F.when(F.size(numbers) == 0, F.array().cast("array<long>")).otherwise(joined)
+    def whole(v: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / block).cast("int")), lambda i: F.slice(v, i * block + 1, block))
+        start = F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<array<long>>").alias("out"))
+
+        def add(a: Column, p: Column) -> Column:
+            return F.struct((a["sum"] + F.element_at(p, -1)).alias("sum"), F.concat(a["out"], F.array(F.transform(p, lambda x: x + a["sum"]))).alias("out"))
+
+        return F.aggregate(F.transform(cut, running), start, add, lambda a: F.flatten(a["out"]))
+
+    return bound(numbers, lambda v: F.when(F.size(v) == 0, none).otherwise(whole(v)))
 
 
 def _digits(value: Column) -> Column:
@@ -85,23 +100,29 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+def _lengths(texts: str) -> Column:
+    return F.transform(texts, lambda v: F.length(v).cast("long"))
+
+
 def _steps(gaps: str, matches: str) -> Column:
     """Code points from the start of each match back to the start of the one before (or of the text)."""
-    return F.transform(matches, lambda v, i: F.length(F.get(gaps, i)).cast("long") + F.when(i > 0, F.length(F.get(matches, i - 1))).otherwise(0))
+    n = F.size(matches)
+    before = F.slice(F.concat(F.array(F.lit(0).cast("long")), _lengths(matches)), F.lit(1), n)
+    return F.zip_with(F.slice(_lengths(gaps), F.lit(1), n), before, lambda g, m: g + m)
 
 
 def _spans(kind: str) -> Column:
     m, start = f"_m_{kind}", f"_s_{kind}"
-    every = F.transform(m, lambda v, i: F.struct(F.lit(kind).alias("kind"), F.get(start, i).alias("start"), (F.get(start, i) + F.length(v)).alias("end"), v.alias("value")))
+    every = F.zip_with(m, start, lambda v, s: F.struct(F.lit(kind).alias("kind"), s.alias("start"), (s + F.length(v)).alias("end"), v.alias("value")))
     return F.when(F.size(m) > 0, F.filter(every, lambda s: _valid(kind, s["value"]))).otherwise(F.array().cast(_SPAN))
 
 
 def _of_kind(kind: str) -> Column:
-    return F.filter("base", lambda s: s["kind"] == kind)
+    return F.filter("_base", lambda s: s["kind"] == kind)
 
 
 def with_base_spans(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text) with ``base``: valid spans of all kinds, by kind and start; positions in code points, ends exclusive."""
+    """``docs`` (doc_id, text) with ``_base``: valid spans of all kinds, by kind and start; positions in code points, ends exclusive."""
     none = F.array().cast("array<string>")
     out = docs.withColumn("_num", F.col("text").rlike("[0-9]"))
     for k in KINDS:
@@ -112,7 +133,7 @@ def with_base_spans(docs: DataFrame) -> DataFrame:
         out = out.withColumn(f"_g_{k}", F.when(F.size(f"_m_{k}") > 0, F.split("text", _PATTERN[k], -1)).otherwise(none))
     for k in KINDS:
         out = out.withColumn(f"_s_{k}", F.when(F.size(f"_m_{k}") > 0, prefix_sums(_steps(f"_g_{k}", f"_m_{k}"))).otherwise(F.array().cast("array<long>")))
-    return out.withColumn("base", F.concat(*map(_spans, KINDS))).drop("_num", *(f"_{p}_{k}" for p in "mgs" for k in KINDS))
+    return out.withColumn("_base", F.concat(*map(_spans, KINDS))).drop("_num", *(f"_{p}_{k}" for p in "mgs" for k in KINDS))
 
 
 def span_text(spans: Column) -> Column:
@@ -132,11 +153,11 @@ def _contexts() -> Column:
         cut = F.substring("text", (s["end"] + 1).cast("int"), F.lit(REACH + 1))
         right = F.concat(cut, F.when(F.length(cut) <= REACH, " ").otherwise(""))
         words = F.concat(F.regexp_extract_all(left, F.lit(_INNER_WORD), F.lit(0)), F.regexp_extract_all(right, F.lit(_INNER_WORD), F.lit(0)))
-        terms = F.filter(F.transform(words, term_of), lambda t: (F.length(t) > 1) & ~t.contains("@") & ~t.rlike("^[0-9+().-]*$"))
+        terms = F.filter(F.transform(words, term_of), lambda t: F.length(t).between(2, LONGEST_TERM) & ~t.contains("@") & ~t.rlike("^[0-9+().-]*$"))
         value = F.when(s["kind"].isin("card", "phone"), _digits(s["value"])).otherwise(F.lower(s["value"]))
         return F.struct(F.concat_ws(":", s["kind"], value).alias("entity"), F.xxhash64(left, right).alias("context"), terms.alias("terms"))
 
-    return F.transform("base", around)
+    return F.transform("_base", around)
 
 
 def revealing_terms(contexts: DataFrame, docs: DataFrame) -> DataFrame | None:
@@ -156,17 +177,30 @@ def revealing_terms(contexts: DataFrame, docs: DataFrame) -> DataFrame | None:
     return written(all_counts.select("term", disclosure.alias("disclosure")).where(F.col("disclosure") >= GENERALISE).groupBy("term").agg(F.max("disclosure").alias("disclosure")), "revealing")
 
 
+def _few(df: DataFrame, most: int) -> bool:
+    return df.limit(most + 1).count() <= most
+
+
 def term_spans(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """Occurrences of ``terms`` per document: doc_id, found array<struct<start, end, remove>>."""
-    out = docs.select("doc_id", "text", F.regexp_extract_all("text", F.lit(_WORD), F.lit(0)).alias("w")).where(F.size("w") > 0)
-    out = out.withColumn("g", F.split("text", _WORD, -1)).select("doc_id", "w", "g")
-    out = out.withColumn("s", prefix_sums(_steps("g", "w"))).select("doc_id", F.explode(F.arrays_zip("w", "s")).alias("x")).select("doc_id", F.col("x.w").alias("w"), F.col("x.s").alias("s"))
-    lead = F.length("w") - F.length(F.ltrim("w", F.lit(_MARKS)))
-    out = out.select("doc_id", term_of(F.col("w")).alias("term"), (F.col("s") + lead).alias("start"), F.length(F.btrim("w", F.lit(_MARKS))).alias("size"))
-    small = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    hit = out.join(F.broadcast(terms) if small else terms, "term")
-    found = F.struct(F.col("start"), (F.col("start") + F.col("size")).alias("end"), (F.col("disclosure") >= REMOVE).alias("remove"))
-    return hit.groupBy("doc_id").agg(F.sort_array(F.collect_set(found)).alias("found"))
+    """Occurrences of ``terms`` per document: doc_id, found array<struct<start, end, remove>>.
+
+    Words meet the terms where they are read; only documents with a hit are
+    read again for the places of the words.
+    """
+    words = F.regexp_extract_all("text", F.lit(_WORD), F.lit(0))
+    every = docs.select("doc_id", F.posexplode(words).alias("i", "w")).select("doc_id", "i", term_of(F.col("w")).alias("term"))
+    hit = every.join(F.broadcast(terms) if _few(terms, BROADCAST_TERMS) else terms, "term")
+    hits = written(hit.groupBy("doc_id").agg(F.collect_set(F.struct("i", "term", (F.col("disclosure") >= REMOVE).alias("remove"))).alias("hits")), "hits")
+    held = docs.select("doc_id", "text").join(F.broadcast(hits) if _few(hits.select(F.explode("hits")), BROADCAST_HITS) else hits, "doc_id")
+    held = held.withColumn("w", words).withColumn("g", F.split("text", _WORD, -1)).withColumn("s", prefix_sums(_steps("g", "w")))
+    lead = lambda w: F.length(w) - F.length(F.ltrim(w, F.lit(_MARKS)))
+
+    def spans(x: Column) -> Column:
+        own = F.filter(F.transform("hits", lambda h: F.struct(F.get(x["w"], h["i"]).alias("w"), F.get(x["s"], h["i"]).alias("s"), h["term"].alias("term"), h["remove"].alias("remove"))), lambda h: term_of(h["w"]) == h["term"])
+        return F.transform(own, lambda h: F.struct((h["s"] + lead(h["w"])).alias("start"), (h["s"] + lead(h["w"]) + F.length(F.btrim(h["w"], F.lit(_MARKS)))).alias("end"), h["remove"].alias("remove")))
+
+    found = bound(F.struct("w", "s"), spans)
+    return held.select("doc_id", found.alias("found")).groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))).alias("found"))
 
 
 def _prepared(docs: DataFrame) -> DataFrame:
@@ -175,7 +209,8 @@ def _prepared(docs: DataFrame) -> DataFrame:
 
 def _free(found: Column, base: Column) -> Column:
     """Found terms that touch no base span."""
-    return F.filter(F.coalesce(found, F.array().cast("array<struct<start:long,end:long,remove:boolean>>")), lambda t: ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+    none = F.array().cast("array<struct<start:long,end:long,remove:boolean>>")
+    return bound(base, lambda all_: F.filter(F.coalesce(found, none), lambda t: ~F.exists(all_, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))))
 
 
 def detected(docs: DataFrame) -> DataFrame:
@@ -186,17 +221,17 @@ def detected(docs: DataFrame) -> DataFrame:
     columns are not read; an empty table gives an empty result.
     """
     rows = _prepared(docs)
-    base = written(with_base_spans(rows).select("doc_id", F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("base"), _contexts().alias("contexts")), "base")
+    base = written(with_base_spans(rows).select("doc_id", F.transform("_base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("_base"), _contexts().alias("contexts")), "base")
     terms = revealing_terms(base.select(F.explode("contexts").alias("c")).select("c.*"), rows)
     if terms is None or terms.isEmpty():
         out = base.withColumn("found", F.lit(None).cast("array<struct<start:long,end:long,remove:boolean>>"))
     else:
         out = base.join(term_spans(rows, terms), "doc_id", "left")
-    out = out.withColumn("found", _free(F.col("found"), F.col("base")))
+    out = out.withColumn("found", _free(F.col("found"), F.col("_base")))
     counts = [F.size(_of_kind(k)).cast("long").alias(f"n_{k}") for k in KINDS]
-    text = span_text(F.col("base"))
+    text = span_text(F.col("_base"))
     more = F.array_join(F.transform("found", lambda t: F.concat_ws(":", F.lit("term"), t["start"].cast("string"), t["end"].cast("string"))), ",")
-    spans = F.when(F.size("found") == 0, text).when(F.size("base") == 0, more).otherwise(F.concat_ws(",", text, more))
+    spans = F.when(F.size("found") == 0, text).when(F.size("_base") == 0, more).otherwise(F.concat_ws(",", text, more))
     shown = F.when(F.col("doc_id") != _LOWEST, F.col("doc_id")).alias("doc_id")
     return out.select(shown, *counts, F.sha2(text, 256).alias("base_sha256"), spans.alias("spans"), F.size("found").cast("long").alias("n_terms"))
 
@@ -208,7 +243,7 @@ def sanitised(docs: DataFrame) -> DataFrame:
     next starts where it ended.
     """
     rows = _prepared(docs)
-    contexts = written(with_base_spans(rows).where(F.size("base") > 0).select(_contexts().alias("contexts")).select(F.explode("contexts").alias("c")).select("c.*"), "contexts")
+    contexts = written(with_base_spans(rows).where(F.size("_base") > 0).select(_contexts().alias("contexts")).select(F.explode("contexts").alias("c")).select("c.*"), "contexts")
     terms = revealing_terms(contexts, rows)
     names = docs.columns
     out = docs.withColumn("_null", F.col("text").isNull()).withColumn("text", F.coalesce("text", F.lit("")))
@@ -218,8 +253,8 @@ def sanitised(docs: DataFrame) -> DataFrame:
         found = term_spans(rows, terms).select(F.col("doc_id").alias("_doc"), F.col("found").alias("_found"))
         out = out.join(found, F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST)) == F.col("_doc"), "left").drop("_doc")
     out = with_base_spans(out)
-    base = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("put")))
-    more = F.transform(_free(F.col("_found"), F.col("base")), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.when(t["remove"], "").otherwise("[TERM]").alias("put")))
+    base = F.transform("_base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("put")))
+    more = F.transform(_free(F.col("_found"), F.col("_base")), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.when(t["remove"], "").otherwise("[TERM]").alias("put")))
     out = out.withColumn("_all", F.array_sort(F.concat(base, more)))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
 
