@@ -12,7 +12,9 @@ where W counts all words, f(t) the occurrences of t, f(c) the words within
 ``REACH`` code points of occurrences of c, and f(c, t) those of them that are t.
 The disclosure PMI / IC is 1 where t stands beside c only and falls to 0 where
 t says nothing of it. Terms at or above ``REMOVE`` are removed from all texts,
-those at or above ``GENERALISE`` become a general word. A pair needs ``SUPPORT``
+those at or above ``GENERALISE`` become a general word; for an entity seen a few
+times in 100 million words that means a probability of about 0.4 that it is
+near. A pair needs ``SUPPORT``
 different contexts: one context, however often copied, is no evidence.
 
 Only contexts and counts are shuffled, never texts; all counts are partially
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from quillspan.llm.runtime import written
 
-REACH, SUPPORT, GENERALISE, REMOVE = 80, 3, 0.75, 0.9
+REACH, SUPPORT, GENERALISE, REMOVE = 80, 3, 0.95, 0.98
 #: Revealing terms that are broadcast at most (under 300 bytes each); beyond it the join is dealt by term.
 BROADCAST_TERMS = 50_000
 #: Occurrences of such terms that are broadcast at most (as much each); beyond it documents and hits are dealt by doc_id.
