@@ -11,11 +11,10 @@ probability of (1 - (1 - 0.8**3)**12)**2 = 0.9996, at 0.85 of 0.99998.
 
 Candidates. Within a table bucket all members are first compared with one of
 them (the smallest id), not with each other. What links joins a component.
-Buckets that still hold several components are compared anew the same way,
-and in the end every remaining pair of one bucket that lies in two components
-and fits in size is verified, each pair once, in the first table it shares. So
-no pair that some table offers goes unanswered, though pairs within a
-component are never listed.
+Buckets that still hold several components are compared anew the same way, and
+in the end every id is compared, block by block, with all ids of other
+components that share a bucket with it. So no pair that some table offers goes
+unanswered, though pairs are never listed.
 
 Links are verified on the full sets of the full texts.
 """
@@ -34,7 +33,7 @@ from quillspan.llm.runtime import key_filter, maybe_in, mix64, ship, written
 from quillspan.llm.words import distinct_shingles, split_words, texts
 
 HALVES, ROWS = 12, 3
-THRESHOLD, SHINGLE_WORDS, STAR_ROUNDS = 80, 2, 2
+THRESHOLD, SHINGLE_WORDS, STAR_ROUNDS, BLOCK = 80, 2, 2, 256
 _FACTORS = np.random.Generator(np.random.PCG64(906)).integers(1, 2**63, 2 * HALVES * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LOWEST = -(1 << 63)
 
@@ -144,33 +143,29 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     keys = classes.select("id", "sketch").mapInArrow(_keys, "key long, id long, t int")
     shared = written(keys.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_shared, "key long, id long, t int, leader long"), "buckets")
 
-    tested, labels = None, None
+    links, labels = None, None
     for turn in range(STAR_ROUNDS + 1):
         if turn == 0:
             offers = shared.where("id <> leader").groupBy(F.col("id").alias("x"), F.col("leader").alias("y")).agg(F.count("*").alias("k"))
         else:
             of = labels.select("id", "component")
-            members = shared.select("key", "id", "t").join(of, "id", "left").withColumn("component", F.coalesce("component", "id"))
+            members = shared.select("key", "id").join(of, "id", "left").withColumn("component", F.coalesce("component", "id"))
             mixed = members.groupBy("key").agg(F.min(F.struct("component", "id")).alias("lead"), F.max("component").alias("most")).where("lead.component < most")
             mixed = written(members.join(mixed, "key"), "mixed")
             if mixed.isEmpty():
                 break
-            if turn < STAR_ROUNDS:
-                offers = mixed.where("component <> lead.component").groupBy(F.col("id").alias("x"), F.col("lead.id").alias("y")).agg(F.count("*").alias("k"))
-            else:
-                offers = _across(mixed, classes, threshold).withColumn("k", F.lit(1))
-        if tested is not None:
-            offers = offers.join(tested.select("x", "y"), ["x", "y"], "left_anti")
-            offers = offers.join(tested.select(F.col("x").alias("y"), F.col("y").alias("x")), ["x", "y"], "left_anti")
-        if turn < STAR_ROUNDS:
+            offers = mixed.where("component <> lead.component").groupBy(F.col("id").alias("x"), F.col("lead.id").alias("y")).agg(F.count("*").alias("k"))
+        if turn == STAR_ROUNDS:
+            more = _remaining(shared, mixed, labels, rows, threshold)
+        else:
             best = Window.partitionBy("x").orderBy(F.desc("k"), "y")
-            offers = offers.withColumn("r", F.row_number().over(best)).where("r = 1")
-        pairs = written(offers.select("x", "y"), "pairs")
-        if pairs.isEmpty():
-            continue
-        now = written(verified(pairs, rows, threshold), "verified")
-        tested = now if tested is None else tested.unionByName(now)
-        labels = written(components(tested.where("linked").select("x", "y")), "labels")
+            pairs = written(offers.withColumn("r", F.row_number().over(best)).where("r = 1").select("x", "y"), "pairs")
+            if pairs.isEmpty():
+                break
+            more = verified(pairs, rows, threshold).where("linked").select("x", "y")
+        more = written(more, "found")
+        links = more if links is None else links.unionByName(more)
+        labels = written(components(links), "labels")
     each = each.select("doc_id", *same).join(classes.select("id", *same), same, "left")
     if labels is not None:
         each = each.join(labels, "id", "left")
@@ -181,17 +176,70 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return each.select(shown(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), shown(found).alias("component_id"), (F.col("doc_id") == found).alias("kept"))
 
 
-def _across(mixed: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
-    """All pairs of one bucket that lie in two components and fit in size, each in the first table that it shares."""
-    half = F.transform(F.sequence(F.lit(0), F.lit(2 * HALVES - 1)), lambda i: F.substring(F.col("sketch"), i * 4 + 1, F.lit(4)))
-    own = classes.select("id", "n", half.alias("halves"))
-    rows = mixed.select("key", "id", "t", "component").join(own, "id")
-    a, b = (rows.select(*(F.col(c).alias(f"{c}_{s}") for c in rows.columns)) for s in "ab")
-    first = lambda lo: F.array_position(F.zip_with(F.slice("halves_a", lo, HALVES), F.slice("halves_b", lo, HALVES), lambda p, q: p == q), True)
-    fits = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * threshold
-    once = (first(1) == F.floor(F.col("t_a") / HALVES) + 1) & (first(HALVES + 1) == F.col("t_a") % HALVES + 1)
-    joined = a.join(b, (F.col("key_a") == F.col("key_b")) & (F.col("component_a") < F.col("component_b")) & fits & once)
-    return joined.select(F.col("id_b").alias("x"), F.col("id_a").alias("y"))
+def _remaining(shared: DataFrame, mixed: DataFrame, labels: DataFrame, rows: DataFrame, threshold: int) -> DataFrame:
+    """Links between components that still share a bucket: x, y.
+
+    Ids that have the same smallest bucket leader form a star; stars are cut
+    into blocks of about ``BLOCK`` ids. An id probes a block if one of its
+    buckets holds an id of that block in a component below its own; it is then
+    compared with all such ids of the block at once. What leaves a block is one
+    link for each probe and component that it reaches.
+    """
+    stars = shared.groupBy("id").agg(F.min("leader").alias("star")).join(labels.select("id", "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    parts = stars.groupBy("star").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("parts"))
+    home = written(stars.join(parts, "star").select("id", "component", "star", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part")), "home")
+    block = ["star", "part"]
+    members = mixed.select("key", "id").join(home, "id")
+    least = members.groupBy("key", "star").agg(F.min("component").alias("least")).select(F.col("key").alias("k"), F.col("star").alias("to"), "least")
+    reach = members.select("key", "id", "component").join(least, (F.col("key") == F.col("k")) & (F.col("least") < F.col("component")))
+    reach = reach.select("id", "component", F.col("to").alias("star")).distinct().join(parts, "star")
+    probes = written(reach.select("id", "component", "star", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")), "probes")
+    held = home.join(probes.select(*block).distinct(), block, "left_semi")
+    both = held.withColumn("probe", F.lit(0)).unionByName(probes.withColumn("probe", F.lit(1)))
+    maybe = maybe_in(rows.sparkSession, key_filter(both.select("id")))
+    full = both.join(rows.where(maybe(F.col("doc_id"))), F.col("id") == F.col("doc_id")).select(*block, "probe", "id", "component", "text")
+    dealt = full.repartition(*block).sortWithinPartitions(*block, "probe", "id")
+    return dealt.mapInArrow(_probe(threshold), "x long, y long")
+
+
+def _probe(threshold: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, sets, ids, component, index = None, [], [], [], None
+        for b in batches:
+            star, part, probe, own, of = (b.column(c).to_numpy(zero_copy_only=False) for c in range(5))
+            found: list[tuple[int, int]] = []
+            row = 0
+            for lo, hi, data, offsets in texts(b.column(5)):
+                h, text = distinct_shingles(split_words(data, offsets, lower=True), SHINGLE_WORDS)
+                for mine in np.split(h, np.searchsorted(text, np.arange(1, hi - lo))):
+                    here = (star[row], part[row])
+                    if here != at:
+                        at, sets, ids, component, index = here, [], [], [], None
+                    if not probe[row]:
+                        sets.append(mine)
+                        ids.append(own[row])
+                        component.append(of[row])
+                    elif sets:
+                        if index is None:
+                            size = np.array([len(x) for x in sets])
+                            every, who = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+                            order = np.argsort(every)
+                            index = (every[order], who[order], size, np.array(ids), np.array(component))
+                        every, who, size, names, groups = index
+                        first, last = np.searchsorted(every, mine), np.searchsorted(every, mine, "right")
+                        n = last - first
+                        stop = np.cumsum(n)
+                        hits = who[np.repeat(first - (stop - n), n) + np.arange(n.sum())]
+                        common = np.bincount(hits, minlength=len(size))
+                        good = (100 * common >= threshold * (size + len(mine) - common)) & (common > 0) & (groups < of[row])
+                        k = np.flatnonzero(good)
+                        for j in k[np.unique(groups[k], return_index=True)[1]].tolist():
+                            found.append((own[row], names[j]))
+                    row += 1
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["x", "y"])
+
+    return run
 
 
 def deduplicated(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
