@@ -41,10 +41,10 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sampled segmentations of each document."""
+    """Sampled segmentations of each document, with their ids: the encoded corpus."""
     import public_tokenizers
 
-    return pieces.sampled(docs, public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
+    return pieces.sampled(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -370,14 +370,18 @@ def sampled(docs: DataFrame, model: str, k: int = SAMPLES, temperature: float =
                 for d, paths in enumerate(s.run(k)):
                     text = raw[offsets[d] : offsets[d + 1]]
                     for rank, (edges, log_prob, value) in enumerate(paths, 1):
-                        ids = s.ids(edges, d)
-                        row = (row_ids[lo + d], rank, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), log_prob, value, log_inclusion(log_prob, s.kappa[d]), v.decode(ids) == text)
+                        ids = s.ids(edges, d).astype("<i4")
+                        row = (row_ids[lo + d], rank, len(ids), zlib.crc32(ids), log_prob, value, log_inclusion(log_prob, s.kappa[d]), v.decode(ids) == text)
                         for c, x in zip(out, row):
                             c.append(x)
                         if with_ids:
-                            out[-1].append(ids.astype(np.int32))
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_(), pa.list_(pa.int32())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names)
+                            out[-1].append(ids)
+                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_()]
+                columns = [pa.array(c, t) for c, t in zip(out, kinds)]
+                if with_ids:
+                    ends = np.cumsum([0, *map(len, out[-1])], dtype=np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *out[-1]]))))
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = "doc_id long, sample int, n_tokens long, ids_crc32 long, log_prob double, perturbed double, log_inclusion double, decoded boolean" + (", ids array<int>" if with_ids else "")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)

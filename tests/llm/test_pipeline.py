@@ -1,6 +1,12 @@
 """The pipeline's stages on small documents, each beside what it should keep."""
 
+import zlib
+
 import corpus_pipeline as P
+import numpy as np
+import public_tokenizers
+
+from quillspan.llm import pieces, queries
 
 
 def test_stages(spark, tmp_path, corpus):
@@ -25,3 +31,16 @@ def test_stages(spark, tmp_path, corpus):
     if 500 in kept["pii"]:
         assert "[EMAIL]" in kept["pii"][500]["text"] and kept["pii"][500]["n_chars"] == len(kept["pii"][500]["text"])
     assert P.run(spark, d).select("doc_id").distinct().count() == len(kept["pii"])
+
+
+def test_result_has_the_encoded_corpus(spark, tmp_path, docs):
+    """The ids of the last stage and of op1 give back each document's text."""
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    want = sorted((r["doc_id"] or -1, r["text"] or "") for r in docs.collect())
+    for out in (P.pieces_stage(spark, docs, str(tmp_path)), queries.op1_pieces(spark, str(tmp_path))):
+        out = out.cache()
+        assert all(r["n_tokens"] == len(r["ids"]) and r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes()) for r in out.collect())
+        for rank in (1, 2):
+            back = sorted((r["doc_id"] or -1, r["text"]) for r in pieces.decoded(out.where(f"sample = {rank}"), model).collect())
+            assert back == [w for w in want if w[1] or rank == 1]
