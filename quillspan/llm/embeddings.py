@@ -3,9 +3,9 @@
 Unit vectors are projected to eight dimensions and decoded to points of the E8
 lattice, the densest packing there is in eight dimensions; every table has its
 own projection and offset, and a point is the key of its bucket. Each vector
-also probes the lattice cells next to it: the other coset's nearest point, and
-the neighbours of its point in the directions it leans to most. Two vectors
-meet where one's own cell is among the cells the other visits.
+also probes lattice cells next to it, the neighbours of its point in the
+directions it leans to most. Two vectors meet where one's own cell is among the
+cells the other visits. Vectors of each length have projections of their own.
 
 Vectors that are equal component by component are one class. Each table's
 buckets are compared in blocks; a pair of classes counts in the first table in
@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -101,26 +102,23 @@ def cells(unit: np.ndarray, dim_scale: float, tables: int, probes: int) -> np.nd
     return out
 
 
-def matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the vectors that can link, and these vectors in double precision. All of the batch's usable vectors have the commonest length."""
-    lists = column.to_pylist() if column.null_count else None
-    n = np.array([-1 if v is None else len(v) for v in lists]) if lists is not None else np.diff(column.offsets.to_numpy())
-    dim = np.bincount(n[n > 0]).argmax() if (n > 0).any() else 0
-    at = np.flatnonzero(n == dim) if dim else np.zeros(0, np.int64)
-    flat = column.take(pa.array(at)).flatten().cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False).reshape(len(at), dim)
-    length = np.sqrt((flat * flat).sum(1)) if dim else np.zeros(0)
-    fine = np.isfinite(length) & (length > 0)
-    return at[fine], flat[fine]
+def matrices(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each length of the batch's vectors: positions of those that can link, and these vectors in double precision."""
+    n = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    for dim in np.unique(n[n > 0]).tolist():
+        at = np.flatnonzero(n == dim)
+        flat = column.take(pa.array(at)).flatten().cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False).reshape(len(at), dim)
+        fine = np.isfinite(flat).all(1) & flat.any(1)
+        yield at[fine], flat[fine]
 
 
 def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each row with its components as bytes, null where the vector can link with nothing."""
     for b in batches:
-        at, v = matrix(b.column(1))
         raw = [None] * len(b)
-        v = v + 0.0
-        for i, r in zip(at.tolist(), v):
-            raw[i] = r.tobytes()
+        for at, v in matrices(b.column(1)):
+            for i, r in zip(at.tolist(), v + 0.0):
+                raw[i] = r.tobytes()
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(raw, pa.binary())], ["vec_id", "raw"])
 
 

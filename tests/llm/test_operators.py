@@ -297,6 +297,37 @@ def test_embeddings(spark, empty):
     assert embeddings.linked(df.limit(0)).count() == 0
 
 
+def test_embeddings_of_any_length_and_size(spark):
+    """Links among vectors of rarer lengths, and of components whose squares overflow or vanish, however rows fall into batches."""
+    rng = np.random.default_rng(2)
+    rows, near = [], []
+    for k, dim in enumerate([64] * 30 + [1, 2, 3, 8, 31, 32, 200]):
+        v = rng.normal(size=dim)
+        rows += [(10 * k + i, x.tolist()) for i, x in enumerate((v, v, v * 1.5, v + rng.normal(size=dim) * 0.05 * np.abs(v)))]
+    v = rng.normal(size=16)
+    rows += [(1000 + i, (v * size).tolist()) for i, size in enumerate((1e-200, 1e-200, 1.0, 1e200, 1e300))] + [(1010, [5e-324, 0.0]), (1011, [5e-324, 0.0]), (1012, [0.0, 0.0]), (1013, [float("inf"), 1.0])]
+
+    def unit(x):
+        if not np.isfinite(x).all() or not np.any(x):
+            return None
+        x = np.array(x) / np.abs(x).max()
+        return x / np.linalg.norm(x)
+
+    n, units = defaultdict(int), [(i, unit(x)) for i, x in rows]
+    for at, (a, u) in enumerate(units):
+        for b, w in units[:at]:
+            if u is not None and w is not None and len(u) == len(w) and u @ w >= 0.95:
+                near.append((a, b))
+                n[a] += 1
+                n[b] += 1
+    want = groups([i for i, _ in rows], near)
+    assert all(n[i] for i in (300, 310, 320, 330, 340, 350, 360, 1000, 1003, 1010)) and not n[1012] and not n[1013]
+    for parts in (1, 9):
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(parts)
+        got = {r["vec_id"]: r for r in embeddings.linked(df).collect()}
+        assert all((got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (n[i], want[i], want[i] == i) for i, _ in rows)
+
+
 def test_lattice():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(200, 8)) * 3
