@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from quillspan.llm import contamination, neardup, pieces, pii, quality
 from quillspan.llm.runtime import new_path
 
+#: Of the near_dedup stage; two-word shingles are op9's own.
+SHINGLE_WORDS = 5
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -25,8 +28,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that with the smallest doc_id."""
-    return neardup.deduplicated(docs)
+    """One document of each group of near duplicates (five-word shingles, 0.8), that with the smallest doc_id."""
+    return neardup.deduplicated(docs, shingle_words=SHINGLE_WORDS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

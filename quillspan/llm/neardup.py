@@ -1,6 +1,7 @@
 """MinHash near-dedup with tensored banding.
 
-A document is the set of its distinct two-word shingles (ASCII lower case).
+A document is the set of its distinct shingles (ASCII lower case), of two words
+unless told otherwise.
 Documents with equal sets are one class; only classes are compared.
 
 Tables. Two collections of ``HALVES`` sketches of ``ROWS`` minima each; the key of
@@ -48,22 +49,25 @@ def sketches(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return (out >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for lo, hi, data, offsets in texts(b.column(1)):
-            h, of = distinct_shingles(split_words(data, offsets, lower=True), SHINGLE_WORDS)
-            first = np.searchsorted(of, np.arange(hi - lo + 1))
-            n = np.diff(first)
-            some = np.flatnonzero(n)
-            rows = sketches(h, np.append(first[some], len(h)))
-            one, two = np.zeros(hi - lo, np.uint64), np.zeros(hi - lo, np.uint64)
-            if len(some):
-                one[some] = np.add.reduceat(mix64(h), first[some])
-                two[some] = np.add.reduceat(mix64(h ^ np.uint64(0x5851F42D4C957F2D)), first[some])
-            sketch = [None] * (hi - lo)
-            for k, r in zip(some.tolist(), rows):
-                sketch[k] = r.tobytes()
-            yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], pa.array(n, pa.int64()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(sketch, pa.binary())], ["doc_id", "n", "s1", "s2", "sketch"])
+def _sketch(shingle_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo, hi, data, offsets in texts(b.column(1)):
+                h, of = distinct_shingles(split_words(data, offsets, lower=True), shingle_words)
+                first = np.searchsorted(of, np.arange(hi - lo + 1))
+                n = np.diff(first)
+                some = np.flatnonzero(n)
+                rows = sketches(h, np.append(first[some], len(h)))
+                one, two = np.zeros(hi - lo, np.uint64), np.zeros(hi - lo, np.uint64)
+                if len(some):
+                    one[some] = np.add.reduceat(mix64(h), first[some])
+                    two[some] = np.add.reduceat(mix64(h ^ np.uint64(0x5851F42D4C957F2D)), first[some])
+                sketch = [None] * (hi - lo)
+                for k, r in zip(some.tolist(), rows):
+                    sketch[k] = r.tobytes()
+                yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], pa.array(n, pa.int64()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(sketch, pa.binary())], ["doc_id", "n", "s1", "s2", "sketch"])
+
+    return run
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,11 +102,11 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*held, np.array([leader[1]]))], ["key", "id", "t", "leader"])
 
 
-def _verify(threshold: int):
+def _verify(threshold: int, shingle_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def sets(column):
             for lo, hi, data, offsets in texts(column):
-                h, of = distinct_shingles(split_words(data, offsets, lower=True), SHINGLE_WORDS)
+                h, of = distinct_shingles(split_words(data, offsets, lower=True), shingle_words)
                 yield from np.split(h, np.searchsorted(of, np.arange(1, hi - lo)))
 
         for b in batches:
@@ -115,7 +119,7 @@ def _verify(threshold: int):
     return run
 
 
-def verified(pairs: DataFrame, rows: DataFrame, threshold: int) -> DataFrame:
+def verified(pairs: DataFrame, rows: DataFrame, threshold: int, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
     """``pairs`` (x, y) with ``linked``: similarity of the full sets. Only texts that take part are moved."""
     spark = pairs.sparkSession
     out = pairs
@@ -123,21 +127,21 @@ def verified(pairs: DataFrame, rows: DataFrame, threshold: int) -> DataFrame:
         maybe = maybe_in(spark, key_filter(pairs.select(c)))
         side = rows.where(maybe(F.col("doc_id"))).select(F.col("doc_id").alias(f"_{c}"), F.col("text").alias(f"text_{c}"))
         out = out.join(side, F.col(c) == F.col(f"_{c}")).drop(f"_{c}")
-    return out.select("x", "y", "text_x", "text_y").mapInArrow(_verify(threshold), "x long, y long, linked boolean")
+    return out.select("x", "y", "text_x", "text_y").mapInArrow(_verify(threshold, shingle_words), "x long, y long, linked boolean")
 
 
-def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
     Null, empty and blank texts have no shingles and link with nothing; a text
-    of one word has that word as its only shingle. Repeated rows are one
-    class; a null doc_id is an id below all others, and stays null in the
-    result. Rows that share a doc_id count as one document. Other columns are
-    not read; an empty table gives an empty result.
+    of fewer than ``shingle_words`` words has all of them as its only shingle.
+    Repeated rows are one class; a null doc_id is an id below all others, and
+    stays null in the result. Rows that share a doc_id count as one document.
+    Other columns are not read; an empty table gives an empty result.
     """
     ship(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST)).alias("doc_id"), "text")
-    each = written(rows.mapInArrow(_sketch, "doc_id long, n long, s1 long, s2 long, sketch binary"), "sketches")
+    each = written(rows.mapInArrow(_sketch(shingle_words), "doc_id long, n long, s1 long, s2 long, sketch binary"), "sketches")
     same = ["n", "s1", "s2"]
     classes = written(each.where("n > 0").groupBy(*same).agg(F.min("doc_id").alias("id"), F.first("sketch").alias("sketch")), "classes")
     keys = classes.select("id", "sketch").mapInArrow(_keys, "key long, id long, t int")
@@ -156,13 +160,13 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
                 break
             offers = mixed.where("component <> lead.component").groupBy(F.col("id").alias("x"), F.col("lead.id").alias("y")).agg(F.count("*").alias("k"))
         if turn == STAR_ROUNDS:
-            more = _remaining(shared, mixed, labels, rows, threshold)
+            more = _remaining(shared, mixed, labels, rows, threshold, shingle_words)
         else:
             best = Window.partitionBy("x").orderBy(F.desc("k"), "y")
             pairs = written(offers.withColumn("r", F.row_number().over(best)).where("r = 1").select("x", "y"), "pairs")
             if pairs.isEmpty():
                 break
-            more = verified(pairs, rows, threshold).where("linked").select("x", "y")
+            more = verified(pairs, rows, threshold, shingle_words).where("linked").select("x", "y")
         more = written(more, "found")
         links = more if links is None else links.unionByName(more)
         labels = written(components(links), "labels")
@@ -176,7 +180,7 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return each.select(shown(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), shown(found).alias("component_id"), (F.col("doc_id") == found).alias("kept"))
 
 
-def _remaining(shared: DataFrame, mixed: DataFrame, labels: DataFrame, rows: DataFrame, threshold: int) -> DataFrame:
+def _remaining(shared: DataFrame, mixed: DataFrame, labels: DataFrame, rows: DataFrame, threshold: int, shingle_words: int) -> DataFrame:
     """Links between components that still share a bucket: x, y.
 
     Ids that have the same smallest bucket leader form a star; stars are cut
@@ -199,10 +203,10 @@ def _remaining(shared: DataFrame, mixed: DataFrame, labels: DataFrame, rows: Dat
     maybe = maybe_in(rows.sparkSession, key_filter(both.select("id")))
     full = both.join(rows.where(maybe(F.col("doc_id"))), F.col("id") == F.col("doc_id")).select(*block, "probe", "id", "component", "text")
     dealt = full.repartition(*block).sortWithinPartitions(*block, "probe", "id")
-    return dealt.mapInArrow(_probe(threshold), "x long, y long")
+    return dealt.mapInArrow(_probe(threshold, shingle_words), "x long, y long")
 
 
-def _probe(threshold: int):
+def _probe(threshold: int, shingle_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, sets, ids, component, index = None, [], [], [], None
         for b in batches:
@@ -210,7 +214,7 @@ def _probe(threshold: int):
             found: list[tuple[int, int]] = []
             row = 0
             for lo, hi, data, offsets in texts(b.column(5)):
-                h, text = distinct_shingles(split_words(data, offsets, lower=True), SHINGLE_WORDS)
+                h, text = distinct_shingles(split_words(data, offsets, lower=True), shingle_words)
                 for mine in np.split(h, np.searchsorted(text, np.arange(1, hi - lo))):
                     here = (star[row], part[row])
                     if here != at:
@@ -242,9 +246,9 @@ def _probe(threshold: int):
     return run
 
 
-def deduplicated(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+def deduplicated(docs: DataFrame, threshold: int = THRESHOLD, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
     """``docs`` with one document of each group of near duplicates, the one with the smallest doc_id. Rows with a null doc_id stay."""
-    gone = near_duplicates(docs, threshold).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = near_duplicates(docs, threshold, shingle_words).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
 
 

@@ -6,7 +6,7 @@ import corpus_pipeline as P
 import numpy as np
 import public_tokenizers
 
-from quillspan.llm import pieces, queries
+from quillspan.llm import neardup, pieces, queries
 
 
 def test_stages(spark, tmp_path, corpus):
@@ -44,3 +44,14 @@ def test_result_has_the_encoded_corpus(spark, tmp_path, docs):
         for rank in (1, 2):
             back = sorted((r["doc_id"] or -1, r["text"]) for r in pieces.decoded(out.where(f"sample = {rank}"), model).collect())
             assert back == [w for w in want if w[1] or rank == 1]
+
+
+def test_near_dedup_takes_five_words(spark, tmp_path):
+    """One word in 20 changed: alike by two-word shingles, not by five-word ones."""
+    words = [f"w{i}" for i in range(200)]
+    far = [f"x{i}" if i % 20 == 10 else w for i, w in enumerate(words)]
+    near = [*words[:100], "y", *words[101:]]
+    rows = [(i, " ".join(w), "en") for i, w in enumerate((words, far, near, ["a", "b"], ["A", "b"], ["a", "c"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert sorted(r["doc_id"] for r in P.neardup_stage(spark, docs, str(tmp_path)).collect()) == [0, 1, 3, 5]
+    assert sorted(r["doc_id"] for r in neardup.deduplicated(docs).collect()) == [0, 3, 5]
