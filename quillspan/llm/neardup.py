@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.llm.components import components
-from quillspan.llm.runtime import key_filter, maybe_in, mix64, ship, written
+from quillspan.llm.runtime import key_filter, maybe_in, mix64, narrowed, ship, written
 from quillspan.llm.words import distinct_shingles, split_words, texts
 
 HALVES, ROWS = 12, 3
@@ -247,9 +247,23 @@ def _probe(threshold: int, shingle_words: int):
 
 
 def deduplicated(docs: DataFrame, threshold: int = THRESHOLD, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """``docs`` with one document of each group of near duplicates, the one with the smallest doc_id. Rows with a null doc_id stay."""
-    gone = near_duplicates(docs, threshold, shingle_words).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """``docs`` with one row of each group of near duplicates, the one with the smallest doc_id; a null one is below all others.
+
+    Decided row by row: a row is known by a 64-bit hash of its doc_id and text,
+    so rows that share a doc_id but not the text are documents of their own. Of
+    rows alike in both one stays, also where the text has no shingles.
+    """
+    ship(docs.sparkSession)
+    row = F.xxhash64(F.col("doc_id").cast("long"), F.col("doc_id").isNull(), "text", F.col("text").isNull())
+    whole = docs.withColumn("_row", row)
+    rows = written(whole.groupBy("_row").agg(F.min(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST))).alias("_id"), F.count("*").alias("_n")), "rows")
+    again = rows.where("_n > 1").select("_row")
+    if not again.isEmpty():
+        one = narrowed(whole, "_row", again).join(again, "_row", "left_semi").dropDuplicates(["_row"])
+        whole = written(whole.join(again, "_row", "left_anti").unionByName(one), "distinct")
+    near = near_duplicates(whole.select(F.col("_row").alias("doc_id"), "text"), threshold, shingle_words).select(F.col("doc_id").alias("_row"), "component_id")
+    first = near.join(rows, "_row").groupBy("component_id").agg(F.min(F.struct("_id", "_row")).alias("first")).select("first._row")
+    return whole.join(first, "_row", "left_semi").select(*docs.columns)
 
 
 ORACLE = r"""

@@ -426,6 +426,17 @@ def test_neardup(spark, corpus, empty):
     assert neardup.near_duplicates(df.where("doc_id < 3")).count() == 3
 
 
+def test_deduplicated_by_row(spark):
+    """Repeated and null ids with equal and with different texts."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")
+    rows = [(3, b), (7, a), (7, b), (8, c), (8, c), (8, c), (None, d), (None, d), (9, d), (None, "other text"), (None, "third one here"), (10, ""), (10, ""), (10, None), (11, None)]
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, lang string").repartition(3)
+    kept = neardup.deduplicated(df)
+    got = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    want = [(3, b), (7, a), (8, c), (None, d), (None, "other text"), (None, "third one here"), (10, ""), (10, None), (11, None)]
+    assert kept.columns == df.columns and sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_components(spark):
     rng = random.Random(1)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(150)] + [(i, i + 1) for i in range(400, 430)]
