@@ -67,7 +67,8 @@ def place(docs: DataFrame, key: str = "doc_id", shards: list[str] | None = None,
 
     The broadcast side has exactly ``table_size`` rows whatever the input.
     Repeated keys share a shard, null keys count as the empty text, an empty
-    table gives an empty result, and texts are not read at all.
+    table gives an empty result. Only the key decides; all other columns, texts
+    too, go along.
     """
     spark: SparkSession = docs.sparkSession
     names = shards or [f"shard-{i:03d}" for i in range(SHARDS)]

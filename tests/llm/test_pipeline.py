@@ -55,3 +55,10 @@ def test_near_dedup_takes_five_words(spark, tmp_path):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert sorted(r["doc_id"] for r in P.neardup_stage(spark, docs, str(tmp_path)).collect()) == [0, 1, 3, 5]
     assert sorted(r["doc_id"] for r in neardup.deduplicated(docs).collect()) == [0, 3, 5]
+
+
+def test_op5_shards_whole_documents(spark, tmp_path, docs):
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    out = queries.op5_sharding(spark, str(tmp_path))
+    assert out.columns == [*docs.columns, "slot", "shard"]
+    assert sorted(map(str, out.drop("slot", "shard").collect())) == sorted(map(str, docs.collect()))
