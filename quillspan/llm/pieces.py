@@ -34,8 +34,8 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.runtime import keep_memory, mix64, ship
-from quillspan.llm.words import _BYTE, _R, powers, segment_hashes, texts
+from quillspan.llm.runtime import keep_memory, mapped, mix64, ship
+from quillspan.llm.words import _BYTE, _R, byte_hashes, powers, texts
 
 SAMPLES, TEMPERATURE, SLICE_BYTES = 2, 1.0, 500_000
 _BITS = 20
@@ -212,7 +212,7 @@ class Sampler:
         edge[n] = False
         self.word = np.flatnonzero(edge)
         end = np.append(self.word[1:], n) if n else self.word
-        _, first, which = np.unique(segment_hashes(_BYTE[data], self.word, end, _R), return_index=True, return_inverse=True)
+        _, first, which = np.unique(byte_hashes(data, self.word, end), return_index=True, return_inverse=True)
         size = (end - self.word)[first]
         stop = np.cumsum(size)
         flat = data[np.repeat(self.word[first] - (stop - size), size) + np.arange(stop[-1])] if n else data
@@ -384,7 +384,7 @@ def sampled(docs: DataFrame, model: str, k: int = SAMPLES, temperature: float =
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = "doc_id long, sample int, n_tokens long, ids_crc32 long, log_prob double, perturbed double, log_inclusion double, decoded boolean" + (", ids array<int>" if with_ids else "")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(mapped(run, schema))
 
 
 def encoded(docs: DataFrame, model: str) -> DataFrame:
@@ -397,7 +397,7 @@ def encoded(docs: DataFrame, model: str) -> DataFrame:
             ids = v.model.encode([t or "" for t in b.column(1).to_pylist()], num_threads=1)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(mapped(run, "doc_id long, ids array<int>"))
 
 
 def decoded(rows: DataFrame, model: str) -> DataFrame:
@@ -410,4 +410,4 @@ def decoded(rows: DataFrame, model: str) -> DataFrame:
             out = [None if i is None else v.decode(np.array(i, np.int64)).decode(errors="replace") for i in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["doc_id", "text"])
 
-    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, text string")
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").transform(mapped(run, "doc_id long, text string"))

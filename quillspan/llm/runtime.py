@@ -6,19 +6,19 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bits of a key filter. Fixed: the broadcast stays 1 MiB whatever the input; a full filter lets rows through and the join behind it decides.
 FILTER_BITS = 1 << 23
 
 #: Bounds of what one Python worker is handed at once, whatever the length of texts.
-ARROW_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "4000", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
+ARROW_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "4000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
 
 def _give_memory_back() -> None:
@@ -49,6 +49,27 @@ def keep_memory() -> None:
         pass
 
 
+def mapped(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> Callable[[DataFrame], DataFrame]:
+    """For ``DataFrame.transform``: ``run`` on the Arrow batches of each task. When a task ends, its worker, which waits for other work, gives free memory back."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return lambda df: df.mapInArrow(whole, schema)
+
+
+def trim() -> None:
+    try:
+        import ctypes
+
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per application, so that workers can import it wherever they run."""
     for name, value in ARROW_BATCH.items():
@@ -77,24 +98,47 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder, removed when the application ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _file_system(spark, path).deleteOnExit(spark._jvm.org.apache.hadoop.fs.Path(path))
+    return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def _file_system(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def written(df: DataFrame, name: str, wide: bool = False, heavy: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    Narrow tables (ids and counts) go to two files a core at most, so that many
+    partitions don't make many small files. ``wide`` ones, whose tasks do the
+    work of a scan, keep their partitions; what ``heavy`` tasks find is dealt
+    anew, so that the tasks stay as many as they are.
+    """
+    spark = df.sparkSession
+    path, files = new_path(spark, name), 2 * spark.sparkContext.defaultParallelism
+    (df if wide else df.repartition(files) if heavy else df.coalesce(files)).write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._quillspan_path = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Remove written tables that nothing reads any more."""
+    for t in tables:
+        if path := getattr(t, "_quillspan_path", None):
+            _file_system(t.sparkSession, path).delete(t.sparkSession._jvm.org.apache.hadoop.fs.Path(path), True)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads the bits of unsigned 64-bit integers."""
     x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def _slots(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -121,13 +165,19 @@ def key_filter(keys: DataFrame) -> np.ndarray:
         at = np.flatnonzero(packed)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(packed[at], pa.int64())], ["i", "w"])
 
-    parts = keys.select(F.col(name).cast("long")).mapInArrow(words, "i long, w long")
+    parts = keys.select(F.col(name).cast("long")).transform(mapped(words, "i long, w long"))
     merged = parts.groupBy("i").agg(F.bit_or("w").alias("w")).toArrow()
     out = np.zeros(FILTER_BITS // 64, np.int64)
     out[merged["i"].to_numpy()] = merged["w"].to_numpy()
     return out
 
 
+def passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """False only for keys that are certainly not in the filter."""
+    a, b = _slots(keys)
+    return ((bits[a >> 6] >> (a & 63)) & 1).astype(bool) & ((bits[b >> 6] >> (b & 63)) & 1).astype(bool)
+
+
 def maybe_in(spark: SparkSession, bits: np.ndarray):
     """Column function: False only for keys that are certainly not in the filter."""
     shared = spark.sparkContext.broadcast(bits)
@@ -137,10 +187,7 @@ def maybe_in(spark: SparkSession, bits: np.ndarray):
 
         table = shared.value
         for s in batches:
-            ok = s.notna().to_numpy()
-            a, b = _slots(s.fillna(0).to_numpy().astype(np.int64))
-            hit = ((table[a >> 6] >> (a & 63)) & 1).astype(bool) & ((table[b >> 6] >> (b & 63)) & 1).astype(bool)
-            yield pd.Series(hit & ok)
+            yield pd.Series(passes(table, s.fillna(0).to_numpy().astype(np.int64)) & s.notna().to_numpy())
 
     from pyspark.sql.pandas.functions import pandas_udf
 
@@ -157,7 +204,3 @@ def narrowed(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     """Rows of ``df`` whose ``key`` may be in ``keys``: what a following join would drop is mostly gone before its shuffle."""
     bits = key_filter(keys)
     return df.filter(maybe_in(df.sparkSession, bits)(F.col(key)))
-
-
-def unsigned_pmod(col: Column, n: int) -> Column:
-    return F.pmod(col, F.lit(n))

@@ -2,12 +2,17 @@
 
 A word is a maximal run of characters other than space and U+0009..U+000D.
 Those bytes never occur inside a multi-byte UTF-8 character, so everything
-works on bytes. Hashes are polynomial over a random byte table, modulo 2**64,
-then mixed; they depend on content only and are alike on every executor.
+works on bytes. A word's hash mixes its eight-byte pieces, each with its place,
+before they are summed; a run of words is hashed by doubling: the hash of 2k
+words mixes those of its halves. Nothing is linear in the bytes or words, so no
+family of strings collides by construction. Hashes depend on content only and
+are alike on every executor. ``second`` is an independent hash of the same
+words, for 128 bits together.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,8 +23,8 @@ from quillspan.llm.runtime import mix64
 
 _RNG = np.random.Generator(np.random.PCG64(20240607))
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_LOWER = _BYTE.copy()
-_LOWER[65:91] = _BYTE[97:123]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 _R, _Q = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -51,6 +56,11 @@ class Words:
     hash: np.ndarray
     first: np.ndarray
 
+    @property
+    def second(self) -> np.ndarray:
+        """Another hash of each word, of ``data`` as it is (lower case if the words are)."""
+        return byte_hashes(self.data, self.start, self.end, 0x6A09E667F3BCC909)
+
     @property
     def count(self) -> np.ndarray:
         return np.diff(self.first)
@@ -60,16 +70,52 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), self.count)
 
 
-def segment_hashes(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, base: int) -> np.ndarray:
-    """Hash of ``values[lo:hi]`` for each pair, mixed with its length."""
-    pw, inv = powers(base, len(values) + 1)
-    sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * pw[: len(values)], out=sums[1:])
-    return mix64((sums[hi] - sums[lo]) * inv[lo] + (hi - lo).astype(np.uint64) * np.uint64(_Q))
+_MASK = np.array([0, *((1 << 8 * n) - 1 for n in range(1, 9))], np.uint64)
+
+
+def byte_hashes(data: np.ndarray, lo: np.ndarray, hi: np.ndarray, salt: int = 0) -> np.ndarray:
+    """Hash of the bytes ``data[lo:hi]`` for each pair (``lo < hi``)."""
+    if not len(lo):
+        return np.zeros(0, np.uint64)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    word = np.ndarray(len(data) + 1, "<u8", buffer=padded, strides=(1,))
+    size = hi - lo
+    out = word[lo] & _MASK[np.minimum(size, 8)]
+    long = np.flatnonzero(size > 8)
+    if len(long):
+        many = (size[long] + 7) // 8
+        last = np.cumsum(many)
+        place = np.arange(last[-1]) - np.repeat(last - many, many)
+        at = np.minimum(np.repeat(lo[long], many) + 8 * place, np.repeat(hi[long] - 8, many))
+        out[long] = np.add.reduceat(mix64(word[at] ^ mix64(place.astype(np.uint64) * np.uint64(_Q) + np.uint64(salt ^ _R))), last - many)
+    return mix64((out ^ np.uint64(salt)) + size.astype(np.uint64) * np.uint64(_Q))
+
+
+def segment_hashes(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, salt: int) -> np.ndarray:
+    """Hash of the run ``values[lo:hi]`` for each pair (``lo < hi``), from tables of runs of 1, 2, 4, ... values: a run is its first and its last such part, and its length."""
+    out = np.zeros(len(lo), np.uint64)
+    if not len(lo):
+        return out
+    size = hi - lo
+    level = np.frexp(size.astype(np.float64))[1] - 1
+    most, width, table = int(level.max()), 1, values + np.uint64(salt)
+    some = np.bincount(level, minlength=most + 1)
+    for k in range(most + 1):
+        if some[k]:
+            own = slice(None) if some[k] == len(lo) else np.flatnonzero(level == k)
+            s, e, n = lo[own], hi[own], size[own]
+            tail = table[s] if width == 1 or (n == width).all() else table[e - width]
+            out[own] = mix64(table[s] * np.uint64(_R) ^ (tail + n.astype(np.uint64) * np.uint64(_Q)))
+        if k < most:
+            table = mix64(table[:-width] * np.uint64(_R) ^ (table[width:] + np.uint64(_Q)))
+            width *= 2
+    return out
 
 
 def split_words(data: np.ndarray, offsets: np.ndarray, lower: bool = False, between: np.ndarray = _SPACE) -> Words:
-    """Words of the texts ``data[offsets[i]:offsets[i+1]]``. ``between``: for each byte, whether it stands between words."""
+    """Words of the texts ``data[offsets[i]:offsets[i+1]]``, of their ASCII lower case if ``lower``. ``between``: for each byte, whether it stands between words."""
+    if lower:
+        data = _LOWER[data]
     n = len(data)
     word = ~between[data]
     edge = np.zeros(n + 1, bool)
@@ -80,8 +126,7 @@ def split_words(data: np.ndarray, offsets: np.ndarray, lower: bool = False, betw
     after = np.zeros(n, bool)
     after[:-1] = word[1:]
     end = np.flatnonzero(word & (~after | edge[1:])) + 1
-    h = segment_hashes((_LOWER if lower else _BYTE)[data], start, end, _R)
-    return Words(data, offsets, start, end, h, np.searchsorted(start, offsets))
+    return Words(data, offsets, start, end, byte_hashes(data, start, end), np.searchsorted(start, offsets))
 
 
 def texts(array: pa.Array, most_bytes: int = 1_000_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -118,3 +163,12 @@ def distinct_shingles(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     keep = np.ones(len(h), bool)
     keep[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
     return h[keep], text[keep]
+
+
+_WORDS = re.compile(rb"[^\x20\x09-\x0d]+")
+
+
+def word_shingles(text: bytes, size: int) -> set[bytes]:
+    """The distinct shingles themselves, ASCII lower case: what hashes are confirmed by."""
+    w = _WORDS.findall(text.lower())
+    return {b" ".join(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()
