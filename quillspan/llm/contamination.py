@@ -6,90 +6,127 @@ a document if at least ``threshold`` of its shingles occur there.
 
 MinHash of a whole long document says nothing about a short item, so domains
 are partitioned by size: items fall into classes of at most ``Q`` shingles, Q a
-power of two, and for every class a document is a row of segments of ``2 * Q``
+power of two from 8, and for every class a document is a row of segments of ``2 * Q``
 shingles that overlap by ``Q``. A passage of the class lies within one segment,
 where a containment of 0.8 means a Jaccard similarity of at least
 0.8 q / (q + 2 Q - 0.8 q) >= 0.19 (q > Q / 2). With 64 hash functions, each a band of
-its own, a match is missed with a probability under 2e-6. Candidates are
-verified exactly, against all shingles of the whole document.
+its own, a match is missed with a probability under 2e-6. Items of up to four
+shingles are looked up by the shingles themselves, which misses none.
+Candidates are verified on the words, against all shingles of the whole document.
 
-Items are compared in blocks of bounded size, so what is broadcast never grows
-beyond ``BLOCK_SHINGLES``; each block is one pass over the documents.
+A benchmark of at most ``MOST_SHINGLES`` and ``MOST_BYTES`` is broadcast and
+documents are searched where they are read. A larger one is joined: what leaves
+a document is the minima that a key filter of fixed size doesn't rule out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.runtime import ship
-from quillspan.llm.words import distinct_shingles, shingles, split_words, texts
+from quillspan.llm.runtime import key_filter, mapped, mix64, passes, ship, written
+from quillspan.llm.words import distinct_shingles, shingles, split_words, texts, word_shingles
 
 SHINGLE_WORDS, THRESHOLD, HASHES = 5, 0.8, 64
-#: Item shingles in one block (8 bytes each; one longer item is a block of its own).
-BLOCK_SHINGLES = 1_000_000
+#: A benchmark that is broadcast has at most so many shingles (8 bytes each) and bytes of text.
+MOST_SHINGLES, MOST_BYTES = 1_000_000, 32 << 20
 _FACTORS = np.random.Generator(np.random.PCG64(515)).integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_LEAST_CLASS = 8
+_LEAST_CLASS, _TINY = 8, 4
+_FOUND = "doc_id long, item_id long, n_item long, n_shared long, containment double"
+
+
+def classes_of(sizes: np.ndarray) -> np.ndarray:
+    """Class of each item by its number of shingles; 0 for those looked up by shingle."""
+    q = np.maximum(_LEAST_CLASS, 1 << np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64))
+    return np.where(sizes <= _TINY, 0, q)
+
+
+def minima(h: np.ndarray, first: np.ndarray, classes: list[int]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(class, hash function, document, minimum) of every segment; ``h[first[d]:first[d + 1]]`` are the shingles of document d in order."""
+    n = np.diff(first)
+    blocks = -(-n // _LEAST_CLASS)
+    of = np.repeat(np.arange(len(n)), blocks)
+    lead = np.cumsum(blocks) - blocks
+    starts = first[:-1][of] + (np.arange(len(of)) - lead[of]) * _LEAST_CLASS
+    if not len(of):
+        return
+    for i, f in enumerate(_FACTORS):
+        least, doc, width = np.minimum.reduceat(h * f, starts), of, _LEAST_CLASS
+        for q in classes:
+            while width < q:  # halve the blocks of each document
+                edge = np.concatenate([[0], np.flatnonzero(doc[1:] != doc[:-1]) + 1])
+                rank = np.arange(len(doc)) - np.repeat(edge, np.diff(np.append(edge, len(doc))))
+                pair = np.flatnonzero(rank % 2 == 0)
+                least, doc, width = np.minimum.reduceat(least, pair), doc[pair], width * 2
+            two = least.copy()
+            same = doc[1:] == doc[:-1]
+            two[:-1][same] = np.minimum(least[:-1][same], least[1:][same])
+            yield q, i, doc, two
+
+
+class Lookup:
+    """Sorted keys of items, and a table of flags that rules most others out."""
+
+    def __init__(self, keys: np.ndarray, items: np.ndarray):
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.items = keys[order], items[order]
+        self.flags = np.zeros(1 << 16, bool)
+        self.flags[(keys & np.uint64(0xFFFF)).astype(np.int64)] = True
+
+    def pairs(self, doc: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        maybe = np.flatnonzero(self.flags[(keys & np.uint64(0xFFFF)).astype(np.int64)])
+        lo, hi = np.searchsorted(self.keys, keys[maybe]), np.searchsorted(self.keys, keys[maybe], "right")
+        k = hi - lo
+        last = np.cumsum(k)
+        return np.repeat(doc[maybe], k), self.items[np.repeat(lo - (last - k), k) + np.arange(k.sum())]
 
 
 class ItemIndex:
-    """MinHash index of one block of items: shingle sets, and for each hash function the items by minimum."""
+    """Index of a broadcast benchmark: ids, texts and, by class and hash function, the items' minima."""
 
-    def __init__(self, item_ids: list[int], sets: list[np.ndarray]):
-        self.item_ids, self.sets = item_ids, sets
-        self.classes: dict[int, np.ndarray] = {}
-        size = np.maximum(_LEAST_CLASS, 1 << np.ceil(np.log2([len(s) for s in sets])).astype(np.int64)) if sets else np.zeros(0, np.int64)
-        self.flags, self.tables = {}, {}
+    def __init__(self, item_ids: list[int], sets: list[np.ndarray], words: list[bytes]):
+        self.item_ids, self.words = item_ids, words
+        self.exact: dict[int, set[bytes]] = {}
+        size = classes_of(np.array([len(s) for s in sets], np.int64))
+        self.tables: dict[int, list[Lookup]] = {}
         for q in sorted(set(size.tolist())):
             of = np.flatnonzero(size == q)
-            tables, flags = [], np.zeros((HASHES, 1 << 16), bool)
-            for i, f in enumerate(_FACTORS):
-                least = np.array([(sets[k] * f).min() for k in of], np.uint64)
-                order = np.argsort(least)
-                tables.append((least[order], of[order]))
-                flags[i, (least & np.uint64(0xFFFF)).astype(np.int64)] = True
-            self.tables[q], self.flags[q] = tables, flags
+            if q:
+                self.tables[q] = [Lookup(np.array([(sets[k] * f).min() for k in of], np.uint64), of) for f in _FACTORS]
+        tiny = np.flatnonzero(size == 0)
+        self.tiny = Lookup(np.concatenate([sets[k] for k in tiny]), np.repeat(tiny, [len(sets[k]) for k in tiny])) if len(tiny) else None
 
     def search(self, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Candidate (document, item) pairs; ``h[first[d]:first[d + 1]]`` are the shingles of document d in order."""
-        n = np.diff(first)
-        blocks = -(-n // _LEAST_CLASS)
-        of = np.repeat(np.arange(len(n)), blocks)
-        lead = np.cumsum(blocks) - blocks
-        starts = first[:-1][of] + (np.arange(len(of)) - lead[of]) * _LEAST_CLASS
-        found = [np.zeros(0, np.int64)]
-        many = len(self.sets)
-        if not len(of) or not many:
-            return found[0], found[0]
-        for i, f in enumerate(_FACTORS):
-            least, doc, width = np.minimum.reduceat(h * f, starts), of, _LEAST_CLASS
-            for q in self.tables:
-                while width < q:  # halve the blocks of each document
-                    edge = np.concatenate([[0], np.flatnonzero(doc[1:] != doc[:-1]) + 1])
-                    rank = np.arange(len(doc)) - np.repeat(edge, np.diff(np.append(edge, len(doc))))
-                    pair = np.flatnonzero(rank % 2 == 0)
-                    least, doc, width = np.minimum.reduceat(least, pair), doc[pair], width * 2
-                two = least.copy()
-                same = doc[1:] == doc[:-1]
-                two[:-1][same] = np.minimum(least[:-1][same], least[1:][same])
-                maybe = np.flatnonzero(self.flags[q][i][(two & np.uint64(0xFFFF)).astype(np.int64)])
-                if len(maybe):
-                    keys, items = self.tables[q][i]
-                    lo, hi = np.searchsorted(keys, two[maybe]), np.searchsorted(keys, two[maybe], "right")
-                    k = hi - lo
-                    last = np.cumsum(k)
-                    found.append(np.repeat(doc[maybe], k) * many + items[np.repeat(lo - (last - k), k) + np.arange(k.sum())])
+        """Candidate (document, item) pairs."""
+        found, many = [np.zeros(0, np.int64)], max(1, len(self.item_ids))
+        for q, i, doc, two in minima(h, first, list(self.tables)):
+            d, k = self.tables[q][i].pairs(doc, two)
+            found.append(d * many + k)
+        if self.tiny:
+            d, k = self.tiny.pairs(np.repeat(np.arange(len(first) - 1), np.diff(first)), h)
+            found.append(d * many + k)
         pairs = np.unique(np.concatenate(found))
         return pairs // many, pairs % many
 
+    def shingles_of(self, k: int) -> set[bytes]:
+        if k not in self.exact:
+            self.exact[k] = word_shingles(self.words[k], SHINGLE_WORDS)
+        return self.exact[k]
+
+
+def _shingles(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Slices of texts with their bytes, and their shingles in order with the first one of each text."""
+    for lo, hi, data, offsets in texts(column):
+        h, of = shingles(split_words(data, offsets, lower=True), SHINGLE_WORDS)
+        yield lo, hi, data, offsets, h, np.searchsorted(of, np.arange(hi - lo + 1))
+
 
 def item_sets(items: DataFrame, item_id: str = "item_id") -> DataFrame:
-    """Distinct shingles of each item as little-endian bytes, with their number; items without words have none and are left out."""
+    """Distinct shingles of each item as little-endian bytes, with their number and the text; items without words or without an id are left out."""
     ship(items.sparkSession)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,10 +134,98 @@ def item_sets(items: DataFrame, item_id: str = "item_id") -> DataFrame:
             for lo, hi, data, offsets in texts(b.column(1)):
                 h, of = distinct_shingles(split_words(data, offsets, lower=True), SHINGLE_WORDS)
                 cut = np.searchsorted(of, np.arange(hi - lo + 1))
-                yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], pa.array(np.diff(cut), pa.int64()), pa.array([h[s:e].tobytes() for s, e in zip(cut, cut[1:])], pa.binary())], ["item_id", "n", "set"])
+                yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], pa.array(np.diff(cut), pa.int64()), pa.array([h[s:e].tobytes() for s, e in zip(cut, cut[1:])], pa.binary()), b.column(1)[lo:hi]], ["item_id", "n", "set", "text"])
 
     rows = items.select(F.col(item_id).cast("long").alias("item_id"), "text").where(F.col(item_id).isNotNull())
-    return rows.mapInArrow(sets, "item_id long, n long, set binary").where("n > 0")
+    return rows.transform(mapped(sets, "item_id long, n long, set binary, text string")).where("n > 0")
+
+
+def _index(sets: DataFrame) -> ItemIndex | None:
+    """The index of a benchmark that is small enough to broadcast."""
+    n, size = sets.agg(F.sum("n"), F.sum(F.octet_length("text"))).first()
+    if (n or 0) > MOST_SHINGLES or (size or 0) > MOST_BYTES:
+        return None
+    got = sets.select("item_id", "set", "text").toArrow()
+    order = sorted(range(len(got)), key=lambda k: (got["item_id"][k].as_py(), got["set"][k].as_py()))
+    pick = lambda c: [got[c][k].as_py() for k in order]
+    return ItemIndex(pick("item_id"), [np.frombuffer(x, np.uint64) for x in pick("set")], [t.encode() for t in pick("text")])
+
+
+def _hits(index: ItemIndex, column: pa.Array, threshold: float) -> Iterator[tuple[int, int, int, int]]:
+    """(row, item, shingles of the item, shared ones) found in a batch of texts."""
+    for lo, hi, data, offsets, h, first in _shingles(column):
+        docs, found = index.search(h, first)
+        at, own = -1, set()
+        for d, k in zip(docs.tolist(), found.tolist()):
+            if d != at:
+                at, own = d, word_shingles(data[offsets[d] : offsets[d + 1]].tobytes(), SHINGLE_WORDS)
+            want = index.shingles_of(k)
+            shared = len(want & own)
+            if shared >= threshold * len(want):
+                yield lo + d, k, len(want), shared
+
+
+def _row(docs: DataFrame) -> Column:
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("doc_id").isNull(), F.coalesce("text", F.lit("")))
+
+
+def _item_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(item, set) -> the keys by which documents may find it."""
+    for b in batches:
+        for item, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            own = np.frombuffer(raw, np.uint64)
+            q = int(classes_of(np.array([len(own)]))[0])
+            keys = mix64(np.array([(own * f).min() for f in _FACTORS]) ^ mix64(np.arange(HASHES, dtype=np.uint64) + np.uint64(q * HASHES))) if q else mix64(own)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array([item] * len(keys), pa.int64()), pa.array([q] * len(keys), pa.int64())], ["key", "item", "q"])
+
+
+def _doc_keys(bits, classes: list[int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row = b.column(0).to_numpy(zero_copy_only=False)
+            for lo, hi, data, offsets, h, first in _shingles(b.column(1)):
+                every = [(np.repeat(np.arange(hi - lo), np.diff(first)), mix64(h))] if 0 in classes else []
+                every += [(doc, mix64(two ^ mix64(np.uint64([q * HASHES + i])))) for q, i, doc, two in minima(h, first, [q for q in classes if q])]
+                for doc, key in every:
+                    key = key.view(np.int64)
+                    hit = np.flatnonzero(passes(bits.value, key))
+                    if len(hit):
+                        doc, key = doc[hit], key[hit]
+                        keep = np.unique(np.stack([doc, key]), axis=1)
+                        yield pa.RecordBatch.from_arrays([pa.array(row[lo:hi][keep[0]]), pa.array(keep[1])], ["row", "key"])
+
+    return run
+
+
+def _verified(threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row, doc, text, items in zip(*(b.column(c).to_pylist() for c in range(4))):
+                own, out = word_shingles((text or "").encode(), SHINGLE_WORDS), []
+                for i in items:
+                    want = word_shingles(i["text"].encode(), SHINGLE_WORDS)
+                    shared = len(want & own)
+                    if shared >= threshold * len(want):
+                        out.append((row, doc, i["item_id"], len(want), shared, shared / len(want)))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.int64()] * 5 + [pa.float64()])], ["row", "doc_id", "item_id", "n_item", "n_shared", "containment"])
+
+    return run
+
+
+def _joined(docs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Found pairs, with a hash of the document's row, by joins on MinHash keys: for a benchmark of any size."""
+    spark = docs.sparkSession
+    items = written(sets.withColumn("item", F.monotonically_increasing_id()), "items")
+    keys = written(items.select("item", "set").transform(mapped(_item_keys, "key long, item long, q long")), "item-keys")
+    classes = sorted(r[0] for r in keys.select("q").distinct().collect())  # powers of two
+    bits = spark.sparkContext.broadcast(key_filter(keys.select("key")))
+    rows = docs.select(_row(docs).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    offers = rows.select("row", "text").transform(mapped(_doc_keys(bits, classes), "row long, key long"))
+    pairs = offers.join(keys, "key").select("row", "item").distinct()
+    wanted = pairs.join(items, "item").groupBy("row").agg(F.collect_list(F.struct("item_id", "text")).alias("items"))
+    out = "row long, doc_id long, item_id long, n_item long, n_shared long, containment double"
+    return rows.join(wanted, "row").select("row", "doc_id", "text", "items").transform(mapped(_verified(threshold), out))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -108,55 +233,50 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
 
     Null or blank texts, of either side, match nothing; an item of fewer than
     five words matches only a text that is the same words and no more; repeated
-    items and repeated documents give a row each; empty tables give none. Only
-    doc_id and text of ``docs`` are read. Sorting items by id makes blocks
-    alike in every run.
+    items and repeated documents give a row each, a null doc_id too; empty
+    tables give none. Texts of any length are read whole. Only doc_id and text
+    of ``docs`` are read.
     """
-    spark = docs.sparkSession
-    sets = item_sets(items).withColumn("block", F.floor((F.sum("n").over(Window.orderBy("item_id", "n", "set")) - 1) / BLOCK_SHINGLES))
-    sets = sets.persist()
-    blocks = [r[0] for r in sets.select("block").distinct().orderBy("block").collect()]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    schema = "doc_id long, item_id long, n_item long, n_shared long, containment double"
-    parts = []
-    for block in blocks:
-        got = sets.where(F.col("block") == block).orderBy("item_id").select("item_id", "set").toArrow()
-        index = spark.sparkContext.broadcast(ItemIndex(got["item_id"].to_pylist(), [np.frombuffer(x, np.uint64) for x in got["set"].to_pylist()]))
-        parts.append(rows.mapInArrow(_search(index, threshold), schema))
-    sets.unpersist()
-    return reduce(DataFrame.unionAll, parts) if parts else spark.createDataFrame([], schema)
-
-
-def _search(index, threshold: float):
+    sets = written(item_sets(items), "sets")
+    index = _index(sets)
+    if index is None:
+        return _joined(docs, sets, threshold).drop("row")
+    shared = docs.sparkSession.sparkContext.broadcast(index)
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items: ItemIndex = index.value
         for b in batches:
-            out: list[list] = [[], [], [], []]
-            for lo, hi, data, offsets in texts(b.column(1)):
-                w = split_words(data, offsets, lower=True)
-                h, of = shingles(w, SHINGLE_WORDS)
-                first = np.searchsorted(of, np.arange(hi - lo + 1))
-                docs, found = items.search(h, first)
-                at, own = -1, h[:0]
-                for d, k in zip(docs.tolist(), found.tolist()):
-                    if d != at:
-                        at, own = d, np.sort(h[first[d] : first[d + 1]])
-                    want = items.sets[k]
-                    shared = int((own[np.minimum(np.searchsorted(own, want), len(own) - 1)] == want).sum())
-                    if shared >= threshold * len(want):
-                        for column, v in zip(out, (b.column(0)[lo + d].as_py(), items.item_ids[k], len(want), shared)):
-                            column.append(v)
-            if out[0]:
-                cols = [pa.array(c, pa.int64()) for c in out]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(np.array(out[3]) / np.array(out[2]), pa.float64())], ["doc_id", "item_id", "n_item", "n_shared", "containment"])
+            out = [(b.column(0)[r].as_py(), shared.value.item_ids[k], n, m) for r, k, n, m in _hits(shared.value, b.column(1), threshold)]
+            if out:
+                cols = [pa.array(c, pa.int64()) for c in zip(*out)]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array([m / n for _, _, n, m in out], pa.float64())], ["doc_id", "item_id", "n_item", "n_shared", "containment"])
 
-    return search
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(mapped(search, _FOUND))
 
 
 def clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the documents in which some item was found. Documents with a null doc_id match nothing and stay."""
-    hit = contaminated(docs, items, threshold).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, F.col("doc_id") == F.col("_hit"), "left_anti")
+    """``docs`` without the rows in whose text some item was found, all columns as they are.
+
+    Decided row by row: rows that share a doc_id, or have a null one, stay or go
+    by their own texts; repeated rows go together. Null and blank texts stay.
+    An empty table on either side leaves ``docs`` as it is.
+    """
+    sets = written(item_sets(items), "sets")
+    index = _index(sets)
+    if index is None:
+        hit = _joined(docs, sets, threshold).select("row").distinct()
+        key = "_row"
+        while key in docs.columns:
+            key += "_"
+        return docs.withColumn(key, _row(docs)).join(hit.withColumnRenamed("row", key), key, "left_anti").select(*docs.columns)
+    shared = docs.sparkSession.sparkContext.broadcast(index)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fine = np.ones(len(b), bool)
+            fine[[r for r, *_ in _hits(shared.value, b.column(b.schema.get_field_index("text")), threshold)]] = False
+            yield b.filter(pa.array(fine))
+
+    return docs.transform(mapped(keep, docs.schema))
 
 
 ORACLE = r"""
