@@ -10,15 +10,17 @@ corpus as the sample space,
 
 where W counts all words, f(t) the occurrences of t, f(c) the words within
 ``REACH`` code points of occurrences of c, and f(c, t) those of them that are t.
-The disclosure PMI / IC is 1 where t stands beside c only and falls to 0 where
-t says nothing of it. Terms at or above ``REMOVE`` are removed from all texts,
-those at or above ``GENERALISE`` become a general word; for an entity seen a few
-times in 100 million words that means a probability of about 0.4 that it is
-near. A pair needs ``SUPPORT``
-different contexts: one context, however often copied, is no evidence.
-
-Only contexts and counts are shuffled, never texts; all counts are partially
-aggregated where they are read.
+IC(c) - PMI(c; t) is what remains unknown of c once t is seen: -ln f(c, t) / f(t),
+whatever the size of the corpus, so only f(c, t) and f(t) need counting. The
+share f(c, t) / f(t) is smoothed by the number k of different contexts, times
+k / (k + 1): one context, however often copied, is no evidence. Terms whose
+disclosure, this smoothed probability, is over ``REMOVE`` are removed from all
+texts, those over ``GENERALISE`` (under one bit remains) become a general word.
+
+Only contexts, counts and hits are shuffled, never texts, as long as hits are few
+enough to broadcast; all counts are partially aggregated where they are read.
+Spans depend on the text alone, so hits are keyed by 128 bits of its hash: rows
+that share a doc_id keep their own.
 """
 
 from __future__ import annotations
@@ -28,12 +30,12 @@ from pyspark.sql import functions as F
 
 from quillspan.llm.runtime import written
 
-REACH, SUPPORT, GENERALISE, REMOVE = 80, 3, 0.95, 0.98
-#: Revealing terms that are broadcast at most (under 300 bytes each); beyond it the join is dealt by term.
+REACH, GENERALISE, REMOVE = 80, 0.5, 0.8
+#: Candidate or revealing terms that are broadcast at most (under 300 bytes each); beyond it the join is dealt by term.
 BROADCAST_TERMS = 50_000
-#: Occurrences of such terms that are broadcast at most (as much each); beyond it documents and hits are dealt by doc_id.
+#: Occurrences of such terms that are broadcast at most (as much each); beyond it texts and hits are dealt by the text's hash.
 BROADCAST_HITS = 100_000
-#: Longest word that counts as a term, in code points.
+#: A longer word counts as its MD5, so that what is broadcast stays bounded.
 LONGEST_TERM = 64
 KINDS = ("email", "ip", "card", "phone")
 # Fixed patterns, possessive where that changes no match. A run is entered at its start or where the last match ended, so no run is read twice.
@@ -48,7 +50,6 @@ _WORD = r"[^\x20\x09-\x0D]+"
 _INNER_WORD = r"(?<=[\x20\x09-\x0D])[^\x20\x09-\x0D]+(?=[\x20\x09-\x0D])"
 _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-_LOWEST = -(1 << 63)
 _SPAN = "array<struct<kind:string,start:long,end:long,value:string>>"
 
 
@@ -143,7 +144,9 @@ def span_text(spans: Column) -> Column:
 
 
 def term_of(word: Column) -> Column:
-    return F.btrim(F.lower(word), F.lit(_MARKS))
+    """Lower case without marks at its ends; a word over ``LONGEST_TERM`` code points by its MD5."""
+    term = F.btrim(F.lower(word), F.lit(_MARKS))
+    return F.when(F.length(word) <= LONGEST_TERM, term).otherwise(F.when(F.length(term) <= LONGEST_TERM, term).otherwise(F.concat(F.lit("md5 "), F.md5(term))))
 
 
 def _contexts() -> Column:
@@ -155,58 +158,62 @@ def _contexts() -> Column:
         cut = F.substring("text", (s["end"] + 1).cast("int"), F.lit(REACH + 1))
         right = F.concat(cut, F.when(F.length(cut) <= REACH, " ").otherwise(""))
         words = F.concat(F.regexp_extract_all(left, F.lit(_INNER_WORD), F.lit(0)), F.regexp_extract_all(right, F.lit(_INNER_WORD), F.lit(0)))
-        terms = F.filter(F.transform(words, term_of), lambda t: F.length(t).between(2, LONGEST_TERM) & ~t.contains("@") & ~t.rlike("^[0-9+().-]*$"))
+        terms = F.filter(F.transform(words, term_of), lambda t: (F.length(t) > 1) & ~t.contains("@") & ~t.rlike("^[0-9+().-]*$"))
         value = F.when(s["kind"].isin("card", "phone"), _digits(s["value"])).otherwise(F.lower(s["value"]))
         return F.struct(F.concat_ws(":", s["kind"], value).alias("entity"), F.xxhash64(left, right).alias("context"), terms.alias("terms"))
 
     return F.transform("_base", around)
 
 
-def revealing_terms(contexts: DataFrame, docs: DataFrame) -> DataFrame | None:
-    """Terms over a threshold (term, disclosure) from contexts (entity, context, terms) and the whole corpus; None where no pair has the support."""
+def _few(df: DataFrame, most: int) -> bool:
+    return df.limit(most + 1).count() <= most
+
+
+def revealing_terms(contexts: DataFrame, rows: DataFrame) -> DataFrame | None:
+    """Terms over a threshold (term, disclosure) from contexts (entity, context, terms) and the texts of the whole corpus; None where no pair has two contexts."""
     pairs = contexts.select("entity", "context", F.explode("terms").alias("term")).groupBy("entity", "term", "context").agg(F.count("*").alias("n"))
-    pairs = written(pairs.groupBy("entity", "term").agg(F.sum("n").alias("joint"), F.count("*").alias("contexts")).where(F.col("contexts") >= SUPPORT), "pairs")
+    pairs = written(pairs.groupBy("entity", "term").agg(F.sum("n").alias("joint"), F.count("*").alias("contexts")).where("contexts > 1"), "pairs")
     if pairs.isEmpty():
         return None
-    words = docs.select(F.explode(F.regexp_extract_all("text", F.lit(_WORD), F.lit(0))).alias("word"))
-    counts = written(words.select(term_of(F.col("word")).alias("term")).groupBy("term").agg(F.count("*").alias("n_term")), "terms")
-    total = counts.agg(F.sum("n_term").alias("total"))
-    entities = contexts.groupBy("entity").agg(F.sum(F.size("terms")).alias("n_entity"))
-    all_counts = pairs.join(counts, "term").join(entities, "entity").crossJoin(F.broadcast(total))  # one row
-    w, c, t = (F.col(x).cast("double") for x in ("total", "n_entity", "n_term"))
-    joint = F.least(F.col("joint").cast("double"), t, c)
-    disclosure = F.log(joint * w / (c * t)) / F.nullif(-F.log(c / w), F.lit(0.0))
-    return written(all_counts.select("term", disclosure.alias("disclosure")).where(F.col("disclosure") >= GENERALISE).groupBy("term").agg(F.max("disclosure").alias("disclosure")), "revealing")
+    candidates = written(pairs.select("term").distinct(), "candidates")
+    words = rows.select(F.explode(F.regexp_extract_all("text", F.lit(_WORD), F.lit(0))).alias("word")).select(term_of(F.col("word")).alias("term"))
+    if _few(candidates, BROADCAST_TERMS):
+        words = words.join(F.broadcast(candidates), "term")
+    counts = words.groupBy("term").agg(F.count("*").alias("n_term"))
+    joint, n, k = (F.col(x).cast("double") for x in ("joint", "n_term", "contexts"))
+    disclosure = (F.least(joint, n) / n * k / (k + 1)).alias("disclosure")
+    return written(pairs.join(counts, "term").select("term", disclosure).where(F.col("disclosure") > GENERALISE).groupBy("term").agg(F.max("disclosure").alias("disclosure")), "revealing")
 
 
-def _few(df: DataFrame, most: int) -> bool:
-    return df.limit(most + 1).count() <= most
+_KEY = ["key", "key2"]
 
 
-def term_spans(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """Occurrences of ``terms`` per document: doc_id, found array<struct<start, end, remove>>.
+def _keyed(rows: DataFrame) -> DataFrame:
+    """``rows`` with 128 bits of hashes of their text."""
+    return rows.withColumns({"key": F.xxhash64("text"), "key2": F.xxhash64(F.lit(1), "text")})
 
-    Words meet the terms where they are read; only documents with a hit are
-    read again for the places of the words.
-    """
+
+def term_hits(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """Occurrences of ``terms`` per distinct text (key, key2): hits array<struct<i, term, remove>>, i the number of the word. Words meet the terms where they are read. Marked for broadcast where they are few."""
     words = F.regexp_extract_all("text", F.lit(_WORD), F.lit(0))
-    every = docs.select("doc_id", F.posexplode(words).alias("i", "w")).select("doc_id", "i", term_of(F.col("w")).alias("term"))
+    every = rows.select(*_KEY, F.posexplode(words).alias("i", "w")).select(*_KEY, "i", term_of(F.col("w")).alias("term"))
     hit = every.join(F.broadcast(terms) if _few(terms, BROADCAST_TERMS) else terms, "term")
-    hits = written(hit.groupBy("doc_id").agg(F.collect_set(F.struct("i", "term", (F.col("disclosure") >= REMOVE).alias("remove"))).alias("hits")), "hits")
-    held = docs.select("doc_id", "text").join(F.broadcast(hits) if _few(hits.select(F.explode("hits")), BROADCAST_HITS) else hits, "doc_id")
-    held = held.withColumn("w", words).withColumn("g", F.split("text", _WORD, -1)).withColumn("s", prefix_sums(_steps("g", "w")))
-    lead = lambda w: F.length(w) - F.length(F.ltrim(w, F.lit(_MARKS)))
+    hits = written(hit.groupBy(*_KEY).agg(F.collect_set(F.struct("i", "term", (F.col("disclosure") > REMOVE).alias("remove"))).alias("hits")), "hits")
+    return F.broadcast(hits) if _few(hits.select(F.explode("hits")), BROADCAST_HITS) else hits
 
-    def spans(x: Column) -> Column:
-        own = F.filter(F.transform("hits", lambda h: F.struct(F.get(x["w"], h["i"]).alias("w"), F.get(x["s"], h["i"]).alias("s"), h["term"].alias("term"), h["remove"].alias("remove"))), lambda h: term_of(h["w"]) == h["term"])
-        return F.transform(own, lambda h: F.struct((h["s"] + lead(h["w"])).alias("start"), (h["s"] + lead(h["w"]) + F.length(F.btrim(h["w"], F.lit(_MARKS)))).alias("end"), h["remove"].alias("remove")))
 
-    found = bound(F.struct("w", "s"), spans)
-    return held.select("doc_id", found.alias("found")).groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))).alias("found"))
+def with_found(rows: DataFrame) -> DataFrame:
+    """``rows`` (text, hits) with ``found``: places of the hits, array<struct<start, end, remove>>; null hits give null."""
+    lead = lambda w: F.length(w) - F.length(F.ltrim(w, F.lit(_MARKS)))
 
+    def spans(x: Column) -> Column:
+        own = F.transform("hits", lambda h: F.struct(F.get(x["w"], h["i"]).alias("w"), F.get(x["s"], h["i"]).alias("s"), h["remove"].alias("remove")))
+        return F.array_sort(F.transform(own, lambda h: F.struct((h["s"] + lead(h["w"])).alias("start"), (h["s"] + lead(h["w"]) + F.length(F.btrim(h["w"], F.lit(_MARKS)))).alias("end"), h["remove"].alias("remove"))))
 
-def _prepared(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    some = F.col("hits").isNotNull()
+    out = rows.withColumn("w", F.when(some, F.regexp_extract_all("text", F.lit(_WORD), F.lit(0)))).withColumn("g", F.when(some, F.split("text", _WORD, -1)))
+    out = out.withColumn("s", F.when(some, prefix_sums(_steps("g", "w"))))
+    return out.withColumn("found", F.when(some, bound(F.struct("w", "s"), spans))).drop("w", "g", "s", "hits")
 
 
 def _free(found: Column, base: Column) -> Column:
@@ -219,45 +226,49 @@ def detected(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_terms.
 
     Null texts count as empty; a null doc_id stays null. Rows that share a
-    doc_id share the spans of revealing terms. Texts are read whole; other
-    columns are not read; an empty table gives an empty result.
+    doc_id each have the spans of their own text; repeated rows have equal
+    ones. A text of any length is read whole; other columns are not read; an
+    empty table gives an empty result.
     """
-    rows = _prepared(docs)
-    base = written(with_base_spans(rows).select("doc_id", F.transform("_base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("_base"), _contexts().alias("contexts")), "base")
+    rows = _keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")))
+    spans_only = F.transform("_base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    base = written(with_base_spans(rows).select("doc_id", *_KEY, spans_only.alias("_base"), _contexts().alias("contexts")), "base", wide=True)
     terms = revealing_terms(base.select(F.explode("contexts").alias("c")).select("c.*"), rows)
+    out = base.drop("contexts")
     if terms is None or terms.isEmpty():
-        out = base.withColumn("found", F.lit(None).cast("array<struct<start:long,end:long,remove:boolean>>"))
+        out = out.withColumn("found", F.lit(None).cast("array<struct<start:long,end:long,remove:boolean>>"))
     else:
-        out = base.join(term_spans(rows, terms), "doc_id", "left")
+        found = with_found(rows.select("text", *_KEY).join(term_hits(rows, terms), _KEY)).groupBy(*_KEY).agg(F.first("found").alias("found"))
+        out = out.join(found, _KEY, "left")
     out = out.withColumn("found", _free(F.col("found"), F.col("_base")))
     counts = [F.size(_of_kind(k)).cast("long").alias(f"n_{k}") for k in KINDS]
     text = span_text(F.col("_base"))
     more = F.array_join(F.transform("found", lambda t: F.concat_ws(":", F.lit("term"), t["start"].cast("string"), t["end"].cast("string"))), ",")
     spans = F.when(F.size("found") == 0, text).when(F.size("_base") == 0, more).otherwise(F.concat_ws(",", text, more))
-    shown = F.when(F.col("doc_id") != _LOWEST, F.col("doc_id")).alias("doc_id")
-    return out.select(shown, *counts, F.sha2(text, 256).alias("base_sha256"), spans.alias("spans"), F.size("found").cast("long").alias("n_terms"))
+    return out.select("doc_id", *counts, F.sha2(text, 256).alias("base_sha256"), spans.alias("spans"), F.size("found").cast("long").alias("n_terms"))
 
 
 def sanitised(docs: DataFrame) -> DataFrame:
-    """``docs`` with personal data in ``text`` replaced by the kind in brackets, revealing terms removed or generalised; all other columns as they are.
+    """``docs`` with personal data in ``text`` replaced by the kind in brackets, revealing terms removed or generalised; all other columns as they are, whatever their names.
 
     Null texts stay null. Where spans overlap, the first one counts and the
-    next starts where it ended.
+    next starts where it ended. Each row is changed by the spans of its own
+    text, repeated rows alike, with or without a doc_id; a text of any length is
+    read whole; an empty table stays empty.
     """
-    rows = _prepared(docs)
-    contexts = written(with_base_spans(rows).where(F.size("_base") > 0).select(_contexts().alias("contexts")).select(F.explode("contexts").alias("c")).select("c.*"), "contexts")
+    rows = _keyed(docs.select(F.coalesce("text", F.lit("")).alias("text")))
+    contexts = written(with_base_spans(rows).where(F.size("_base") > 0).select(_contexts().alias("contexts")).select(F.explode("contexts").alias("c")).select("c.*"), "contexts", heavy=True)
     terms = revealing_terms(contexts, rows)
-    names = docs.columns
-    out = docs.withColumn("_null", F.col("text").isNull()).withColumn("text", F.coalesce("text", F.lit("")))
+    named = [F.col(f"`{c}`") for c in docs.columns]
+    out = _keyed(docs.select(F.struct(*named).alias("row"), F.coalesce("text", F.lit("")).alias("text")))
     if terms is None or terms.isEmpty():
-        out = out.withColumn("_found", F.array().cast("array<struct<start:long,end:long,remove:boolean>>"))
+        out = out.withColumn("found", F.array().cast("array<struct<start:long,end:long,remove:boolean>>"))
     else:
-        found = term_spans(rows, terms).select(F.col("doc_id").alias("_doc"), F.col("found").alias("_found"))
-        out = out.join(found, F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST)) == F.col("_doc"), "left").drop("_doc")
-    out = with_base_spans(out)
+        out = with_found(out.join(term_hits(rows, terms), _KEY, "left"))
+    out = with_base_spans(out.drop(*_KEY))
     base = F.transform("_base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("put")))
-    more = F.transform(_free(F.col("_found"), F.col("_base")), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.when(t["remove"], "").otherwise("[TERM]").alias("put")))
-    out = out.withColumn("_all", F.array_sort(F.concat(base, more)))
+    more = F.transform(_free(F.col("found"), F.col("_base")), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.when(t["remove"], "").otherwise("[TERM]").alias("put")))
+    out = out.withColumn("all", F.array_sort(F.concat(base, more)))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
 
     def put(a: Column, s: Column) -> Column:
@@ -265,5 +276,6 @@ def sanitised(docs: DataFrame) -> DataFrame:
         return F.when(s["end"] <= a["at"], a).otherwise(F.struct(s["end"].alias("at"), F.concat(a["out"], F.array(gap, s["put"])).alias("out")))
 
     rest = lambda a: F.concat(F.array_join(a["out"], ""), F.substring("text", (a["at"] + 1).cast("int"), F.length("text")))
-    clean = F.when(F.size("_all") == 0, F.col("text")).otherwise(F.aggregate("_all", start, put, rest))
-    return out.withColumn("text", F.when(~F.col("_null"), clean)).select(*names)
+    clean = F.when(F.size("all") == 0, F.col("text")).otherwise(F.aggregate("all", start, put, rest))
+    own = lambda c: F.col("row").getField(c)
+    return out.select(*(F.when(own(c).isNotNull(), clean).alias(c) if c == "text" else own(c).alias(c) for c in docs.columns))
