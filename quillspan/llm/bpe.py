@@ -4,18 +4,20 @@ The pre-tokenizer of the vocabulary always cuts between a letter and a mark, or
 before a single space between visible characters, so a text falls into pieces
 there. Equal pieces have equal ids wherever they stand: each distinct piece
 goes through the tokenizers library once, and ids are gathered from a bounded
-cache.
+cache. The vocabulary's special tokens are found in texts as the library finds
+them: each occurrence is a piece, and what stands beside it is cut there.
 """
 
 from __future__ import annotations
 
 import json
+import re
 
 import numpy as np
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import CharDelimiterSplit
 
-from quillspan.llm.words import _BYTE, _R, segment_hashes
+from quillspan.llm.words import byte_hashes
 
 #: Pieces kept per process; beyond it the cache starts anew.
 CACHE_CHUNKS = 500_000
@@ -44,8 +46,8 @@ def _classes(data: np.ndarray) -> np.ndarray:
     return kind
 
 
-def _edges(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> np.ndarray:
-    """Starts of pieces: text starts, changes of class, a single space or line break between visible characters."""
+def _edges(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray, spots: list[tuple[int, int]]) -> np.ndarray:
+    """Starts of pieces: text starts, changes of class, a single space or line break between visible characters; both ends of special tokens (``spots``)."""
     n = len(data)
     if not n:
         return np.zeros(0, np.int64)
@@ -57,6 +59,9 @@ def _edges(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> np.ndarra
     at = at[seen[at - 1] & seen[at + 1]]
     edge[at] = True
     edge[at[kind[at] == 5] + 1] = True
+    for s, e in spots:
+        edge[s + 1 : e] = False
+        edge[s] = edge[e] = True
     edge[offsets] = True
     edge[n] = False
     return np.flatnonzero(edge)
@@ -65,7 +70,13 @@ def _edges(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> np.ndarra
 class ChunkEncoder:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        if any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added):
+            raise ValueError("special tokens that depend on what stands beside them aren't supported")
+        names = sorted((t.content.encode() for t in added), key=len, reverse=True)
+        self.special = re.compile(b"|".join(map(re.escape, names))) if names else None
+        one = [np.frombuffer(x, np.uint8) for x in names]
+        self.special_hashes = np.array([byte_hashes(x, np.array([0]), np.array([len(x)]))[0] for x in one], np.uint64)
         vocab = self.tokenizer.get_vocab()
         self.bytes_of = np.zeros(max(vocab.values()) + 1, np.int64)
         for token, i in vocab.items():
@@ -93,7 +104,7 @@ class ChunkEncoder:
         last = np.cumsum(size)
         flat = kind[np.repeat(known - (last - size), size) + np.arange(last[-1])]
         least, most = np.minimum.reduceat(flat, last - size), np.maximum.reduceat(flat, last - size)
-        whole = (body < end) & (least > 0) & (most < 5) & ((least == most) | (least == 3) & (most == 4))
+        whole = ~np.isin(hashes, self.special_hashes) & (body < end) & (least > 0) & (most < 5) & ((least == most) | (least == 3) & (most == 4))
         order = np.argsort(~whole, kind="stable")
         hashes, start, end, cut = hashes[order], start[order], end[order], int(whole.sum())
         ids, counts = [], []
@@ -122,14 +133,28 @@ class ChunkEncoder:
         to = np.searchsorted(self.hash, hashes[order])
         self.hash, self.at, self.n = (np.insert(old, to, new[order]) for old, new in ((self.hash, hashes), (self.at, new_at), (self.n, new_n)))
 
+    def _spots(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int]]:
+        """Special tokens within one text each, from left to right."""
+        out: list[tuple[int, int]] = []
+        if self.special is None:
+            return out
+        raw, at = data.tobytes(), 0
+        while found := self.special.search(raw, at):
+            s, e = found.span()
+            whole = e <= offsets[np.searchsorted(offsets, s, "right")]
+            if whole:
+                out.append((s, e))
+            at = e if whole else s + 1
+        return out
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and the number of ids of each."""
         kind = _classes(data)
-        start = _edges(data, offsets, kind)
+        start = _edges(data, offsets, kind, self._spots(data, offsets))
         if not len(start):
             return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
         end = np.append(start[1:], len(data))
-        hashes, first, which = np.unique(segment_hashes(_BYTE[data], start, end, _R), return_index=True, return_inverse=True)
+        hashes, first, which = np.unique(byte_hashes(data, start, end), return_index=True, return_inverse=True)
         if len(self.hash) > CACHE_CHUNKS:
             self._reset()
         at = np.searchsorted(self.hash, hashes)

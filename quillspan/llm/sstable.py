@@ -36,15 +36,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspan.llm.bpe import encoder
-from quillspan.llm.runtime import mix64, new_path, ship
+from quillspan.llm.runtime import mapped, mix64, new_path, ship
 from quillspan.llm.words import texts
 
 MAGIC = 0x51535354
 FOOTER = struct.Struct("<QQQQQQII")
 BLOCK_BYTES = 64 << 10
-#: Bytes of input a shard takes, so that the number of shards follows the input. A reader holds one shard: this suits executors of 3 GB, larger ones take larger shards.
-SHARD_INPUT_BYTES = 8 << 20
+#: Bytes of text a shard takes. A reader holds one shard: this suits executors of 3 GB, larger ones take larger shards.
+SHARD_TEXT_BYTES = 24 << 20
 BITS_PER_KEY, PROBES = 10, 4
+#: Files whose totals are added up in one task.
+FILES = 1000
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -76,8 +78,9 @@ def _read_varint(b: bytes, at: int) -> tuple[int, int]:
 
 
 def _probes(keys: list[bytes], bits: int) -> np.ndarray:
-    h = mix64(np.array([zlib.crc32(k) << 32 | zlib.crc32(k, 0x9E37) for k in keys], np.uint64))
-    step = (h >> np.uint64(33)) | np.uint64(1)
+    raw = np.frombuffer(b"".join(keys), np.uint8).reshape(-1, 9)
+    h = mix64(raw[:, 1:].copy().view(">u8")[:, 0].astype(np.uint64) + raw[:, 0] * np.uint64(0x9E3779B97F4A7C15))
+    step = mix64(h ^ np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
     return (h[:, None] + step[:, None] * np.arange(PROBES, dtype=np.uint64)) % np.uint64(bits)
 
 
@@ -179,17 +182,15 @@ class Table:
         return None
 
 
-def size_of_input(df: DataFrame) -> int:
-    """The optimizer's estimate of the bytes behind a plan."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-
-
-def write_tables(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, shard_bytes: int = SHARD_INPUT_BYTES) -> None:
+def write_tables(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, shard_bytes: int = SHARD_TEXT_BYTES) -> None:
     """Encode ``docs`` (doc_id, text) and write the shards under ``path``.
 
-    Null texts count as empty; every document ends with ``end_id``. Rows with
-    the same identifier all stay, in the order of a hash of their texts. An
-    empty table gives no file with documents. Other columns are not read.
+    The number of shards follows the bytes of all texts. Null texts count as
+    empty; every document ends with ``end_id``; special tokens in a text are
+    those tokens. Texts of any length are read whole: one longer than a shard
+    makes that shard longer. Rows with the same identifier all stay, in the
+    order of a hash of their texts. An empty table gives no file with documents.
+    Other columns are not read.
     """
     ship(docs.sparkSession)
 
@@ -217,11 +218,10 @@ def write_tables(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, s
         if out.docs:
             yield batch([*held, *out.finish()])
 
-    size = size_of_input(docs.select("doc_id", "text"))
-    parts = [max(1, -(-size // shard_bytes))] if size < 1 << 60 else []  # no estimate: as many as a shuffle has
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     order = ["doc_id", F.xxhash64("text")]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(*parts, *order).sortWithinPartitions(*order)
-    rows.mapInArrow(write, "section binary").select(F.col("section").cast("string")).write.text(path)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(max(1, -(-size // shard_bytes)), *order).sortWithinPartitions(*order)
+    rows.transform(mapped(write, "section binary")).select(F.col("section").cast("string")).write.text(path)
 
 
 def read_tables(spark: SparkSession, path: str) -> DataFrame:
@@ -244,19 +244,24 @@ def read_tables(spark: SparkSession, path: str) -> DataFrame:
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
     name = F.element_at(F.split("path", "/"), -1)
-    return files.select(name.alias("file"), "content").mapInArrow(read, "file string, doc_id long, place long, n_tokens long, ids_crc32 long")
+    return files.select(name.alias("file"), "content").transform(mapped(read, "file string, doc_id long, place long, n_tokens long, ids_crc32 long"))
 
 
 def token_ids(docs: DataFrame, vocabulary: str, end_id: int = 0) -> DataFrame:
     """Write shards to the shared folder and return per document what they hold: doc_id, start, n_tokens, ids_crc32.
 
     ``start`` counts the ids of all documents before. File names are in
-    document order; the totals that precede each file come from one row a file.
+    document order; the totals that precede each file come from one row a file,
+    in two levels: before it among ``FILES`` files, and all such groups before.
     """
     spark = docs.sparkSession
     path = new_path(spark, "token-ids")
     write_tables(docs, path, vocabulary, end_id)
     rows = read_tables(spark, path)
-    totals = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"))
-    before = totals.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("before"))
+    number = F.regexp_extract("file", r"^part-(\d+)", 1).cast("long")
+    totals = rows.groupBy("file").agg(F.sum("n_tokens").alias("n")).withColumns({"number": number, "group": F.floor(number / FILES)})
+    groups = totals.groupBy("group").agg(F.sum("n").alias("n"))
+    groups = groups.select("group", (F.sum("n").over(Window.orderBy("group")) - F.col("n")).alias("earlier"))
+    own = F.sum("n").over(Window.partitionBy("group").orderBy("number")) - F.col("n")
+    before = totals.withColumn("own", own).join(groups, "group").select("file", (F.col("own") + F.col("earlier")).alias("before"))
     return rows.join(before, "file").select("doc_id", (F.col("before") + F.col("place")).alias("start"), "n_tokens", "ids_crc32")
