@@ -9,7 +9,8 @@ depends on the window alone, so equal windows have equal anchors.
 
 Extension. Neighbouring windows with the same anchor form a stretch: the
 anchor extended both ways as far as it is the anchor. Documents are joined on
-anchor and stretch hash (128 bits together): all but the first occurrence of a
+anchor and stretch hash (128 bits together, of two independent hashes of the
+words): all but the first occurrence of a
 stretch repeat over their whole length. Where an anchor stands in different
 stretches, at the ends of a repeat, the first occurrence of each stretch is
 extended window by window and compared the same way. The union of repeated
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.runtime import key_filter, maybe_in, mix64, ship, written
+from quillspan.llm.runtime import key_filter, mapped, maybe_in, mix64, ship, written
 from quillspan.llm.words import Words, segment_hashes, split_words, texts
 
 LENGTH, SEED = 20, 8
@@ -74,7 +75,7 @@ def stretches(w: Words, length: int, seed: int) -> tuple[np.ndarray, np.ndarray,
     new[1:] = anchor[1:] != anchor[:-1]
     lead = np.flatnonzero(new)
     lo, many = starts[lead], np.diff(np.append(lead, len(starts)))
-    return g[anchor[lead]], segment_hashes(w.hash, lo, lo + many + length - 1, _STRETCH), lo, many
+    return g[anchor[lead]], segment_hashes(w.second, lo, lo + many + length - 1, _STRETCH), lo, many
 
 
 def _firsts(one: np.ndarray, two: np.ndarray, d: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -183,7 +184,7 @@ def _extend(length: int):
                 fits = start + length <= w.count[doc]
                 doc, start = doc[fits], start[fits]
                 at = w.first[doc] + start
-                got.append((segment_hashes(w.hash, at, at + length, _FIRST), segment_hashes(w.hash, at, at + length, _SECOND), ids[lo:hi][doc], start << 8 | 1))
+                got.append((segment_hashes(w.hash, at, at + length, _FIRST), segment_hashes(w.second, at, at + length, _SECOND), ids[lo:hi][doc], start << 8 | 1))
             if not got:
                 continue
             a, c, d, p = (np.concatenate(x) for x in zip(*got))
@@ -232,16 +233,16 @@ def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFram
         raise ValueError("1 <= seed <= length <= seed + 30")
     ship(docs.sparkSession)
     rows = _texts(docs)
-    seeds = rows.mapInArrow(_seed(length, seed), "a long, c long, d long, p long")
+    seeds = rows.transform(mapped(_seed(length, seed), "a long, c long, d long, p long"))
     marked = F.col("p").bitwiseAND(_MARKED) > 0
     dealt = seeds.repartition(F.when(marked, F.xxhash64("a", "c")).otherwise(F.xxhash64("a"))).sortWithinPartitions(*_ROW)
-    found = written(dealt.mapInArrow(_join_stretches, "d long, s long, n long, kind long"), "stretches")
+    found = written(dealt.transform(mapped(_join_stretches, "d long, s long, n long, kind long")), "stretches", wide=True)
     edges = _by_document(found.where("kind = 1"))
     maybe = maybe_in(docs.sparkSession, key_filter(found.where("kind = 1").select("d")))
     open_ends = rows.where(maybe(_key())).join(edges, _key() == F.col("d")).select("doc_id", "text", "_spans")
-    windows = open_ends.mapInArrow(_extend(length), "a long, c long, d long, p long")
-    again = windows.repartition(F.col("a")).sortWithinPartitions(*_ROW).mapInArrow(_join_windows, "d long, s long, n long")
-    return written(found.where("kind = 0").select("d", "s", "n").unionByName(again), "repeats")
+    windows = open_ends.transform(mapped(_extend(length), "a long, c long, d long, p long"))
+    again = windows.repartition(F.col("a")).sortWithinPartitions(*_ROW).transform(mapped(_join_windows, "d long, s long, n long"))
+    return written(found.where("kind = 0").select("d", "s", "n").unionByName(again), "repeats", wide=True)
 
 
 def _kept(length: int, with_text: bool):
@@ -297,9 +298,9 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, seed: int = SEED, with_t
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string, repeats array<struct<start:long,end:long>>" if with_text else "")
     maybe = maybe_in(docs.sparkSession, key_filter(found.select("d")))
     rows, run = _texts(docs), _kept(length, with_text)
-    clean = rows.where(~maybe(_key())).mapInArrow(run, schema)
+    clean = rows.where(~maybe(_key())).transform(mapped(run, schema))
     touched = rows.where(maybe(_key())).join(_by_document(found), _key() == F.col("d"), "left").select("doc_id", "text", "_spans")
-    return clean.unionByName(touched.mapInArrow(run, schema))
+    return clean.unionByName(touched.transform(mapped(run, schema)))
 
 
 ORACLE = r"""
