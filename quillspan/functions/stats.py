@@ -29,8 +29,7 @@ def mcnemar(b: Column, c: Column) -> Column:
     return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), tail * 2))
 
 
-def rank_value(values: Column, share_below: float | None = None) -> Column:
-    """Element of a sorted array at index n // 2, or at int(share * n)."""
-    n = F.size(values)
-    at = F.floor(n / 2) if share_below is None else F.floor(n * share_below)
-    return F.try_element_at(values, (at + 1).cast("int"))
+def change_percent(a: Column, b: Column) -> Column:
+    """Signed change from b to a as text with two places, such as +3.10%; null where b is 0."""
+    r = ratio(a, b)
+    return F.when(r.isNotNull(), F.format_string("%+.2f%%", (r - 1) * 100))

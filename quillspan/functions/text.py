@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillspan.functions.vectors import bound
+
 # Decimal digits outside ASCII that answers use, for translate(): full-width, Arabic-Indic, extended Arabic-Indic, Devanagari.
 _ZEROS = (0xFF10, 0x0660, 0x06F0, 0x0966)
 _OTHER_DIGITS = "".join(chr(z + d) for z in _ZEROS for d in range(10))
@@ -15,15 +17,18 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# Fixed patterns: a mark that groups thousands, a decimal comma, a number.
+GROUPING, DECIMAL_COMMA, NUMBER = r"(?<=\d)[,.](?=\d{3}(?!\d))", r"(?<=\d),(?=\d)", r"-?\d+(?:\.\d+)?"
+
+
 def last_number(text: Column | str) -> Column:
     """The last number in a text as a double, null if there is none.
 
     A comma or point before exactly three digits groups thousands; any other comma between digits is a decimal one.
     """
     t = F.translate(_col(text), _OTHER_DIGITS, _ASCII_DIGITS)
-    t = F.regexp_replace(t, r"(?<=\d)[,.](?=\d{3}(?!\d))", "")
-    t = F.regexp_replace(t, r"(?<=\d),(?=\d)", ".")
-    return F.try_element_at(F.regexp_extract_all(t, F.lit(r"-?\d+(?:\.\d+)?"), F.lit(0)), F.lit(-1)).try_cast("double")
+    t = F.regexp_replace(F.regexp_replace(t, GROUPING, ""), DECIMAL_COMMA, ".")
+    return F.try_element_at(F.regexp_extract_all(t, F.lit(NUMBER), F.lit(0)), F.lit(-1)).try_cast("double")
 
 
 def last_letter(text: Column | str, letters: str = "A-D") -> Column:
@@ -128,10 +133,36 @@ def compacted_gold(options: Column | str, index: Column) -> Column:
     return F.when(chosen.isNotNull() & (F.trim(chosen) != ""), letter_of(before))
 
 
-def choice_prompt(question: Column, options: Column, template: str) -> Column:
+def compacted_gold_strict(options: Column | str, index: Column) -> Column:
+    """As ``compacted_gold``; an empty or missing option stops the query."""
+    letter = compacted_gold(options, index)
+    return F.when(letter.isNotNull(), letter).otherwise(F.raise_error(F.lit("the answer is an empty option")).cast("string"))
+
+
+def choice_prompt(question: Column, options: Column, template: Column | str) -> Column:
     """``template`` with {question} and {options}, options lettered and a line each."""
     lines = F.array_join(F.transform(options, lambda o, i: F.concat(letter_of(i + 1), F.lit(". "), o)), "\n")
-    return F.replace(F.replace(F.lit(template), F.lit("{question}"), question), F.lit("{options}"), lines)
+    template = F.lit(template) if isinstance(template, str) else template
+    return F.replace(F.replace(template, F.lit("{question}"), question), F.lit("{options}"), lines)
+
+
+def localised(lang: Column | str, table: dict[str, str], default: str | None = None) -> Column:
+    """The text that ``table`` has for a language; ``default`` (or null) for others."""
+    return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in table.items() for x in kv)), _col(lang)), F.lit(default))
+
+
+def composite_key(*parts: Column | str) -> Column:
+    """Parts joined by colons; null if one is missing."""
+    text = [_col(p).cast("string") for p in parts]
+    whole = text[0].isNotNull()
+    for t in text[1:]:
+        whole = whole & t.isNotNull()
+    return F.when(whole, F.concat_ws(":", *text))
+
+
+def present_json(*columns: str) -> Column:
+    """The columns as one JSON object in their order; a null one is left out. Characters outside ASCII stay as they are."""
+    return F.to_json(F.struct(*columns))
 
 
 def domain(dataset: Column | str, source: Column | str) -> Column:
@@ -150,13 +181,18 @@ STOP_WORDS = {
 
 
 def detect_language(text: Column | str, languages: tuple[str, ...] = ("en", "es", "fr", "de", "zh")) -> Column:
-    """Heuristic language: Han characters, else most stop words (ties: order of ``STOP_WORDS``); ``other`` without any, ``none`` for blank text. Not a statistical detector."""
+    """Heuristic language: Han characters, else most stop words (ties: order of ``STOP_WORDS``); ``other`` without any, ``none`` for blank text. Not a statistical detector; ``udfs.detected`` takes one. The text is split once."""
     t = F.coalesce(_col(text), F.lit(""))
-    words = F.split(F.lower(t), r"[\x20\n]")
-    hits = [F.struct(_hits(words, STOP_WORDS[k]).alias("n"), F.lit(-i).alias("order"), F.lit(k).alias("lang")) for i, k in enumerate(STOP_WORDS) if k in languages]
-    best = F.greatest(*hits)
+    own = [k for k in STOP_WORDS if k in languages]
+
+    def best(words: Column) -> Column:
+        hits = [F.struct(_hits(words, STOP_WORDS[k]).alias("n"), F.lit(-i).alias("order"), F.lit(k).alias("lang")) for i, k in enumerate(own)]
+        return bound(F.greatest(*hits), lambda b: F.when(b["n"] == 0, "other").otherwise(b["lang"]))
+
+    every = sorted({w for k in own for w in STOP_WORDS[k]})
+    found = F.filter(F.split(F.lower(t), r"[\x20\n]"), lambda w: w.isin(*every))
     han = F.regexp_count(t, F.lit("[一-鿿]")) * 5 > F.length(t) if "zh" in languages else F.lit(False)
-    return F.when(F.trim(t) == "", "none").when(han, "zh").when(best["n"] == 0, "other").otherwise(best["lang"])
+    return F.when(F.trim(t) == "", "none").when(han, "zh").otherwise(bound(found, best))
 
 
 def _hits(words: Column, stop: tuple[str, ...]) -> Column:

@@ -1,30 +1,98 @@
-"""What no built-in expresses, as Arrow functions: repetition, compatibility forms, token counts."""
+"""What no built-in expresses, as Arrow functions: repetition, compatibility forms, token counts, language detectors."""
 
 from __future__ import annotations
 
 import unicodedata
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-SPAN, REPEATS = 60, 5
-
+from quillspan.functions import text as T
 
-def loops(text: str, span: int = SPAN, repeats: int = REPEATS) -> bool:
-    """Whether some stretch of ``span`` characters stands at ``repeats`` places that don't overlap."""
-    if len(text) < span * repeats:
-        return False
-    free: dict[str, tuple[int, int]] = {}
+SPAN, REPEATS = 60, 5
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
+    return x ^ (x >> np.uint64(27))
+
+
+def _span_hashes(points: np.ndarray, span: int) -> np.ndarray:
+    """A hash of ``points[i : i + span]`` for each i, by doubling: two halves make a whole, the last step overlaps."""
+    table, width = _mixed(points.astype(np.uint64) + _ODD), 1
+    while width * 2 <= span:
+        table = _mixed(table[:-width] * _ODD ^ table[width:])
+        width *= 2
+    rest = span - width
+    return _mixed(table[: len(table) - rest] * _ODD ^ table[rest:]) if rest else table
+
+
+def loops(texts: list[str], span: int = SPAN, repeats: int = REPEATS) -> np.ndarray:
+    """For each text whether some stretch of ``span`` characters stands at ``repeats`` places that don't overlap.
+
+    All stretches of all texts are hashed at once; those with enough places are
+    followed from place to place together, the next one at or after the end of
+    the last. What is found is confirmed on the text.
+    """
+    out = np.zeros(len(texts), bool)
+    long = [i for i, t in enumerate(texts) if t is not None and len(t) >= span * repeats]
+    if not long:
+        return out
+    size = np.array([len(texts[i]) for i in long])
+    points = np.frombuffer("".join(texts[i] for i in long).encode("utf-32-le", "surrogatepass"), "<u4")
+    last = np.cumsum(size)
+    here = np.concatenate([np.arange(e - n, e - span + 1) for e, n in zip(last.tolist(), size.tolist())])
+    of = np.repeat(np.arange(len(long)), size - span + 1)
+    key = _mixed(_span_hashes(points, span)[here] + of.astype(np.uint64) * _ODD)
+    order = np.argsort(key, kind="stable")
+    key, here, of = key[order], here[order], of[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    stop = np.append(first[1:], len(key))
+    much = (stop - first >= repeats) & (here[stop - 1] - here[first] >= span * (repeats - 1))
+    first, stop = first[much], stop[much]
+    group = np.repeat(np.arange(len(first)), stop - first)
+    if not len(group):
+        return out
+    many = stop - first
+    rows = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(len(group))
+    place = group * (len(points) + span) + here[rows]  # ascending: by group, then by place
+    places = [here[first]]
+    for _ in range(repeats - 1):
+        at = np.searchsorted(place, np.arange(len(first)) * (len(points) + span) + places[-1] + span)
+        there = (at < len(group)) & (group[np.minimum(at, len(group) - 1)] == np.arange(len(first)))
+        first, places = first[there], [p[there] for p in places]
+        at = at[there]
+        keep = np.isin(group, np.flatnonzero(there))
+        renumber = np.cumsum(there) - 1
+        group, rows = renumber[group[keep]], rows[keep]
+        at = (np.cumsum(keep) - 1)[at]
+        place = group * (len(points) + span) + here[rows]
+        places.append(here[rows[at]])
+    for k in range(len(first)):
+        i = of[first[k]]
+        if not out[long[i]]:
+            spans = {points[p[k] : p[k] + span].tobytes() for p in places}
+            out[long[i]] = len(spans) == 1 or _plainly(texts[long[i]], span, repeats)
+    return out
+
+
+def _plainly(text: str, span: int, repeats: int) -> bool:
+    """The same without hashes, for a text in which two stretches share one."""
+    free: dict[str, list[int]] = {}
     for i in range(len(text) - span + 1):
-        key = text[i : i + span]
-        n, since = free.get(key, (0, i))
-        if i >= since:
-            if n + 1 == repeats:
-                return True
-            free[key] = (n + 1, i + span)
+        free.setdefault(text[i : i + span], []).append(i)
+    for places in free.values():
+        n, at = 0, -span
+        for p in places:
+            if p >= at + span:
+                n, at = n + 1, p
+        if n >= repeats:
+            return True
     return False
 
 
@@ -34,7 +102,15 @@ def looping(text: Column, span: int = SPAN, repeats: int = REPEATS) -> Column:
     @pandas_udf("boolean")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            yield s.map(lambda t: loops(t, span, repeats), na_action="ignore").fillna(False).astype(bool)
+            rows = s.tolist()
+            parts, size = [[]], 0
+            for t in rows:  # a few million characters at a time
+                parts[-1].append(t)
+                size += len(t or "")
+                if size > 2_000_000:
+                    parts.append([])
+                    size = 0
+            yield pd.Series(np.concatenate([loops(p, span, repeats) for p in parts if p] or [np.zeros(0, bool)]))
 
     long_enough = F.length(text) >= span * repeats
     return F.coalesce(long_enough, F.lit(False)) & run(F.when(long_enough, text))
@@ -46,14 +122,19 @@ def nfkc(text: Column) -> Column:
     @pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            yield s.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
+            yield s.map(lambda t: t if unicodedata.is_normalized("NFKC", t) else unicodedata.normalize("NFKC", t), na_action="ignore")
 
     other = text.rlike(r"[^\x00-\x7F]")
     return F.when(other, run(F.when(other, text))).otherwise(text)
 
 
+def norm(text: Column) -> Column:
+    """Compatibility composition, lower case, one space between runs of word characters: the form in which texts are compared with benchmarks."""
+    return T.normalised(nfkc(text))
+
+
 def token_count(text: Column, encode: Callable[[], Callable[[str], int]] | None = None) -> Column:
-    """Tokens of a text, 0 for null. ``encode`` makes the counter on the executor; without it a proxy counts runs of letters, digits and single marks."""
+    """Tokens of a text, 0 for null. ``encode`` makes the counter on the executor (a local tokenizer, ``sources.server.tokenize``); without it a proxy counts runs of letters, digits and single marks."""
     if encode is None:
         return F.coalesce(F.regexp_count(text, F.lit(r"[\p{L}]+|[0-9]+|[^\s\p{L}0-9]")), F.lit(0)).cast("long")
 
@@ -61,6 +142,21 @@ def token_count(text: Column, encode: Callable[[], Callable[[str], int]] | None
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         count = encode()
         for s in batches:
-            yield s.fillna("").map(count).astype("int64")
+            yield s.map(lambda t: count(t) if t else 0).astype("int64")
+
+    return run(F.coalesce(text, F.lit("")))
+
+
+def detected(text: Column, detector: Callable[[], Callable[[str], str | None]] | None = None) -> Column:
+    """Language of a text: ``none`` for a blank one, ``other`` where the detector, made once on each executor, can't tell. Without one the heuristic of ``text.detect_language``."""
+    if detector is None:
+        return T.detect_language(text)
+
+    @pandas_udf("string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        detect = detector()
+        for s in batches:
+            yield s.map(lambda t: detect(t) or "other")
 
-    return run(text)
+    blank = T.is_blank(text)
+    return F.when(blank, "none").otherwise(run(F.when(blank, "").otherwise(text)))

@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once a row. An expression used inside a lambda function would be computed for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def log_softmax(x: Column) -> Column:
-    """Log probabilities of logits, in double precision."""
-    x = x.cast("array<double>")
-    most = F.array_max(x)
-    total = F.aggregate(x, F.lit(0.0), lambda a, v: a + F.exp(v - most))
-    return F.transform(x, lambda v: v - most - F.log(total))
+    """Log probabilities of logits, in double precision. Linear in their number: the maximum and the sum are computed once."""
+
+    def whole(v: Column) -> Column:
+        total = bound(F.array_max(v), lambda m: m + F.log(F.aggregate(v, F.lit(0.0), lambda a, e: a + F.exp(e - m))))
+        return bound(total, lambda z: F.transform(v, lambda e: e - z))
+
+    return bound(x.cast("array<double>"), whole)
 
 
 def argmax(x: Column) -> Column:

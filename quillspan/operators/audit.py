@@ -59,7 +59,7 @@ def completeness(rows: DataFrame, expected: DataFrame, group: str, keys: list[st
     have = rows.groupBy(group).agg(F.count("*").alias("n"), F.count_distinct(*keys).alias("distinct_keys"))
     n, want = F.coalesce("n", F.lit(0)), F.col("expected")
     status = F.when(want.isNull(), "UNEXPECTED").when(n == want, "OK").when(n < want, "MISSING").otherwise("EXTRA")
-    return have.join(F.broadcast(expected), group, "full_outer").select(group, n.alias("n"), want.alias("expected"), status.alias("status"), (n - F.coalesce("distinct_keys", F.lit(0))).alias("duplicates"))
+    return have.join(expected, group, "full_outer").select(group, n.alias("n"), want.alias("expected"), status.alias("status"), (n - F.coalesce("distinct_keys", F.lit(0))).alias("duplicates"))
 
 
 def duplicate_keys(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -129,7 +129,7 @@ def complete_repeats(repeats: DataFrame, item: str, repeat: str, n: int) -> Data
 
 def table_status(stats: DataFrame, manifest: DataFrame, key: str, languages: list[str]) -> DataFrame:
     """Of each manifest entry: ok, incomplete or not run, and the languages that lack ids. ``stats`` has key, lang and n."""
-    full = stats.join(F.broadcast(manifest.select(key, "expected_n")), key).groupBy(key).agg(F.collect_set(F.when(F.col("n") >= F.col("expected_n"), F.col("lang"))).alias("whole"), F.count("*").alias("seen"))
+    full = stats.join(manifest.select(key, "expected_n"), key).groupBy(key).agg(F.collect_set(F.when(F.col("n") >= F.col("expected_n"), F.col("lang"))).alias("whole"), F.count("*").alias("seen"))
     lacking = F.array_except(F.array(*map(F.lit, sorted(languages))), F.coalesce("whole", F.array().cast("array<string>")))
     return manifest.join(full, key, "left").select(key, F.when(F.col("seen").isNull(), "not run").when(F.size(lacking) == 0, "ok").otherwise("incomplete").alias("status"), F.array_join(lacking, ",").alias("missing"))
 
@@ -153,3 +153,28 @@ def match_counts(rows: DataFrame, group: str, got: str, want: str) -> DataFrame:
     """Of each group the rows, those whose two values agree (nulls agree), and the smallest value wanted but missed."""
     same = F.col(got).eqNullSafe(F.col(want))
     return rows.groupBy(group).agg(F.count("*").alias("n"), F.count_if(same).alias("matches"), F.min(F.when(~same, F.col(want))).alias("first_miss"))
+
+
+def mismatches(rows: DataFrame, keys: list[str], got: str, want: str) -> DataFrame:
+    """The rows whose two values differ (nulls agree): keys, got, want."""
+    return rows.where(~F.col(got).eqNullSafe(F.col(want))).select(*keys, F.col(got).alias("got"), F.col(want).alias("want"))
+
+
+def reviewed(fixes: DataFrame, shown: DataFrame, keys: list[str]) -> DataFrame:
+    """``fixes`` (keys, original, fixed) beside the reviewed text (keys, shown), with ``problem``: ``not reviewed``, ``differs``, ``no change``, or null where all is well."""
+    out = fixes.join(shown.select(*keys, "shown"), keys, "left")
+    why = F.when(F.col("shown").isNull(), "not reviewed").when(F.col("shown") != F.col("original"), "differs").when(F.col("original") == F.col("fixed"), "no change")
+    return out.withColumn("problem", why).drop("shown")
+
+
+def require_none(problems: DataFrame, what: str) -> None:
+    """An error that names one of the rows, if there is any."""
+    if found := problems.limit(1).collect():
+        raise ValueError(f"{what}: {found[0].asDict()}")
+
+
+def require_count(rows: DataFrame, n: int) -> DataFrame:
+    """``rows``, or an error if they aren't ``n``."""
+    if (have := rows.count()) != n:
+        raise ValueError(f"{have} rows, expected {n}")
+    return rows

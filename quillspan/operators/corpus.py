@@ -6,12 +6,51 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.functions import text as T
-from quillspan.functions.stats import rank_value, ratio
+from quillspan.functions import udfs
+from quillspan.functions.stats import ratio
 from quillspan.operators.audit import draw_order
 
 NGRAM = 13
-#: Benchmark n-grams that are broadcast at most; a larger benchmark is dealt by n-gram.
-BROADCAST_GRAMS = 200_000
+#: Benchmark n-grams whose hashes are broadcast at most (8 bytes each); a larger benchmark is dealt by hash.
+BROADCAST_GRAMS = 1_000_000
+#: Rows of a quota table that are broadcast at most.
+BROADCAST_STRATA = 10_000
+
+
+def small(table: DataFrame, most: int = BROADCAST_STRATA) -> DataFrame:
+    """``table`` marked for broadcast if it has at most ``most`` rows."""
+    return F.broadcast(table) if table.limit(most + 1).count() <= most else table
+
+
+def positions(rows: DataFrame, groups: list[str], order: list[Column | str], name: str = "position", at: int = 0) -> DataFrame:
+    """``rows`` with their number from 1 in each group, in an order that should have no ties.
+
+    No task holds a whole group: it is cut by ranges of ``order[at]`` (equal
+    widths of a number, first characters of a text), rows are numbered within a
+    range and moved on by the sizes of the ranges before. What stands before
+    ``order[at]`` should have few values.
+    """
+    given = [F.col(o) if isinstance(o, str) else o for o in order]
+    keys = [f"_o{i}" for i in range(len(given))]
+    dealt = rows.withColumns(dict(zip(keys, given)))
+    cut = F.col(keys[at])
+    if dict(dealt.dtypes)[keys[at]] == "string":
+        part = F.ascii(cut)
+    else:
+        n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        least, most = dealt.agg(F.min(cut).cast("double"), F.max(cut).cast("double")).first()
+        part = F.floor((cut.cast("double") - F.lit(least or 0.0)) / F.lit(max((most or 0.0) - (least or 0.0), 1.0) / n))
+    dealt = dealt.withColumn("_part", F.coalesce(part, F.lit(-1)))
+    within = [*groups, *keys[:at], "_part"]
+    own = dealt.withColumn("_n", F.row_number().over(Window.partitionBy(*within).orderBy(*keys[at:])))
+    sizes = dealt.groupBy(*within).agg(F.count("*").alias("_size"))
+    w = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(1))
+    before = F.sum("_size").over(w.orderBy(*keys[:at], "_part")) - F.col("_size")
+    ahead = sizes.select(*(F.col(g).alias(f"_g{i}") for i, g in enumerate(within)), before.alias("_before"))
+    same = F.lit(True)
+    for i, g in enumerate(within):
+        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    return own.join(ahead, same).withColumn(name, (F.col("_n") + F.col("_before")).cast("long")).select(*rows.columns, name)
 
 
 def zipped(a: DataFrame, b: DataFrame, position: str, check: list[str], columns: list[str]) -> DataFrame:
@@ -24,26 +63,38 @@ def zipped(a: DataFrame, b: DataFrame, position: str, check: list[str], columns:
     return out.where(F.col("_ok").isNull()).drop("_ok", *(f"_{c}" for c in check))
 
 
-def overlaps(texts: DataFrame, benchmark: DataFrame, key: str, n: int = NGRAM) -> DataFrame:
-    """Texts that equal a benchmark text once normalised (``exact``), or else share an n-gram with one (``ngram``): key, reason.
+def _gram_hashes(words: str, n: int) -> Column:
+    w = F.col(words)
+    return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.xxhash64(F.slice(w, i, n)))).otherwise(F.array().cast("array<long>"))
+
+
+def overlaps(texts: DataFrame, benchmark: DataFrame, key: str, n: int = NGRAM, lang: str | None = "lang") -> DataFrame:
+    """Texts that equal a benchmark text of their language in normal form (``udfs.norm``) (``exact``), or else share an n-gram with one (``ngram``): key, reason.
 
-    Both tables have key or item_id, and text. A long text is read once; its
-    n-grams meet those of the benchmark where they are made if the benchmark's
-    are few enough to broadcast.
+    Both tables have ``lang`` (None: languages don't count) and text, ``texts``
+    also the key. N-grams meet as hashes, where texts are read if the benchmark
+    is small enough to broadcast; only texts that hit are read again, and
+    confirmed on the n-grams themselves. Null texts match nothing.
     """
-    rows = texts.select(key, T.normalised("text").alias("norm"))
-    bench = benchmark.select(T.normalised("text").alias("norm")).distinct()
-    exact = rows.where("norm <> ''").join(bench, "norm", "left_semi").select(key).distinct()
-    words = F.filter(F.split("norm", " "), lambda w: w != "").alias("words")
-    grams = bench.select(words).select(F.explode(T.ngrams("words", n)).alias("gram")).distinct()
-    if grams.limit(BROADCAST_GRAMS + 1).count() <= BROADCAST_GRAMS:
-        grams = F.broadcast(grams)
-    shared = rows.select(key, words).select(key, F.explode(T.ngrams("words", n)).alias("gram")).join(grams, "gram", "left_semi").select(key).distinct()
+    tongue = F.col(lang) if lang else F.lit("")
+    form = lambda df, *keep: df.select(*keep, tongue.alias("tongue"), udfs.norm(F.col("text")).alias("norm")).where("norm <> ''")
+    words = F.split("norm", " ").alias("words")
+    bench = form(benchmark).distinct()
+    whole = bench.select("tongue", F.xxhash64("norm").alias("h"))
+    grams = bench.select("tongue", words).select("tongue", F.explode(_gram_hashes("words", n)).alias("h"))
+    wanted = small(whole.unionByName(grams).distinct(), BROADCAST_GRAMS)
+    own = form(texts, key).select(key, "tongue", words, F.xxhash64("norm").alias("all")).select(key, "tongue", F.explode(F.concat(F.array("all"), _gram_hashes("words", n))).alias("h"))
+    hit = own.join(wanted, ["tongue", "h"], "left_semi").select(key).distinct()
+    again = form(texts.join(small(hit, BROADCAST_GRAMS), key, "left_semi"), key)
+    exact = again.join(small(bench, BROADCAST_STRATA), ["tongue", "norm"], "left_semi").select(key).distinct()
+    text_grams = bench.select("tongue", words).select("tongue", F.explode(T.ngrams("words", n)).alias("gram")).distinct()
+    shared = again.select(key, "tongue", words).select(key, "tongue", F.explode(T.ngrams("words", n)).alias("gram")).join(text_grams, ["tongue", "gram"], "left_semi").select(key).distinct()
     return exact.withColumn("reason", F.lit("exact")).unionByName(shared.join(exact, key, "left_anti").withColumn("reason", F.lit("ngram")))
 
 
-def without_overlap(texts: DataFrame, benchmark: DataFrame, key: str, n: int = NGRAM) -> DataFrame:
-    return texts.join(overlaps(texts, benchmark, key, n), key, "left_anti")
+def without_overlap(texts: DataFrame, benchmark: DataFrame, key: str, n: int = NGRAM, lang: str | None = "lang") -> DataFrame:
+    """Texts that overlap with no benchmark text of their language. Where a key has a row for each language, all of them go as soon as one overlaps."""
+    return texts.join(overlaps(texts, benchmark, key, n, lang).select(key).distinct(), key, "left_anti")
 
 
 def reason_counts(flags: DataFrame, reasons: dict[str, Column]) -> DataFrame:
@@ -67,28 +118,66 @@ def largest_remainder(strata: DataFrame, total: int, size: str = "n", first: str
     return out.withColumn("_left", left).withColumn("_rank", rank).withColumn("quota", F.col("_floor") + (F.col("_rank") <= F.col("_left")).cast("long")).drop("_exact", "_floor", "_left", "_rank")
 
 
-def capped_quotas(sizes: dict[str, int], total: int, least: int = 1) -> dict[str, int]:
-    """Quotas in proportion, at least ``least`` and at most the size of a stratum; what caps free is given to, and what floors take is given back by, the strata farthest from their share (ties by name). A small table on the driver."""
-    whole = sum(sizes.values())
-    if not least * len(sizes) <= total <= whole:
-        raise ValueError("the total doesn't fit the strata")
-    want = {k: total * n / whole for k, n in sizes.items()}
-    quota = {k: min(n, max(least, int(want[k]))) for k, n in sizes.items()}
-    while (gap := total - sum(quota.values())) != 0:
-        if gap > 0:
-            best = min((k for k in quota if quota[k] < sizes[k]), key=lambda k: (quota[k] - want[k], k))
-            quota[best] += 1
-        else:
-            best = min((k for k in quota if quota[k] > least), key=lambda k: (want[k] - quota[k], k))
-            quota[best] -= 1
-    return quota
+def apportioned(items: DataFrame, category: str, key: str, total: int, keep: DataFrame | None = None, least: int = 1) -> DataFrame:
+    """Seats of each category: category, size, kept, seats.
+
+    Seats are in proportion to size, at least ``least`` and at least as many as
+    the category has ids in ``keep``, at most its size; the total grows if the
+    floors need more. What is left over goes round the categories by falling
+    remainder (ties by name), what floors take too much comes back the other way
+    round. An error if the total doesn't fit. One row a category: small tables.
+    """
+    kept = keep.select(key).distinct().withColumn("_kept", F.lit(1)) if keep is not None else items.select(key).limit(0).withColumn("_kept", F.lit(1))
+    sizes = items.select(category, key).join(kept, key, "left").groupBy(category).agg(F.count("*").alias("size"), F.count("_kept").alias("kept"))
+    every = Window.partitionBy(F.lit(1))
+    out = sizes.withColumn("floor", F.greatest(F.lit(least), F.col("kept")))
+    out = out.withColumn("total", F.greatest(F.lit(total), F.sum("floor").over(every))).withColumn("share", F.col("total") * F.col("size") / F.sum("size").over(every))
+    fits = (F.lit(total) >= least * F.count("*").over(every)) & (F.lit(total) <= F.sum("size").over(every))
+    out = out.withColumn("share", F.when(fits, F.col("share")).otherwise(F.raise_error(F.lit("the total doesn't fit the categories")).cast("double")))
+    rest = F.col("share") - F.floor("share")
+    out = out.withColumn("first", F.greatest("floor", F.floor("share"))).withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc(F.round(rest, 9)), category)))
+    out = out.withColumn("gap", F.col("total") - F.sum("first").over(every))
+    room = F.when(F.col("gap") > 0, F.col("size") - F.col("first")).otherwise(F.col("first") - F.col("floor"))
+    turns = F.least(room, F.abs("gap")).cast("int")
+    seats = out.where((F.col("gap") != 0) & (turns > 0)).select(category, "gap", F.explode(F.sequence(F.lit(1), turns)).alias("turn"), F.when(F.col("gap") > 0, F.col("rank")).otherwise(-F.col("rank")).alias("place"))
+    moved = seats.withColumn("_n", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("turn", "place"))).where(F.col("_n") <= F.abs("gap"))
+    moved = moved.groupBy(category).agg(F.sum(F.signum("gap")).cast("long").alias("moved"))
+    return out.join(moved, category, "left").select(category, "size", "kept", (F.col("first") + F.coalesce("moved", F.lit(0))).cast("long").alias("seats"))
+
+
+def chosen(items: DataFrame, category: str, key: str, total: int, seed: int, keep: DataFrame | None = None) -> DataFrame:
+    """A stratified subset of ids (category, key) by ``apportioned`` seats: all kept ids, the rest drawn by ``draw_order``."""
+    seats = apportioned(items, category, key, total, keep)
+    kept = keep.select(key).distinct().withColumn("_kept", F.lit(True)) if keep is not None else items.select(key).limit(0).withColumn("_kept", F.lit(True))
+    rows = items.select(category, key).join(kept, key, "left").withColumn("_kept", F.coalesce("_kept", F.lit(False)))
+    most = seats.agg(F.max("seats")).first()[0] or 0
+    w = Window.partitionBy(category).orderBy(F.desc("_kept"), *draw_order(seed, key))
+    drawn = rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most)
+    return drawn.join(small(seats.select(category, "seats")), category).where("_r <= seats").select(category, key)
 
 
 def stratified(rows: DataFrame, quotas: DataFrame, stratum: str, key: str, seed: int) -> DataFrame:
-    """Each stratum's quota of rows in random order; ``quotas`` has stratum and quota."""
+    """Each stratum's quota of rows in random order; ``quotas`` has stratum and quota. No task hands on more rows of a stratum than the largest quota."""
+    most = quotas.agg(F.max("quota")).first()[0] or 0
     w = Window.partitionBy(stratum).orderBy(*draw_order(seed, key))
-    drawn = rows.withColumn("draw", F.row_number().over(w).cast("long"))
-    return drawn.join(F.broadcast(quotas.select(stratum, "quota")), stratum).where("draw <= quota").drop("quota")  # a row a stratum
+    drawn = rows.withColumn("draw", F.row_number().over(w).cast("long")).where(F.col("draw") <= most)
+    return drawn.join(small(quotas.select(stratum, "quota")), stratum).where("draw <= quota").drop("quota")
+
+
+def shuffled(rows: DataFrame, seed: int, key: str) -> DataFrame:
+    """``rows`` in a random order that seed and key fix."""
+    return rows.orderBy(*draw_order(seed, key))
+
+
+def sorted_by(rows: DataFrame, column: str, first: list[str]) -> DataFrame:
+    """``rows`` in the order of a column, the values in ``first`` before all others."""
+    place = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, first)), F.col(column)), F.lit(0)), F.lit(len(first) + 1))
+    return rows.orderBy(place, column)
+
+
+def limited(rows: DataFrame, order: list[Column | str], n: int) -> DataFrame:
+    """The first ``n`` rows in an order: each task hands on ``n`` at most."""
+    return rows.orderBy(*order).limit(n)
 
 
 def first_by(rows: DataFrame, group: str, order: str, n: int) -> DataFrame:
@@ -100,20 +189,66 @@ def interleaved(rows: DataFrame, started: DataFrame, key: str, lang: str, langua
     begun = started.select(key).distinct().withColumn("_begun", F.lit(1))
     place = F.array_position(F.array(*map(F.lit, languages)), F.col(lang))
     out = rows.join(begun, key, "left")
-    return out.withColumn("position", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.coalesce("_begun", F.lit(0)).desc(), key, place)).cast("long")).drop("_begun")
+    return positions(out, [], [F.lit(1) - F.coalesce("_begun", F.lit(0)), key, place], at=1).drop("_begun")
 
 
-def batches(rows: DataFrame, group: str, order: str, size: int) -> DataFrame:
+def batches(rows: DataFrame, groups: list[str], order: str, size: int) -> DataFrame:
     """Rows of each group in steps of ``size``: adds ``step`` from 0."""
-    n = F.row_number().over(Window.partitionBy(group).orderBy(order))
-    return rows.withColumn("step", F.floor((n - 1) / size))
+    return positions(rows, groups, [order], "_n").withColumn("step", F.floor((F.col("_n") - 1) / size)).drop("_n")
+
+
+def value_counts(rows: DataFrame, group: str, value: str) -> DataFrame:
+    """Distinct values of each group with how many values stand before and up to them: group, value, before, upto, n. Exact quantiles come from here: what meets in one task is a group's distinct values, not its rows."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("_k"))
+    w = Window.partitionBy(group)
+    upto = F.sum("_k").over(w.orderBy(value))
+    return counts.select(group, value, (upto - F.col("_k")).alias("before"), upto.alias("upto"), F.sum("_k").over(w).alias("n"))
+
+
+def _at(value: str, index: Column) -> Column:
+    """The value at an index from 0 of the sorted values of a group of ``value_counts``."""
+    return F.max(F.when((F.col("before") <= index) & (index < F.col("upto")), F.col(value)))
 
 
 def described(rows: DataFrame, group: str, value: str) -> DataFrame:
-    """n, mean (one place), upper median, 90th hundredth, largest and sum. The values of a group are gathered in one array, so groups are strata of a bounded sample."""
-    v = F.sort_array(F.collect_list(value))
-    out = rows.groupBy(group).agg(v.alias("_v"), F.count(value).alias("n"), F.bround(F.avg(value), 1).alias("mean"), F.max(value).alias("most"), F.sum(value).alias("sum"))
-    return out.select(group, "n", "mean", rank_value(F.col("_v")).alias("median"), rank_value(F.col("_v"), 0.9).alias("p90"), "most", "sum")
+    """n, mean (one place), upper median, 90th hundredth, largest and sum."""
+    v, n = F.col(value), F.col("n")
+    total = F.sum(v * (F.col("upto") - F.col("before")))
+    out = value_counts(rows, group, value).groupBy(group).agg(
+        F.max("n").alias("n"), F.bround(ratio(total, F.max("n")), 1).alias("mean"), _at(value, F.floor(n / 2)).alias("median"), _at(value, F.floor(n * F.lit(0.9))).alias("p90"), F.max(v).alias("most"), total.alias("sum")
+    )
+    return out.select(group, "n", "mean", "median", "p90", "most", "sum")
+
+
+def described_middle(rows: DataFrame, group: str, value: str) -> DataFrame:
+    """n, true median (mean of the middle two), least, largest and sum."""
+    return rows.groupBy(group).agg(F.count(value).alias("n"), F.median(value).alias("median"), F.min(value).alias("least"), F.max(value).alias("most"), F.sum(value).alias("sum"))
+
+
+def length_quantiles(rows: DataFrame, group: str, value: str, limits: list[int]) -> DataFrame:
+    """n, upper median, 90th and 99th hundredths, largest; number and share of values within each limit."""
+    n, v, times = F.col("n"), F.col(value), F.col("upto") - F.col("before")
+    within = {m: F.sum(F.when(v <= m, times).otherwise(0)) for m in limits}
+    return value_counts(rows, group, value).groupBy(group).agg(
+        F.max("n").alias("n"),
+        _at(value, F.floor(n / 2)).alias("median"),
+        _at(value, F.floor(n * F.lit(0.9))).alias("p90"),
+        _at(value, F.floor(n * F.lit(0.99))).alias("p99"),
+        F.max(v).alias("most"),
+        *(within[m].alias(f"n_within_{m}") for m in limits),
+        *(ratio(within[m], F.max("n")).alias(f"within_{m}") for m in limits),
+    )
+
+
+def drop_accounting(rows: DataFrame, steps: dict[str, Column]) -> DataFrame:
+    """Rows that each step drops and leaves, steps in order: step, dropped, left. ``steps``: what a row must fulfil to stay (null: it goes). One pass: a row counts for the first step that drops it."""
+    fate = F.lit(len(steps))
+    for i, c in reversed(list(enumerate(steps.values()))):
+        fate = F.when(F.coalesce(c, F.lit(False)), fate).otherwise(F.lit(i))
+    flags = rows.select(fate.alias("_fate"))
+    sums = flags.agg(*(x for i in range(len(steps)) for x in (F.count_if(F.col("_fate") == i).alias(f"d{i}"), F.count_if(F.col("_fate") > i).alias(f"l{i}"))))
+    each = F.array(*(F.struct(F.lit(i).alias("number"), F.lit(name).alias("step"), F.col(f"d{i}").alias("dropped"), F.col(f"l{i}").alias("left")) for i, name in enumerate(steps)))
+    return sums.select(F.inline(each))
 
 
 def length_shares(rows: DataFrame, group: str, value: str, limits: list[int]) -> DataFrame:

@@ -22,15 +22,34 @@ CORRECT: dict[str, Callable[[Column, Column], Column]] = {
 }
 
 
-def scored(records: DataFrame, bench: str | None = None) -> DataFrame:
-    """``records`` with ``correct``: by the rule of ``bench``, or of each row's own bench."""
+#: What an answer says, by benchmark; null where nothing could be read from it.
+ANSWERED: dict[str, Callable[[Column], Column]] = {
+    "mgsm": lambda content: T.last_number(content).cast("string"),
+    "belebele": lambda content: T.last_letter(content),
+    "proxlite": lambda content: T.parse_letter(content),
+}
+
+
+def _by_bench(rules: dict[str, Callable], *columns: Column, otherwise: Column) -> Column:
+    out = otherwise
+    for name, of in rules.items():
+        out = F.when(F.col("bench") == name, of(*columns)).otherwise(out)
+    return out
+
+
+def scored(records: DataFrame, bench: str | None = None, rule: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """``records`` with ``correct``: by ``rule`` (content, gold), the rule of ``bench``, or of each row's own bench."""
     content, gold = F.col("content"), F.col("gold").cast("string")
-    if bench:
-        return records.withColumn("correct", CORRECT[bench](content, gold))
-    rule = F.lit(False)
-    for name, of in CORRECT.items():
-        rule = F.when(F.col("bench") == name, of(content, gold)).otherwise(rule)
-    return records.withColumn("correct", rule)
+    if rule or bench:
+        return records.withColumn("correct", (rule or CORRECT[bench])(content, gold))
+    return records.withColumn("correct", _by_bench(CORRECT, content, gold, otherwise=F.lit(False)))
+
+
+def with_unparsed(records: DataFrame, bench: str | None = None) -> DataFrame:
+    """``records`` with ``unparsed``: whether no answer could be read (such a record counts as wrong)."""
+    content = F.col("content")
+    answer = ANSWERED[bench](content) if bench else _by_bench(ANSWERED, content, otherwise=F.lit(None).cast("string"))
+    return records.withColumn("unparsed", answer.isNull())
 
 
 def flat_usage(records: DataFrame) -> DataFrame:
@@ -57,6 +76,21 @@ def scorecard(records: DataFrame, by: str = "lang") -> DataFrame:
     )
 
 
+def full_scorecard(records: DataFrame, by: str = "lang") -> DataFrame:
+    """The scorecard with reasoning tokens, speed, draft acceptance and unparsed answers, from columns of ``flat_usage`` and ``with_unparsed``; medians over the records that have the figure."""
+    return records.groupBy(by).agg(
+        F.count("*").alias("n"),
+        F.count_if("correct").alias("n_correct"),
+        share(F.col("correct")).alias("accuracy"),
+        F.median("completion_tokens").alias("median_completion"),
+        F.median("reasoning_tokens").alias("median_reasoning"),
+        F.median("predicted_per_second").alias("median_per_second"),
+        ratio(F.sum("draft_n_accepted"), F.sum("draft_n")).alias("acceptance"),
+        (100 * share(F.col("finish_reason") == "length")).alias("pct_length"),
+        (100 * share(F.col("unparsed"))).alias("pct_unparsed"),
+    )
+
+
 def draft_acceptance(records: DataFrame, by: str = "lang") -> DataFrame:
     return records.groupBy(by).agg(ratio(F.sum("draft_n_accepted"), F.sum("draft_n")).alias("acceptance"), F.median("predicted_per_second").alias("median_per_second"))
 
@@ -136,7 +170,7 @@ def category_accuracy(records: DataFrame, category: str = "category") -> DataFra
 
 def weighted_accuracy(records: DataFrame, weights: DataFrame, category: str = "category") -> DataFrame:
     """Accuracy by category, weighted by ``weights`` (category, weight) over the categories present; null if there is none."""
-    rows = category_accuracy(records, category).join(F.broadcast(weights), category)  # a row a category
+    rows = category_accuracy(records, category).join(weights, category)
     return rows.groupBy("lang").agg(
         ratio(F.sum(F.col("weight") * F.col("accuracy")), F.sum("weight")).alias("weighted_accuracy"), F.count("*").alias("categories"), F.min("n").alias("least_n")
     )
@@ -170,6 +204,27 @@ def run_summary(records: DataFrame, base: str = "en") -> DataFrame:
     return stats.crossJoin(F.broadcast(ref)).select("lang", "n", "mean", "least", "most", F.bround(ratio(F.col("mean"), F.col("b_mean")), 3).alias("ratio"))  # one row
 
 
+def token_split(records: DataFrame, base: str = "en") -> DataFrame:
+    """Mean reasoning, answer and total tokens by language, over the records that have them, and their ratios to ``base``."""
+    rows = records.where(F.col("reasoning_tokens").isNotNull() & F.col("answer_tokens").isNotNull())
+    stats = rows.groupBy("lang").agg(F.count("*").alias("n"), F.avg("reasoning_tokens").alias("reason"), F.avg("answer_tokens").alias("answer"))
+    stats = stats.withColumn("total", F.col("reason") + F.col("answer"))
+    ref = stats.where(F.col("lang") == base).select(*(F.col(c).alias(f"b_{c}") for c in ("reason", "answer", "total")))
+    ratios = [ratio(F.col(c), F.col(f"b_{c}")).alias(f"{c}_ratio") for c in ("reason", "answer", "total")]
+    return stats.join(F.broadcast(ref), F.lit(True), "left").select("lang", "n", "reason", "answer", "total", *ratios)  # one row
+
+
+def against_baseline(ours: DataFrame, theirs: DataFrame) -> DataFrame:
+    """This run against a baseline run on the ids and languages that both have: paired 2 x 2 counts, accuracies and the exact McNemar test by language."""
+    pick = lambda df, c: df.select("id", "lang", F.col("correct").alias(c))
+    a, b = F.col("base"), F.col("this")
+    out = pick(theirs, "base").join(pick(ours, "this"), ["id", "lang"]).groupBy("lang").agg(
+        F.count("*").alias("n"), F.count_if(a & b).alias("both"), F.count_if(~a & ~b).alias("neither"), F.count_if(a & ~b).alias("base_only"), F.count_if(~a & b).alias("this_only"),
+        share(a).alias("base_accuracy"), share(b).alias("accuracy"),
+    )
+    return out.withColumn("p_value", mcnemar(F.col("base_only"), F.col("this_only")))
+
+
 def compare_models(ours: DataFrame, theirs: DataFrame) -> DataFrame:
     """Two runs on the ids and languages that both have: accuracies and mean tokens a language."""
     pick = lambda df, p: df.select("id", "lang", F.col("correct").alias(f"{p}_correct"), F.col("completion_tokens").alias(f"{p}_tokens"))
@@ -189,6 +244,20 @@ def repeat_stats(repeats: DataFrame, item: str, value: str) -> DataFrame:
     return repeats.groupBy(item).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("deviation"))
 
 
+def repeat_outcomes(repeats: DataFrame, item: str, value: str) -> DataFrame:
+    """``repeat_stats`` with how many repeats are correct, as k/n too, and how many were cut at the length limit."""
+    stats = repeats.groupBy(item).agg(
+        F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("deviation"), F.count_if("correct").alias("n_correct"), F.count_if(F.col("finish_reason") == "length").alias("n_length")
+    )
+    return stats.withColumn("correct_of", F.concat_ws("/", F.col("n_correct").cast("string"), F.col("n").cast("string")))
+
+
+def originals_over_twice(originals: DataFrame, item: str, group: str, value: str, base: str) -> DataFrame:
+    """By group the originals that are over twice their item's original in ``base``: n, n_over."""
+    ref = originals.where(F.col(group) == base).select(item, F.col(value).alias("_b"))
+    return originals.where(F.col(group) != base).join(ref, item).groupBy(group).agg(F.count("*").alias("n"), F.count_if(F.col(value) > 2 * F.col("_b")).alias("n_over"))
+
+
 def over_twice(repeats: DataFrame, item: str, group: str, value: str, base: str) -> DataFrame:
     """Share of a group's repeats over twice their item's mean in ``base``, and the ratio of the sums of item means."""
     means = repeats.groupBy(item, group).agg(F.avg(value).alias("m"))
@@ -203,3 +272,8 @@ def corrected_group(repeats: DataFrame, originals: DataFrame, item: str, value:
     means = repeats.groupBy(item).agg(F.avg(value).alias("m"))
     both = means.join(originals.select(item, F.col(value).alias("o")), item)
     return both.agg(F.count("*").alias("items"), F.avg("o").alias("mean_original"), F.avg("m").alias("mean_corrected"), ratio(F.sum("o"), F.sum("m")).alias("ratio"))
+
+
+def tensor_counts(tensors: DataFrame, part: Column) -> DataFrame:
+    """Tensors, elements and bytes by class: ``part`` gives the class from ``name``. ``tensors`` as of ``readers.tensors``."""
+    return tensors.groupBy(part.alias("part")).agg(F.count("*").alias("tensors"), F.sum("elements").alias("elements"), F.sum("bytes").alias("bytes"))

@@ -60,12 +60,12 @@ def gate_ratio(spark, d):
 
 
 @query(f"""WITH {RECORDS}, s AS (SELECT lang, count(*) AS n, avg(completion_tokens) AS c, avg(prompt_tokens + completion_tokens) AS t FROM records GROUP BY lang),
-f AS (SELECT *, CASE WHEN lang IN ('en', 'es') THEN n >= 1 ELSE false END AS complete FROM s)
+f AS (SELECT *, CASE WHEN lang IN ('en', 'es') THEN n = (SELECT count(*) FROM documents WHERE lang = 'en') ELSE false END AS complete FROM s)
 SELECT f.lang, f.n, round(f.c, 6) AS mean_completion, round(f.t, 6) AS mean_total, f.complete, round(CASE WHEN f.complete AND e.complete THEN f.t / e.t END, 6) AS ratio FROM f JOIN f e ON e.lang = 'en'""")
 def token_means(spark, d):
-    r = views.records(spark, d)
-    have = {x["lang"]: x["n"] for x in r.where(F.col("lang").isin("en", "es")).groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
-    return rounded(S.token_means(r, have))
+    """Every language should have as many answers as there are English documents."""
+    n = table(spark, d, "documents").where("lang = 'en'").count()
+    return rounded(S.token_means(views.records(spark, d), {"en": n, "es": n}))
 
 
 @query(f"""WITH {RECORDS} SELECT lang, count(*) AS n, count(*) FILTER (correct) AS n_correct, round(avg(correct::INT), 6) AS accuracy, median(completion_tokens)::DOUBLE AS median_completion,
@@ -238,23 +238,33 @@ def norm_text(spark, d):
 
 
 _NORM = "trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{L}\\p{M}\\p{Nd}\\p{Pc}]+', ' ', 'g'))"
-_OVER = f"""dn AS (SELECT doc_id, {_NORM} AS t FROM documents), bn AS (SELECT DISTINCT {_NORM} AS t FROM benchmark), ex AS (SELECT doc_id FROM dn WHERE t <> '' AND t IN (SELECT t FROM bn)),
-dg AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 12)) AS i FROM (SELECT doc_id, string_split(t, ' ') AS w FROM dn))),
-bg AS (SELECT DISTINCT array_to_string(w[i:i + 12], ' ') AS g FROM (SELECT w, unnest(generate_series(1, len(w) - 12)) AS i FROM (SELECT string_split(t, ' ') AS w FROM bn))),
-ov AS (SELECT doc_id, 'exact' AS reason FROM ex UNION ALL SELECT DISTINCT doc_id, 'ngram' FROM dg JOIN bg USING (g) WHERE doc_id NOT IN (SELECT doc_id FROM ex))"""
+_ITEM_LANG = "['en', 'es', 'fr', 'de'][item_id % 4 + 1]"
+_OVER = f"""dn AS (SELECT doc_id, lang, {_NORM} AS t FROM documents), bn AS (SELECT DISTINCT {_ITEM_LANG} AS lang, {_NORM} AS t FROM benchmark), ex AS (SELECT doc_id FROM dn JOIN bn USING (lang, t) WHERE t <> ''),
+dg AS (SELECT DISTINCT doc_id, lang, array_to_string(w[i:i + 12], ' ') AS g FROM (SELECT doc_id, lang, w, unnest(generate_series(1, len(w) - 12)) AS i FROM (SELECT doc_id, lang, string_split(t, ' ') AS w FROM dn))),
+bg AS (SELECT DISTINCT lang, array_to_string(w[i:i + 12], ' ') AS g FROM (SELECT lang, w, unnest(generate_series(1, len(w) - 12)) AS i FROM (SELECT lang, string_split(t, ' ') AS w FROM bn))),
+ov AS (SELECT doc_id, 'exact' AS reason FROM ex UNION ALL SELECT DISTINCT doc_id, 'ngram' FROM dg JOIN bg USING (lang, g) WHERE doc_id NOT IN (SELECT doc_id FROM ex))"""
+
+
+def _benchmark(spark, d) -> DataFrame:
+    """Benchmark texts, each of one language by its id."""
+    pick = F.get(F.array(*map(F.lit, ("en", "es", "fr", "de"))), (F.col("item_id") % 4).cast("int"))
+    return table(spark, d, "benchmark").withColumn("lang", pick)
 
 
 @query(f"WITH {_OVER} SELECT doc_id, reason FROM ov")
 def overlap_ngram(spark, d):
-    docs = table(spark, d, "documents")
-    same = table(spark, d, "benchmark")
-    return C.overlaps(docs, same, "doc_id")
+    return C.overlaps(table(spark, d, "documents"), _benchmark(spark, d), "doc_id")
+
+
+@query(f"WITH {_OVER} SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM ov)")
+def without_overlap(spark, d):
+    return C.without_overlap(table(spark, d, "documents"), _benchmark(spark, d), "doc_id").select("doc_id", "lang")
 
 
 @query(f"WITH {_OVER}, f AS (SELECT doc_id, ov.reason, n_chars FROM documents LEFT JOIN ov USING (doc_id)) SELECT 'exact' AS reason, count(*) AS n FROM f WHERE reason = 'exact' HAVING count(*) > 0 UNION ALL SELECT 'ngram', count(*) FROM f WHERE reason = 'ngram' HAVING count(*) > 0 UNION ALL SELECT 'too_long', count(*) FROM f WHERE n_chars > 6000 HAVING count(*) > 0 UNION ALL SELECT 'any', count(*) FROM f WHERE reason IS NOT NULL OR n_chars > 6000 HAVING count(*) > 0")
 def overlap_reasons(spark, d):
     docs = table(spark, d, "documents")
-    flags = docs.select("doc_id", "n_chars").join(C.overlaps(docs, table(spark, d, "benchmark"), "doc_id"), "doc_id", "left")
+    flags = docs.select("doc_id", "n_chars").join(C.overlaps(docs, _benchmark(spark, d), "doc_id"), "doc_id", "left")
     return C.reason_counts(flags, {"exact": F.col("reason") == "exact", "ngram": F.col("reason") == "ngram", "too_long": F.col("n_chars") > 6000})
 
 
@@ -295,7 +305,7 @@ def length_shares(spark, d):
 
 @query("SELECT lang, step, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM (SELECT lang, n_chars, (row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1) // 8 AS step FROM documents) GROUP BY lang, step")
 def step_batches(spark, d):
-    return C.batches(table(spark, d, "documents"), "lang", "doc_id", 8).groupBy("lang", "step").agg(F.count("*").alias("n"), F.sum("n_chars").cast("long").alias("chars"))
+    return C.batches(table(spark, d, "documents").select("lang", "doc_id", "n_chars"), ["lang"], "doc_id", 8).groupBy("lang", "step").agg(F.count("*").alias("n"), F.sum("n_chars").cast("long").alias("chars"))
 
 
 @query(f"WITH {REPEATS} SELECT item, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS deviation FROM repeats GROUP BY item")
@@ -353,12 +363,14 @@ def user_turns(spark, d):
 
 
 @query(f"""WITH {MESSAGES}, m AS (SELECT row_index, messages[-1].content AS c, len(messages) AS n FROM messages WHERE messages[-1].role = 'assistant')
-SELECT a.row_index, a.n::INT AS n_messages, 'plan ' || b.row_index || '</think>' || a.c AS last FROM m a JOIN m b ON b.row_index = a.row_index""")
+SELECT a.row_index, a.n::INT AS n_messages, 'plan ' || b.row_index || '</think>' || a.c AS last FROM m a JOIN m b ON b.row_index = a.row_index + 2 - 4 * (a.row_index // 2 % 2)""")
 def arm_mix(spark, d):
+    """Each conversation answers as it does and reasons as another one: ids 0 and 2, 1 and 3, 4 and 6 and so on."""
     m = views.messages(spark, d).where(F.element_at("messages", -1)["role"] == "assistant")
     head = F.slice("messages", F.lit(1), F.size("messages") - 1)
     with_thought = lambda word: F.concat(head, F.array(F.struct(F.lit("assistant").alias("role"), F.concat(F.lit(f"{word} "), F.col("row_index").cast("string"), F.lit("</think>"), F.element_at("messages", -1)["content"]).alias("content"))))
-    both = m.select("row_index", with_thought("think").alias("own"), with_thought("plan").alias("other"))
+    other = m.select((F.col("row_index") + 2 - 4 * (F.floor(F.col("row_index") / 2) % 2)).alias("row_index"), with_thought("plan").alias("other"))
+    both = m.select("row_index", with_thought("think").alias("own")).join(other, "row_index")
     both = both.where(T.one_split("own") & T.one_split("other"))
     return both.select("row_index", F.size("own").alias("n_messages"), F.element_at(T.mixed_arm("own", "other"), -1)["content"].alias("last"))
 
@@ -410,11 +422,13 @@ def key_difference(spark, d):
     return A.key_difference(r.where("doc_id % 10 <> 2"), r.where("doc_id % 10 <> 1"), ["id", "lang"])
 
 
-@query("SELECT doc_id, lang, source AS other_source, lang || '!' AS other_lang FROM documents")
+@query("SELECT n_nationkey AS position, n_name AS name, n_regionkey AS region, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS other_n FROM nation WHERE n_nationkey IN (SELECT s_nationkey FROM supplier)")
 def zip_join(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "lang", "source")
-    other = docs.select("doc_id", "source", F.concat("lang", F.lit("!")).alias("lang"))
-    return C.zipped(docs, other, "doc_id", ["source"], ["lang"]).select("doc_id", "lang", F.col("source").alias("other_source"), "other_lang")
+    """Nations beside their number of suppliers; both sides must name the same region."""
+    nation = table(spark, d, "nation").select(F.col("n_nationkey").alias("position"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"))
+    served = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    counts = served.groupBy(F.col("s_nationkey").alias("position"), F.col("r_regionkey").alias("region")).agg(F.count("*").alias("n"))
+    return C.zipped(nation, counts, "position", ["region"], ["n"])
 
 
 @query("SELECT part.p_partkey AS item, list_filter([p_name, nullif(p_name, p_name), p_type], lambda o: o IS NOT NULL AND trim(o) <> '')[2] AS second, 'B' AS gold FROM part")
@@ -454,12 +468,20 @@ def token_count(spark, d):
     return table(spark, d, "documents").select("doc_id", udfs.token_count(F.col("text")).alias("tokens"))
 
 
-@query()
+# the places of each stretch of 60 characters, taken from the left; what is carried along is 2**32 times the places taken, plus the last of them
+_LOOPS = """pl AS (SELECT doc_id, list(i ORDER BY i) AS ps FROM (SELECT doc_id, i, substr(text, i, 60) AS s FROM (SELECT doc_id, text, unnest(generate_series(1, length(text) - 59)) AS i FROM documents WHERE length(text) >= 300)) GROUP BY doc_id, s HAVING count(*) >= 5),
+lp AS (SELECT DISTINCT doc_id FROM pl WHERE list_reduce(list_prepend(4294967296 + ps[1], ps[2:]), lambda a, x: CASE WHEN x - a % 4294967296 >= 60 THEN (a // 4294967296 + 1) * 4294967296 + x ELSE a END) // 4294967296 >= 5)"""
+
+
+@query(f"WITH {_LOOPS} SELECT doc_id, doc_id IN (SELECT doc_id FROM lp) AS looping FROM documents")
 def looping(spark, d):
     return table(spark, d, "documents").select("doc_id", udfs.looping(F.col("text")).alias("looping"))
 
 
-@query()
+@query(f"""WITH {RECORDS}, {_LOOPS} SELECT lang, count(*) AS n, round(avg(correct::INT), 6) AS accuracy, round(avg(prompt_tokens), 6) AS mean_prompt, round(avg(completion_tokens), 6) AS mean_completion,
+  round(avg(prompt_tokens + completion_tokens), 6) AS mean_total, count(*) FILTER (finish_reason = 'length') AS n_length, count(*) FILTER (trim(coalesce(content, ''), E' \\n\\t') = '') AS n_empty, count(*) FILTER (doc_id IN (SELECT doc_id FROM lp)) AS n_looping,
+  count(*) FILTER (correct AND finish_reason = 'stop') AS n_correct_and_stop, sum(completion_tokens)::BIGINT AS completion_tokens_all,
+  round(1000.0 * (count(*) FILTER (correct AND finish_reason = 'stop'))::DOUBLE / sum(completion_tokens)::DOUBLE, 6) AS success_per_1k FROM records GROUP BY lang""")
 def efficiency_looping(spark, d):
     """The efficiency row with the count of looping answers."""
     r = views.records(spark, d)
@@ -499,4 +521,4 @@ SELECT step, sum(tokens)::BIGINT AS tokens, round(sum(loss)::DOUBLE / sum(tokens
 def loss_share(spark, d):
     m = views.messages(spark, d).withColumn("all", F.lit(1))
     m = m.select("all", "row_index", F.length(T.rendered_chat("messages")).cast("long").alias("tokens"), F.length(F.element_at("messages", -1)["content"]).cast("long").alias("loss"))
-    return rounded(C.step_totals(C.batches(m, "all", "row_index", 8), "step", "tokens", "loss"))
+    return rounded(C.step_totals(C.batches(m, [], "row_index", 8), "step", "tokens", "loss"))

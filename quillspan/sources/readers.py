@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import json
+import uuid
+from datetime import datetime
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspan import schemas
+from quillspan.operators.corpus import positions
 
 
 def records(spark: SparkSession, path: str | list[str], schema: str = schemas.RECORD) -> DataFrame:
@@ -23,13 +26,22 @@ def records_tolerant(spark: SparkSession, path: str | list[str], schema: str = s
     return _named(df.where("_bad IS NULL AND id IS NOT NULL AND lang IS NOT NULL").drop("_bad"))
 
 
+def records_unbroken(spark: SparkSession, path: str | list[str], schema: str = schemas.RECORD) -> DataFrame:
+    """JSON-lines records where every line must be one: a blank line stops the query like a malformed one."""
+    lines = spark.read.text(path)
+    one = F.from_json("value", schema, {"mode": "FAILFAST"})
+    whole = F.when(F.trim("value") == "", F.raise_error(F.lit("a blank line in the log")).cast("string")).otherwise(F.col("value"))
+    return _named(lines.withColumn("value", whole).select(one.alias("r"), F.col("_metadata.file_path").alias("_file")).select("r.*", "_file"))
+
+
 def _named(df: DataFrame) -> DataFrame:
-    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
+    path = F.col("_file") if "_file" in df.columns else F.col("_metadata.file_path")
+    name = F.element_at(F.split(path, "/"), -1)
     bench, tag = F.regexp_extract(name, r"^(\w+?)_raw", 1), F.regexp_extract(name, r"_raw\.(.+)\.jsonl", 1)
     cols = {"bench": F.nullif(bench, F.lit(""))}
     if "tag" in df.columns:
         cols["tag"] = F.coalesce("tag", F.nullif(tag, F.lit("")))
-    return df.withColumns(cols)
+    return df.withColumns(cols).drop("_file")
 
 
 def items(spark: SparkSession, path: str, schema: str = schemas.ITEM_NUMBER) -> DataFrame:
@@ -40,8 +52,16 @@ def items(spark: SparkSession, path: str, schema: str = schemas.ITEM_NUMBER) ->
 
 
 def numbered(df: DataFrame, order: Column | str, name: str = "id") -> DataFrame:
-    """Rows with their position from 1 in an explicit order (a small item table)."""
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(order)).cast("long"))
+    """Rows with their position from 1 in an explicit order."""
+    return positions(df, [], [order], name)
+
+
+def hub(spark: SparkSession, path: str, order: str, columns: dict[str, str] | None = None, name: str = "id") -> DataFrame:
+    """A local copy of a hub dataset (Parquet, or JSON lines where the path ends in .jsonl or .json), columns renamed by ``columns`` (old: new, others dropped), ids by position from 1 in ``order`` (a column of the result)."""
+    df = spark.read.json(path) if path.rstrip("/").endswith((".jsonl", ".json")) else spark.read.parquet(path)
+    if columns:
+        df = df.select(*(F.col(old).alias(new) for old, new in columns.items()))
+    return numbered(df, order, name)
 
 
 def first_rows(spark: SparkSession, path: str, columns: list[str], order: str, n: int) -> DataFrame:
@@ -49,24 +69,43 @@ def first_rows(spark: SparkSession, path: str, columns: list[str], order: str, n
     return spark.read.parquet(path).select(*columns).orderBy(order).limit(n)
 
 
-def shard_sample(spark: SparkSession, paths: list[str], shards: int) -> DataFrame:
-    """Rows of ``shards`` files at even distances in the sorted list, with their file name as ``shard``."""
-    paths = sorted(paths)
-    step = len(paths) / max(1, min(shards, len(paths)))
-    picked = [paths[int(i * step)] for i in range(min(shards, len(paths)))]
+def evenly(paths: list[str], n: int) -> list[str]:
+    """``n`` of the sorted paths at even distances, or all where they are fewer."""
+    paths, n = sorted(paths), min(n, len(paths))
+    return [paths[i * len(paths) // n] for i in range(n)]
+
+
+def shard_sample(spark: SparkSession, paths: list[str], shards: int, group_rows: int | None = None) -> DataFrame:
+    """Rows of ``shards`` files at even distances in the sorted list: their columns, ``shard`` (file name), ``row_group`` and ``row`` (within it).
+
+    With ``group_rows`` each file gives one run of that many rows, the k-th file
+    its k-th run, counted on from the start where the file has fewer.
+    """
+    picked = evenly(paths, shards)
     df = spark.read.parquet(*picked)
-    return df.withColumn("shard", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
+    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
+    rows = df.withColumns({"shard": name, "_at": F.col("_metadata.row_index")})
+    if group_rows is None:
+        return rows.withColumns({"row_group": F.lit(0).cast("long"), "row": F.col("_at")}).drop("_at")
+    number = spark.createDataFrame([(p.rstrip("/").rsplit("/", 1)[-1], k) for k, p in enumerate(picked)], "shard string, _k long")
+    sizes = rows.groupBy("shard").agg(F.ceil(F.count("*") / group_rows).alias("_groups")).join(number, "shard")
+    want = sizes.select("shard", (F.col("_k") % F.col("_groups")).alias("row_group"))
+    group = F.floor(F.col("_at") / group_rows)
+    return rows.join(F.broadcast(want), "shard").where(group == F.col("row_group")).withColumn("row", F.col("_at") % group_rows).drop("_at")  # a row a shard
 
 
 def cached(spark: SparkSession, path: str, build) -> DataFrame:
-    """The Parquet table at ``path``; built and written first if it isn't there."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        build().write.parquet(path)
-        return spark.read.parquet(path)
+    """The Parquet table at ``path``; built first if it isn't there. It is written beside its place and moved there when whole, so a broken run leaves nothing that is taken for it."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    target = hadoop.Path(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(hadoop.Path(path, "_SUCCESS")):
+        part = f"{path}.part-{uuid.uuid4().hex}"
+        build().write.parquet(part)
+        fs.delete(target, True)
+        if not fs.rename(hadoop.Path(part), target):
+            raise OSError(f"can't move the new table to {path}")
+    return spark.read.parquet(path)
 
 
 def csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -103,22 +142,53 @@ def headed_blocks(spark: SparkSession, path: str, header: str, names: list[str],
     return blocks.where(F.col("b").rlike(f"(?m)^{line}")).select(*parts, F.from_json(F.regexp_extract("b", f"(?m)^{line}", 1), schema).alias("value"))
 
 
-def float_rows(spark: SparkSession, path: str, width: int) -> DataFrame:
-    """Little-endian 32-bit floats in rows of ``width``: file, position, values."""
+def number_rows(spark: SparkSession, path: str, width: int, kind: str = "float") -> DataFrame:
+    """Little-endian 32-bit numbers (``float`` or ``int``) in rows of ``width``: file, position, values. A file that isn't whole rows stops the query."""
     from collections.abc import Iterator
 
     import numpy as np
     import pyarrow as pa
 
+    form = {"float": "<f4", "int": "<i4"}[kind]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, raw in zip(b.column(0).to_pylist(), b.column(1)):
-                rows = np.frombuffer(raw.as_buffer(), "<f4").reshape(-1, width)
+                rows = np.frombuffer(raw.as_buffer(), form).reshape(-1, width)
                 values = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * width), pa.array(rows.ravel()))
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows)), pa.array(np.arange(len(rows))), values], ["file", "position", "values"])
 
     files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
-    return files.mapInArrow(run, "file string, position long, values array<float>")
+    return files.mapInArrow(run, f"file string, position long, values array<{kind}>")
+
+
+def float_rows(spark: SparkSession, path: str, width: int) -> DataFrame:
+    return number_rows(spark, path, width)
+
+
+#: Bytes of one element by the type's name in a tensor file.
+ELEMENT_BYTES = {"F64": 8, "I64": 8, "U64": 8, "F32": 4, "I32": 4, "U32": 4, "F16": 2, "BF16": 2, "I16": 2, "U16": 2, "F8_E4M3": 1, "F8_E5M2": 1, "I8": 1, "U8": 1, "BOOL": 1}
+
+
+def tensors(spark: SparkSession, path: str) -> DataFrame:
+    """Tensors of the safetensors files that match ``path``: file, name, dtype, shape, elements, bytes. Only headers are read."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    rows = []
+    for status in fs.globStatus(hadoop.Path(path)) or []:
+        stream = fs.open(status.getPath())
+        try:
+            size = int.from_bytes(bytes(stream.readNBytes(8)), "little")
+            header = json.loads(bytes(stream.readNBytes(size)))
+        finally:
+            stream.close()
+        for name, t in header.items():
+            if name != "__metadata__":
+                n = 1
+                for d in t["shape"]:
+                    n *= d
+                rows.append((status.getPath().getName(), name, t["dtype"], t["shape"], n, t["data_offsets"][1] - t["data_offsets"][0]))
+    return spark.createDataFrame(rows, "file string, name string, dtype string, shape array<long>, elements long, bytes long")
 
 
 def hashes(spark: SparkSession, path: str) -> DataFrame:
@@ -126,8 +196,13 @@ def hashes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2("content", 256).alias("sha256"))
 
 
-def answered(items: DataFrame, respond, schema: str, workers: int = 4) -> DataFrame:
-    """Answers to items: ``respond`` makes, once a task, a function from a dict (an item) to a dict (an answer) or None for a failure, which stays pending. ``workers`` tasks run at a time."""
+def answered(items: DataFrame, respond, schema: str, workers: int = 4, until: datetime | None = None, now=datetime.now) -> DataFrame:
+    """Answers to items: ``respond`` makes, once a task, a function from a dict (an item) to a dict (an answer) or None for a failure, which stays pending.
+
+    Items are dealt to ``workers`` tasks, so no more are in flight at any time on
+    any cluster. From the moment ``until`` on no new item is begun; those in
+    flight end.
+    """
     from collections.abc import Iterator
 
     import pandas as pd
@@ -137,7 +212,12 @@ def answered(items: DataFrame, respond, schema: str, workers: int = 4) -> DataFr
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ask = respond()
         for f in frames:
-            got = [a for a in map(ask, f.to_dict("records")) if a is not None]
+            got = []
+            for item in f.to_dict("records"):
+                if until is not None and now() >= until:
+                    break
+                if (a := ask(item)) is not None:
+                    got.append(a)
             yield pd.DataFrame(got, columns=names)
 
     return items.repartition(workers).mapInPandas(run, schema)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import fcntl
+import json
 import os
 import re
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame
@@ -11,9 +14,19 @@ from pyspark.sql import functions as F
 
 
 def append_jsonl(df: DataFrame, path: str) -> None:
+    """Append as JSON lines: new files beside the old ones, which the committer publishes whole."""
     df.write.mode("append").json(path)
 
 
+def append_record(record: dict, path: str | Path) -> None:
+    """Append one record as a JSON line to a file of this machine, under a lock that other writers of it keep too."""
+    line = json.dumps(record, ensure_ascii=False) + "\n"
+    with open(path, "a", encoding="utf-8") as f:
+        fcntl.flock(f, fcntl.LOCK_EX)
+        f.write(line)
+        f.flush()
+
+
 def jsonl(df: DataFrame, path: str, by: str | None = None) -> None:
     """Overwrite with JSON lines, a folder for each value of ``by``."""
     w = df.write.mode("overwrite")
@@ -70,6 +83,7 @@ def published(path: str | Path, content: str) -> None:
 
 
 def ids(df: DataFrame, key: str, path: str) -> None:
+    """One id a line, in order, in one file: a subset is a small table."""
     df.select(F.col(key).cast("string")).orderBy(F.col(key).cast("long")).coalesce(1).write.mode("overwrite").text(path)
 
 
@@ -79,3 +93,15 @@ def done_if(df: DataFrame, expected: int, marker: str | Path) -> bool:
     if n == expected:
         published(marker, f"{n}\n")
     return n == expected
+
+
+def missing_jobs(rows: DataFrame, expected: DataFrame, keys: list[str]) -> DataFrame:
+    """Jobs of a queue (``expected``: keys and expected) whose rows aren't exactly as many as expected: keys, expected, n."""
+    have = rows.groupBy(*keys).agg(F.count("*").alias("n"))
+    return expected.join(have, keys, "left").withColumn("n", F.coalesce("n", F.lit(0))).where("n <> expected").select(*keys, "expected", "n")
+
+
+def run_queue(jobs: dict[str, Callable[[], DataFrame]], expected: dict[str, int], folder: str | Path) -> list[str]:
+    """Run jobs in order, each once: one whose marker stands in ``folder`` is passed over, and a marker is set only where the rows are exactly as many as expected. The names of those that are not complete."""
+    folder = Path(folder)
+    return [name for name, job in jobs.items() if not (folder / f"{name}.done").exists() and not done_if(job(), expected[name], folder / f"{name}.done")]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import signal
+import time
+from contextlib import contextmanager
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,11 +47,34 @@ def deadline(clock: str, now: datetime) -> datetime:
     return at if at > now else at + timedelta(days=1)
 
 
+def finish(query: StreamingQuery, patience: float = 60.0) -> None:
+    """Stop a query after the batch in flight: what has come in since is left for the next run. Where a batch takes longer than ``patience`` seconds it is broken off, and done anew by the next run."""
+    before = (query.lastProgress or {}).get("batchId")
+    end = time.monotonic() + patience
+    while query.isActive and query.status["isTriggerActive"] and time.monotonic() < end:
+        if (query.lastProgress or {}).get("batchId") != before:
+            break
+        time.sleep(0.02)
+    query.stop()
+
+
 def stop_at(query: StreamingQuery, when: datetime, now=datetime.now) -> bool:
     """Wait for a query until a moment, then stop it after the batch in flight; whether it ended by itself."""
     left = max(0.0, (when - now()).total_seconds())
     ended = query.awaitTermination(left)
     if not ended:
-        query.processAllAvailable()
-        query.stop()
+        finish(query)
     return bool(ended)
+
+
+@contextmanager
+def stopped_by_signal(query: StreamingQuery, signals: tuple[int, ...] = (signal.SIGINT, signal.SIGTERM)):
+    """While the block runs, the first of these signals ends the query after its batch in flight, instead of ending the program."""
+    old = {s: signal.getsignal(s) for s in signals}
+    for s in signals:
+        signal.signal(s, lambda *_: finish(query))
+    try:
+        yield query
+    finally:
+        for s, handler in old.items():
+            signal.signal(s, handler)

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,11 +60,43 @@ def test_options(spark):
     assert df.select(T.compacted("o"), T.compacted_gold("o", F.col("i")), T.compacted_gold("o", F.lit(1))).first()[:] == (["x", "y"], "B", None)
 
 
+def plainly(t, span=60, repeats=5):
+    """Every stretch, its places taken greedily from the left."""
+    for s in {t[i : i + span] for i in range(len(t) - span + 1)}:
+        n, at = 0, t.find(s)
+        while at >= 0:
+            n, at = n + 1, t.find(s, at + span)
+        if n >= repeats:
+            return True
+    return False
+
+
 def test_looping(spark):
-    assert udfs.loops("a" * 300) and not udfs.loops("a" * 299) and not udfs.loops("ab" * 30)
+    assert udfs.loops(["a" * 300, "a" * 299, "ab" * 30, None, ""]).tolist() == [True, False, False, False, False]
+    rng = random.Random(4)
+    unit = "".join(rng.choice("abcd é中😀") for _ in range(61))
+    texts = ["".join(rng.choice(["ab", "c ", "中"]) for _ in range(rng.randint(0, 400))) for _ in range(40)]
+    texts += [" ".join([unit] * n) for n in range(1, 8)] + [unit[:n] * 9 for n in (3, 7, 30, 33, 59, 60)] + [("x" * 70 + unit) * 4 + "y" * rng.randint(0, 90) for _ in range(5)]
+    for span, repeats in ((60, 5), (12, 3), (7, 2), (1, 4), (64, 2)):
+        assert udfs.loops(texts, span, repeats).tolist() == [plainly(t, span, repeats) for t in texts]
     df = spark.createDataFrame([(1, "a" * 300), (2, None), (3, "b" * 299)], "id int, t string")
     assert [r[1] for r in df.select("id", udfs.looping(F.col("t"))).orderBy("id").collect()] == [True, False, False]
-    assert one(spark, udfs.nfkc, "ﬁ") == "fi"
+    assert one(spark, udfs.nfkc, "ﬁ") == "fi" and one(spark, udfs.nfkc, None) is None and one(spark, udfs.norm, "  Ｅin, ﬁ-Fall_1! Ü\n") == "ein fi fall_1 ü"
+
+
+def test_hooks(spark):
+    df = spark.createDataFrame([(1, "uno dos"), (2, " "), (3, None), (4, "xx")], "id int, t string")
+    got = df.select("id", udfs.detected(F.col("t"), lambda: lambda t: "es" if "dos" in t else None).alias("d"), udfs.token_count(F.col("t"), lambda: lambda t: len(t.split())).alias("n")).orderBy("id").collect()
+    assert [(r["d"], r["n"]) for r in got] == [("es", 2), ("none", 0), ("none", 0), ("other", 1)]
+
+
+def test_small_functions(spark):
+    df = spark.createDataFrame([("es", "a", 3, None, 103.1), (None, None, 4, "q", 0.0)], "lang string, link string, number int, note string, v double")
+    got = df.select(T.localised("lang", {"es": "hola"}, "hi"), T.composite_key("link", "number"), T.present_json("lang", "number", "note"), stats.change_percent(F.col("v"), F.lit(100.0)), stats.change_percent(F.col("v"), F.lit(0.0))).collect()
+    assert [tuple(r) for r in got] == [("hola", "a:3", '{"lang":"es","number":3}', "+3.10%", None), ("hi", None, '{"number":4,"note":"q"}', "-100.00%", None)]
+    o = spark.createDataFrame([(["x", None], 1)], "o array<string>, i int")
+    with pytest.raises(Exception, match="empty option"):
+        o.select(T.compacted_gold_strict("o", F.col("i"))).collect()
 
 
 def test_mcnemar_published(spark):
