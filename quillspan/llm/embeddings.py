@@ -7,11 +7,15 @@ also probes lattice cells next to it, the neighbours of its point in the
 directions it leans to most. Two vectors meet where one's own cell is among the
 cells the other visits. Vectors of each length have projections of their own.
 
-Vectors that are equal component by component are one class. Each table's
-buckets are compared in blocks; a pair of classes counts in the first table in
-which it meets, so every link is counted once, and what leaves a block is a
-count for each member and a spanning forest of its links, never all pairs.
-Cosines are in double precision.
+Vectors that are equal component by component are one class. A bucket of up to
+``BLOCK`` classes is compared as it is; a pair that meets in several of them
+counts in the first table in which it meets. What meets in a larger bucket, a
+family of vectors that share many, is settled on ids first: each class has one
+home block, a part of the largest bucket it visits, and learns from its large
+buckets, once each, the blocks in which somebody meets it. Only then vectors
+move, one copy for each such block, and two blocks are compared once. What
+leaves a comparison is a count for each member and which members hang together,
+never all pairs. Cosines are in double precision.
 """
 
 from __future__ import annotations
@@ -25,9 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.llm.components import components
-from quillspan.llm.runtime import mix64, ship, written
+from quillspan.llm.runtime import mapped, mix64, ship, written
 
-COSINE, TABLES, SCALE, PROBES, BLOCK = 0.95, 10, 0.4, 4, 1024
+COSINE, TABLES, SCALE, PROBES = 0.95, 10, 0.4, 4
+#: Classes in a bucket that is compared as it is. Those in a home block are four times the root of the family within these bounds, so that copies grow with the power 1.5 of it.
+BLOCK, MOST_BLOCK = 256, 4096
 _LOWEST = -(1 << 63)
 
 
@@ -129,7 +135,7 @@ def _vectors(raw: pa.Array) -> np.ndarray:
 
 
 def _visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All cells of each class as bytes, and as a list for the join."""
+    """All cells of each class as bytes, and as a list for joins; its own cell of each table comes before the neighbours."""
     for b in batches:
         size = np.array([len(x) for x in b.column(1).to_pylist()])
         for dim in np.unique(size):
@@ -140,99 +146,119 @@ def _visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array([r.tobytes() for r in seen], pa.binary()), pa.ListArray.from_arrays(edges, pa.array(seen.ravel()))], ["id", "raw", "copies", "cells", "keys"])
 
 
-def _meeting(a: np.ndarray, b: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """Whether pairs of classes (rows of cells; ``a`` of the smaller id) count in the bucket ``key``.
+def _meetings(a: np.ndarray, b: np.ndarray, in_a: np.ndarray, in_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For pairs of classes (rows of cells; ``a`` of the smaller id): whether they meet in a large bucket, and the bucket that counts otherwise.
 
-    They do in the first table in which one's own cell is among those the
-    other visits, and there in the first one's own cell if the second visits it.
+    They meet where one's own cell is among those the other visits. Of the
+    first table in which they do, the first one's own cell counts if the second
+    visits it. ``in_a`` and ``in_b`` say by table whether one's own cell is a
+    large bucket.
     """
     to_a, to_b = (a[:, :, :1] == b).any(2), (b[:, :, :1] == a).any(2)
     t = (to_a | to_b).argmax(1)
     row = np.arange(len(a))
-    return np.where(to_a[row, t], a[row, t, 0], b[row, t, 0]) == key
+    return (to_a & in_a | to_b & in_b).any(1), np.where(to_a[row, t], a[row, t, 0], b[row, t, 0])
 
 
-def _links(cosine: float):
+def joined(n: int, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Smallest position that hangs together with each of ``n`` by the links ``p``-``q``."""
+    label = np.arange(n)
+    while True:
+        least = np.minimum(label[p], label[q])
+        before = label.copy()
+        np.minimum.at(label, p, least)
+        np.minimum.at(label, q, least)
+        label = label[label]
+        if (label == before).all():
+            return label
+
+
+def _compared(left: np.ndarray, right: np.ndarray, unit: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of linked pairs, one of ``left`` and one of ``right`` each; each pair once where both are the same."""
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    same = left is right
+    for at in range(0, len(left), 256):
+        i, j = np.nonzero(unit[left[at : at + 256]] @ unit[right].T >= cosine)
+        i = i + at
+        if same:
+            i, j = i[i < j], j[i < j]
+        found.append((left[i], right[j]))
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
+_TABLE_BITS = np.int64(1) << np.arange(TABLES)
+
+
+def _links(cosine: float, large: bool):
+    """Rows (lo, hi, first, id, raw, copies, cells, large) in order of (lo, hi) -> counts of links (id, links), and links that join what hangs together (id, other).
+
+    ``large``: rows are of two home blocks and only pairs that meet in a large
+    bucket count; else they are of the bucket ``lo`` and the others do, once.
+    """
     names = ["id", "links", "other"]
 
-    def compare(key: int, lo: int, hi: int, part: np.ndarray, ids: np.ndarray, unit: np.ndarray, seen: np.ndarray, copies: np.ndarray):
-        left, right = np.flatnonzero(part == lo), np.flatnonzero(part == hi)
-        links, pairs = np.zeros(len(ids), np.int64), []
-        for at in range(0, len(left), 256):
-            i, j = np.nonzero(unit[left[at : at + 256]] @ unit[right].T >= cosine)
-            i, j = left[at : at + 256][i], right[j]
-            if lo == hi:
-                i, j = i[i < j], j[i < j]
-            i, j = np.where(ids[i] < ids[j], i, j), np.where(ids[i] < ids[j], j, i)
-            for k in range(0, len(i), 4096):
-                p, q = i[k : k + 4096], j[k : k + 4096]
-                own = _meeting(seen[p], seen[q], key)
-                p, q = p[own], q[own]
-                np.add.at(links, p, copies[q])
-                np.add.at(links, q, copies[p])
-                pairs.append((p, q))
-        return links, pairs
+    def settle(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        lo, hi, first, ids, copies, own = (rows[c].to_numpy() for c in ("lo", "hi", "first", "id", "copies", "large"))
+        raw, seen = rows["raw"].combine_chunks(), np.frombuffer(b"".join(rows["cells"].to_pylist()), np.int64).reshape(len(ids), TABLES, 1 + PROBES)
+        size = np.array([len(x) for x in raw.to_pylist()])
+        inside = (own[:, None] & _TABLE_BITS) > 0
+        new = np.flatnonzero(np.append(True, (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])))
+        out: list[list[np.ndarray]] = [[], [], []]
+        for s, e in zip(new.tolist(), np.append(new[1:], len(lo)).tolist()):
+            for dim in np.unique(size[s:e]):
+                of = s + np.flatnonzero(size[s:e] == dim)
+                unit, every = _vectors(raw.take(pa.array(of))), np.arange(len(of))
+                left, right = (every, every) if lo[s] == hi[s] else (np.flatnonzero(first[of]), np.flatnonzero(~first[of]))
+                p, q = _compared(left, right, unit, cosine)
+                p, q = np.where(ids[of][p] < ids[of][q], p, q), np.where(ids[of][p] < ids[of][q], q, p)
+                counts = [np.zeros(0, bool)]
+                for k in range(0, len(p), 4096):
+                    i, j = of[p[k : k + 4096]], of[q[k : k + 4096]]
+                    among, key = _meetings(seen[i], seen[j], inside[i], inside[j])
+                    counts.append(among if large else ~among & (key == lo[s]))
+                counts = np.concatenate(counts)
+                p, q = p[counts], q[counts]
+                links = np.bincount(p, copies[of][q], len(of)) + np.bincount(q, copies[of][p], len(of))
+                label = joined(len(of), p, q)
+                some, child = np.flatnonzero(links), np.flatnonzero(label != every)
+                out[0] += [ids[of][some], ids[of][child]]
+                out[1] += [links[some].astype(np.int64), np.zeros(len(child), np.int64)]
+                out[2] += [np.full(len(some), _LOWEST), ids[of][label[child]]]
+        if out[0]:
+            i, n, other = (np.concatenate(c) for c in out)
+            none = np.concatenate([np.full(len(x), k % 2 == 0) for k, x in enumerate(out[2])])
+            yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(n), pa.array(other, mask=none)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
-
-        def settle(rows: pa.Table) -> pa.RecordBatch:
-            key, lo, hi, part, ids, copies = (rows[c].to_numpy() for c in ("key", "lo", "hi", "part", "id", "copies"))
-            raw, seen = rows["raw"].combine_chunks(), np.frombuffer(b"".join(rows["cells"].to_pylist()), np.int64).reshape(len(ids), TABLES, 1 + PROBES)
-            new = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])))
-            out: list[list] = [[], [], []]
-            for s, e in zip(new.tolist(), np.append(new[1:], len(key)).tolist()):
-                size = np.array([len(x) for x in raw[s:e].to_pylist()])
-                for dim in np.unique(size):
-                    rows_of = s + np.flatnonzero(size == dim)
-                    if len(rows_of) < 2:
-                        continue
-                    links, pairs = compare(key[s], lo[s], hi[s], part[rows_of], ids[rows_of], _vectors(raw.take(pa.array(rows_of))), seen[rows_of], copies[rows_of])
-                    some = np.flatnonzero(links)
-                    out[0] += ids[rows_of][some].tolist()
-                    out[1] += links[some].tolist()
-                    out[2] += [None] * len(some)
-                    for a, b in forest(len(rows_of), pairs):
-                        out[0].append(int(ids[rows_of[a]]))
-                        out[1].append(0)
-                        out[2].append(int(ids[rows_of[b]]))
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names)
-
         for b in batches:
             rows = pa.Table.from_batches([b])
             if held is not None:
                 rows = pa.concat_tables([held, rows])
-            same = np.ones(len(rows), bool)
-            for c in ("key", "lo", "hi"):
-                v = rows[c].to_numpy()
-                same &= v == v[-1]
-            cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+            lo, hi = rows["lo"].to_numpy(), rows["hi"].to_numpy()
+            other = np.flatnonzero((lo != lo[-1]) | (hi != hi[-1]))
+            cut = int(other[-1]) + 1 if len(other) else 0
             if cut:
-                yield settle(rows.slice(0, cut))
+                yield from settle(rows.slice(0, cut))
             held = rows.slice(cut)
         if held is not None and len(held):
-            yield settle(held)
+            yield from settle(held)
 
     return run
 
 
-def forest(n: int, pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int]]:
-    """Links that join all that ``pairs`` join, fewer than ``n``."""
-    root, out = list(range(n)), []
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    for p, q in pairs:
-        for a, b in zip(p.tolist(), q.tolist()):
-            x, y = find(a), find(b)
-            if x != y:
-                root[max(x, y)] = min(x, y)
-                out.append((a, b))
-    return out
+def _home_blocks(hits: DataFrame) -> DataFrame:
+    """Of classes in large buckets (id, key, own, members) the pairs of home blocks in which each is to be compared: id, lo, hi, first."""
+    biggest = F.max(F.struct("members", "key"))["key"].alias("cell")
+    homes = hits.groupBy("id").agg(biggest)
+    parts = F.ceil(F.col("n") / F.least(F.lit(MOST_BLOCK), F.greatest(F.lit(BLOCK), 4 * F.sqrt("n")))).cast("long")
+    sizes = homes.groupBy("cell").agg(F.count("*").alias("n"))
+    homes = homes.join(sizes, "cell").select("id", F.xxhash64("cell", F.pmod(F.xxhash64("id"), parts)).alias("home"))
+    at = written(hits.join(homes, "id").select("id", "home", "key", "own"), "at-home")
+    there = at.groupBy("key", "home").agg(F.count("*").alias("n"), F.max("own").alias("owned")).select(F.col("key").alias("k"), F.col("home").alias("with"), "n", "owned")
+    meets = (F.col("key") == F.col("k")) & (F.col("own") | F.col("owned")) & ((F.col("home") != F.col("with")) | (F.col("n") > 1))
+    met = at.join(there, meets).select("id", "home", "with").distinct()
+    return met.select("id", F.least("home", "with").alias("lo"), F.greatest("home", "with").alias("hi"), (F.col("home") < F.col("with")).alias("first"))
 
 
 def linked(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
@@ -246,17 +272,22 @@ def linked(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """
     ship(vectors.sparkSession)
     rows = vectors.select(F.coalesce(F.col("vec_id").cast("long"), F.lit(_LOWEST)).alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    each = written(rows.mapInArrow(_classes, "vec_id long, raw binary"), "vectors")
+    each = written(rows.transform(mapped(_classes, "vec_id long, raw binary")), "vectors", wide=True)
     classes = each.where("raw IS NOT NULL").groupBy("raw").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")).select("id", "raw", "copies")
-    seen = written(classes.mapInArrow(_visits, "id long, raw binary, copies long, cells binary, keys array<long>"), "cells")
-    visits = seen.select("id", F.posexplode("keys").alias("slot", "key")).groupBy("key", "id").agg(F.min(F.col("slot") % (1 + PROBES)).alias("probe"))
-    busy = visits.groupBy("key").agg(F.count("*").alias("members"), F.min("probe").alias("nearest")).where("members > 1 AND nearest = 0")
-    parts = F.ceil(F.col("members") / BLOCK).cast("long")
-    met = visits.join(busy.select("key", "members"), "key").select("id", "key", parts.alias("parts"), F.pmod(F.xxhash64("id"), parts).alias("part"))
-    blocks = met.select("id", "key", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("with"))
-    blocks = blocks.select("id", "key", "part", F.least("part", "with").alias("lo"), F.greatest("part", "with").alias("hi"))
-    dealt = blocks.join(seen.select("id", "raw", "copies", "cells"), "id").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "id")
-    found = written(dealt.mapInArrow(_links(cosine), "id long, links long, other long"), "links")
+    seen = written(classes.transform(mapped(_visits, "id long, raw binary, copies long, cells binary, keys array<long>")), "cells", wide=True)
+    visits = seen.select("id", F.posexplode("keys").alias("slot", "key")).select("id", "key", F.floor(F.col("slot") / (1 + PROBES)).cast("int").alias("t"), (F.col("slot") % (1 + PROBES) == 0).alias("own"))
+    busy = visits.groupBy("key").agg(F.count("*").alias("members"), F.max("own").alias("any")).where("members > 1 AND any")
+    busy = written(busy.select("key", "members"), "busy")
+    hits = written(visits.join(busy.where(F.col("members") > BLOCK), "key"), "large")
+    bits = hits.where("own").groupBy("id").agg(F.bit_or(F.get(F.lit(_TABLE_BITS.tolist()).cast("array<long>"), F.col("t"))).alias("large"))
+    moved = seen.select("id", "raw", "copies", "cells").join(bits, "id", "left").withColumn("large", F.coalesce("large", F.lit(0).cast("long")))
+    columns = ["lo", "hi", "first", "id", "raw", "copies", "cells", "large"]
+    small = visits.join(busy.where(F.col("members") <= BLOCK).select("key"), "key").select("id", F.col("key").alias("lo"), F.col("key").alias("hi"), F.lit(True).alias("first"))
+    found = []
+    for large, where in ((False, small), (True, _home_blocks(hits))):
+        dealt = where.join(moved, "id").select(*columns).repartition("lo", "hi").sortWithinPartitions("lo", "hi")
+        found.append(written(dealt.transform(mapped(_links(cosine, large), "id long, links long, other long")), "links", heavy=True))
+    found = found[0].unionByName(found[1])
     groups = components(found.where("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b")))
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
     whole = seen.select("id", "raw", "copies").join(counts, "id", "left").join(groups, "id", "left")
