@@ -205,22 +205,23 @@ def answered(items: DataFrame, respond, schema: str, workers: int = 4, until: da
     """
     from collections.abc import Iterator
 
-    import pandas as pd
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
 
-    names = [c for c in items.sparkSession.createDataFrame([], schema).columns]
+    form = to_arrow_schema(items.sparkSession.createDataFrame([], schema).schema)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ask = respond()
-        for f in frames:
+        for b in batches:
             got = []
-            for item in f.to_dict("records"):
+            for item in b.to_pylist():
                 if until is not None and now() >= until:
                     break
                 if (a := ask(item)) is not None:
                     got.append(a)
-            yield pd.DataFrame(got, columns=names)
+            yield pa.RecordBatch.from_pylist(got, schema=form)
 
-    return items.repartition(workers).mapInPandas(run, schema)
+    return items.repartition(workers).mapInArrow(run, schema)
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
