@@ -7,9 +7,9 @@ span ``SPAN`` neighbouring blocks and overlap by all but one, over the whole
 document; each filter's response is rectified and max-pooled over the
 document, and the pooled responses combine into one probability. Max-pooling
 needs no more memory for a long document than for a short one: it is taken
-slice by slice.
+slice by slice, each with the blocks that a filter at its end still spans.
 
-Fitting is bounded: ``PER_CLASS`` texts a class of at most ``MOST_BYTES`` bytes.
+Fitting is bounded: ``PER_CLASS`` texts a class, of longer ones windows of ``MOST_BYTES`` code points.
 """
 
 from __future__ import annotations
@@ -23,13 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.llm.labels import held_out, sample
-from quillspan.llm.runtime import ship
+from quillspan.llm.runtime import mapped, ship
 from quillspan.llm.words import texts
 
-PER_CLASS, MOST_BYTES = 1500, 4096
+PER_CLASS, MOST_BYTES = 1500, 8192
 BLOCK, SPAN, LAGS, DIM, FILTERS = 8, 3, 16, 6, 24
 STEPS, RATE, BATCH = 700, 0.01, 64
 CUT = 0.3
+#: Bytes of text that are scored at once.
+SLICE_BYTES = 1 << 18
 
 
 @dataclass
@@ -50,9 +52,11 @@ def blocks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     at = np.repeat(first[:-1] * BLOCK - offsets[:-1], size) + np.arange(len(data))
     flat[at] = data
     equal = np.zeros((len(flat) // BLOCK, LAGS - 1), np.float32)
+    begins = first[:-1, None] * BLOCK + np.arange(LAGS)
     for lag in range(2, LAGS + 1):
         same = np.zeros(len(flat), np.uint8)
         same[lag:] = (flat[lag:] == flat[:-lag]) & (flat[lag:] > 0)
+        same[begins[:, :lag]] = 0  # what stands in the text before doesn't count
         equal[:, lag - 2] = np.bitwise_count(same.view(np.uint64)) if BLOCK == 8 else same.reshape(-1, BLOCK).sum(1)
     return flat.reshape(-1, BLOCK), equal / np.float32(BLOCK), first
 
@@ -81,8 +85,24 @@ def pooled(net: Network, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.maximum(np.maximum.reduceat(y, first[:-1], axis=0) + net.bias, 0)
 
 
+def pooled_long(net: Network, data: np.ndarray, size: int) -> np.ndarray:
+    """As ``pooled`` of one text, in slices of ``size`` bytes (a multiple of ``BLOCK``), each read with what its lags and filters reach."""
+    best, before = np.full(net.bias.shape, -np.inf, np.float32), -(-LAGS // BLOCK)
+    for at in range(0, max(1, len(data)), size):
+        lead = min(before, at // BLOCK)
+        part = data[at - lead * BLOCK : at + size + (SPAN - 1) * BLOCK]
+        if at and len(part) <= (lead + SPAN - 1) * BLOCK:
+            break  # all blocks were reached from the slice before
+        raw, equal, _ = blocks(part, np.array([0, len(part)]))
+        raw, equal = raw[lead:], equal[lead:]
+        if len(raw) >= SPAN:
+            best = np.maximum(best, _responses(net, _inputs(net, raw, equal)).max(0))
+    return np.maximum(best + net.bias, 0)[None]
+
+
 def probabilities(net: Network, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    z = pooled(net, data, offsets).astype(np.float64) @ net.out.astype(np.float64) + net.shift
+    each = pooled_long(net, data, SLICE_BYTES) if len(offsets) == 2 and len(data) > SLICE_BYTES else pooled(net, data, offsets)
+    z = each.astype(np.float64) @ net.out.astype(np.float64) + net.shift
     return 1 / (1 + np.exp(-z))
 
 
@@ -143,7 +163,9 @@ def scored(docs: DataFrame, net: Network) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score, predicted.
 
     Null texts count as empty, an empty text is scored by its padding; texts
-    are read whole; only doc_id and text are read; an empty table gives an
+    of any length are read whole; repeated rows have equal scores; a null doc_id
+    stays null and counts as the empty text in ``held_out``; only doc_id and
+    text are read, whatever other columns are called; an empty table gives an
     empty result.
     """
     ship(docs.sparkSession)
@@ -151,22 +173,22 @@ def scored(docs: DataFrame, net: Network) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, hi, data, offsets in texts(b.column(2)):
+            for lo, hi, data, offsets in texts(b.column(2), SLICE_BYTES):
                 p = probabilities(shared.value, data, offsets)
                 yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], b.column(1)[lo:hi], pa.array(p), pa.array((p >= CUT).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return rows.transform(mapped(run, "doc_id long, held_out boolean, score double, predicted int"))
 
 
 def accepted(docs: DataFrame, net: Network) -> DataFrame:
-    """``docs`` without those that the network rejects, all columns as they are: the score is computed beside each row."""
+    """``docs`` without those that the network rejects, all columns as they are: the score is computed beside each row, with or without a doc_id. Null and empty texts are scored like any other."""
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, hi, data, offsets in texts(b.column(b.schema.get_field_index("text"))):
+            for lo, hi, data, offsets in texts(b.column(b.schema.get_field_index("text")), SLICE_BYTES):
                 yield b.slice(lo, hi - lo).filter(pa.array(probabilities(shared.value, data, offsets) >= CUT))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(mapped(run, docs.schema))
