@@ -6,13 +6,16 @@ fitting, those probabilities are out-of-fold predictions, so that a later
 model sees earlier ones as they are on texts they haven't learned from;
 applying the chain feeds each model's own predictions forward.
 
-Where a table marks toxic texts only, ``weak_labels`` divides them by seed words
-into insults to a person and contempt for a thing; the last category is the
-mark itself, learned from all words.
+Where a table marks toxic texts only, the first categories are kinds of toxic
+texts found by clustering the marked ones on the words that go with the mark;
+the last category is the mark itself. A text's kinds are thus learned before the
+chain decides whether it is toxic.
 
 Words are runs of letters (ASCII lower case; all bytes outside ASCII count as
-letters). Only words whose presence differs clearly between classes become
-features. Fitting is bounded: ``PER_CLASS`` texts a class of at most ``MOST_BYTES``.
+letters). A text has its words and, since a stem takes many endings, the first
+bytes of longer ones (``STEMS``). Only those whose presence differs clearly
+between classes become features, ``MOST_FEATURES`` at most. Fitting is bounded: ``PER_CLASS`` texts a
+class, of longer ones windows of ``MOST_BYTES`` code points.
 """
 
 from __future__ import annotations
@@ -26,13 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.llm.labels import FOLDS, held_out, sample
-from quillspan.llm.runtime import mix64, ship
-from quillspan.llm.words import split_words, texts
-
-PER_CLASS, MOST_BYTES = 2000, 4096
-LEAST_TEXTS, LEAST_Z, MOST_FEATURES, RIDGE, CUT = 5, 5.0, 512, 1.0, 0.5
-CATEGORIES = ("insult", "contempt", "toxic")
-SEEDS = {"insult": ("idiot", "moron", "clown", "loser", "scum", "fool"), "contempt": ("stupid", "pathetic", "worthless", "disgusting", "trash", "garbage")}
+from quillspan.llm.runtime import mapped, mix64, ship
+from quillspan.llm.words import byte_hashes, split_words, texts
+
+PER_CLASS, MOST_BYTES = 3000, 8192
+LEAST_TEXTS, LEAST_Z, MOST_FEATURES, RIDGE, CUT = 5, 5.0, 256, 1.0, 0.5
+KINDS, ROUNDS = 2, 12
+#: Lengths of stems in bytes.
+STEMS = (4, 5, 6, 7)
+CATEGORIES = (*(f"kind_{k + 1}" for k in range(KINDS)), "toxic")
 _BETWEEN = np.ones(256, bool)
 _BETWEEN[65:91] = _BETWEEN[97:123] = _BETWEEN[128:] = False
 
@@ -45,9 +50,15 @@ class Chain:
 
 
 def present(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct words of each text as (text, hash)."""
+    """Words and stems of the texts as (text, hash), repeated ones too."""
     w = split_words(data, offsets, lower=True, between=_BETWEEN)
-    return w.text_of(), w.hash
+    text, size = w.text_of(), w.end - w.start
+    found, of = [w.hash], [text]
+    for k in STEMS:
+        long = np.flatnonzero(size > k)
+        found.append(byte_hashes(w.data, w.start[long], w.start[long] + k, 0x3C6EF372FE94F82B))
+        of.append(text[long])
+    return np.concatenate(of), np.concatenate(found)
 
 
 def features(words: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -86,31 +97,93 @@ def apply(chain: Chain, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def weak_labels(toxic: np.ndarray, data: np.ndarray, offsets: np.ndarray, seeds: dict[str, tuple[str, ...]] = SEEDS) -> dict[str, np.ndarray]:
-    """Labels of the seeded categories and, last, of the mark itself."""
-    out = {}
-    for name, words in seeds.items():
-        raw = " ".join(words).encode()
-        h = np.sort(split_words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), lower=True, between=_BETWEEN).hash)
-        out[name] = (features(h, data, offsets).any(1) & (toxic == 1)).astype(float)
-    return out | {CATEGORIES[-1]: toxic.astype(float)}
+def kinds(x: np.ndarray, k: int = KINDS, rounds: int = 20) -> np.ndarray:
+    """Cluster of each row of 0 and 1: spherical k-means, begun from the row with most ones and then from rows farthest from those before, so alike in every run. A row without ones is of kind 0."""
+    size = np.sqrt(x.sum(1))
+    unit = x / np.maximum(size, 1)[:, None]
+    if not len(x):
+        return np.zeros(0, np.int64)
+    centres = [unit[size.argmax()]]
+    for _ in range(k - 1):
+        near = np.max([unit @ c for c in centres], axis=0)
+        centres.append(unit[np.where(size > 0, near, 2.0).argmin()])
+    of = np.zeros(len(x), np.int64)
+    for _ in range(rounds):
+        new = np.where(size > 0, (unit @ np.array(centres).T).argmax(1), 0)
+        if (new == of).all():
+            break
+        of = new
+        centres = [m / max(np.linalg.norm(m), 1e-12) if (m := unit[of == c].sum(0)).any() else centres[c] for c in range(k)]
+    return of
+
+
+def telling_words(labels: dict[str, np.ndarray], data: np.ndarray, offsets: np.ndarray, slice_bytes: int = 1 << 20) -> np.ndarray:
+    """Hashes, in order, of words and stems whose presence differs clearly between the classes of some category. Texts are taken slice by slice, and what few of them have is dropped before it is weighed. Of those that the same texts have, one stays. Words are picked in rounds; texts that have a picked word count less from then on, so that rarer kinds get theirs."""
+    n, lo, seen, text = len(offsets) - 1, 0, [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
+    while lo < n:
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + slice_bytes, "right")) - 1)
+        of, found = present(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+        order = np.lexsort((found, of))
+        of, found = of[order], found[order]
+        new = np.append(True, (of[1:] != of[:-1]) | (found[1:] != found[:-1]))[: len(of)]
+        seen.append(found[new])
+        text.append((lo + of[new]).astype(np.int32))
+        lo = hi
+    every, of = np.concatenate(seen), np.concatenate(text)
+    order = np.argsort(every)
+    every, of = every[order], of[order]
+    first = np.flatnonzero(np.append(True, every[1:] != every[:-1])[: len(every)])
+    count = np.diff(np.append(first, len(every)))
+    often = np.repeat(count >= LEAST_TEXTS, count)
+    every, of = every[often], of[often]
+    words, count = every[np.append(True, every[1:] != every[:-1])[: len(every)]], count[count >= LEAST_TEXTS]
+    at = np.repeat(np.arange(len(words)), count)
+    first = np.cumsum(count) - count
+    alike = np.add.reduceat(mix64(of.astype(np.uint64)), first) if len(of) else np.zeros(0, np.uint64)
+    alone = np.unique(alike, return_index=True)[1]
+    free = np.zeros(len(words), bool)
+    free[alone] = True
+    for y in labels.values():
+        weight = np.ones(n)
+        for _ in range(ROUNDS):
+            ones, both = np.bincount(at, (weight * y)[of], len(words)), np.bincount(at, weight[of], len(words))
+            share = (weight * y).sum() / max(weight.sum(), 1e-9)
+            z = np.where(free, (ones - both * share) / np.sqrt(np.maximum(both * share * (1 - share), 1e-9)), 0)
+            best = np.argsort(-z, kind="stable")[: max(1, MOST_FEATURES // (ROUNDS * len(labels)))]
+            best = best[z[best] >= LEAST_Z]
+            if not len(best):
+                break
+            free[best] = False
+            told = np.zeros(len(words), bool)
+            told[best] = True
+            covered = np.zeros(n, bool)
+            covered[of[told[at]]] = True
+            weight[covered & (y == 1)] *= 0.3
+    return np.sort(words[alone[~free[alone]]])
+
+
+def kind_labels(toxic: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
+    """Labels of the kinds of marked texts and, last, of the mark itself."""
+    toxic = toxic.astype(float)
+    x, of = features(telling_words({"toxic": toxic}, data, offsets), data, offsets), np.full(len(toxic), -1)
+    of[toxic == 1] = kinds(x[toxic == 1])
+    return {name: (of == k).astype(float) for k, name in enumerate(CATEGORIES[:-1])} | {CATEGORIES[-1]: toxic}
+
+
+def out_of_fold(x: np.ndarray, y: np.ndarray, fold: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """Probability of each row by a model that was fitted without its fold; by the ``whole`` model where the other folds have one class only."""
+    out = np.zeros(len(y))
+    for f in np.unique(fold):
+        own = fold == f
+        w = logistic(x[~own], y[~own]) if len(set(y[~own].tolist())) > 1 else whole
+        out[own] = _sigmoid(np.hstack([x[own], np.ones((own.sum(), 1))]) @ w)
+    return out
 
 
 def fit(labels: dict[str, np.ndarray], data: np.ndarray, offsets: np.ndarray, fold: np.ndarray) -> Chain:
     """A chain over ``labels`` in their order; ``fold`` numbers the fold of each text. A category of one class has a constant model."""
     n = len(offsets) - 1
-    w = split_words(data, offsets, lower=True, between=_BETWEEN)
-    seen = [np.unique(w.hash[s:e]) for s, e in zip(w.first[:-1].tolist(), w.first[1:].tolist())]
-    text = np.repeat(np.arange(n), [len(x) for x in seen])
-    words, at, count = np.unique(np.concatenate([*seen, np.zeros(0, np.uint64)]), return_inverse=True, return_counts=True)
-    best = np.zeros(len(words))
-    for y in labels.values():
-        ones = np.bincount(at, y[text], minlength=len(words))
-        share = y.mean() if n else 0
-        best = np.maximum(best, np.abs(ones - count * share) / np.sqrt(np.maximum(count * share * (1 - share), 1e-9)))
-    good = np.flatnonzero((count >= LEAST_TEXTS) & (best >= LEAST_Z))
-    good = good[np.argsort(-best[good], kind="stable")][:MOST_FEATURES]
-    chain = Chain(tuple(labels), np.sort(words[good]), [])
+    chain = Chain(tuple(labels), telling_words(labels, data, offsets), [])
     x = features(chain.words, data, offsets)
     before = np.zeros((n, 0))
     for y in labels.values():
@@ -118,27 +191,25 @@ def fit(labels: dict[str, np.ndarray], data: np.ndarray, offsets: np.ndarray, fo
         if len(set(y.tolist())) < 2:
             w = np.zeros(own.shape[1] + 1)
             w[-1] = 5.0 if n and y[0] else -5.0
-            chain.weights.append(w)
-            before = np.hstack([before, np.full((n, 1), _sigmoid(w[-1:])[0])])
-            continue
-        chain.weights.append(logistic(own, y))
-        unseen = np.zeros((n, 1))
-        for f in np.unique(fold):
-            out = fold == f
-            rest = y[~out]
-            w = logistic(own[~out], rest) if len(set(rest.tolist())) > 1 else chain.weights[-1]
-            unseen[out, 0] = _sigmoid(np.hstack([own[out], np.ones((out.sum(), 1))]) @ w)
-        before = np.hstack([before, unseen])
+            unseen = np.full(n, _sigmoid(w[-1:])[0])
+        else:
+            w = logistic(own, y)
+            unseen = out_of_fold(own, y, fold, w)
+        chain.weights.append(w)
+        before = np.hstack([before, unseen[:, None]])
     return chain
 
 
+def folds(n: int) -> np.ndarray:
+    return (mix64(np.arange(n, dtype=np.uint64)) % np.uint64(FOLDS)).astype(np.int64)
+
+
 def fit_table(rows: pa.Table) -> Chain:
     """A chain from sampled rows (text, label)."""
     column = rows["text"].combine_chunks()
     got = list(texts(column, 1 << 40)) if len(column) else [(0, 0, np.zeros(0, np.uint8), np.zeros(1, np.int64))]
     _, _, data, offsets = got[0]
-    fold = (mix64(np.arange(len(column), dtype=np.uint64)) % np.uint64(FOLDS)).astype(np.int64)
-    return fit(weak_labels(rows["label"].to_numpy(), data, offsets), data, offsets, fold)
+    return fit(kind_labels(rows["label"].to_numpy(), data, offsets), data, offsets, folds(len(column)))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Chain:
@@ -149,7 +220,9 @@ def scored(docs: DataFrame, chain: Chain) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, a probability p_<category> for each category, predicted (1 if the last is at least ``CUT``).
 
     Null and empty texts have no words and get the chain's base rates; texts
-    are read whole; only doc_id and text are read; an empty table gives an
+    of any length are read whole; repeated rows have equal results; a null doc_id
+    stays null and counts as the empty text in ``held_out``; only doc_id and
+    text are read, whatever other columns are called; an empty table gives an
     empty result.
     """
     ship(docs.sparkSession)
@@ -163,4 +236,4 @@ def scored(docs: DataFrame, chain: Chain) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], b.column(1)[lo:hi], *(pa.array(c) for c in p.T.copy()), pa.array((p[:, -1] >= CUT).astype(np.int32))], names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, " + ", ".join(f"p_{c} double" for c in chain.categories) + ", predicted int")
+    return rows.transform(mapped(run, "doc_id long, held_out boolean, " + ", ".join(f"p_{c} double" for c in chain.categories) + ", predicted int"))
