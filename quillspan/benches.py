@@ -42,6 +42,20 @@ def register(bench: Bench) -> Bench:
     return bench
 
 
+def check_arguments(bench: str, langs: list[str], items: int | None = None, limit: int | None = None, repeat: int | None = None, ids: list[int] | None = None, known_ids: set[int] | None = None) -> None:
+    """An error that says what is wrong with the arguments of a run, before anything is asked."""
+    if bench not in BENCHES:
+        raise ValueError(f"unknown benchmark {bench}; known: {', '.join(sorted(BENCHES))}")
+    if not langs or set(langs) - set(BENCHES[bench].templates) or len(set(langs)) < len(langs):
+        raise ValueError(f"languages must be a non-empty subset of {', '.join(BENCHES[bench].templates)}")
+    if limit is not None and (limit < 1 or items is not None and limit > items):
+        raise ValueError(f"the limit must be between 1 and the number of items ({items})")
+    if repeat is not None and repeat < 1:
+        raise ValueError("a repeat is at least 1")
+    if ids is not None and known_ids is not None and (lost := sorted(set(ids) - known_ids)):
+        raise ValueError(f"no item has the ids {lost}")
+
+
 _LETTER = {"en": "{question}\n\n{options}\n\nAnswer:", "es": "{question}\n\n{options}\n\nRespuesta:", "zh": "{question}\n\n{options}\n\n答案："}
 register(Bench("mgsm", schemas.ITEM_NUMBER, {"en": "{question}", "es": "{question}", "zh": "{question}"}))
 register(Bench("belebele", schemas.ITEM_CHOICE, _LETTER))

@@ -277,3 +277,23 @@ def corrected_group(repeats: DataFrame, originals: DataFrame, item: str, value:
 def tensor_counts(tensors: DataFrame, part: Column) -> DataFrame:
     """Tensors, elements and bytes by class: ``part`` gives the class from ``name``. ``tensors`` as of ``readers.tensors``."""
     return tensors.groupBy(part.alias("part")).agg(F.count("*").alias("tensors"), F.sum("elements").alias("elements"), F.sum("bytes").alias("bytes"))
+
+
+def manifest_tables(records: DataFrame, manifest: DataFrame, base: str = "en") -> DataFrame:
+    """Efficiency rows of all runs that a manifest lists (model, bench, setting, tag, expected_n), by language, with the ratio of mean total tokens to ``base`` and a status.
+
+    ``records`` has bench and tag. A run without records has one row, of no
+    language, ``not run``; one in which a language has fewer records than
+    expected is ``incomplete``.
+    """
+    keys = ["model", "bench", "setting", "tag"]
+    rows = records.join(manifest.select(*keys, "expected_n"), ["bench", "tag"])
+    total, good = F.col("prompt_tokens") + F.col("completion_tokens"), F.count_if(F.col("correct") & (F.col("finish_reason") == "stop"))
+    stats = rows.groupBy(*keys, "expected_n", "lang").agg(
+        F.count("*").alias("n"), share(F.col("correct")).alias("accuracy"), F.avg(total).alias("mean_total"), (ratio(good, F.sum("completion_tokens")) * 1000).alias("success_per_1k")
+    )
+    ref = stats.where(F.col("lang") == base).select(*keys, F.col("mean_total").alias("_b"))
+    whole = stats.groupBy(*keys).agg(F.min(F.col("n") >= F.col("expected_n")).alias("_whole"))
+    out = manifest.select(*keys).join(stats.drop("expected_n"), keys, "left").join(ref, keys, "left").join(whole, keys, "left")
+    status = F.when(F.col("n").isNull(), "not run").when(F.col("_whole"), "ok").otherwise("incomplete")
+    return out.select(*keys, status.alias("status"), "lang", "n", "accuracy", "mean_total", "success_per_1k", ratio(F.col("mean_total"), F.col("_b")).alias("total_ratio"))

@@ -414,6 +414,19 @@ def tensor_counts(spark, d):
     return S.tensor_counts(rows, F.substring_index("name", ".", 1))
 
 
+@query(f"""WITH {RECORDS}, mf AS (SELECT * FROM (VALUES ('m0', 'b', 'thinking', 'run0', 40), ('m0', 'b', 'off', 'run1', 1000000), ('m1', 'b', 'off', 'absent', 5)) AS t(model, bench, setting, tag, expected_n)),
+s AS (SELECT mf.model, mf.bench, mf.setting, mf.tag, expected_n, lang, count(*) AS n, avg(correct::INT) AS a, avg(prompt_tokens + completion_tokens) AS m, 1000.0 * (count(*) FILTER (correct AND finish_reason = 'stop'))::DOUBLE / sum(completion_tokens)::DOUBLE AS k
+  FROM records r JOIN mf ON mf.tag = 'run' || r.id % 3 GROUP BY ALL),
+w AS (SELECT tag, bool_and(n >= expected_n) AS whole FROM s GROUP BY tag)
+SELECT mf.model, mf.bench, mf.setting, mf.tag, CASE WHEN s.n IS NULL THEN 'not run' WHEN w.whole THEN 'ok' ELSE 'incomplete' END AS status, s.lang, s.n, round(s.a, 6) AS accuracy, round(s.m, 6) AS mean_total, round(s.k, 6) AS success_per_1k, round(s.m / e.m, 6) AS total_ratio
+FROM mf LEFT JOIN s USING (tag) LEFT JOIN w USING (tag) LEFT JOIN s e ON e.tag = mf.tag AND e.lang = 'en'""")
+def manifest_tables(spark, d):
+    """The tables of all runs that a manifest lists."""
+    manifest = spark.createDataFrame([("m0", "b", "thinking", "run0", 40), ("m0", "b", "off", "run1", 1_000_000), ("m1", "b", "off", "absent", 5)], "model string, bench string, setting string, tag string, expected_n long")
+    rows = views.records(spark, d).withColumns({"bench": F.lit("b"), "tag": F.concat(F.lit("run"), (F.col("id") % 3).cast("string"))})
+    return rounded(S.manifest_tables(rows, manifest))
+
+
 # Growing logs.
 @query("SELECT lang, count(*) AS n, count(*) FILTER (doc_id % 3 = 0) AS n_correct, sum(n_chars)::BIGINT AS completion_tokens FROM documents GROUP BY lang")
 def live_scorecard(spark, d):

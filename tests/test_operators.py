@@ -135,6 +135,10 @@ def test_benches(spark):
         df = spark.createDataFrame([("own", "en", "x", "x"), ("own", "fr", None, "x")], "bench string, lang string, content string, gold string")
         got = S.with_unparsed(S.scored(df)).select("correct", "unparsed", benches.BENCHES["own"].prompt(F.col("lang"), F.col("gold"))).collect()
         assert [tuple(r) for r in got] == [(True, False, "Q x"), (None, True, None)]
+        benches.check_arguments("own", ["en"], 5, 5, 1, [1], {1, 2})
+        for bad in (("none", ["en"]), ("own", []), ("own", ["xx"]), ("own", ["en", "en"]), ("own", ["en"], 5, 6), ("own", ["en"], 5, 0), ("own", ["en"], 5, 5, 0), ("own", ["en"], 5, 5, 1, [3], {1})):
+            with pytest.raises(ValueError):
+                benches.check_arguments(*bad)
     finally:
         for d in (benches.BENCHES, S.CORRECT, S.ANSWERED):
             d.pop("own", None)
