@@ -78,7 +78,7 @@ def jsonl_partitioned(spark, d):
     return spark.read.schema("source string, doc_id long, lang string").json(path).groupBy("lang", "source").agg(F.count("*").alias("n"))
 
 
-@query("SELECT n_nationkey AS id, n_name AS name, n_regionkey AS region FROM nation")
+@query("SELECT n_nationkey::BIGINT AS id, n_name AS name, n_regionkey::BIGINT AS region FROM nation")
 def json_document(spark, d):
     """A result table as one JSON array, published and read as a document."""
     rows = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name"), F.col("n_regionkey").cast("long").alias("region"))
@@ -445,14 +445,14 @@ def live_scorecard(spark, d):
     return spark.createDataFrame(out, "lang string, n long, n_correct long, completion_tokens long")
 
 
-@query("SELECT n_nationkey AS id, n_name || '!' AS content FROM nation WHERE n_nationkey % 4 <> 2")
+@query("SELECT n_nationkey::BIGINT AS id, n_name || '!' AS content FROM nation WHERE n_nationkey % 4 <> 2")
 def answered(spark, d):
     """Answers of a responder; failed items are missing."""
     items = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("question"))
     return readers.answered(items, lambda: lambda x: None if x["id"] % 4 == 2 else {"id": x["id"], "content": x["question"] + "!"}, "id long, content string", workers=2)
 
 
-@query("SELECT n_nationkey AS id, n_name AS question FROM nation WHERE n_nationkey % 4 = 2")
+@query("SELECT n_nationkey::BIGINT AS id, n_name AS question FROM nation WHERE n_nationkey % 4 = 2")
 def retried(spark, d):
     """What the next run has to ask again."""
     items = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("question"))
