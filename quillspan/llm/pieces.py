@@ -19,8 +19,9 @@ path's inclusion score 1 - exp(-exp(log_prob - kappa)), kept as a logarithm.
 All draws are hashes of the row key and the place of the decision, so a row's
 sample doesn't depend on its neighbours, the partitioning or a retry.
 
-No piece goes beyond a word with the spaces before it, so each distinct word of
-a slice of texts gets its lattice once, and all words advance together.
+No piece goes beyond a word with the spaces before it, so each distinct word
+gets its lattice once, kept for the texts that follow in a store of bounded
+size, and all words advance together.
 """
 
 from __future__ import annotations
@@ -37,7 +38,9 @@ from pyspark.sql import functions as F
 from quillspan.llm.runtime import keep_memory, mapped, mix64, ship
 from quillspan.llm.words import _BYTE, _R, byte_hashes, powers, texts
 
-SAMPLES, TEMPERATURE, SLICE_BYTES = 2, 1.0, 500_000
+SAMPLES, TEMPERATURE, SLICE_BYTES = 2, 1.0, 180_000
+#: Edges of lattices that a process keeps (about 30 bytes each); beyond it the store starts anew.
+MOST_EDGES = 1_000_000
 _BITS = 20
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -82,16 +85,48 @@ class Vocabulary:
         pw, inv = powers(_R, len(flat) + 1)
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[flat] * pw[:-1])])
         h = (sums[end] - sums[end - size]) * inv[end - size] + size.astype(np.uint64) * np.uint64(0xD1342543DE82EF95)
-        self.maybe = np.zeros(1 << _BITS, bool)
-        self.maybe[(h * _GOLD >> np.uint64(64 - _BITS)).astype(np.int64)] = True
-        h = mix64(h)
-        order = np.argsort(h)
-        self.hash, self.id, self.weight = h[order], ids[order], weight[order] / temperature
+        self.hash, self.id, self.weight = h, ids.astype(np.int32), weight / temperature
+        # a piece stands at the first slot that its hash gives, or where that is taken at the second; a few, if both are, in a sorted list
+        slots = (h * _GOLD >> np.uint64(64 - _BITS)).astype(np.int64)
+        self.slot = np.full(1 << _BITS, -1, np.int32)
+        self.slot[slots[::-1]] = np.arange(len(h))[::-1]
+        late = np.flatnonzero(self.slot[slots] != np.arange(len(h)))
+        late = late[np.argsort(h[late])]
+        self.late_hash, self.late = h[late], late.astype(np.int32)
+        self.crowded = np.zeros(1 << _BITS, bool)
+        self.crowded[slots[late]] = True
         self.lengths = np.unique(size)
         self.size = np.array([len(b) for b in self.bytes])
         self.start = np.concatenate([[0], np.cumsum(self.size)])
         self.flat = np.frombuffer(b"".join(self.bytes), np.uint8)
 
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the hashes are pieces, and the pieces' places."""
+        slots = (h * _GOLD >> np.uint64(64 - _BITS)).astype(np.int64)
+        at = self.slot[slots]
+        maybe = np.flatnonzero(at >= 0)
+        at, own = at[maybe], h[maybe]
+        hit = self.hash[at] == own
+        if len(self.late):
+            other = np.flatnonzero(~hit & self.crowded[slots[maybe]])
+            k = np.minimum(np.searchsorted(self.late_hash, own[other]), len(self.late) - 1)
+            there = self.late_hash[k] == own[other]
+            at[other[there]] = self.late[k[there]]
+            hit[other[there]] = True
+        return maybe[hit], at[hit]
+
+    def encode(self, text: str) -> list[int]:
+        """The model's best ids. U+2581, which the model takes for a space, goes as its bytes: it travels as a private character that the text doesn't hold."""
+        if "\u2581" not in text:
+            return self.model.encode(text)
+        other = next(c for c in map(chr, range(0xE000, 0xF900)) if c not in text and self.model.piece_to_id(c) == self.model.unk_id())
+        put, own = ([int(self.byte_id[x]) for x in c.encode()] for c in (other, "\u2581"))
+        ids = self.model.encode(text.replace("\u2581", other))
+        for i in range(len(ids) - 2):
+            if ids[i : i + 3] == put:
+                ids[i : i + 3] = own
+        return ids
+
     def decode(self, ids: np.ndarray) -> bytes:
         """Text of ids: bytes of all pieces without the space put before the text."""
         ids = np.asarray(ids, np.int64)
@@ -101,11 +136,66 @@ class Vocabulary:
         return raw[1:].tobytes()
 
 
-class Lattice:
-    """Lattices of distinct words. Nodes are numbered by their distance to the word's end; ``node`` maps a byte to its node."""
+class Grown:
+    """An array that takes more at its end."""
+
+    def __init__(self, dtype):
+        self.whole, self.n = np.empty(1 << 12, dtype), 0
+
+    def add(self, x: np.ndarray) -> None:
+        if self.n + len(x) > len(self.whole):
+            old, self.whole = self.whole, np.empty(max(2 * len(self.whole), self.n + len(x)), self.whole.dtype)
+            self.whole[: self.n] = old[: self.n]
+        self.whole[self.n : self.n + len(x)] = x
+        self.n += len(x)
+
+    @property
+    def now(self) -> np.ndarray:
+        return self.whole[: self.n]
+
+
+class Lattices:
+    """Lattices of distinct words, kept by the hash of the word. An edge of a node leads to another node, or to -1 at the word's end."""
 
-    def __init__(self, v: Vocabulary, data: np.ndarray, start: np.ndarray, end: np.ndarray):
-        n = len(data)
+    def __init__(self, v: Vocabulary):
+        self.v = v
+        self._first, self._edges = Grown(np.int64), {k: Grown(t) for k, t in (("source", np.int32), ("size", np.int32), ("id", np.int32), ("target", np.int32), ("log_q", np.float64), ("cum", np.float64))}
+        self._reset()
+
+    def _reset(self) -> None:
+        self.hash, self.root = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for g in (self._first, *self._edges.values()):
+            g.n = 0
+        self._first.add(np.zeros(1, np.int64))
+        self._see()
+
+    def _see(self) -> None:
+        self.first = self._first.now
+        for k, g in self._edges.items():
+            setattr(self, k, g.now)
+
+    def roots(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """First node of each word ``data[start:end]``; words not seen before get their lattices."""
+        if len(self.source) > MOST_EDGES:
+            self._reset()
+        hashes, first, which = np.unique(byte_hashes(data, start, end), return_index=True, return_inverse=True)
+        at = np.searchsorted(self.hash, hashes)
+        new = np.ones(len(hashes), bool)
+        if len(self.hash):
+            new = self.hash[np.minimum(at, len(self.hash) - 1)] != hashes
+        if new.any():
+            begin, size = start[first[new]], (end - start)[first[new]]
+            stop = np.cumsum(size)
+            flat = data[np.repeat(begin - (stop - size), size) + np.arange(stop[-1])]
+            roots = self._learn(flat, stop - size, stop)
+            to = at[new]
+            self.hash, self.root = np.insert(self.hash, to, hashes[new]), np.insert(self.root, to, roots)
+            at = np.searchsorted(self.hash, hashes)
+        return self.root[at][which]
+
+    def _learn(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Append the lattices of words, nodes in the order of their distance to the word's end; the words' first nodes."""
+        v, n = self.v, len(data)
         left = np.repeat(end, end - start) - np.arange(n)
         lead = (data & 0xC0) != 0x80
         width = np.ones(n, np.int64)
@@ -123,12 +213,8 @@ class Lattice:
                 here, room, begun, scale = here[fits], room[fits], begun[fits], scale[fits]
             if not len(here):
                 break
-            h = (sums[here + size] - begun) * scale + np.uint64(size * 0xD1342543DE82EF95 & (1 << 64) - 1)
-            k = np.flatnonzero(v.maybe[(h * _GOLD >> np.uint64(64 - _BITS)).astype(np.int64)])
-            h = mix64(h[k])
-            pos = np.minimum(np.searchsorted(v.hash, h), len(v.hash) - 1)
-            hit = v.hash[pos] == h
-            k, pos = here[k[hit]], pos[hit]
+            k, pos = v.find((sums[here + size] - begun) * scale + np.uint64(size * 0xD1342543DE82EF95 & (1 << 64) - 1))
+            k = here[k]
             single[k[width[k] == size]] = True
             degree[k] += 1
             hits.append((k, size, pos))
@@ -137,36 +223,40 @@ class Lattice:
         nodes = np.flatnonzero(lead)
         far = left[nodes]
         nodes = nodes[np.argsort(far.astype(np.uint16) if n and far.max() < 1 << 16 else far, kind="stable")]
-        self.node = np.full(n + 1, -1, np.int64)
-        self.node[nodes] = np.arange(len(nodes))
-        self.first = np.concatenate([[0], np.cumsum(degree[nodes])]).astype(np.int64)
-        edges = int(self.first[-1])
-        self.source, self.size, self.id, weights = np.empty(edges, np.int64), np.empty(edges, np.int64), np.empty(edges, np.int64), np.empty(edges)
+        node = np.full(n + 1, -1, np.int32)
+        node[nodes] = np.arange(len(nodes))
+        first = np.concatenate([[0], np.cumsum(degree[nodes])]).astype(np.int64)
+        edges = int(first[-1])
+        source, sizes, ids, weights = np.empty(edges, np.int32), np.empty(edges, np.int32), np.empty(edges, np.int32), np.empty(edges)
         slot = np.zeros(n, np.int64)
-        slot[nodes] = self.first[:-1]
+        slot[nodes] = first[:-1]
         for k, size, pos in hits[::-1]:  # long pieces first: likelier, so found sooner by draw()
             e = slot[k]
             slot[k] += 1
-            self.source[e], self.size[e], self.id[e], weights[e] = self.node[k], size, v.id[pos], v.weight[pos]
+            source[e], sizes[e], ids[e], weights[e] = node[k], size, v.id[pos], v.weight[pos]
         e = slot[bare]
-        self.source[e], self.size[e], self.id[e], weights[e] = self.node[bare], np.minimum(width[bare], left[bare]), -1, v.byte_weight * width[bare]
-        to = nodes[self.source] + self.size
-        target = np.where(left[nodes][self.source] == self.size, len(nodes), self.node[to])
-        self.target = target
+        source[e], sizes[e], ids[e], weights[e] = node[bare], np.minimum(width[bare], left[bare]), -1, v.byte_weight * width[bare]
+        here = nodes[source]
+        target = np.where(left[here] == sizes, len(nodes), node[here + sizes])
         beta = np.zeros(len(nodes) + 1)
         depth = left[nodes]
         cut = np.concatenate([[0], np.flatnonzero(depth[1:] != depth[:-1]) + 1, [len(nodes)]])
         for s, e in zip(cut[:-1].tolist(), cut[1:].tolist()):
-            lo, hi = self.first[s], self.first[e]
-            beta[s:e] = np.logaddexp.reduceat(weights[lo:hi] + beta[target[lo:hi]], self.first[s:e] - lo)
-        self.log_q = np.minimum(weights + beta[target] - beta[self.source], 0.0)
-        only = np.diff(self.first) == 1
-        self.log_q[self.first[:-1][only]] = 0.0
-        q = np.exp(self.log_q)
+            lo, hi = first[s], first[e]
+            beta[s:e] = np.logaddexp.reduceat(weights[lo:hi] + beta[target[lo:hi]], first[s:e] - lo)
+        log_q = np.minimum(weights + beta[target] - beta[source], 0.0)
+        only = np.diff(first) == 1
+        log_q[first[:-1][only]] = 0.0
+        q = np.exp(log_q)
         total = np.cumsum(q)
-        before = total - q
-        self.q, self.cum = q, self.source + np.minimum(total - before[self.first[:-1]][self.source], 1.0)
-        self.cum[self.first[1:] - 1] = np.arange(len(nodes)) + 1.0
+        cum = source + np.minimum(total - (total - q)[first[:-1]][source], 1.0)
+        cum[first[1:] - 1] = np.arange(len(nodes)) + 1.0
+        before = len(self.first) - 1
+        self._first.add(first[1:] + len(self.source))
+        for name, x in (("source", source + before), ("size", sizes), ("id", ids), ("target", np.where(target == len(nodes), -1, target + before)), ("log_q", log_q), ("cum", cum + before)):
+            self._edges[name].add(x)
+        self._see()
+        return node[start].astype(np.int64) + before
 
     def draw(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge out of each node, by conditional probability."""
@@ -177,15 +267,22 @@ class Lattice:
             open_ = open_[self.cum[e[open_]] <= want[open_]]
         return e
 
+    def others(self, node: int, out: list[int]) -> np.ndarray:
+        """Edges out of a node other than those in ``out``."""
+        lo = int(self.first[node])
+        keep = np.ones(int(self.first[node + 1]) - lo, bool)
+        keep[[e - lo for e in out]] = False
+        return lo + np.flatnonzero(keep)
+
     def draw_other(self, node: int, u: float, out: list[int]) -> int:
-        """An edge out of a node other than those in ``out``."""
-        edges = np.setdiff1d(np.arange(self.first[node], self.first[node + 1]), out)
+        """One of ``others``, by conditional probability."""
+        edges = self.others(node, out)
         share = np.exp(self.log_q[edges] - self.log_q[edges].max())
         return int(edges[min(np.searchsorted(np.cumsum(share), u * share.sum(), "right"), len(edges) - 1)])
 
     def rest(self, node: int, out: list[int]) -> float:
-        """Log probability of all edges out of a node but ``out``."""
-        edges = np.setdiff1d(np.arange(self.first[node], self.first[node + 1]), out)
+        """Log probability of ``others``."""
+        edges = self.others(node, out)
         return float(np.logaddexp.reduce(self.log_q[edges])) if len(edges) else -np.inf
 
 
@@ -212,21 +309,17 @@ class Sampler:
         edge[n] = False
         self.word = np.flatnonzero(edge)
         end = np.append(self.word[1:], n) if n else self.word
-        _, first, which = np.unique(byte_hashes(data, self.word, end), return_index=True, return_inverse=True)
-        size = (end - self.word)[first]
-        stop = np.cumsum(size)
-        flat = data[np.repeat(self.word[first] - (stop - size), size) + np.arange(stop[-1])] if n else data
-        self.lattice = Lattice(v, flat, stop - size, stop) if n else None
-        self.root = self.lattice.node[(stop - size)[which]] if n else which
+        self.lattice = lattices(v)
+        self.root = self.lattice.roots(data, self.word, end) if n else self.word
 
     def _walk(self, edge_at: np.ndarray, at: np.ndarray, node: np.ndarray, draw: int) -> None:
         """Draw on from (place, node) to the end of each word."""
-        lat, done = self.lattice, self.lattice.first.size - 1
+        lat = self.lattice
         while len(at):
             e = lat.draw(node, uniform(self.keys[self.doc[at]], at - self.offsets[self.doc[at]], draw))
             edge_at[at] = e
             at, node = at + lat.size[e], lat.target[e]
-            on = node < done
+            on = node >= 0
             at, node = at[on], node[on]
 
     def _regions(self, edge_at: np.ndarray, since: np.ndarray, most: np.ndarray, draw: int) -> dict:
@@ -291,7 +384,7 @@ class Sampler:
                 path[lo:place] = leaf["edge_at"][lo:place]
                 path[place] = new
                 since[d] = place + 1
-                if lat.target[new] < lat.first.size - 1:
+                if lat.target[new] >= 0:
                     starts.append(place + int(lat.size[new]))
                     nodes.append(int(lat.target[new]))
             fresh = self.word > since[self.doc[self.word]] - 1
@@ -305,25 +398,47 @@ class Sampler:
                 found[d].append((path[leaf["at"][a:b]], float(leaf["total"][d]), float(best[d])))
         return found
 
-    def ids(self, edges: np.ndarray, d: int) -> np.ndarray:
-        """Piece ids of a path of text ``d``."""
-        lat = self.lattice
+    def ids(self, paths: list[np.ndarray], docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Piece ids of a path each of texts ``docs``, all in a row, and the number of each."""
+        lat, edges = self.lattice, np.concatenate([np.zeros(0, np.int32), *paths])
+        many = np.array([len(p) for p in paths], np.int64)
+        last = np.cumsum(many)
         if not len(edges):
-            return np.zeros(0, np.int64)
+            return np.zeros(0, np.int32), many
         ids = lat.id[edges]
         if (ids >= 0).all():
-            return ids
-        n = np.where(ids < 0, lat.size[edges], 1)
-        last = np.cumsum(n)
+            return ids, many
+        size = lat.size[edges].astype(np.int64)
+        upto = np.concatenate([[0], np.cumsum(size)])
+        start = upto[:-1] + np.repeat(self.offsets[docs] - upto[last - many], many)
+        n = np.where(ids < 0, size, 1)
+        stop = np.cumsum(n)
         out = np.repeat(ids, n)
-        start = self.offsets[d] + np.cumsum(lat.size[edges]) - lat.size[edges]
-        where = np.repeat(start - (last - n), n) + np.arange(last[-1])
-        bare = out < 0
-        out[bare] = self.v.byte_id[self.data[where[bare]]]
-        return out
+        bare = np.flatnonzero(out < 0)
+        where = np.repeat(start - (stop - n), n)[bare] + bare
+        out[bare] = self.v.byte_id[self.data[where]]
+        total = np.concatenate([[0], stop])
+        return out, total[last] - total[last - many]
+
+    def spelled(self, ids: np.ndarray, many: np.ndarray, docs: np.ndarray) -> np.ndarray:
+        """Whether the ids (``many`` of each) spell the bytes of texts ``docs``."""
+        size = self.v.size[ids]
+        upto, last = np.concatenate([[0], np.cumsum(size)]), np.cumsum(many)
+        length, want = upto[last] - upto[last - many], np.diff(self.offsets)[docs]
+        out = length == want
+        if not out.all():  # the others are compared by themselves
+            keep = np.repeat(out, many)
+            out[out] = self.spelled(ids[keep], many[out], docs[out])
+            return out
+        flat = np.arange(upto[-1])
+        got = self.v.flat[np.repeat(self.v.start[ids] - upto[:-1], size) + flat]
+        stop = np.cumsum(want)
+        differs = np.concatenate([[0], np.cumsum(got != self.data[np.repeat(self.offsets[docs] - (stop - want), want) + flat])])
+        return differs[stop] == differs[stop - want]
 
 
 _KEPT: dict[tuple[str, float], Vocabulary] = {}
+_LATTICES: dict[Vocabulary, Lattices] = {}
 
 
 def vocabulary(path: str, temperature: float = TEMPERATURE) -> Vocabulary:
@@ -333,11 +448,16 @@ def vocabulary(path: str, temperature: float = TEMPERATURE) -> Vocabulary:
     return _KEPT[path, temperature]
 
 
-def log_inclusion(log_prob: float, kappa: float) -> float:
-    x = log_prob - kappa
-    if x < -30:
-        return x
-    return float(np.log(-np.expm1(-np.exp(min(x, 700.0)))))
+def lattices(v: Vocabulary) -> Lattices:
+    """The lattices kept for a vocabulary, one store per process."""
+    if v not in _LATTICES:
+        _LATTICES[v] = Lattices(v)
+    return _LATTICES[v]
+
+
+def log_inclusion(log_prob: np.ndarray, kappa: np.ndarray) -> np.ndarray:
+    x = np.asarray(log_prob - kappa, np.float64)
+    return np.where(x < -30, x, np.log(-np.expm1(-np.exp(np.clip(x, -30, 700.0)))))
 
 
 def sampled(docs: DataFrame, model: str, k: int = SAMPLES, temperature: float = TEMPERATURE, with_ids: bool = True, seed: int = 1) -> DataFrame:
@@ -366,22 +486,20 @@ def sampled(docs: DataFrame, model: str, k: int = SAMPLES, temperature: float =
             keys = mix64(np.array([0x5BD1E995 if i is None else i & (1 << 64) - 1 for i in row_ids], np.uint64) + np.uint64(seed) * _GOLD)
             for lo, hi, data, offsets in texts(b.column(1), SLICE_BYTES):
                 s = Sampler(v, data, offsets, keys[lo:hi])
-                raw, out = data.tobytes(), [[] for _ in names]
-                for d, paths in enumerate(s.run(k)):
-                    text = raw[offsets[d] : offsets[d + 1]]
-                    for rank, (edges, log_prob, value) in enumerate(paths, 1):
-                        ids = s.ids(edges, d).astype("<i4")
-                        row = (row_ids[lo + d], rank, len(ids), zlib.crc32(ids), log_prob, value, log_inclusion(log_prob, s.kappa[d]), v.decode(ids) == text)
-                        for c, x in zip(out, row):
-                            c.append(x)
-                        if with_ids:
-                            out[-1].append(ids)
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_()]
-                columns = [pa.array(c, t) for c, t in zip(out, kinds)]
-                if with_ids:
-                    ends = np.cumsum([0, *map(len, out[-1])], dtype=np.int32)
-                    columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *out[-1]]))))
-                yield pa.RecordBatch.from_arrays(columns, names)
+                found = s.run(k)
+                for rank in range(k):
+                    of = np.array([d for d, paths in enumerate(found) if len(paths) > rank], np.int64)
+                    if not len(of):
+                        break
+                    ids, many = s.ids([found[d][rank][0] for d in of], of)
+                    ids = ids.astype("<i4")
+                    cut = np.concatenate([[0], np.cumsum(many)])
+                    log_prob, value = (np.array([found[d][rank][i] for d in of]) for i in (1, 2))
+                    crc = [zlib.crc32(ids[a:b]) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
+                    columns = [b.column(0)[lo:hi].take(pa.array(of)), pa.array(np.full(len(of), rank + 1, np.int32)), pa.array(many), pa.array(crc, pa.int64()), pa.array(log_prob), pa.array(value), pa.array(log_inclusion(log_prob, s.kappa[of])), pa.array(s.spelled(ids, many, of))]
+                    if with_ids:
+                        columns.append(pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(ids)))
+                    yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = "doc_id long, sample int, n_tokens long, ids_crc32 long, log_prob double, perturbed double, log_inclusion double, decoded boolean" + (", ids array<int>" if with_ids else "")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(mapped(run, schema))
@@ -394,7 +512,7 @@ def encoded(docs: DataFrame, model: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model)
         for b in batches:
-            ids = v.model.encode([t or "" for t in b.column(1).to_pylist()], num_threads=1)
+            ids = [v.encode(t or "") for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(mapped(run, "doc_id long, ids array<int>"))
