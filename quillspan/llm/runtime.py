@@ -38,13 +38,13 @@ _give_memory_back()
 
 
 def keep_memory() -> None:
-    """Have the C library keep what small slices of texts use again and again; for operators whose time goes into many passing arrays."""
+    """Have the C library keep a few megabytes of what small slices of texts use again and again; for operators whose time goes into many passing arrays."""
     try:
         import ctypes
 
         libc = ctypes.CDLL("libc.so.6")
-        libc.mallopt(-3, 16 << 20)
-        libc.mallopt(-1, 64 << 20)
+        libc.mallopt(-3, 3 << 19)
+        libc.mallopt(-1, 8 << 20)
     except (OSError, AttributeError):
         pass
 
