@@ -279,3 +279,46 @@ def sanitised(docs: DataFrame) -> DataFrame:
     clean = F.when(F.size("all") == 0, F.col("text")).otherwise(F.aggregate("all", start, put, rest))
     own = lambda c: F.col("row").getField(c)
     return out.select(*(F.when(own(c).isNotNull(), clean).alias(c) if c == "text" else own(c).alias(c) for c in docs.columns))
+
+
+def _oracle() -> str:
+    """SQL that tells what ``detected`` returns over documents with unique ids, from the definitions above."""
+    word, space = r"[^\x20\x09-\x0D]+", r"\x20\x09-\x0D"
+    patterns = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+        "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
+        "card": r"[0-9](?:[\x20-]?[0-9])+",
+        "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    }
+    digits = "regexp_replace(value, '[^0-9]', '', 'g')"
+    doubled = f"list_sum(list_transform(generate_series(1, length({digits})), lambda i: CASE WHEN (length({digits}) - i) % 2 = 1 THEN CASE WHEN substr({digits}, i, 1)::INT > 4 THEN 2 * substr({digits}, i, 1)::INT - 9 ELSE 2 * substr({digits}, i, 1)::INT END ELSE substr({digits}, i, 1)::INT END))"
+    valid = {"email": "true", "ip": "list_bool_and(list_transform(string_split(value, '.'), lambda p: p::HUGEINT <= 255))", "card": f"CASE WHEN length({digits}) BETWEEN 13 AND 19 THEN {doubled} % 10 = 0 ELSE false END", "phone": f"length({digits}) BETWEEN 9 AND 15"}
+    marks = _MARKS.replace("'", "''")
+
+    def places(pattern: str) -> str:
+        return f"""SELECT doc_id, text, i, m[i] AS value, list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS start
+  FROM (SELECT doc_id, text, m, g, unnest(generate_series(1, len(m))) AS i FROM (SELECT doc_id, text, regexp_extract_all(text, '{pattern}') AS m, string_split_regex(text, '{pattern}') AS g FROM d) WHERE len(m) > 0)"""
+
+    def term(w: str) -> str:
+        t = f"trim(lower({w}), '{marks}')"
+        return f"CASE WHEN length({t}) <= {LONGEST_TERM} THEN {t} ELSE 'md5 ' || md5({t}) END"
+
+    kinds = " UNION ALL ".join(f"SELECT doc_id, text, {n} AS k, '{kind}' AS kind, value, start::BIGINT AS start, (start + length(value))::BIGINT AS stop FROM ({places(p)}) WHERE {valid[kind]}" for n, (kind, p) in enumerate(patterns.items()))
+    near = f"""SELECT doc_id, kind || ':' || CASE WHEN kind IN ('card', 'phone') THEN {digits} ELSE lower(value) END AS entity,
+  CASE WHEN start <= {REACH} THEN ' ' ELSE '' END || substr(text, greatest(start - {REACH}, 1), start - greatest(start - {REACH}, 1) + 1) AS lft,
+  substr(text, stop + 1, {REACH + 1}) || CASE WHEN length(substr(text, stop + 1, {REACH + 1})) <= {REACH} THEN ' ' ELSE '' END AS rgt FROM base"""
+    inner = lambda c: f"regexp_extract_all(regexp_replace(regexp_replace({c}, '^[^{space}]+', ''), '[^{space}]+$', ''), '{word}')"
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), base AS ({kinds}), near AS ({near}),
+ct AS (SELECT entity, lft, rgt, {term('w')} AS term FROM (SELECT entity, lft, rgt, unnest(list_concat({inner('lft')}, {inner('rgt')})) AS w FROM near)),
+pr AS (SELECT entity, term, lft, rgt, count(*) AS n FROM ct WHERE length(term) > 1 AND NOT contains(term, '@') AND NOT regexp_full_match(term, '[0-9+().-]*') GROUP BY ALL),
+pairs AS (SELECT entity, term, sum(n) AS joint, count(*) AS k FROM pr GROUP BY entity, term HAVING count(*) > 1),
+words AS (SELECT doc_id, value AS w, start + length(value) - length(ltrim(value, '{marks}')) AS start, length(trim(value, '{marks}')) AS size, {term('value')} AS term FROM ({places(word)})),
+counts AS (SELECT term, count(*) AS n FROM words WHERE term IN (SELECT term FROM pairs) GROUP BY term),
+told AS (SELECT DISTINCT term FROM pairs JOIN counts USING (term) WHERE least(joint, n) / n::DOUBLE * k / (k + 1) > {GENERALISE}),
+hits AS (SELECT doc_id, start::BIGINT AS start, (start + size)::BIGINT AS stop FROM words w WHERE term IN (SELECT term FROM told) AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = w.doc_id AND b.start < w.start + w.size AND w.start < b.stop)),
+bs AS (SELECT doc_id, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY k, start) AS s, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in patterns)} FROM base GROUP BY doc_id),
+hs AS (SELECT doc_id, string_agg('term:' || start || ':' || stop, ',' ORDER BY start, stop) AS s, count(*) AS n FROM hits GROUP BY doc_id)
+SELECT d.doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in patterns)}, sha256(coalesce(bs.s, '')) AS base_sha256, concat_ws(',', bs.s, hs.s) AS spans, coalesce(hs.n, 0) AS n_terms FROM d LEFT JOIN bs USING (doc_id) LEFT JOIN hs USING (doc_id)"""
+
+
+ORACLE = _oracle()

@@ -74,7 +74,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op2_decontamination": contamination.ORACLE,
+    "op3_pii": pii.ORACLE,
     "op4_substrings": substrings.ORACLE,
+    "op5_sharding": sharding.oracle(),
     "op7_embeddings": embeddings.ORACLE,
     "op9_neardup": neardup.ORACLE,
 }

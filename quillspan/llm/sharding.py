@@ -63,7 +63,7 @@ def slot_of(key: Column, table_size: int = TABLE_SIZE) -> Column:
 
 
 def place(docs: DataFrame, key: str = "doc_id", shards: list[str] | None = None, table_size: int = TABLE_SIZE) -> DataFrame:
-    """``docs`` with ``slot`` and ``shard``; existing columns of these names are replaced.
+    """``docs`` with ``slot`` and ``shard``; existing columns of these names are replaced, all others stay whatever they are called.
 
     The broadcast side has exactly ``table_size`` rows whatever the input.
     Repeated keys share a shard, null keys count as the empty text, an empty
@@ -75,11 +75,30 @@ def place(docs: DataFrame, key: str = "doc_id", shards: list[str] | None = None,
     table = lookup_table(names, table_size)
     slots = spark.createDataFrame([(i, names[s]) for i, s in enumerate(table.tolist())], "slot int, shard string")
     kept = docs.drop("slot", "shard")
-    return kept.withColumn("slot", slot_of(F.col(key), table_size)).join(F.broadcast(slots), "slot").select(*kept.columns, "slot", "shard")
-
-
-def write_sharded(docs: DataFrame, path: str, key: str = "doc_id", shards: list[str] | None = None, parts_per_shard: int = 8) -> None:
-    """Write ``docs`` as Parquet, one folder a shard; each shard is dealt over ``parts_per_shard`` tasks by key, so that no task holds a whole one."""
+    return kept.withColumn("slot", slot_of(F.col(f"`{key}`"), table_size)).join(F.broadcast(slots), "slot").select(*(F.col(f"`{c}`") for c in kept.columns), "slot", "shard")
+
+
+def oracle(shards: int = SHARDS, table_size: int = TABLE_SIZE) -> str:
+    """SQL that places documents: the slot from the key, the shard from the table written out, filled by plain turns."""
+    prefer = []
+    for i in range(shards):
+        name = f"shard-{i:03d}"
+        prefer.append((_number(f"{name}|offset") % table_size, _number(f"{name}|skip") % (table_size - 1) + 1))
+    slots, at, turn = [-1] * table_size, [0] * shards, 0
+    for _ in range(table_size):
+        i = turn % shards
+        offset, skip = prefer[i]
+        while slots[(offset + at[i] * skip) % table_size] >= 0:
+            at[i] += 1
+        slots[(offset + at[i] * skip) % table_size] = i
+        turn += 1
+    hex_slot = f"(('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT % {table_size})"
+    return f"WITH t AS (SELECT [{','.join(map(str, slots))}] AS shards) SELECT d.*, {hex_slot}::INT AS slot, 'shard-' || lpad(shards[{hex_slot} + 1]::VARCHAR, 3, '0') AS shard FROM documents d, t"
+
+
+def write_sharded(docs: DataFrame, path: str, key: str = "doc_id", shards: list[str] | None = None, parts_per_shard: int | None = None) -> None:
+    """Write ``docs`` as Parquet, one folder a shard; each shard is dealt over ``parts_per_shard`` tasks by a hash of the row, so that no task holds a whole one and a hot key doesn't land in one; by default as many as make up the session's shuffle partitions, 8 at least."""
     placed = place(docs, key, shards)
-    part = F.pmod(F.xxhash64(key), F.lit(parts_per_shard))
+    many = parts_per_shard or max(8, -(-int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // len(shards or range(SHARDS))))
+    part = F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c, t in docs.dtypes if not t.startswith("map"))), F.lit(many))
     placed.repartition(F.col("shard"), part).write.partitionBy("shard").parquet(path)

@@ -153,18 +153,21 @@ def _join_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         k = kind >= 0
         return _rows(d[k], p[k] >> 8, p[k] & 31, kind[k], names=["d", "s", "n", "kind"])
 
-    held = None
+    held: list[list[np.ndarray]] = []  # parts of one anchor's rows, put together once
+    together = lambda parts: [np.concatenate(x) for x in zip(*parts)]
     for b in batches:
         cols = [x.to_numpy(zero_copy_only=False) for x in b.columns]
-        if held is not None:
-            cols = [np.concatenate(x) for x in zip(held, cols)]
+        if held and cols[0][0] != held[0][0][0]:
+            yield settle(*together(held))
+            held = []
         change = np.flatnonzero(cols[0][1:] != cols[0][:-1])
-        cut = change[-1] + 1 if len(change) else 0
-        if cut:
-            yield settle(*(x[:cut] for x in cols))
-        held = [x[cut:] for x in cols]
-    if held is not None and len(held[0]):
-        yield settle(*held)
+        if len(change):
+            cut = change[-1] + 1
+            yield settle(*together([*held, [x[:cut] for x in cols]]))
+            held, cols = [], [x[cut:] for x in cols]
+        held.append(cols)
+    if held:
+        yield settle(*together(held))
 
 
 def _extend(length: int):
