@@ -116,6 +116,71 @@ def looping(text: Column, span: int = SPAN, repeats: int = REPEATS) -> Column:
     return F.coalesce(long_enough, F.lit(False)) & run(F.when(long_enough, text))
 
 
+def gram_hashes(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of ``n`` words of texts whose words stand between single spaces, and the number of the text of each."""
+    raw = np.frombuffer(" ".join(texts).encode("utf-8", "surrogatepass"), np.uint8)
+    if not len(raw):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    last = np.append(np.flatnonzero(raw == 32), len(raw))
+    begin = np.append(0, last[:-1] + 1)
+    place = np.arange(len(raw) + 1) - np.repeat(begin, np.diff(np.append(begin, len(raw) + 1)))
+    letters = _mixed((np.append(raw, 32).astype(np.uint64) << np.uint64(32)) + place.astype(np.uint64) * _ODD)
+    letters[last] = 0
+    words = _mixed(np.add.reduceat(letters, begin) + (last - begin).astype(np.uint64) * _ODD)
+    count = np.array([t.count(" ") + 1 for t in texts])  # an empty text counts as an empty word
+    many = np.maximum(count - n + 1, 0)
+    of = np.repeat(np.arange(len(texts)), many)
+    if not len(of):
+        return np.zeros(0, np.uint64), of
+    start = np.repeat(np.cumsum(count) - count - (np.cumsum(many) - many), many) + np.arange(len(of))
+    return _span_hashes(words, n)[start], of
+
+
+def grams(norm: Column, n: int) -> Column:
+    """``gram_hashes`` of each text, as an array of longs."""
+
+    @pandas_udf("array<long>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            h, of = gram_hashes(s.tolist(), n)
+            yield pd.Series(np.split(h.view(np.int64), np.searchsorted(of, np.arange(1, len(s)))), dtype=object)
+
+    return run(F.coalesce(norm, F.lit("")))
+
+
+def overlap_reason(lang: Column, norm: Column, texts: dict[str, set[str]], n: int) -> Column:
+    """``exact`` for a text that is among ``texts`` of its language, ``ngram`` for another that shares an n-gram with one of them, else null. Found by hashes, confirmed on the n-grams themselves."""
+    hashes, spelled = {}, {}
+    for key, own in texts.items():
+        rows = sorted(own)
+        hashes[key] = np.unique(gram_hashes(rows, n)[0])
+        spelled[key] = {" ".join(w[i : i + n]) for t in rows for w in [t.split(" ")] for i in range(len(w) - n + 1)}
+
+    def shares(text: str, places: np.ndarray, grams: set[str]) -> bool:
+        w = text.split(" ")
+        return any(" ".join(w[i : i + n]) in grams for i in places.tolist())
+
+    @pandas_udf("string")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for langs, norms in batches:
+            rows, out = norms.tolist(), np.full(len(norms), None, object)
+            for key in set(langs.tolist()) & texts.keys():
+                at = np.flatnonzero((langs == key).to_numpy())
+                h, of = gram_hashes([rows[i] for i in at], n)
+                have = hashes[key]
+                hit = np.flatnonzero(have[np.minimum(np.searchsorted(have, h), len(have) - 1)] == h) if len(have) else np.zeros(0, np.int64)
+                first = np.searchsorted(of, np.arange(len(at)))
+                for k in np.unique(of[hit]).tolist():
+                    if shares(rows[at[k]], hit[of[hit] == k] - first[k], spelled[key]):
+                        out[at[k]] = "ngram"
+                for i in at:
+                    if rows[i] in texts[key]:
+                        out[i] = "exact"
+            yield pd.Series(out, dtype=object)
+
+    return run(F.coalesce(lang, F.lit("")), F.coalesce(norm, F.lit("")))
+
+
 def nfkc(text: Column) -> Column:
     """Compatibility composition; texts in ASCII pass without Python."""
 

@@ -11,8 +11,8 @@ from quillspan.functions.stats import ratio
 from quillspan.operators.audit import draw_order
 
 NGRAM = 13
-#: Benchmark n-grams whose hashes are broadcast at most (8 bytes each); a larger benchmark is dealt by hash.
-BROADCAST_GRAMS = 1_000_000
+#: A benchmark that is broadcast has at most so many texts and bytes in normal form; a larger one is joined by hash.
+BROADCAST_TEXTS, BROADCAST_BYTES = 200_000, 16 << 20
 #: Rows of a quota table that are broadcast at most.
 BROADCAST_STRATA = 10_000
 
@@ -63,32 +63,36 @@ def zipped(a: DataFrame, b: DataFrame, position: str, check: list[str], columns:
     return out.where(F.col("_ok").isNull()).drop("_ok", *(f"_{c}" for c in check))
 
 
-def _gram_hashes(words: str, n: int) -> Column:
-    w = F.col(words)
-    return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.xxhash64(F.slice(w, i, n)))).otherwise(F.array().cast("array<long>"))
-
-
 def overlaps(texts: DataFrame, benchmark: DataFrame, key: str, n: int = NGRAM, lang: str | None = "lang") -> DataFrame:
     """Texts that equal a benchmark text of their language in normal form (``udfs.norm``) (``exact``), or else share an n-gram with one (``ngram``): key, reason.
 
     Both tables have ``lang`` (None: languages don't count) and text, ``texts``
-    also the key. N-grams meet as hashes, where texts are read if the benchmark
-    is small enough to broadcast; only texts that hit are read again, and
-    confirmed on the n-grams themselves. Null texts match nothing.
+    also the key; a key with several rows has the stronger reason. A benchmark of
+    at most ``BROADCAST_TEXTS`` and ``BROADCAST_BYTES`` meets the texts where
+    they are read, in one pass; a larger one is joined by the hashes of its
+    n-grams, and texts that hit are confirmed on the n-grams themselves. Null
+    texts match nothing.
     """
     tongue = F.col(lang) if lang else F.lit("")
-    form = lambda df, *keep: df.select(*keep, tongue.alias("tongue"), udfs.norm(F.col("text")).alias("norm")).where("norm <> ''")
-    words = F.split("norm", " ").alias("words")
+    form = lambda df, *keep: df.select(*keep, tongue.alias("tongue"), udfs.norm(F.col("text")).alias("norm")).where("norm <> '' AND tongue IS NOT NULL")
     bench = form(benchmark).distinct()
-    whole = bench.select("tongue", F.xxhash64("norm").alias("h"))
-    grams = bench.select("tongue", words).select("tongue", F.explode(_gram_hashes("words", n)).alias("h"))
-    wanted = small(whole.unionByName(grams).distinct(), BROADCAST_GRAMS)
-    own = form(texts, key).select(key, "tongue", words, F.xxhash64("norm").alias("all")).select(key, "tongue", F.explode(F.concat(F.array("all"), _gram_hashes("words", n))).alias("h"))
-    hit = own.join(wanted, ["tongue", "h"], "left_semi").select(key).distinct()
-    again = form(texts.join(small(hit, BROADCAST_GRAMS), key, "left_semi"), key)
-    exact = again.join(small(bench, BROADCAST_STRATA), ["tongue", "norm"], "left_semi").select(key).distinct()
+    many, size = bench.agg(F.count("*"), F.sum(F.octet_length("norm"))).first()
+    if many <= BROADCAST_TEXTS and (size or 0) <= BROADCAST_BYTES:
+        own: dict[str, set[str]] = {}
+        for r in bench.toLocalIterator():
+            own.setdefault(r["tongue"], set()).add(r["norm"])
+        rows = form(texts, key).select(key, udfs.overlap_reason(F.col("tongue"), F.col("norm"), own, n).alias("reason"))
+        return rows.where("reason IS NOT NULL").groupBy(key).agg(F.min("reason").alias("reason"))
+    words = F.split("norm", " ").alias("words")
+    grams = bench.select("tongue", F.explode(udfs.grams(F.col("norm"), n)).alias("h")).distinct()
+    same = form(texts, key).join(bench, ["tongue", "norm"], "left_semi").select(key)
+    hashed = form(texts, key).select(key, "tongue", F.explode(udfs.grams(F.col("norm"), n)).alias("h"))
+    hit = hashed.join(grams, ["tongue", "h"], "left_semi").select(key).unionByName(same).distinct()
+    again = form(texts.join(hit, key, "left_semi"), key)
+    exact = again.join(bench, ["tongue", "norm"], "left_semi").select(key).distinct()
+    own_grams = again.select(key, "tongue", words).select(key, "tongue", F.explode(T.ngrams("words", n)).alias("gram"))
     text_grams = bench.select("tongue", words).select("tongue", F.explode(T.ngrams("words", n)).alias("gram")).distinct()
-    shared = again.select(key, "tongue", words).select(key, "tongue", F.explode(T.ngrams("words", n)).alias("gram")).join(text_grams, ["tongue", "gram"], "left_semi").select(key).distinct()
+    shared = own_grams.join(text_grams, ["tongue", "gram"], "left_semi").select(key).distinct()
     return exact.withColumn("reason", F.lit("exact")).unionByName(shared.join(exact, key, "left_anti").withColumn("reason", F.lit("ngram")))
 
 

@@ -192,10 +192,10 @@ def test_overlap(spark):
     assert {r["doc_id"]: r["reason"] for r in C.overlaps(docs, bench, "doc_id").collect()} == want
     assert {r["doc_id"]: r["reason"] for r in C.overlaps(docs, bench, "doc_id", lang=None).collect()} == want | {5: "exact", 8: "exact"}
     try:
-        most, C.BROADCAST_GRAMS = C.BROADCAST_GRAMS, 0
+        most, C.BROADCAST_TEXTS = C.BROADCAST_TEXTS, 0
         assert {r["doc_id"]: r["reason"] for r in C.overlaps(docs, bench, "doc_id").collect()} == want
     finally:
-        C.BROADCAST_GRAMS = most
+        C.BROADCAST_TEXTS = most
     assert [r[0] for r in C.without_overlap(docs, bench, "doc_id").select("doc_id").orderBy("doc_id").collect()] == [3, 4, 5, 8]
     pairs = docs.withColumn("pair", F.col("doc_id") % 2)
     assert C.without_overlap(pairs, bench, "pair").count() == 0

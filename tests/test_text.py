@@ -84,6 +84,16 @@ def test_looping(spark):
     assert one(spark, udfs.nfkc, "ﬁ") == "fi" and one(spark, udfs.nfkc, None) is None and one(spark, udfs.norm, "  Ｅin, ﬁ-Fall_1! Ü\n") == "ein fi fall_1 ü"
 
 
+def test_gram_hashes():
+    rng = random.Random(2)
+    texts = ["", "one", "a b c", *(" ".join(rng.choice(["ab", "ba", "a", "é", "中中", "x" * 9]) for _ in range(rng.randint(1, 30))) for _ in range(60)), ""]
+    for n in (1, 2, 3, 13):
+        h, of = udfs.gram_hashes(texts, n)
+        want = [(k, " ".join(w[i : i + n])) for k, t in enumerate(texts) for w in [t.split(" ")] for i in range(len(w) - n + 1)]
+        assert of.tolist() == [k for k, _ in want] and len(set(zip(h.tolist(), [g for _, g in want]))) == len(set(h.tolist())) == len({g for _, g in want})
+    assert len(udfs.gram_hashes([], 3)[0]) == 0
+
+
 def test_hooks(spark):
     df = spark.createDataFrame([(1, "uno dos"), (2, " "), (3, None), (4, "xx")], "id int, t string")
     got = df.select("id", udfs.detected(F.col("t"), lambda: lambda t: "es" if "dos" in t else None).alias("d"), udfs.token_count(F.col("t"), lambda: lambda t: len(t.split())).alias("n")).orderBy("id").collect()
