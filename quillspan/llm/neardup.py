@@ -11,13 +11,15 @@ minima in all. At a similarity of 0.8 a pair shares a table with a
 probability of (1 - (1 - 0.8**3)**12)**2 = 0.9996, at 0.85 of 0.99998.
 
 Candidates. Within a table bucket all members are first compared with one of
-them (the smallest id), not with each other. What links joins a component.
-Buckets that still hold several components are compared anew the same way, and
-in the end every id is compared, block by block, with all ids of other
-components that share a bucket with it. So no pair that some table offers goes
-unanswered, though pairs are never listed.
-
-Links are verified on the full sets of the full texts.
+them (a leader), not with each other. What links joins a component. Buckets
+that still hold several components are compared anew the same way, and in the
+end every id is compared, block by block, with the ids of other components that
+share a bucket with it. So no pair that some table offers goes unanswered,
+though pairs are never listed. Each batch of classes first gives its members of
+a bucket a leader of their own, so a bucket that holds a third of all classes
+gets a row for each batch, not for each class.
+
+Links are verified on the full sets of the full texts, at last on the words.
 """
 
 from __future__ import annotations
@@ -26,15 +28,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.llm.components import components
-from quillspan.llm.runtime import key_filter, maybe_in, mix64, narrowed, ship, written
-from quillspan.llm.words import distinct_shingles, split_words, texts
+from quillspan.llm.runtime import key_filter, mapped, maybe_in, mix64, narrowed, ship, written
+from quillspan.llm.words import distinct_shingles, split_words, texts, word_shingles
 
 HALVES, ROWS = 12, 3
-THRESHOLD, SHINGLE_WORDS, STAR_ROUNDS, BLOCK = 80, 2, 2, 256
+THRESHOLD, SHINGLE_WORDS, STAR_ROUNDS, BLOCK = 80, 2, 3, 128
 _FACTORS = np.random.Generator(np.random.PCG64(906)).integers(1, 2**63, 2 * HALVES * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LOWEST = -(1 << 63)
 
@@ -65,44 +67,63 @@ def _sketch(shingle_words: int):
                 sketch = [None] * (hi - lo)
                 for k, r in zip(some.tolist(), rows):
                     sketch[k] = r.tobytes()
-                yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], pa.array(n, pa.int64()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(sketch, pa.binary())], ["doc_id", "n", "s1", "s2", "sketch"])
+                yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], b.column(2)[lo:hi], pa.array(n, pa.int64()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(sketch, pa.binary())], ["doc_id", "row", "n", "s1", "s2", "sketch"])
 
     return run
 
 
+_ALONE, _LEADS, _FOLLOWS = 0, 1, 2
+
+
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, sketch) -> a row for each table: key, id, the batch's own leader of the key, and whether the row is alone there, leads or follows."""
+    table = np.arange(HALVES * HALVES)
     for b in batches:
         ids = b.column(0).to_numpy(zero_copy_only=False)
         rows = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint32).reshape(len(ids), 2 * HALVES).astype(np.uint64)
+        order = np.argsort(ids)
         for lo in range(0, len(ids), 2000):
-            part = rows[lo : lo + 2000]
-            table = np.arange(HALVES * HALVES)
-            key = mix64((part[:, table // HALVES] << np.uint64(32)) | part[:, HALVES + table % HALVES]) ^ mix64(table.astype(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(ids[lo : lo + 2000], len(table))), pa.array(np.tile(table.astype(np.int32), len(part)))], ["key", "id", "t"])
+            part = order[lo : lo + 2000]
+            pairs = (rows[part][:, table // HALVES] << np.uint64(32)) | rows[part][:, HALVES + table % HALVES]
+            key = (mix64(pairs) ^ mix64(table.astype(np.uint64))).ravel()
+            own = np.repeat(ids[part], len(table))
+            by = np.argsort(key, kind="stable")
+            key, own = key[by], own[by]
+            new = np.ones(len(key) + 1, bool)
+            new[1:-1] = key[1:] != key[:-1]
+            lead = own[np.maximum.accumulate(np.where(new[:-1], np.arange(len(key)), 0))]
+            state = np.where(new[:-1], np.where(new[1:], _ALONE, _LEADS), _FOLLOWS).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(own), pa.array(lead), pa.array(state)], ["key", "id", "leader", "state"])
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of (key, id) -> those of keys that several ids have, with the first id of the key. One row is held back at a time."""
-    held, leader = None, None
+    """Rows in order of (key, id) -> those of keys that several ids have, with a leader: of the rows that don't follow already, the first id of the key. One row is held back at a time."""
+    names = ["key", "id", "leader"]
+    held, carry, before = None, 0, False  # the row held back, its leader, whether a row with its key came before
     for b in batches:
-        key, ids, t = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+        key, ids, lead, state = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+        done = state == _FOLLOWS
+        if done.any():
+            yield pa.RecordBatch.from_arrays([pa.array(x[done]) for x in (key, ids, lead)], names)
+            key, ids, state = key[~done], ids[~done], state[~done]
         if held is not None:
-            key, ids, t = (np.append(x, y) for x, y in zip(held, (key, ids, t)))
-        same = np.zeros(len(key) + 1, bool)
-        same[1:-1] = key[1:] == key[:-1]
-        same[0] = leader is not None and leader[0] == key[0]
-        lead = ids[np.maximum.accumulate(np.where(same[:-1], 0, np.arange(len(key))))]
-        if same[0]:
-            lead[np.logical_and.accumulate(same[:-1])] = leader[1]
-        keep = (same[:-1] | same[1:])[:-1]
-        yield pa.RecordBatch.from_arrays([pa.array(x[:-1][keep]) for x in (key, ids, t, lead)], ["key", "id", "t", "leader"])
-        held = [x[-1:] for x in (key, ids, t)]
-        leader = (key[-1], lead[-1]) if same[len(key) - 1] else None
-    if held is not None and leader is not None:
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*held, np.array([leader[1]]))], ["key", "id", "t", "leader"])
+            key, ids, state = (np.append(x, y) for x, y in zip(held, (key, ids, state)))
+        if not len(key):
+            continue
+        same = np.append(before, key[1:] == key[:-1])
+        start = np.maximum.accumulate(np.where(np.append(False, same[1:]), 0, np.arange(len(key))))
+        first = np.where(start == 0, carry if held is not None else ids[0], ids[start])
+        keep = same[:-1] | same[1:] | (state[:-1] == _LEADS)
+        yield pa.RecordBatch.from_arrays([pa.array(x[:-1][keep]) for x in (key, ids, first)], names)
+        held, carry, before = [x[-1:] for x in (key, ids, state)], first[-1], bool(same[-1])
+    if held is not None and (before or held[2][0] == _LEADS):
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (held[0], held[1], np.array([carry]))], names)
 
 
 def _verify(threshold: int, shingle_words: int):
+    def alike(shared: int, p: int, q: int) -> bool:
+        return shared > 0 and 100 * shared >= threshold * (p + q - shared)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def sets(column):
             for lo, hi, data, offsets in texts(column):
@@ -111,41 +132,54 @@ def _verify(threshold: int, shingle_words: int):
 
         for b in batches:
             ok = []
-            for p, q in zip(sets(b.column(2)), sets(b.column(3))):
-                shared = len(np.intersect1d(p, q, assume_unique=True))
-                ok.append(shared > 0 and 100 * shared >= threshold * (len(p) + len(q) - shared))
+            for i, (p, q) in enumerate(zip(sets(b.column(2)), sets(b.column(3)))):
+                if near := alike(len(np.intersect1d(p, q, assume_unique=True)), len(p), len(q)):
+                    u, v = (word_shingles(b.column(c)[i].as_py().encode(), shingle_words) for c in (2, 3))
+                    near = alike(len(u & v), len(u), len(v))
+                ok.append(near)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok, pa.bool_())], ["x", "y", "linked"])
 
     return run
 
 
 def verified(pairs: DataFrame, rows: DataFrame, threshold: int, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """``pairs`` (x, y) with ``linked``: similarity of the full sets. Only texts that take part are moved."""
+    """``pairs`` (x, y) with ``linked``: similarity of the full sets, at last of the words themselves. ``rows`` has id and text. Only texts that take part are moved."""
     spark = pairs.sparkSession
     out = pairs
     for c in ("x", "y"):
         maybe = maybe_in(spark, key_filter(pairs.select(c)))
-        side = rows.where(maybe(F.col("doc_id"))).select(F.col("doc_id").alias(f"_{c}"), F.col("text").alias(f"text_{c}"))
+        side = rows.where(maybe(F.col("id"))).select(F.col("id").alias(f"_{c}"), F.col("text").alias(f"text_{c}"))
         out = out.join(side, F.col(c) == F.col(f"_{c}")).drop(f"_{c}")
-    return out.select("x", "y", "text_x", "text_y").mapInArrow(_verify(threshold, shingle_words), "x long, y long, linked boolean")
+    return out.select("x", "y", "text_x", "text_y").transform(mapped(_verify(threshold, shingle_words), "x long, y long, linked boolean"))
 
 
-def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
+def _row(docs: DataFrame) -> Column:
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("doc_id").isNull(), "text", F.col("text").isNull())
 
-    Null, empty and blank texts have no shingles and link with nothing; a text
-    of fewer than ``shingle_words`` words has all of them as its only shingle.
-    Repeated rows are one class; a null doc_id is an id below all others, and
-    stays null in the result. Rows that share a doc_id count as one document.
-    Other columns are not read; an empty table gives an empty result.
+
+def _grouped(docs: DataFrame, threshold: int, shingle_words: int) -> tuple[DataFrame, bool]:
+    """Of each row of ``docs``: id, doc_id, n, component (an id of its group, alike for all of it); and whether ids are the doc_ids.
+
+    Ids are the doc_ids where all are there and none repeats; else they are
+    hashes of doc_id and text, so that every other row is a document of its own.
     """
     ship(docs.sparkSession)
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST)).alias("doc_id"), "text")
-    each = written(rows.mapInArrow(_sketch(shingle_words), "doc_id long, n long, s1 long, s2 long, sketch binary"), "sketches")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row(docs).alias("row"), "text")
+    each = written(rows.select("doc_id", "text", "row").transform(mapped(_sketch(shingle_words), "doc_id long, row long, n long, s1 long, s2 long, sketch binary")), "sketches", wide=True)
+    plain = each.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL").isEmpty()
+    each = each.withColumn("id", F.col("doc_id" if plain else "row")).drop("row")
+    rows = rows.select(F.col("doc_id" if plain else "row").alias("id"), "text")
+    if not plain:
+        again = each.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
+        if not again.isEmpty():  # rows alike in doc_id and text: one stands for all
+            again = written(again, "again")
+            one = narrowed(rows, "id", again).join(again, "id", "left_semi").dropDuplicates(["id"])
+            rows = written(rows.join(again, "id", "left_anti").unionByName(one), "distinct", wide=True)
     same = ["n", "s1", "s2"]
-    classes = written(each.where("n > 0").groupBy(*same).agg(F.min("doc_id").alias("id"), F.first("sketch").alias("sketch")), "classes")
-    keys = classes.select("id", "sketch").mapInArrow(_keys, "key long, id long, t int")
-    shared = written(keys.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_shared, "key long, id long, t int, leader long"), "buckets")
+    classes = written(each.where("n > 0").groupBy(*same).agg(F.min("id").alias("class"), F.first("sketch").alias("sketch")), "classes", wide=True)
+    keys = classes.select("class", "sketch").transform(mapped(_keys, "key long, id long, leader long, state int"))
+    deal = F.when(F.col("state") == _FOLLOWS, F.xxhash64("key", "id")).otherwise(F.xxhash64("key"))
+    shared = written(keys.repartition(deal).sortWithinPartitions("key", "id").transform(mapped(_shared, "key long, id long, leader long")), "buckets", wide=True)
 
     links, labels = None, None
     for turn in range(STAR_ROUNDS + 1):
@@ -160,63 +194,95 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, shingle_words:
                 break
             offers = mixed.where("component <> lead.component").groupBy(F.col("id").alias("x"), F.col("lead.id").alias("y")).agg(F.count("*").alias("k"))
         if turn == STAR_ROUNDS:
-            more = _remaining(shared, mixed, labels, rows, threshold, shingle_words)
+            pairs = _remaining(shared, mixed, labels, rows, threshold, shingle_words)
         else:
             best = Window.partitionBy("x").orderBy(F.desc("k"), "y")
-            pairs = written(offers.withColumn("r", F.row_number().over(best)).where("r = 1").select("x", "y"), "pairs")
-            if pairs.isEmpty():
-                break
-            more = verified(pairs, rows, threshold, shingle_words).where("linked").select("x", "y")
-        more = written(more, "found")
+            pairs = offers.withColumn("r", F.row_number().over(best)).where("r = 1").select("x", "y")
+        pairs = written(pairs, "pairs", heavy=turn == STAR_ROUNDS)
+        if pairs.isEmpty():
+            break
+        more = written(verified(pairs, rows, threshold, shingle_words).where("linked").select("x", "y"), "found", heavy=True)
         links = more if links is None else links.unionByName(more)
         labels = written(components(links), "labels")
-    each = each.select("doc_id", *same).join(classes.select("id", *same), same, "left")
+    each = each.select("id", "doc_id", *same).join(classes.select("class", *same), same, "left")
     if labels is not None:
-        each = each.join(labels, "id", "left")
+        each = each.join(labels.select(F.col("id").alias("class"), "component"), "class", "left")
     else:
         each = each.withColumn("component", F.lit(None).cast("long"))
-    found = F.coalesce("component", "id", "doc_id")
-    shown = lambda c: F.when(c != _LOWEST, c)
-    return each.select(shown(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), shown(found).alias("component_id"), (F.col("doc_id") == found).alias("kept"))
+    return each.select("id", "doc_id", "n", F.coalesce("component", "class", "id").alias("component")), plain
 
 
-def _remaining(shared: DataFrame, mixed: DataFrame, labels: DataFrame, rows: DataFrame, threshold: int, shingle_words: int) -> DataFrame:
-    """Links between components that still share a bucket: x, y.
+def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
-    Ids that have the same smallest bucket leader form a star; stars are cut
-    into blocks of about ``BLOCK`` ids. An id probes a block if one of its
-    buckets holds an id of that block in a component below its own; it is then
-    compared with all such ids of the block at once. What leaves a block is one
-    link for each probe and component that it reaches.
+    Null, empty and blank texts have no shingles and link with nothing; a text
+    of fewer than ``shingle_words`` words has all of them as its only shingle.
+    Every row is a document of its own, whether its doc_id repeats or is null;
+    rows alike in both doc_id and text are one. A null doc_id is an id below all
+    others, and null in the result. Texts of any length are read whole; other
+    columns are not read; an empty table gives an empty result.
     """
-    stars = shared.groupBy("id").agg(F.min("leader").alias("star")).join(labels.select("id", "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    each, plain = _grouped(docs, threshold, shingle_words)
+    if plain:
+        out = each.withColumn("least", F.col("component"))
+    else:
+        each = written(each, "groups")
+        own = F.coalesce("doc_id", F.lit(_LOWEST))
+        least = each.groupBy("component").agg(F.min(own).alias("least"))
+        out = each.join(least, "component").withColumn("doc_id", own)
+    shown = lambda c: F.when(c != _LOWEST, c) if not plain else c
+    return out.select(shown(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), shown(F.col("least")).alias("component_id"), (F.col("doc_id") == F.col("least")).alias("kept"))
+
+
+def _remaining(shared: DataFrame, mixed: DataFrame, labels: DataFrame, rows: DataFrame, threshold: int, shingle_words: int) -> DataFrame:
+    """Pairs of ids, of components that still share a bucket, whose sets are alike: x, y.
+
+    Ids that have the same smallest bucket leader, or leader's leader and so on, form a star; stars are cut
+    into blocks of about ``BLOCK`` ids. An id probes the stars that hold an id
+    of a component below its own in one of its buckets, there all blocks that
+    hold such a component (buckets are met by star, since a family's members
+    share dozens of them); it is then compared with all such ids of the block at
+    once. A block that many probe is copied, so that about as many probes as it
+    holds ids meet each copy. What leaves a block is one pair for each probe and
+    component that it reaches.
+    """
+    stars = shared.groupBy("id").agg(F.min("leader").alias("star"))
+    for _ in range(2):  # a batch's own leader follows one of the whole bucket, which may follow another
+        stars = written(stars, "stars")
+        far = stars.select(F.col("id").alias("via"), F.col("star").alias("further"))
+        stars = stars.join(far, F.col("star") == F.col("via"), "left").select("id", F.least("star", "further").alias("star"))
+    stars = stars.join(labels.select("id", "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     parts = stars.groupBy("star").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("parts"))
-    home = written(stars.join(parts, "star").select("id", "component", "star", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part")), "home")
-    block = ["star", "part"]
+    block = F.xxhash64("star", F.pmod(F.xxhash64("id"), F.col("parts"))).alias("block")
+    home = written(stars.join(parts, "star").select("id", "component", "star", block), "home")
     members = mixed.select("key", "id").join(home, "id")
     least = members.groupBy("key", "star").agg(F.min("component").alias("least")).select(F.col("key").alias("k"), F.col("star").alias("to"), "least")
     reach = members.select("key", "id", "component").join(least, (F.col("key") == F.col("k")) & (F.col("least") < F.col("component")))
-    reach = reach.select("id", "component", F.col("to").alias("star")).distinct().join(parts, "star")
-    probes = written(reach.select("id", "component", "star", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")), "probes")
-    held = home.join(probes.select(*block).distinct(), block, "left_semi")
-    both = held.withColumn("probe", F.lit(0)).unionByName(probes.withColumn("probe", F.lit(1)))
+    reach = reach.select("id", "component", "to").distinct()
+    blocks = home.groupBy(F.col("star").alias("to"), "block").agg(F.min("component").alias("lowest"))
+    probes = written(reach.join(blocks, "to").where("lowest < component").select("id", "component", "block"), "probes")
+    copies = probes.groupBy("block").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("copies"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy")
+    held = home.join(copies, "block").select("id", "component", "block", every, F.lit(0).alias("probe"))
+    asking = probes.join(copies, "block").select("id", "component", "block", F.pmod(F.xxhash64("id", "block"), F.col("copies")).alias("copy"), F.lit(1).alias("probe"))
+    both = written(held.unionByName(asking), "blocks")
     maybe = maybe_in(rows.sparkSession, key_filter(both.select("id")))
-    full = both.join(rows.where(maybe(F.col("doc_id"))), F.col("id") == F.col("doc_id")).select(*block, "probe", "id", "component", "text")
-    dealt = full.repartition(*block).sortWithinPartitions(*block, "probe", "id")
-    return dealt.mapInArrow(_probe(threshold, shingle_words), "x long, y long")
+    dealt_by = ["block", "copy"]
+    full = both.join(rows.where(maybe(F.col("id"))), "id").select(*dealt_by, "probe", "id", "component", "text")
+    return full.repartition(*dealt_by).sortWithinPartitions(*dealt_by, "probe").transform(mapped(_probe(threshold, shingle_words), "x long, y long"))
 
 
 def _probe(threshold: int, shingle_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, sets, ids, component, index = None, [], [], [], None
         for b in batches:
-            star, part, probe, own, of = (b.column(c).to_numpy(zero_copy_only=False) for c in range(5))
+            block, copy, probe, own, of = (b.column(c).to_numpy(zero_copy_only=False) for c in range(5))
             found: list[tuple[int, int]] = []
             row = 0
             for lo, hi, data, offsets in texts(b.column(5)):
                 h, text = distinct_shingles(split_words(data, offsets, lower=True), shingle_words)
                 for mine in np.split(h, np.searchsorted(text, np.arange(1, hi - lo))):
-                    here = (star[row], part[row])
+                    here = (block[row], copy[row])
                     if here != at:
                         at, sets, ids, component, index = here, [], [], [], None
                     if not probe[row]:
@@ -249,21 +315,28 @@ def _probe(threshold: int, shingle_words: int):
 def deduplicated(docs: DataFrame, threshold: int = THRESHOLD, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
     """``docs`` with one row of each group of near duplicates, the one with the smallest doc_id; a null one is below all others.
 
-    Decided row by row: a row is known by a 64-bit hash of its doc_id and text,
-    so rows that share a doc_id but not the text are documents of their own. Of
-    rows alike in both one stays, also where the text has no shingles.
+    Decided row by row: rows that share a doc_id but not the text are documents
+    of their own, as are rows with a null doc_id. Of rows alike in both one
+    stays, also where the text has no shingles. Rows that stay are not shuffled
+    but for those that the filter of removed ids can't tell from one.
     """
-    ship(docs.sparkSession)
-    row = F.xxhash64(F.col("doc_id").cast("long"), F.col("doc_id").isNull(), "text", F.col("text").isNull())
-    whole = docs.withColumn("_row", row)
-    rows = written(whole.groupBy("_row").agg(F.min(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST))).alias("_id"), F.count("*").alias("_n")), "rows")
-    again = rows.where("_n > 1").select("_row")
-    if not again.isEmpty():
-        one = narrowed(whole, "_row", again).join(again, "_row", "left_semi").dropDuplicates(["_row"])
-        whole = written(whole.join(again, "_row", "left_anti").unionByName(one), "distinct")
-    near = near_duplicates(whole.select(F.col("_row").alias("doc_id"), "text"), threshold, shingle_words).select(F.col("doc_id").alias("_row"), "component_id")
-    first = near.join(rows, "_row").groupBy("component_id").agg(F.min(F.struct("_id", "_row")).alias("first")).select("first._row")
-    return whole.join(first, "_row", "left_semi").select(*docs.columns)
+    each, plain = _grouped(docs, threshold, shingle_words)
+    each = written(each, "groups")
+    first = each.groupBy("component").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(_LOWEST)).alias("doc_id"), "id")).alias("first"))
+    gone = written(each.join(first, "component").where("id <> first.id").select("id").distinct(), "gone")
+    key = "_id"
+    while key in docs.columns:
+        key += "_"
+    own = docs.withColumn(key, F.col("doc_id").cast("long") if plain else _row(docs))
+    maybe = maybe_in(docs.sparkSession, key_filter(gone))
+    stays = own.where(~maybe(F.col(key)))
+    kept = stays.unionByName(own.where(maybe(F.col(key))).join(gone.withColumnRenamed("id", key), key, "left_anti"))
+    if not plain:
+        again = written(each.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias(key)), "again")
+        if not again.isEmpty():
+            one = narrowed(kept, key, again).join(again, key, "left_semi").dropDuplicates([key])
+            kept = kept.join(again, key, "left_anti").unionByName(one)
+    return kept.select(*docs.columns)
 
 
 ORACLE = r"""
