@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.runtime import key_filter, mapped, mix64, passes, ship, written
+from quillspan.llm.runtime import key_filter, mapped, mix64, passes, ship, unused, written
 from quillspan.llm.words import distinct_shingles, shingles, split_words, texts, word_shingles
 
 SHINGLE_WORDS, THRESHOLD, HASHES = 5, 0.8, 64
@@ -264,9 +264,7 @@ def clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> Da
     index = _index(sets)
     if index is None:
         hit = _joined(docs, sets, threshold).select("row").distinct()
-        key = "_row"
-        while key in docs.columns:
-            key += "_"
+        key = unused("_row", docs)
         return docs.withColumn(key, _row(docs)).join(hit.withColumnRenamed("row", key), key, "left_anti").select(*docs.columns)
     shared = docs.sparkSession.sparkContext.broadcast(index)
 

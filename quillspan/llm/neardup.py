@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.llm.components import components
-from quillspan.llm.runtime import key_filter, mapped, maybe_in, mix64, narrowed, ship, written
+from quillspan.llm.runtime import mapped, mix64, narrowed, ship, unused, without, written
 from quillspan.llm.words import distinct_shingles, split_words, texts, word_shingles
 
 HALVES, ROWS = 12, 3
@@ -144,11 +144,9 @@ def _verify(threshold: int, shingle_words: int):
 
 def verified(pairs: DataFrame, rows: DataFrame, threshold: int, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
     """``pairs`` (x, y) with ``linked``: similarity of the full sets, at last of the words themselves. ``rows`` has id and text. Only texts that take part are moved."""
-    spark = pairs.sparkSession
     out = pairs
     for c in ("x", "y"):
-        maybe = maybe_in(spark, key_filter(pairs.select(c)))
-        side = rows.where(maybe(F.col("id"))).select(F.col("id").alias(f"_{c}"), F.col("text").alias(f"text_{c}"))
+        side = narrowed(rows, "id", pairs.select(c)).select(F.col("id").alias(f"_{c}"), F.col("text").alias(f"text_{c}"))
         out = out.join(side, F.col(c) == F.col(f"_{c}")).drop(f"_{c}")
     return out.select("x", "y", "text_x", "text_y").transform(mapped(_verify(threshold, shingle_words), "x long, y long, linked boolean"))
 
@@ -174,7 +172,7 @@ def _grouped(docs: DataFrame, threshold: int, shingle_words: int) -> tuple[DataF
         if not again.isEmpty():  # rows alike in doc_id and text: one stands for all
             again = written(again, "again")
             one = narrowed(rows, "id", again).join(again, "id", "left_semi").dropDuplicates(["id"])
-            rows = written(rows.join(again, "id", "left_anti").unionByName(one), "distinct", wide=True)
+            rows = written(without(rows, "id", again).unionByName(one), "distinct", wide=True)
     same = ["n", "s1", "s2"]
     classes = written(each.where("n > 0").groupBy(*same).agg(F.min("id").alias("class"), F.first("sketch").alias("sketch")), "classes", wide=True)
     keys = classes.select("class", "sketch").transform(mapped(_keys, "key long, id long, leader long, state int"))
@@ -266,9 +264,8 @@ def _remaining(shared: DataFrame, mixed: DataFrame, labels: DataFrame, rows: Dat
     held = home.join(copies, "block").select("id", "component", "block", every, F.lit(0).alias("probe"))
     asking = probes.join(copies, "block").select("id", "component", "block", F.pmod(F.xxhash64("id", "block"), F.col("copies")).alias("copy"), F.lit(1).alias("probe"))
     both = written(held.unionByName(asking), "blocks")
-    maybe = maybe_in(rows.sparkSession, key_filter(both.select("id")))
     dealt_by = ["block", "copy"]
-    full = both.join(rows.where(maybe(F.col("id"))), "id").select(*dealt_by, "probe", "id", "component", "text")
+    full = both.join(narrowed(rows, "id", both.select("id")), "id").select(*dealt_by, "probe", "id", "component", "text")
     return full.repartition(*dealt_by).sortWithinPartitions(*dealt_by, "probe").transform(mapped(_probe(threshold, shingle_words), "x long, y long"))
 
 
@@ -322,21 +319,16 @@ def deduplicated(docs: DataFrame, threshold: int = THRESHOLD, shingle_words: int
     """
     each, plain = _grouped(docs, threshold, shingle_words)
     each = written(each, "groups")
-    first = each.groupBy("component").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(_LOWEST)).alias("doc_id"), "id")).alias("first"))
-    gone = written(each.join(first, "component").where("id <> first.id").select("id").distinct(), "gone")
-    key = "_id"
-    while key in docs.columns:
-        key += "_"
-    own = docs.withColumn(key, F.col("doc_id").cast("long") if plain else _row(docs))
-    maybe = maybe_in(docs.sparkSession, key_filter(gone))
-    stays = own.where(~maybe(F.col(key)))
-    kept = stays.unionByName(own.where(maybe(F.col(key))).join(gone.withColumnRenamed("id", key), key, "left_anti"))
+    first = each.groupBy("component").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(_LOWEST)).alias("doc_id"), "id")).alias("first")).select("first.id")
+    gone = written(each.select("id").distinct().join(first, "id", "left_anti"), "gone")  # by id: a component may hold a third of all rows
+    key = unused("_id", docs)
+    kept = without(docs.withColumn(key, F.col("doc_id").cast("long") if plain else _row(docs)), key, gone)
     if not plain:
         again = written(each.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias(key)), "again")
         if not again.isEmpty():
             one = narrowed(kept, key, again).join(again, key, "left_semi").dropDuplicates([key])
-            kept = kept.join(again, key, "left_anti").unionByName(one)
-    return kept.select(*docs.columns)
+            kept = without(kept, key, again).unionByName(one)
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 ORACLE = r"""

@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.runtime import written
+from quillspan.llm.runtime import few, written
 
 REACH, GENERALISE, REMOVE = 80, 0.5, 0.8
 #: Candidate or revealing terms that are broadcast at most (under 300 bytes each); beyond it the join is dealt by term.
@@ -165,10 +165,6 @@ def _contexts() -> Column:
     return F.transform("_base", around)
 
 
-def _few(df: DataFrame, most: int) -> bool:
-    return df.limit(most + 1).count() <= most
-
-
 def revealing_terms(contexts: DataFrame, rows: DataFrame) -> DataFrame | None:
     """Terms over a threshold (term, disclosure) from contexts (entity, context, terms) and the texts of the whole corpus; None where no pair has two contexts."""
     pairs = contexts.select("entity", "context", F.explode("terms").alias("term")).groupBy("entity", "term", "context").agg(F.count("*").alias("n"))
@@ -177,7 +173,7 @@ def revealing_terms(contexts: DataFrame, rows: DataFrame) -> DataFrame | None:
         return None
     candidates = written(pairs.select("term").distinct(), "candidates")
     words = rows.select(F.explode(F.regexp_extract_all("text", F.lit(_WORD), F.lit(0))).alias("word")).select(term_of(F.col("word")).alias("term"))
-    if _few(candidates, BROADCAST_TERMS):
+    if few(candidates, BROADCAST_TERMS):
         words = words.join(F.broadcast(candidates), "term")
     counts = words.groupBy("term").agg(F.count("*").alias("n_term"))
     joint, n, k = (F.col(x).cast("double") for x in ("joint", "n_term", "contexts"))
@@ -197,9 +193,9 @@ def term_hits(rows: DataFrame, terms: DataFrame) -> DataFrame:
     """Occurrences of ``terms`` per distinct text (key, key2): hits array<struct<i, term, remove>>, i the number of the word. Words meet the terms where they are read. Marked for broadcast where they are few."""
     words = F.regexp_extract_all("text", F.lit(_WORD), F.lit(0))
     every = rows.select(*_KEY, F.posexplode(words).alias("i", "w")).select(*_KEY, "i", term_of(F.col("w")).alias("term"))
-    hit = every.join(F.broadcast(terms) if _few(terms, BROADCAST_TERMS) else terms, "term")
+    hit = every.join(F.broadcast(terms) if few(terms, BROADCAST_TERMS) else terms, "term")
     hits = written(hit.groupBy(*_KEY).agg(F.collect_set(F.struct("i", "term", (F.col("disclosure") > REMOVE).alias("remove"))).alias("hits")), "hits")
-    return F.broadcast(hits) if _few(hits.select(F.explode("hits")), BROADCAST_HITS) else hits
+    return F.broadcast(hits) if few(hits.select(F.explode("hits")), BROADCAST_HITS) else hits
 
 
 def with_found(rows: DataFrame) -> DataFrame:

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Bits of a key filter. Fixed: the broadcast stays 1 MiB whatever the input; a full filter lets rows through and the join behind it decides.
 FILTER_BITS = 1 << 23
+#: Keys (8 bytes each) that are broadcast at most.
+BROADCAST_KEYS = 200_000
 
 #: Bounds of what one Python worker is handed at once, whatever the length of texts.
 ARROW_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "4000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
@@ -111,13 +113,14 @@ def _file_system(spark: SparkSession, path: str):
 def written(df: DataFrame, name: str, wide: bool = False, heavy: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors.
 
-    Narrow tables (ids and counts) go to two files a core at most, so that many
+    Narrow tables (ids and counts) go to two files a core, or a sixteenth of the
+    shuffle partitions where that is more (cores may still join), so that many
     partitions don't make many small files. ``wide`` ones, whose tasks do the
     work of a scan, keep their partitions; what ``heavy`` tasks find is dealt
     anew, so that the tasks stay as many as they are.
     """
     spark = df.sparkSession
-    path, files = new_path(spark, name), 2 * spark.sparkContext.defaultParallelism
+    path, files = new_path(spark, name), max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 16)
     (df if wide else df.repartition(files) if heavy else df.coalesce(files)).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._quillspan_path = path
@@ -200,7 +203,32 @@ def maybe_in(spark: SparkSession, bits: np.ndarray):
     return pandas_udf(wrapped, "boolean")
 
 
+def unused(name: str, *tables: DataFrame) -> str:
+    """``name``, with underscores until no table has such a column."""
+    while any(name in t.columns for t in tables):
+        name += "_"
+    return name
+
+
+def few(df: DataFrame, most: int) -> bool:
+    return df.limit(most + 1).count() <= most
+
+
 def narrowed(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
-    """Rows of ``df`` whose ``key`` may be in ``keys``: what a following join would drop is mostly gone before its shuffle."""
-    bits = key_filter(keys)
-    return df.filter(maybe_in(df.sparkSession, bits)(F.col(key)))
+    """Rows of ``df`` whose ``key`` is in the one column of ``keys``, or may be: what a following join would drop is mostly gone before its shuffle. Few keys are broadcast, many go through a filter of fixed size."""
+    name = unused("_key", df)
+    own = keys.select(F.col(keys.columns[0]).cast("long").alias(name)).where(F.col(name).isNotNull()).distinct()
+    if few(own, BROADCAST_KEYS):
+        return df.join(F.broadcast(own), F.col(key) == F.col(name), "left_semi")
+    return df.filter(maybe_in(df.sparkSession, key_filter(own))(F.col(key)))
+
+
+def without(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose ``key`` isn't in the one column of ``keys``; beyond few keys only rows that may be are shuffled."""
+    name = unused("_key", df)
+    own = keys.select(F.col(keys.columns[0]).cast("long").alias(name)).distinct()
+    same = F.col(key) == F.col(name)
+    if few(own, BROADCAST_KEYS):
+        return df.join(F.broadcast(own), same, "left_anti")
+    maybe = maybe_in(df.sparkSession, key_filter(own))(F.col(key))
+    return df.where(~maybe | F.col(key).isNull()).unionByName(df.where(maybe).join(own, same, "left_anti"))

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quillspan.llm import bpe, contamination, embeddings, neardup, pieces, pii, quality, sharding, substrings, toxicity, words
+from quillspan.llm import bpe, contamination, embeddings, neardup, pieces, pii, quality, runtime, sharding, substrings, toxicity, words
 
 BPE, SP = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -259,6 +259,17 @@ def family(rng, n, size=60, most=9):
     return out
 
 
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_deduplicated_repeated_and_null_ids(spark, monkeypatch, most):
+    monkeypatch.setattr(runtime, "BROADCAST_KEYS", most)
+    a, b = (" ".join(f"{x}{i}" for i in range(30)) for x in "ab")
+    rows = [(3, b), (7, a), (7, b), (7, b), (None, a), (None, "alone here now"), (None, "alone here now"), (9, None), (9, None), (9, ""), (-5, a + " tail")]
+    kept = neardup.deduplicated(clashing(spark, rows))
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(3, b), (None, a), (None, "alone here now"), (9, None), (9, "")], key=str)
+    unique = [(i, t) for i, (_, t) in enumerate(rows)]
+    assert sorted(r["doc_id"] for r in neardup.deduplicated(clashing(spark, unique)).collect()) == [0, 1, 5, 7, 8, 9]
+
+
 def test_neardup_repeated_and_null_ids(spark):
     a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
     rows = [(3, b), (7, a), (7, b), (7, b), (8, c), (None, c), (None, a), (None, "alone here now"), (9, None), (9, ""), (10, "one"), (11, "ONE"), (-5, a + " tail"), (12, "w " * 30_000), (13, "w " * 20_000)]
@@ -267,8 +278,9 @@ def test_neardup_repeated_and_null_ids(spark):
 
 
 @pytest.mark.parametrize("rounds", [0, 1, 2])
-def test_neardup_blocks(spark, rounds):
-    """Families that stars don't settle: small blocks, copied for many probes."""
+def test_neardup_blocks(spark, rounds, monkeypatch):
+    """Families that stars don't settle: small blocks, copied for many probes; many keys go through the filter."""
+    monkeypatch.setattr(runtime, "BROADCAST_KEYS", (200_000, 0, 30)[rounds])
     rng = random.Random(rounds)
     rows = [(i, t) for i, t in enumerate([*family(rng, 70), *family(rng, 40, 30, 5), *(f"other {i} words {i * i}" for i in range(20))])]
     old = neardup.BLOCK, neardup.STAR_ROUNDS
