@@ -145,6 +145,46 @@ def cached_source(spark, d):
     return readers.cached(spark, path, lambda: build().where("false"))
 
 
+@query("SELECT sha256(string_agg(n_name || chr(10), '' ORDER BY n_nationkey)) AS sha256, sum(length(n_name) + 1)::BIGINT AS bytes FROM nation")
+def file_hash(spark, d):
+    """The hash of a file that was written in order."""
+    path = views.scratch(spark, "hashed")
+    table(spark, d, "nation").orderBy("n_nationkey").select("n_name").coalesce(1).write.text(path)
+    size = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).agg(F.sum("length").alias("bytes"))
+    return readers.hashes(spark, f"{path}/part-*").select("sha256").crossJoin(F.broadcast(size))  # one row
+
+
+_TABLE = "'| region | nations |' || chr(10) || '|---|---:|' || chr(10) || string_agg('| ' || r_name || ' | ' || n || ' |', chr(10) ORDER BY r_name)"
+_REGIONS = "rg AS (SELECT r_name, count(*) AS n FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name)"
+
+
+def _regions(spark, d) -> DataFrame:
+    n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return n.groupBy(F.col("r_name").alias("region")).agg(F.count("*").alias("nations")).orderBy("region")
+
+
+@query(f"WITH {_REGIONS}, t AS (SELECT string_split({_TABLE}, chr(10)) AS ls FROM rg) SELECT i AS number, ls[i] AS line FROM t, generate_series(1, len(ls)) AS g(i)")
+def markdown_lines(spark, d):
+    """A result table in Markdown, a row a line."""
+    lines = sinks.markdown(_regions(spark, d), {"nations"}).rstrip("\n").split("\n")
+    return spark.createDataFrame(list(enumerate(lines, 1)), "number long, line string")
+
+
+@query(f"WITH {_REGIONS}, t AS (SELECT {_TABLE} AS b FROM rg) SELECT 'before' || chr(10) || '<!-- regions:start -->' || chr(10) || b || chr(10) || '<!-- regions:end -->' || chr(10) || 'after, rate 5' AS text FROM t")
+def marked_block(spark, d):
+    """A report whose marked block is replaced, and a figure in it exactly once."""
+    old = "before\n<!-- regions:start -->\nold\n<!-- regions:end -->\nafter, rate 7"
+    block = sinks.markdown(_regions(spark, d), {"nations"})
+    return spark.createDataFrame([(sinks.replaced_once(sinks.spliced(old, "regions", block), r"rate \d", "rate 5"),)], "text string")
+
+
+@query(f"WITH {_REGIONS}, t AS (SELECT [lpad('region', 12, ' ') || lpad('nations', 9, ' ')] || list(lpad(r_name, 12, ' ') || lpad(n::VARCHAR, 9, ' ') ORDER BY r_name) AS ls FROM rg) SELECT i AS number, ls[i] AS line FROM t, generate_series(1, len(ls)) AS g(i)")
+def fixed_lines(spark, d):
+    """The same as a console table."""
+    lines = sinks.fixed_width(_regions(spark, d), {"region": 12, "nations": 9}).split("\n")
+    return spark.createDataFrame(list(enumerate(lines, 1)), "number long, line string")
+
+
 # Scores by benchmark.
 _SAID = "CASE doc_id % 4 WHEN 0 THEN 'so it is 1,234' WHEN 1 THEN 'I take (C)' WHEN 2 THEN '**Answer:** D' ELSE 'no idea' END"
 _BENCH = "['mgsm', 'belebele', 'proxlite'][doc_id % 3 + 1]"
