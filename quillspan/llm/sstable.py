@@ -27,7 +27,8 @@ from __future__ import annotations
 import struct
 import zlib
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -137,23 +138,30 @@ class TableWriter:
 
 
 class Table:
-    """A shard read back: ``entries`` in key order, or ``get`` of one key by Bloom filter and binary search."""
-
-    def __init__(self, raw: bytes):
-        self.raw = memoryview(raw)
-        foot = self.raw[-FOOTER.size - 1 : -1]
+    """A shard, from its bytes or from a function that reads a range (offset, length) of them: ``entries`` in key order, or ``get`` of one key by Bloom filter and binary search, which reads footer, index, filter and one block."""
+
+    def __init__(self, raw: bytes | Callable[[int, int], bytes], size: int | None = None):
+        if callable(raw):
+            self.read, self.size = raw, size
+        else:
+            view = memoryview(raw)
+            self.read, self.size = (lambda at, n: view[at : at + n]), len(view)
+        foot = self.read(self.size - FOOTER.size - 1, FOOTER.size)
         self.index_at, self.index_len, self.bloom_at, self.bloom_len, self.docs, self.ids, self.width, magic = FOOTER.unpack(foot)
         if magic != MAGIC:
             raise ValueError("not a shard")
-        raw_index = self.raw[self.index_at : self.index_at + self.index_len]
+        raw_index = self.read(self.index_at, self.index_len)
         self.last_keys = [bytes(raw_index[i : i + 9]) for i in range(0, self.index_len, 25)]
         self.places = [struct.unpack("<QQ", raw_index[i + 9 : i + 25]) for i in range(0, self.index_len, 25)]
-        self.bloom = np.unpackbits(np.frombuffer(self.raw[self.bloom_at : self.bloom_at + self.bloom_len], np.uint8), bitorder="little")
         self.unpack = zstandard.ZstdDecompressor()
 
+    @cached_property
+    def bloom(self) -> np.ndarray:
+        return np.unpackbits(np.frombuffer(self.read(self.bloom_at, self.bloom_len), np.uint8), bitorder="little")
+
     def block(self, i: int) -> Iterator[tuple[bytes, memoryview]]:
         at, n = self.places[i]
-        body = self.unpack.decompress(self.raw[at : at + n])
+        body = self.unpack.decompress(self.read(at, n))
         if zlib.crc32(body[:-4]) != struct.unpack("<I", body[-4:])[0]:
             raise ValueError(f"block {i} is damaged")
         view, p, key = memoryview(body), 0, b""
@@ -224,6 +232,38 @@ def write_tables(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, s
     rows.transform(mapped(write, "section binary")).select(F.col("section").cast("string")).write.text(path)
 
 
+def lookup(spark: SparkSession, path: str, doc_id: int | None) -> np.ndarray | None:
+    """Ids of one document of the shards under ``path``, the end id included; None if there is no such document. Files are searched by halves, in each only footer and index are read, in the right one filter and a block too. Of rows that share an id one is found."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    folder = hadoop.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = sorted((f for f in fs.globStatus(hadoop.Path(folder, "part-*")) or [] if f.getLen()), key=lambda f: f.getPath().getName())
+    streams = []
+
+    def table(i: int) -> Table:
+        stream = fs.open(files[i].getPath())
+        streams.append(stream)
+
+        def read(at: int, n: int) -> bytes:
+            stream.seek(at)
+            return bytes(stream.readNBytes(n))
+
+        return Table(read, files[i].getLen())
+
+    try:
+        key, lo, hi = key_of(doc_id), 0, len(files)
+        while lo < hi:  # the first file whose last key isn't below
+            mid = (lo + hi) // 2
+            if table(mid).last_keys[-1] < key:
+                lo = mid + 1
+            else:
+                hi = mid
+        return table(lo).get(doc_id) if lo < len(files) else None
+    finally:
+        for stream in streams:
+            stream.close()
+
+
 def read_tables(spark: SparkSession, path: str) -> DataFrame:
     """Per document of all shards under ``path``: file, doc_id, start within the file, n_tokens, ids_crc32."""
     ship(spark)

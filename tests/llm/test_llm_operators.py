@@ -392,6 +392,20 @@ def test_sstable(docs, empty, spark):
     assert sstable.token_ids(empty, BPE).count() == 0
 
 
+def test_lookup_in_files(spark, docs, tmp_path):
+    """Single documents by binary search over files and blocks, beside the library's ids; only parts of a file are read."""
+    path = str(tmp_path / "shards")
+    sstable.write_tables(docs, path, BPE, shard_bytes=4000)
+    t = Tokenizer.from_file(BPE)
+    for r in docs.where("doc_id IS NULL OR doc_id % 9 = 0").collect():
+        assert sstable.lookup(spark, path, r["doc_id"]).tolist() == [*t.encode(r["text"] or "", add_special_tokens=False).ids, 0]
+    assert all(sstable.lookup(spark, path, i) is None for i in (-7, 95, 10**12)) and sstable.lookup(spark, str(tmp_path / "none"), 1) is None
+    w, read = sstable.TableWriter(4), []
+    raw = b"".join(s + b"\n" for k in range(3000) for s in w.add(sstable.key_of(k), np.random.default_rng(k).bytes(800))) + b"".join(s + b"\n" for s in w.finish())
+    table = sstable.Table(lambda at, n: read.append(n) or raw[at : at + n], len(raw))
+    assert table.get(1234).tobytes() == np.random.default_rng(1234).bytes(800) and table.get(9999) is None and sum(read) < len(raw) / 20
+
+
 def test_table_lookup():
     for width, top in ((2, 60_000), (4, 1 << 20)):
         w = sstable.TableWriter(width)
