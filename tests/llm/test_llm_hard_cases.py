@@ -191,6 +191,17 @@ def test_pii_rows_keep_their_own_spans(spark, empty):
     assert pii.sanitised(empty).columns == empty.columns and pii.sanitised(empty).count() == 0
 
 
+# 4, 1
+def test_rows_that_share_an_id(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(25)) for x in "ab")
+    rows = [(1, a), (1, a), (2, a), (None, b), (3, f"{b} tail"), (4, None), (4, "")]
+    got = sorted(((r["doc_id"], r["n_words"], r["n_removed"]) for r in substrings.deduplicated(clashing(spark, rows)).collect()), key=str)
+    assert got == sorted([(1, 25, 0), (1, 25, 0), (2, 25, 25), (None, 25, 0), (3, 26, 25), (4, 0, 0), (4, 0, 0)], key=str)
+    drawn = pieces.sampled(clashing(spark, rows), SP).collect()
+    assert len(drawn) == 12 and len({(r["doc_id"], r["sample"], tuple(r["ids"])) for r in drawn if r["doc_id"] == 1}) == 2
+    assert {r["sample"] for r in drawn if r["doc_id"] == 4} == {1} and sum(r["doc_id"] is None for r in drawn) == 2
+
+
 # 5
 def test_sharding_keeps_clashing_columns_in_mind(spark):
     docs = clashing(spark, [(1, "a"), (1, "a"), (None, None)])
@@ -332,5 +343,44 @@ def test_stages_with_hard_rows(spark, tmp_path, corpus, empty):
         assert stage(spark, empty, d).count() == 0, name
 
 
+def test_pipeline_by_brute_force(spark, tmp_path, corpus):
+    """What run() returns, beside plain versions of all stages but the network, whose decisions are checked against its own scores."""
+    d, rng = str(tmp_path), random.Random(21)
+    passage = " ".join(f"item{i}" for i in range(24))
+    rows = [(i, t) for i, t in corpus if t]
+    rows += [(2000 + i, t) for i, t in enumerate([*family(rng, 40, 80, 4), *family(rng, 30, 40, 8)])]
+    rows += [(3000 + i, f"{rng.choice(corpus)[1] or 'x'} {passage if i % 2 else passage[:60]} end") for i in range(8)]
+    rows += [(4000 + i, f"write to person{i}@host{i}.org or call +49 170 55{i:05d} from 10.0.{i}.1 please number {i} " + " ".join(f"q{i}w{j}" for j in range(30))) for i in range(12)]
+    rows += [(600 + i, " ".join(("GO!! STOP!! NOW!!" if i % 2 else f"calm river {i} walks").split() * 9)) for i in range(60)]
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    frame.write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(600 + i, 1 - i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([(1, passage), (2, "no such words in any of them here")], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    net = quality.train(docs, spark.read.parquet(f"{d}/labels.parquet"))
+    good = {r["doc_id"] for r in quality.scored(docs, net).where("score >= 0.3").select("doc_id").collect()}
+    assert {r["doc_id"] for r in P.quality_stage(spark, docs, d).collect()} == good and 40 < len(good) < len(rows)
+    left = [(i, t) for i, t in rows if i in good]
+    left = [r for r, (_, _, _, kept) in zip(left, brute(left, 5)) if kept]
+    items = [shingles(passage), shingles("no such words in any of them here")]
+    left = [(i, t) for i, t in left if not any(len(q & shingles(t)) >= 0.8 * len(q) for q in items)]
+
+    def clean(t):
+        found = [(m.start(), m.end(), "[EMAIL]") for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+        found += [(m.start(), m.end(), "[IP]") for m in re.finditer(r"[0-9]+(\.[0-9]+){3}", t)]
+        found += [(m.start(), m.end(), "[PHONE]") for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= len(re.sub("[^0-9]", "", m.group())) <= 15]
+        out, at = "", 0
+        for s, e, put in sorted(found):
+            out, at = out + t[at:s] + put, e
+        return out + t[at:]
+
+    want = {i: clean(t) for i, t in left}
+    out = P.run(spark, d).cache()
+    assert {r["doc_id"] for r in out.select("doc_id").collect()} == set(want) and 30 < len(want) < len(good)
+    for rank in (1, 2):
+        assert {r["doc_id"]: r["text"] for r in pieces.decoded(out.where(f"sample = {rank}"), SP).collect()} == want
+    assert any("[PHONE] from [IP]" in t for t in want.values())
+
+
 def test_sanitised_texts_have_no_sha_left(spark):
     assert hashlib.sha256(b"").hexdigest() == pii.detected(spark.createDataFrame([(1, None)], "doc_id long, text string")).first()["base_sha256"]
