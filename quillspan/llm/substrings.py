@@ -79,7 +79,7 @@ def stretches(w: Words, length: int, seed: int) -> tuple[np.ndarray, np.ndarray,
 
 
 def _firsts(one: np.ndarray, two: np.ndarray, d: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers of the first occurrence (d, then p) of each (one, two), and of the other rows."""
+    """Row numbers of the first occurrence (d, then p) of each (one, two), and of the later ones; rows at the place of the first are neither."""
     key = mix64(one + two * np.uint64(0x9E3779B97F4A7C15))
     order = np.argsort(key, kind="stable")
     k = key[order]
@@ -88,9 +88,21 @@ def _firsts(one: np.ndarray, two: np.ndarray, d: np.ndarray, p: np.ndarray) -> t
     alone[:-1] &= k[:-1] != k[1:]
     first, again = order[alone], order[~alone]
     again = again[np.lexsort((p[again], d[again], two[again], one[again]))]
-    new = np.ones(len(again), bool)
-    new[1:] = (one[again][1:] != one[again][:-1]) | (two[again][1:] != two[again][:-1])
-    return np.concatenate([first, again[new]]), again[~new]
+    new = _new(one[again], two[again])
+    return np.concatenate([first, again[new]]), again[~new & ~_same_place(new, d[again], p[again])]
+
+
+def _new(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Whether rows in order begin another (one, two)."""
+    new = np.ones(len(one), bool)
+    new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+    return new
+
+
+def _same_place(new: np.ndarray, d: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Whether rows stand at the document and place of the first row of their group: rows that share a doc_id don't outrank one another."""
+    head = np.flatnonzero(new)[np.cumsum(new) - 1]
+    return (d == d[head]) & (p >> 8 == p[head] >> 8)
 
 
 def _rows(*columns: np.ndarray, names: list[str] = _ROW) -> pa.RecordBatch:
@@ -144,9 +156,8 @@ def _join_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         kind = np.full(len(a), -1, np.int64)
         kind[done] = 0
         at = np.flatnonzero(real)
-        new = np.ones(len(at), bool)
-        new[1:] = (a[at][1:] != a[at][:-1]) | (c[at][1:] != c[at][:-1])
-        kind[at[~new]] = 0
+        new = _new(a[at], c[at])
+        kind[at[~new & ~_same_place(new, d[at], p[at])]] = 0
         heads = np.bincount(group[at[new]], minlength=group[-1] + 1)
         wide = (heads > 1) | (np.bincount(group, witness | marked, minlength=group[-1] + 1) > 0)
         kind[at[new]] = np.where(wide[group[at[new]]], 1, -1)
@@ -203,18 +214,20 @@ def _extend(length: int):
 
 def _join_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows in order of (a, c, d, p) -> all but the first of each (a, c)."""
-    last = None
+    last = None  # the first row of the group at hand
     for b in batches:
         a, c, d, p = (x.to_numpy(zero_copy_only=False) for x in b.columns)
-        done = (p & _SETTLED) > 0
-        repeat = done.copy()
-        at = np.flatnonzero(~done)
+        repeat = (p & _SETTLED) > 0
+        at = np.flatnonzero(~repeat)
         if len(at):
-            new = np.ones(len(at), bool)
-            new[1:] = (a[at][1:] != a[at][:-1]) | (c[at][1:] != c[at][:-1])
-            new[0] = last is None or (a[at[0]], c[at[0]]) != last
-            last = (a[at[-1]], c[at[-1]])
-            repeat[at[~new]] = True
+            own = [x[at] for x in (a, c, d, p)]
+            if last is not None:
+                own = [np.append(x, y) for x, y in zip(last, own)]
+            new = _new(own[0], own[1])
+            later = ~new & ~_same_place(new, own[2], own[3])
+            head = np.flatnonzero(new)[-1]
+            repeat[at] = later[-len(at) :]
+            last = [x[head : head + 1] for x in own]
         yield _rows(d[repeat], p[repeat] >> 8, p[repeat] & 31, names=["d", "s", "n"])
 
 
