@@ -114,6 +114,11 @@ def _steps(gaps: str, matches: str) -> Column:
     return F.zip_with(F.slice(_lengths(gaps), F.lit(1), n), before, lambda g, m: g + m)
 
 
+def match_starts(gaps: str, matches: str) -> Column:
+    """Where each of the ``matches`` starts, in code points; ``gaps``: the text split at them."""
+    return prefix_sums(_steps(gaps, matches))
+
+
 def _spans(kind: str) -> Column:
     m, start = f"_m_{kind}", f"_s_{kind}"
     every = F.zip_with(m, start, lambda v, s: F.struct(F.lit(kind).alias("kind"), s.alias("start"), (s + F.length(v)).alias("end"), v.alias("value")))

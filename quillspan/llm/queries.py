@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillspan.llm import contamination, embeddings, neardup, pieces, pii, quality, sharding, sstable, substrings, toxicity
+from quillspan.llm import centroids, contamination, embeddings, hardneg, neardup, pieces, pii, quality, secrets, sharding, sstable, substrings, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +60,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.detected(table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hardneg.mined(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, hardneg.relabelled())
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clustered(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pieces": op1_pieces,
     "op2_decontamination": op2_decontamination,
@@ -70,6 +83,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_ids": op8_token_ids,
     "op9_neardup": op9_neardup,
     "op10_toxicity": op10_toxicity,
+    "op11_secrets": op11_secrets,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_centroids": op13_centroids,
 }
 
 ORACLES: dict[str, str] = {
@@ -79,4 +95,7 @@ ORACLES: dict[str, str] = {
     "op5_sharding": sharding.oracle(),
     "op7_embeddings": embeddings.ORACLE,
     "op9_neardup": neardup.ORACLE,
+    "op11_secrets": secrets.ORACLE,
+    "op12_hard_negatives": hardneg.ORACLE,
+    "op13_centroids": centroids.ORACLE,
 }
