@@ -7,11 +7,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from quillspan.functions import text as T
+from quillspan.session import ship
 
 SPAN, REPEATS = 60, 5
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -96,8 +97,14 @@ def _plainly(text: str, span: int, repeats: int) -> bool:
     return False
 
 
+def _shipped() -> None:
+    """The functions below call others of this module, so executors need the package."""
+    ship(SparkSession.active())
+
+
 def looping(text: Column, span: int = SPAN, repeats: int = REPEATS) -> Column:
     """``loops`` as a column; texts too short to loop never reach Python."""
+    _shipped()
 
     @pandas_udf("boolean")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -138,6 +145,7 @@ def gram_hashes(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def grams(norm: Column, n: int) -> Column:
     """``gram_hashes`` of each text, as an array of longs."""
+    _shipped()
 
     @pandas_udf("array<long>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -150,6 +158,7 @@ def grams(norm: Column, n: int) -> Column:
 
 def overlap_reason(lang: Column, norm: Column, texts: dict[str, set[str]], n: int) -> Column:
     """``exact`` for a text that is among ``texts`` of its language, ``ngram`` for another that shares an n-gram with one of them, else null. Found by hashes, confirmed on the n-grams themselves."""
+    _shipped()
     hashes, spelled = {}, {}
     for key, own in texts.items():
         rows = sorted(own)

@@ -9,6 +9,7 @@ from quillspan.functions import text as T
 from quillspan.functions import udfs
 from quillspan.functions.stats import ratio
 from quillspan.operators.audit import draw_order
+from quillspan.storage import stored
 
 NGRAM = 13
 #: A benchmark that is broadcast has at most so many texts and bytes in normal form; a larger one is joined by hash.
@@ -22,45 +23,47 @@ def small(table: DataFrame, most: int = BROADCAST_STRATA) -> DataFrame:
     return F.broadcast(table) if table.limit(most + 1).count() <= most else table
 
 
-def positions(rows: DataFrame, groups: list[str], order: list[Column | str], name: str = "position", at: int = 0) -> DataFrame:
+def positions(rows: DataFrame, groups: list[str], order: list[Column | str], name: str = "position") -> DataFrame:
     """``rows`` with their number from 1 in each group, in an order that should have no ties.
 
-    No task holds a whole group: it is cut by ranges of ``order[at]`` (equal
-    widths of a number, first characters of a text), rows are numbered within a
-    range and moved on by the sizes of the ranges before. What stands before
-    ``order[at]`` should have few values.
+    Rows are dealt by ranges of group and order, cut where a sample of the rows
+    says they are equally many, however the values lie; each range is sorted and
+    numbered where it is written. What stands before a range is the sum of the
+    sizes of those before it, and a group begins at its smallest number, so no
+    task holds a group, and rows are shuffled once.
     """
     given = [F.col(o) if isinstance(o, str) else o for o in order]
-    keys = [f"_o{i}" for i in range(len(given))]
-    dealt = rows.withColumns(dict(zip(keys, given)))
-    cut = F.col(keys[at])
-    if dict(dealt.dtypes)[keys[at]] == "string":
-        part = F.ascii(cut)
-    else:
-        n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        least, most = dealt.agg(F.min(cut).cast("double"), F.max(cut).cast("double")).first()
-        part = F.floor((cut.cast("double") - F.lit(least or 0.0)) / F.lit(max((most or 0.0) - (least or 0.0), 1.0) / n))
-    dealt = dealt.withColumn("_part", F.coalesce(part, F.lit(-1)))
-    within = [*groups, *keys[:at], "_part"]
-    own = dealt.withColumn("_n", F.row_number().over(Window.partitionBy(*within).orderBy(*keys[at:])))
-    sizes = dealt.groupBy(*within).agg(F.count("*").alias("_size"))
-    w = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(1))
-    before = F.sum("_size").over(w.orderBy(*keys[:at], "_part")) - F.col("_size")
-    ahead = sizes.select(*(F.col(g).alias(f"_g{i}") for i, g in enumerate(within)), before.alias("_before"))
-    same = F.lit(True)
-    for i, g in enumerate(within):
-        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
-    return own.join(ahead, same).withColumn(name, (F.col("_n") + F.col("_before")).cast("long")).select(*rows.columns, name)
+    keys = {f"k{i}": k for i, k in enumerate([*(F.col(f"`{g}`") for g in groups), *given])}
+    whole = rows.select(F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("row"), *(k.alias(n) for n, k in keys.items()))
+    dealt = whole.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("at", F.monotonically_increasing_id())
+    own = list(keys)[: len(groups)]
+    dealt = stored(dealt.select("row", *own, "at"), "numbered")
+    part = F.shiftright("at", 33)  # the number of the range; the place within it is in the other bits
+    sizes = dealt.groupBy(part.alias("range")).agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy(F.lit(1)).orderBy("range")) - F.col("n")  # a row a range
+    placed = dealt.join(F.broadcast(sizes.select("range", before.alias("before"))), part == F.col("range"))
+    placed = placed.select("row", *own, (F.col("at").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("before") + 1).alias("number"))
+    if own:
+        starts = small(placed.groupBy(*(F.col(g).alias(f"of_{g}") for g in own)).agg(F.min("number").alias("start")))
+        same = F.lit(True)
+        for g in own:
+            same = same & F.col(g).eqNullSafe(F.col(f"of_{g}"))
+        placed = placed.join(starts, same).withColumn("number", F.col("number") - F.col("start") + 1)
+    return placed.select(*(F.col("row").getField(c).alias(c) for c in rows.columns if c != name), F.col("number").alias(name))
 
 
 def zipped(a: DataFrame, b: DataFrame, position: str, check: list[str], columns: list[str]) -> DataFrame:
-    """Rows of two tables by position; the query stops where ``check`` columns differ."""
-    right = b.select(position, *(F.col(c).alias(f"_{c}") for c in check), *(F.col(c).alias(f"other_{c}") for c in columns))
+    """Rows of two tables by position; the query stops where ``check`` columns differ or one side has a position that the other lacks."""
+    left = a.select("*", F.lit(True).alias("_left"))
+    right = b.select(F.col(position).alias("_position"), F.lit(True).alias("_right"), *(F.col(c).alias(f"_{c}") for c in check), *(F.col(c).alias(f"other_{c}") for c in columns))
     same = F.lit(True)
     for c in check:
         same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    out = a.join(right, position).withColumn("_ok", F.assert_true(same, F.lit("rows are not aligned")))
-    return out.where(F.col("_ok").isNull()).drop("_ok", *(f"_{c}" for c in check))
+    both = F.col("_left").isNotNull() & F.col("_right").isNotNull()
+    out = left.join(right, F.col(position) == F.col("_position"), "full_outer")
+    out = out.withColumn("_ok", F.assert_true(both, F.concat(F.lit("one side lacks position "), F.coalesce(F.col(position), F.col("_position")).cast("string"))))
+    out = out.withColumn("_same", F.assert_true(same, F.lit("rows are not aligned")))
+    return out.where(F.col("_ok").isNull() & F.col("_same").isNull()).drop("_ok", "_same", "_left", "_right", "_position", *(f"_{c}" for c in check))
 
 
 def overlaps(texts: DataFrame, benchmark: DataFrame, key: str, n: int = NGRAM, lang: str | None = "lang") -> DataFrame:
@@ -193,7 +196,7 @@ def interleaved(rows: DataFrame, started: DataFrame, key: str, lang: str, langua
     begun = started.select(key).distinct().withColumn("_begun", F.lit(1))
     place = F.array_position(F.array(*map(F.lit, languages)), F.col(lang))
     out = rows.join(begun, key, "left")
-    return positions(out, [], [F.lit(1) - F.coalesce("_begun", F.lit(0)), key, place], at=1).drop("_begun")
+    return positions(out, [], [F.lit(1) - F.coalesce("_begun", F.lit(0)), key, place]).drop("_begun")
 
 
 def batches(rows: DataFrame, groups: list[str], order: str, size: int) -> DataFrame:
@@ -261,10 +264,10 @@ def length_shares(rows: DataFrame, group: str, value: str, limits: list[int]) ->
 
 
 def length_ratio(rows: DataFrame, arm: str, value: str, base: str) -> DataFrame:
-    """Sum of each arm against that of ``base`` (three places)."""
+    """Sum of each arm against that of ``base`` (three places); null for all arms where ``base`` is absent."""
     sums = rows.groupBy(arm).agg(F.sum(value).alias("s"))
     ref = sums.where(F.col(arm) == base).select(F.col("s").alias("b"))
-    return sums.crossJoin(F.broadcast(ref)).select(arm, F.bround(ratio(F.col("s"), F.col("b")), 3).alias("ratio"))  # one row
+    return sums.join(F.broadcast(ref), F.lit(True), "left").select(arm, F.bround(ratio(F.col("s"), F.col("b")), 3).alias("ratio"))  # one row
 
 
 def share_of_total(rows: DataFrame, group: str, part: str, value: str) -> DataFrame:

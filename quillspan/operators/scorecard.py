@@ -128,12 +128,12 @@ def paired(records: DataFrame, base: str, columns: list[str]) -> DataFrame:
 
 
 def efficiency_pairs(records: DataFrame, base: str = "en") -> DataFrame:
-    """Against ``base``: success as per cent, ratio of mean total tokens, paired ids, ids that took more tokens."""
+    """Against ``base``: success as per cent, ratio of mean total tokens, paired ids, ids that took more tokens. Without ``base`` the ratios are null."""
     rows = records.withColumn("total", F.col("prompt_tokens") + F.col("completion_tokens"))
     stats = efficiency(rows)
     ref = stats.where(F.col("lang") == base).select(F.col("success_per_1k").alias("b_success"), F.col("mean_total").alias("b_total"))
     pairs = paired(rows, base, ["total"]).groupBy("lang").agg(F.count("*").alias("paired_ids"), F.count_if(F.col("total") > F.col("base_total")).alias("ids_more_tokens"))
-    side = stats.where(F.col("lang") != base).crossJoin(F.broadcast(ref))  # one row
+    side = stats.where(F.col("lang") != base).join(F.broadcast(ref), F.lit(True), "left")  # one row
     return side.join(pairs, "lang", "left").select(
         "lang",
         (100 * ratio(F.col("success_per_1k"), F.col("b_success"))).alias("success_pct_of_base"),
@@ -155,13 +155,13 @@ def gate(records: DataFrame, base: str = "en", threshold: float = 1.15) -> DataF
 
 
 def token_means(records: DataFrame, expected: dict[str, int], base: str = "en") -> DataFrame:
-    """Mean tokens by language; the ratio to ``base`` only where both have all expected ids."""
+    """Mean tokens by language; the ratio to ``base`` only where both have all expected ids (null for all where ``base`` is absent)."""
     stats = records.groupBy("lang").agg(F.count("*").alias("n"), F.avg("completion_tokens").alias("mean_completion"), F.avg(F.col("prompt_tokens") + F.col("completion_tokens")).alias("mean_total"))
     want = F.create_map(*(F.lit(x) for kv in expected.items() for x in kv))
     stats = stats.withColumn("complete", F.coalesce(F.col("n") == want[F.col("lang")], F.lit(False)))
     ref = stats.where(F.col("lang") == base).select(F.col("mean_total").alias("b_total"), F.col("complete").alias("b_complete"))
     whole = F.col("complete") & F.col("b_complete")
-    return stats.crossJoin(F.broadcast(ref)).select("lang", "n", "mean_completion", "mean_total", "complete", F.when(whole, ratio(F.col("mean_total"), F.col("b_total"))).alias("ratio"))  # one row
+    return stats.join(F.broadcast(ref), F.lit(True), "left").select("lang", "n", "mean_completion", "mean_total", "complete", F.when(whole, ratio(F.col("mean_total"), F.col("b_total"))).alias("ratio"))  # one row
 
 
 def category_accuracy(records: DataFrame, category: str = "category") -> DataFrame:
@@ -196,12 +196,12 @@ def fertility(rows: DataFrame, base: str = "en") -> DataFrame:
 
 
 def run_summary(records: DataFrame, base: str = "en") -> DataFrame:
-    """Mean, least and most completion tokens; the ratio to ``base`` is of means already rounded to one place."""
+    """Mean, least and most completion tokens; the ratio to ``base`` is of means already rounded to one place, null where ``base`` is absent."""
     stats = records.where(F.col("completion_tokens").isNotNull()).groupBy("lang").agg(
         F.count("*").alias("n"), F.bround(F.avg("completion_tokens"), 1).alias("mean"), F.min("completion_tokens").alias("least"), F.max("completion_tokens").alias("most")
     )
     ref = stats.where(F.col("lang") == base).select(F.col("mean").alias("b_mean"))
-    return stats.crossJoin(F.broadcast(ref)).select("lang", "n", "mean", "least", "most", F.bround(ratio(F.col("mean"), F.col("b_mean")), 3).alias("ratio"))  # one row
+    return stats.join(F.broadcast(ref), F.lit(True), "left").select("lang", "n", "mean", "least", "most", F.bround(ratio(F.col("mean"), F.col("b_mean")), 3).alias("ratio"))  # one row
 
 
 def token_split(records: DataFrame, base: str = "en") -> DataFrame:

@@ -14,7 +14,7 @@ from quillspan.operators import scorecard as S
 from quillspan.plans import views
 from quillspan.plans.queries import ORACLES, QUERIES, query, rounded  # noqa: F401
 from quillspan.plans.views import MESSAGES, RECORDS, REPEATS, VECTORS, table
-from quillspan.sources import readers, sinks
+from quillspan.sources import answers, readers, rowgroups, sinks
 from quillspan.streaming import logs
 
 
@@ -467,6 +467,39 @@ def manifest_tables(spark, d):
     return rounded(S.manifest_tables(rows, manifest))
 
 
+# Files of eight shards whose row groups hold forty rows each.
+_GROUPED = """sh AS (SELECT doc_id, lang, doc_id % 8 AS shard, row_number() OVER (PARTITION BY doc_id % 8 ORDER BY doc_id) - 1 AS place FROM documents),
+gr AS (SELECT *, place // 40 AS row_group, place % 40 AS row FROM sh)"""
+
+
+def _grouped_files(spark, d) -> list[str]:
+    """Texts are long beside the columns that are read, so groups are found without them."""
+    path = views.scratch(spark, "grouped")
+    docs = table(spark, d, "documents").withColumn("shard", F.concat(F.lit("s"), (F.col("doc_id") % 8).cast("string")))
+    dealt = docs.repartition("shard").sortWithinPartitions("shard", "doc_id")
+    dealt.write.option("parquet.block.row.count.limit", 40).partitionBy("shard").parquet(path)
+    return rowgroups.files(spark, path)
+
+
+@query(f"""WITH {_GROUPED}, k AS (SELECT shard, shard // 2 AS k, count(DISTINCT row_group) AS n FROM gr WHERE shard % 2 = 0 GROUP BY shard)
+SELECT doc_id, lang, row_group, row FROM gr JOIN k USING (shard) WHERE row_group = k.k % k.n""")
+def shard_groups(spark, d):
+    """One row group of every second shard, the next one each time; no other bytes are read."""
+    return rowgroups.shard_groups(spark, _grouped_files(spark, d), 4, ["doc_id", "lang"]).select("doc_id", "lang", "row_group", "row")
+
+
+@query(f"WITH {_GROUPED} SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (ORDER BY shard, place) AS n FROM gr) WHERE n <= 130")
+def head_rows(spark, d):
+    """The first rows of files in their order, from as many row groups as hold them."""
+    return rowgroups.head(spark, _grouped_files(spark, d), 130, ["doc_id", "lang"]).select("doc_id", "lang")
+
+
+@query(f"WITH {_GROUPED} SELECT shard::BIGINT AS number, row_group, count(*) AS rows FROM gr GROUP BY shard, row_group")
+def row_group_footers(spark, d):
+    """What the footers say of the row groups of all files."""
+    return rowgroups.footers(spark, _grouped_files(spark, d), ["doc_id"]).select("number", "row_group", "rows")
+
+
 # Growing logs.
 @query("SELECT lang, count(*) AS n, count(*) FILTER (doc_id % 3 = 0) AS n_correct, sum(n_chars)::BIGINT AS completion_tokens FROM documents GROUP BY lang")
 def live_scorecard(spark, d):
@@ -485,17 +518,31 @@ def live_scorecard(spark, d):
     return spark.createDataFrame(out, "lang string, n long, n_correct long, completion_tokens long")
 
 
+@query("SELECT doc_id, lang, CASE WHEN doc_id % 4 = 2 THEN 2 ELSE 1 END AS run, length(text)::BIGINT AS said FROM documents WHERE doc_id % 8 <> 6")
+def durable_answers(spark, d):
+    """A log of segments after two runs: the second asks what failed in the first, and some of it fails again."""
+    docs = table(spark, d, "documents").select("doc_id", "lang", "text")
+    path = views.scratch(spark, "answers")
+
+    def responder(run: int, fails) -> answers.Respond:
+        return lambda: lambda x: None if fails(x["doc_id"]) else {"doc_id": x["doc_id"], "lang": x["lang"], "run": run, "said": len(x["text"] or "")}
+
+    answers.recorded(docs, responder(1, lambda i: i % 4 == 2), path, ["doc_id", "lang"], workers=16)
+    answers.recorded(docs, responder(2, lambda i: i % 8 == 6), path, ["doc_id", "lang"], workers=16)
+    return answers.log(spark, path, "doc_id long, lang string, run int, said long", ["doc_id", "lang"])
+
+
 @query("SELECT n_nationkey::BIGINT AS id, n_name || '!' AS content FROM nation WHERE n_nationkey % 4 <> 2")
 def answered(spark, d):
     """Answers of a responder; failed items are missing."""
     items = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("question"))
-    return readers.answered(items, lambda: lambda x: None if x["id"] % 4 == 2 else {"id": x["id"], "content": x["question"] + "!"}, "id long, content string", workers=2)
+    return answers.answered(items, lambda: lambda x: None if x["id"] % 4 == 2 else {"id": x["id"], "content": x["question"] + "!"}, "id long, content string", workers=2)
 
 
 @query("SELECT n_nationkey::BIGINT AS id, n_name AS question FROM nation WHERE n_nationkey % 4 = 2")
 def retried(spark, d):
     """What the next run has to ask again."""
     items = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("question"))
-    done = readers.answered(items, lambda: lambda x: None if x["id"] % 4 == 2 else {"id": x["id"]}, "id long", workers=2)
+    done = answers.answered(items, lambda: lambda x: None if x["id"] % 4 == 2 else {"id": x["id"]}, "id long", workers=2)
     return A.pending(items, done, ["id"])
 

@@ -119,6 +119,24 @@ def run_summary(spark, d):
     return S.run_summary(views.records(spark, d))
 
 
+@query(f"""WITH {RECORDS} SELECT lang, count(*) AS n, round(avg(completion_tokens), 6) AS mean_completion, round(avg(prompt_tokens + completion_tokens), 6) AS mean_total,
+  lang = 'es' AND count(*) = (SELECT count(*) FROM documents WHERE lang = 'es') AS complete, NULL::DOUBLE AS ratio FROM records WHERE lang <> 'en' GROUP BY lang""")
+def token_means_no_base(spark, d):
+    """Every language has its row, without a ratio, where the base language hasn't run yet."""
+    n = table(spark, d, "documents").where("lang = 'es'").count()
+    return rounded(S.token_means(views.records(spark, d).where("lang <> 'en'"), {"en": n, "es": n}))
+
+
+@query(f"WITH {RECORDS} SELECT lang, count(*) AS n, round_even(avg(completion_tokens), 1) AS mean, min(completion_tokens) AS least, max(completion_tokens) AS most, NULL::DOUBLE AS ratio FROM records WHERE lang <> 'en' GROUP BY lang")
+def run_summary_no_base(spark, d):
+    return S.run_summary(views.records(spark, d).where("lang <> 'en'"))
+
+
+@query("SELECT lang, NULL::DOUBLE AS ratio FROM documents WHERE lang <> 'en' GROUP BY lang")
+def length_ratio_no_base(spark, d):
+    return C.length_ratio(table(spark, d, "documents").where("lang <> 'en'"), "lang", "n_chars", "en")
+
+
 @query(f"""WITH {RECORDS}, o AS (SELECT *, (correct OR id % 5 = 0) AS c2, completion_tokens + id % 3 AS t2 FROM records WHERE id % 4 <> 0)
 SELECT r.lang, count(*) AS n, round(avg(r.correct::INT), 6) AS a_accuracy, round(avg(o.c2::INT), 6) AS b_accuracy, round(sum(o.t2)::DOUBLE / sum(r.completion_tokens)::DOUBLE, 6) AS token_ratio FROM records r JOIN o ON r.id = o.id AND r.lang = o.lang GROUP BY r.lang""")
 def model_compare(spark, d):
@@ -424,8 +442,8 @@ def key_difference(spark, d):
 
 @query("SELECT n_nationkey AS position, n_name AS name, n_regionkey AS region, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS other_n FROM nation WHERE n_nationkey IN (SELECT s_nationkey FROM supplier)")
 def zip_join(spark, d):
-    """Nations beside their number of suppliers; both sides must name the same region."""
-    nation = table(spark, d, "nation").select(F.col("n_nationkey").alias("position"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"))
+    """Nations that have suppliers beside their number; both sides must have the same nations and name the same region."""
+    nation = table(spark, d, "nation").join(table(spark, d, "supplier"), F.col("n_nationkey") == F.col("s_nationkey"), "left_semi").select(F.col("n_nationkey").alias("position"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"))
     served = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     counts = served.groupBy(F.col("s_nationkey").alias("position"), F.col("r_regionkey").alias("region")).agg(F.count("*").alias("n"))
     return C.zipped(nation, counts, "position", ["region"], ["n"])

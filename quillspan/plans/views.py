@@ -2,29 +2,17 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspan.operators.corpus import positions
+from quillspan.storage import scratch  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path for files that a query writes and reads again: in ``spark.checkpoint.dir``, which a cluster shares, or a local folder where that is unset; removed when the application ends."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "quillspan-scratch")
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop.Path(path))
-    return path
-
-
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One answer a document: ids count within each language, tokens follow the length, correct is the quality label. Only ids and languages go into the numbering; texts stay where they are unless a query asks for both."""
     d = table(spark, sf_dir, "documents")

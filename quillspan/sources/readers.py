@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import uuid
-from datetime import datetime
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +11,8 @@ from pyspark.sql import functions as F
 
 from quillspan import schemas
 from quillspan.operators.corpus import positions
+from quillspan.sources.answers import answered  # noqa: F401
+from quillspan.sources.rowgroups import evenly
 
 
 def records(spark: SparkSession, path: str | list[str], schema: str = schemas.RECORD) -> DataFrame:
@@ -69,17 +70,13 @@ def first_rows(spark: SparkSession, path: str, columns: list[str], order: str, n
     return spark.read.parquet(path).select(*columns).orderBy(order).limit(n)
 
 
-def evenly(paths: list[str], n: int) -> list[str]:
-    """``n`` of the sorted paths at even distances, or all where they are fewer."""
-    paths, n = sorted(paths), min(n, len(paths))
-    return [paths[i * len(paths) // n] for i in range(n)]
-
-
 def shard_sample(spark: SparkSession, paths: list[str], shards: int, group_rows: int | None = None) -> DataFrame:
     """Rows of ``shards`` files at even distances in the sorted list: their columns, ``shard`` (file name), ``row_group`` and ``row`` (within it).
 
     With ``group_rows`` each file gives one run of that many rows, the k-th file
-    its k-th run, counted on from the start where the file has fewer.
+    its k-th run, counted on from the start where the file has fewer; all rows
+    are scanned for it. ``rowgroups.shard_groups`` reads the files' own groups
+    and nothing else.
     """
     picked = evenly(paths, shards)
     df = spark.read.parquet(*picked)
@@ -196,34 +193,6 @@ def hashes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2("content", 256).alias("sha256"))
 
 
-def answered(items: DataFrame, respond, schema: str, workers: int = 4, until: datetime | None = None, now=datetime.now) -> DataFrame:
-    """Answers to items: ``respond`` makes, once a task, a function from a dict (an item) to a dict (an answer) or None for a failure, which stays pending.
-
-    Items are dealt to ``workers`` tasks, so no more are in flight at any time on
-    any cluster. From the moment ``until`` on no new item is begun; those in
-    flight end.
-    """
-    from collections.abc import Iterator
-
-    import pyarrow as pa
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    form = to_arrow_schema(items.sparkSession.createDataFrame([], schema).schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ask = respond()
-        for b in batches:
-            got = []
-            for item in b.to_pylist():
-                if until is not None and now() >= until:
-                    break
-                if (a := ask(item)) is not None:
-                    got.append(a)
-            yield pa.RecordBatch.from_pylist(got, schema=form)
-
-    return items.repartition(workers).mapInArrow(run, schema)
-
-
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     return document(spark, path, schemas.MANIFEST)
 

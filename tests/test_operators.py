@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillspan.operators import audit as A
@@ -59,6 +60,19 @@ def test_positions(spark):
             by.setdefault(tuple(r[g] for g in groups), []).append(r["position"])
         assert len(got) == 1000 and all(p == list(range(1, len(p) + 1)) for p in by.values())
     assert C.positions(df.limit(0), [], ["k"]).count() == 0
+    clash = spark.createDataFrame([(9, 8, 7, "a", 5), (1, 2, 3, "b", 4)], "row long, at long, k0 long, `d.ot` string, number long")
+    assert sorted(map(tuple, C.positions(clash, [], ["row"]).collect())) == [(1, 2, 3, "b", 4, 1), (9, 8, 7, "a", 5, 2)]
+
+
+def test_positions_of_skewed_keys(spark):
+    """One key far out and texts that begin alike: no range holds over twice the mean."""
+    far = spark.range(40_000).select(F.when(F.col("id") == 0, 10**15).otherwise(F.col("id")).alias("k"), F.concat(F.lit("http://same.example/"), F.col("id")).alias("t")).repartition(4)
+    for key in ("k", "t"):
+        dealt = far.repartitionByRange(16, key).groupBy(F.spark_partition_id()).count().collect()
+        assert len(dealt) == 16 and max(r["count"] for r in dealt) < 2 * 40_000 / 16
+        got = C.positions(far, [], [key])
+        again = got.withColumn("want", F.row_number().over(Window.orderBy(key)))
+        assert got.count() == 40_000 and again.where("want <> position").isEmpty()
 
 
 def round_robin(sizes, total, kept):
@@ -208,3 +222,16 @@ def test_describe(spark):
     assert C.zipped(rows.withColumn("p", F.col("v")), rows.withColumn("p", F.col("v")), "p", ["g"], ["v"]).count() == 4
     with pytest.raises(Exception, match="aligned"):
         C.zipped(rows.withColumn("p", F.col("v")), rows.withColumn("p", F.col("v")).withColumn("g", F.lit("h")), "p", ["g"], ["v"]).collect()
+    longer = rows.withColumn("p", F.col("v"))
+    for a, b in ((longer, longer.limit(3)), (longer.limit(3), longer)):
+        with pytest.raises(Exception, match="lacks position"):
+            C.zipped(a, b, "p", ["g"], ["v"]).collect()
+
+
+def test_without_the_base_language(spark):
+    """Every language keeps its row; what needs the base is null."""
+    rows = records(spark, [(i, lang, True, "x", "stop", 1, 9) for i in range(3) for lang in ("es", "zh")])
+    for got in (S.token_means(rows, {"es": 3, "zh": 4}).collect(), S.run_summary(rows).collect(), C.length_ratio(rows, "lang", "completion_tokens", "en").collect()):
+        assert sorted(r["lang"] for r in got) == ["es", "zh"] and all(r["ratio"] is None for r in got)
+    pairs = S.efficiency_pairs(rows).collect()
+    assert sorted((r["lang"], r["paired_ids"], r["total_token_ratio"]) for r in pairs) == [("es", 0, None), ("zh", 0, None)]
