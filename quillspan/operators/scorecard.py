@@ -100,8 +100,8 @@ def crosstab(records: DataFrame, row: str, column: Column, values: list[str]) ->
     return records.withColumn("_v", column).groupBy(row).agg(*(F.count_if(F.col("_v") == v).alias(v) for v in values))
 
 
-def efficiency(records: DataFrame, by: str = "lang", looping: Column | None = None) -> DataFrame:
-    """The efficiency row: accuracy, mean tokens, cut, empty (and looping) answers, and successes for a thousand completion tokens."""
+def efficiency(records: DataFrame, by: str = "lang", looping: Column | None = None, blank: Column | None = None) -> DataFrame:
+    """The efficiency row: accuracy, mean tokens, cut, empty (and looping) answers, and successes for a thousand completion tokens. ``blank``: whether an answer is empty, where that is known without its content."""
     total = F.col("prompt_tokens") + F.col("completion_tokens")
     good = F.count_if(F.col("correct") & (F.col("finish_reason") == "stop"))
     spent = F.sum("completion_tokens")
@@ -113,7 +113,7 @@ def efficiency(records: DataFrame, by: str = "lang", looping: Column | None = No
         F.avg("completion_tokens").alias("mean_completion"),
         F.avg(total).alias("mean_total"),
         F.count_if(F.col("finish_reason") == "length").alias("n_length"),
-        F.count_if(T.is_blank("content")).alias("n_empty"),
+        F.count_if(T.is_blank("content") if blank is None else blank).alias("n_empty"),
         *more,
         good.alias("n_correct_and_stop"),
         spent.alias("completion_tokens_all"),
@@ -127,10 +127,10 @@ def paired(records: DataFrame, base: str, columns: list[str]) -> DataFrame:
     return records.where(F.col("lang") != base).select("id", "lang", *columns).join(one, "id")
 
 
-def efficiency_pairs(records: DataFrame, base: str = "en") -> DataFrame:
+def efficiency_pairs(records: DataFrame, base: str = "en", blank: Column | None = None) -> DataFrame:
     """Against ``base``: success as per cent, ratio of mean total tokens, paired ids, ids that took more tokens. Without ``base`` the ratios are null."""
     rows = records.withColumn("total", F.col("prompt_tokens") + F.col("completion_tokens"))
-    stats = efficiency(rows)
+    stats = efficiency(rows, blank=blank)
     ref = stats.where(F.col("lang") == base).select(F.col("success_per_1k").alias("b_success"), F.col("mean_total").alias("b_total"))
     pairs = paired(rows, base, ["total"]).groupBy("lang").agg(F.count("*").alias("paired_ids"), F.count_if(F.col("total") > F.col("base_total")).alias("ids_more_tokens"))
     side = stats.where(F.col("lang") != base).join(F.broadcast(ref), F.lit(True), "left")  # one row

@@ -405,6 +405,18 @@ def tokenizer_hook(spark, d):
     return table(spark, d, "documents").select("doc_id", udfs.token_count(F.col("text"), lambda: len).alias("tokens"))
 
 
+@query("""SELECT doc_id AS id, CASE WHEN doc_id % 5 = 0 THEN upper(source) || '?' ELSE source END AS question, CASE WHEN doc_id % 4 = 0 THEN [source, 'ñ', lang] ELSE [lang, source] END AS options, doc_id % 5 = 0 OR doc_id % 4 = 0 AS is_fixed FROM documents""")
+def overlay_fields(spark, d):
+    """Fixes of texts and of arrays, from one file, in one pass."""
+    items = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("question"), F.array("lang", "source").alias("options"))
+    line = lambda field, was, now: F.to_json(F.struct(F.lit("b").alias("bench"), "id", F.lit(field).alias("field"), was.alias("original"), now.alias("fixed"))).alias("value")
+    texts = items.where("id % 5 = 0").select(line("question", F.col("question"), F.concat(F.upper("question"), F.lit("?"))))
+    arrays = items.where("id % 4 = 0").select(line("options", F.col("options"), F.array(F.get("options", F.lit(1)), F.lit("ñ"), F.get("options", F.lit(0)))))
+    path = views.scratch(spark, "fixes")
+    texts.unionByName(arrays).write.text(path)
+    return A.overlaid_fields(items, readers.fixes(spark, path), "id", ["question", "options"])
+
+
 # Checks.
 @query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'not reviewed' WHEN doc_id % 4 = 1 THEN 'differs' WHEN doc_id % 4 = 2 THEN 'no change' END AS problem FROM documents WHERE doc_id % 10 = 3 OR doc_id % 10 = 8 OR doc_id % 10 = 1 OR doc_id % 10 = 6")
 def reviewed_fixes(spark, d):
@@ -426,7 +438,7 @@ def mismatch_list(spark, d):
 SELECT lang, finding, round(value, 6) AS value FROM (UNPIVOT (SELECT * FROM s WHERE lang <> 'en') ON n, accuracy, mean_total, success_per_1k INTO NAME finding VALUE value)""")
 def findings_checked(spark, d):
     """Four findings for each language beside the base; an error if they aren't that many."""
-    rows = S.efficiency(views.records(spark, d)).where("lang <> 'en'")
+    rows = S.efficiency(views.answers(spark, d)).where("lang <> 'en'")
     measures = ["n", "accuracy", "mean_total", "success_per_1k"]
     return rounded(A.require_count(S.findings(rows, ["lang"], measures), len(measures) * rows.count()))
 
@@ -434,7 +446,7 @@ def findings_checked(spark, d):
 @query(f"WITH {RECORDS}, h AS (SELECT category, lang, count(*) AS n FROM records GROUP BY ALL), e AS (SELECT category, lang, CASE WHEN lang = 'en' THEN n ELSE n + 1 END AS expected, n FROM h) SELECT category, lang, expected, n FROM e WHERE n <> expected UNION ALL SELECT 'absent', 'en', 3, 0")
 def queue_gaps(spark, d):
     """Jobs of a queue whose rows aren't as many as expected."""
-    have = views.records(spark, d).select("category", "lang")
+    have = views.answers(spark, d).select("category", "lang")
     want = have.groupBy("category", "lang").agg(F.count("*").alias("n")).select("category", "lang", F.when(F.col("lang") == "en", F.col("n")).otherwise(F.col("n") + 1).alias("expected"))
     return sinks.missing_jobs(have, want.unionByName(spark.createDataFrame([("absent", "en", 3)], "category string, lang string, expected long")), ["category", "lang"])
 
@@ -501,21 +513,21 @@ def row_group_footers(spark, d):
 
 
 # Growing logs.
-@query("SELECT lang, count(*) AS n, count(*) FILTER (doc_id % 3 = 0) AS n_correct, sum(n_chars)::BIGINT AS completion_tokens FROM documents GROUP BY lang")
+@query("""SELECT lang, count(*) AS n, count(*) FILTER (doc_id % 3 = 0) AS n_correct, sum(n_chars + CASE WHEN doc_id % 2 = 1 AND doc_id % 5 <> 0 THEN 1000 ELSE 0 END)::BIGINT AS completion_tokens FROM documents GROUP BY lang""")
 def live_scorecard(spark, d):
-    """A log taken in twice, some records in both parts: each counts once, in its first version."""
+    """A log taken in twice. Some records are there twice in one part, some in both parts, with other figures each time: each key counts once, as it first arrived."""
     docs = table(spark, d, "documents")
-    rows = docs.select(F.col("doc_id").alias("id"), "lang", F.lit("7").alias("gold"), F.when(F.col("doc_id") % 3 == 0, "it is 7").otherwise("it is 8").alias("content"), F.struct(F.lit(1).cast("long").alias("prompt_tokens"), F.col("n_chars").cast("long").alias("completion_tokens")).alias("usage"))
-    path, state = views.scratch(spark, "live-log"), views.scratch(spark, "live-state")
-    name = "live_" + path.rsplit("-", 1)[-1]
-    live = None
-    for part in (rows.where("id % 2 = 0 OR id % 5 = 0"), rows.where("id % 2 = 1")):
+    usage = lambda more: F.struct(F.lit(1).cast("long").alias("prompt_tokens"), (F.col("n_chars") + more).cast("long").alias("completion_tokens"))
+    rows = docs.select(F.col("doc_id").alias("id"), "lang", F.lit("7").alias("gold"), F.when(F.col("doc_id") % 3 == 0, "it is 7").otherwise("it is 8").alias("content"), F.lit(1.0).alias("wall"), usage(0).alias("usage"), usage(1000).alias("later"))
+    again = rows.withColumns({"usage": F.col("later"), "wall": F.lit(2.0)}).drop("later")
+    one = rows.drop("later").where("id % 2 = 0 OR id % 5 = 0")
+    path, state, board = (views.scratch(spark, f"live-{x}") for x in ("log", "state", "board"))
+    spent = F.coalesce("usage.completion_tokens", F.lit(0))
+    for part in (one.unionByName(again.where("id % 4 = 0")), again.where("id % 2 = 1")):
         sinks.append_jsonl(part, path)
-        live = live or logs.live_scorecard(logs.first_answers(logs.log(spark, path), ["id", "lang"]), "mgsm")
-        logs.run_available(live, name, state)
-    out = [tuple(r) for r in spark.table(name).select("lang", "n", "n_correct", "completion_tokens").collect()]  # a row a language
-    spark.catalog.dropTempView(name)
-    return spark.createDataFrame(out, "lang string, n long, n_correct long, completion_tokens long")
+        first = S.scored(logs.first_arrivals(logs.log(spark, path), ["id", "lang"], ["wall"]), "mgsm")
+        logs.keep_totals(first, ["lang"], {"n": F.lit(1).cast("long"), "n_correct": F.col("correct").cast("long"), "completion_tokens": spent}, board, state)
+    return logs.totals(spark, board)
 
 
 @query("SELECT doc_id, lang, CASE WHEN doc_id % 4 = 2 THEN 2 ELSE 1 END AS run, length(text)::BIGINT AS said FROM documents WHERE doc_id % 8 <> 6")

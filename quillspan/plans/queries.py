@@ -41,7 +41,7 @@ def rounded(df: DataFrame, places: int = 6) -> DataFrame:
   count(*) FILTER (correct AND finish_reason = 'stop') AS n_correct_and_stop, sum(completion_tokens)::BIGINT AS completion_tokens_all,
   round(1000.0 * (count(*) FILTER (correct AND finish_reason = 'stop'))::DOUBLE / sum(completion_tokens)::DOUBLE, 6) AS success_per_1k FROM records GROUP BY lang""")
 def efficiency_by_lang(spark, d):
-    return rounded(S.efficiency(views.records(spark, d)))
+    return rounded(S.efficiency(views.answers(spark, d)))
 
 
 @query(f"""WITH {RECORDS}, s AS (SELECT lang, 1000.0 * (count(*) FILTER (correct AND finish_reason = 'stop'))::DOUBLE / sum(completion_tokens)::DOUBLE AS k, avg(prompt_tokens + completion_tokens) AS m FROM records GROUP BY lang),
@@ -49,7 +49,7 @@ p AS (SELECT a.lang, count(*) AS paired_ids, count(*) FILTER (a.prompt_tokens +
 SELECT s.lang, round(100 * s.k / e.k, 6) AS success_pct_of_base, round(s.m / e.m, 6) AS total_token_ratio, coalesce(paired_ids, 0) AS paired_ids, coalesce(ids_more_tokens, 0) AS ids_more_tokens
 FROM s JOIN s e ON e.lang = 'en' LEFT JOIN p ON p.lang = s.lang WHERE s.lang <> 'en'""")
 def efficiency_pairs(spark, d):
-    return rounded(S.efficiency_pairs(views.records(spark, d)))
+    return rounded(S.efficiency_pairs(views.records(spark, d), blank=F.col("blank")))
 
 
 @query(f"""WITH {RECORDS} SELECT a.lang, count(*) AS pairs, round(avg(a.prompt_tokens + a.completion_tokens) / avg(b.prompt_tokens + b.completion_tokens), 6) AS total_ratio,
@@ -65,13 +65,13 @@ SELECT f.lang, f.n, round(f.c, 6) AS mean_completion, round(f.t, 6) AS mean_tota
 def token_means(spark, d):
     """Every language should have as many answers as there are English documents."""
     n = table(spark, d, "documents").where("lang = 'en'").count()
-    return rounded(S.token_means(views.records(spark, d), {"en": n, "es": n}))
+    return rounded(S.token_means(views.answers(spark, d), {"en": n, "es": n}))
 
 
 @query(f"""WITH {RECORDS} SELECT lang, count(*) AS n, count(*) FILTER (correct) AS n_correct, round(avg(correct::INT), 6) AS accuracy, median(completion_tokens)::DOUBLE AS median_completion,
   round(100 * avg((finish_reason = 'length')::INT), 6) AS pct_length FROM records GROUP BY lang""")
 def scorecard(spark, d):
-    return rounded(S.scorecard(views.records(spark, d)))
+    return rounded(S.scorecard(views.answers(spark, d)))
 
 
 _WORDS = "string_split_regex(lower(coalesce(content, '')), '[\\x20\\n]')"
@@ -82,18 +82,18 @@ _DETECT = f"""h AS (SELECT *, {_HITS} FROM records), det AS (SELECT *, CASE WHEN
 
 @query(f"WITH {RECORDS}, {_DETECT} SELECT lang, " + ", ".join(f"count(*) FILTER (detected = '{v}') AS \"{v}\"" for v in ("en", "es", "fr", "de", "zh", "other", "none")) + " FROM det GROUP BY lang")
 def lang_crosstab(spark, d):
-    return S.crosstab(views.records(spark, d), "lang", T.detect_language("content"), ["en", "es", "fr", "de", "zh", "other", "none"])
+    return S.crosstab(views.answers(spark, d), "lang", T.detect_language("content"), ["en", "es", "fr", "de", "zh", "other", "none"])
 
 
 @query(f"WITH {RECORDS} SELECT category, lang, count(*) AS n, round(avg(correct::INT), 6) AS accuracy FROM records GROUP BY category, lang")
 def category_accuracy(spark, d):
-    return rounded(S.category_accuracy(views.records(spark, d)))
+    return rounded(S.category_accuracy(views.answers(spark, d)))
 
 
 @query(f"""WITH {RECORDS}, w AS (SELECT category, count(*) AS weight FROM records GROUP BY category), c AS (SELECT category, lang, count(*) AS n, avg(correct::INT) AS a FROM records GROUP BY ALL)
 SELECT lang, round(sum(weight * a) / sum(weight), 6) AS weighted_accuracy, count(*) AS categories, min(n) AS least_n FROM c JOIN w USING (category) GROUP BY lang""")
 def weighted_accuracy(spark, d):
-    r = views.records(spark, d)
+    r = views.answers(spark, d)
     return rounded(S.weighted_accuracy(r, r.groupBy("category").agg(F.count("*").alias("weight"))))
 
 
@@ -110,13 +110,13 @@ def mcnemar_pairs(spark, d):
 @query(f"""WITH {RECORDS}, s AS (SELECT category AS source, lang, sum(completion_tokens)::DOUBLE AS t, sum(n_chars)::DOUBLE AS c FROM records GROUP BY ALL)
 SELECT a.source, a.lang, round(a.c / e.c, 6) AS ratio_chars, round((a.t / a.c) / (e.t / e.c), 6) AS ratio_fertility, round(a.t / e.t, 6) AS ratio_tokens FROM s a JOIN s e ON a.source = e.source AND e.lang = 'en' AND a.lang <> 'en'""")
 def fertility_split(spark, d):
-    return rounded(S.fertility(views.records(spark, d).select(F.col("category").alias("source"), "lang", F.col("completion_tokens").alias("tokens"), F.col("n_chars").alias("chars"))))
+    return rounded(S.fertility(views.answers(spark, d).select(F.col("category").alias("source"), "lang", F.col("completion_tokens").alias("tokens"), F.col("n_chars").alias("chars"))))
 
 
 @query(f"""WITH {RECORDS}, s AS (SELECT lang, count(*) AS n, round_even(avg(completion_tokens), 1) AS mean, min(completion_tokens) AS least, max(completion_tokens) AS most FROM records GROUP BY lang)
 SELECT s.lang, s.n, s.mean, s.least, s.most, round_even(s.mean / e.mean, 3) AS ratio FROM s JOIN s e ON e.lang = 'en'""")
 def run_summary(spark, d):
-    return S.run_summary(views.records(spark, d))
+    return S.run_summary(views.answers(spark, d))
 
 
 @query(f"""WITH {RECORDS} SELECT lang, count(*) AS n, round(avg(completion_tokens), 6) AS mean_completion, round(avg(prompt_tokens + completion_tokens), 6) AS mean_total,
@@ -124,12 +124,12 @@ def run_summary(spark, d):
 def token_means_no_base(spark, d):
     """Every language has its row, without a ratio, where the base language hasn't run yet."""
     n = table(spark, d, "documents").where("lang = 'es'").count()
-    return rounded(S.token_means(views.records(spark, d).where("lang <> 'en'"), {"en": n, "es": n}))
+    return rounded(S.token_means(views.answers(spark, d).where("lang <> 'en'"), {"en": n, "es": n}))
 
 
 @query(f"WITH {RECORDS} SELECT lang, count(*) AS n, round_even(avg(completion_tokens), 1) AS mean, min(completion_tokens) AS least, max(completion_tokens) AS most, NULL::DOUBLE AS ratio FROM records WHERE lang <> 'en' GROUP BY lang")
 def run_summary_no_base(spark, d):
-    return S.run_summary(views.records(spark, d).where("lang <> 'en'"))
+    return S.run_summary(views.answers(spark, d).where("lang <> 'en'"))
 
 
 @query("SELECT lang, NULL::DOUBLE AS ratio FROM documents WHERE lang <> 'en' GROUP BY lang")
@@ -148,7 +148,7 @@ def model_compare(spark, d):
 @query(f"""WITH {RECORDS}, s AS (SELECT lang, count(*)::DOUBLE AS n, round(avg(correct::INT), 6) AS accuracy, round(avg(completion_tokens), 6) AS mean_completion FROM records GROUP BY lang)
 SELECT lang, finding, value FROM (UNPIVOT s ON n, accuracy, mean_completion INTO NAME finding VALUE value)""")
 def findings_unpivot(spark, d):
-    return S.findings(rounded(S.efficiency(views.records(spark, d))), ["lang"], ["n", "accuracy", "mean_completion"])
+    return S.findings(rounded(S.efficiency(views.answers(spark, d))), ["lang"], ["n", "accuracy", "mean_completion"])
 
 
 _NUMBER = """regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '([0-9]+)', E'\\x01\\\\1\\x02\\x02', 'g'), E'\\x02[,.]\\x01([0-9]{3})\\x02', '\\1', 'g'), E'[\\x01\\x02]', '', 'g'), '([0-9]),([0-9])', '\\1.\\2', 'g'), '([0-9]),([0-9])', '\\1.\\2', 'g')"""
@@ -180,7 +180,7 @@ def parse_letter(spark, d):
 
 @query(f"""WITH {RECORDS} SELECT lang, count(*) FILTER (trim(coalesce(content, ''), E' \\n\\t') = '') AS n_empty, count(*) FILTER (finish_reason = 'length') AS n_cut, count(*) FILTER (finish_reason = 'stop') AS n_whole, sum(length(content))::BIGINT AS chars FROM records GROUP BY lang""")
 def empty_truncated(spark, d):
-    return views.records(spark, d).groupBy("lang").agg(F.count_if(T.is_blank("content")).alias("n_empty"), F.count_if(F.col("finish_reason") == "length").alias("n_cut"), F.count_if(F.col("finish_reason") == "stop").alias("n_whole"), F.sum(T.chars("content")).alias("chars"))
+    return views.answers(spark, d).groupBy("lang").agg(F.count_if(T.is_blank("content")).alias("n_empty"), F.count_if(F.col("finish_reason") == "length").alias("n_cut"), F.count_if(F.col("finish_reason") == "stop").alias("n_whole"), F.sum(T.chars("content")).alias("chars"))
 
 
 def _excess(spark, d) -> DataFrame:
@@ -402,7 +402,7 @@ def count_mark(spark, d):
 w AS (SELECT mf.category, count(st.n) AS seen, list_sort(list_filter(['en', 'es', 'fr'], lambda l: NOT list_contains(coalesce(list(st.lang) FILTER (st.n >= mf.e), []), l))) AS lacking FROM mf LEFT JOIN st ON st.category = mf.category GROUP BY mf.category)
 SELECT category, CASE WHEN seen = 0 THEN 'not run' WHEN len(lacking) = 0 THEN 'ok' ELSE 'incomplete' END AS status, array_to_string(lacking, ',') AS missing FROM w""")
 def table_status(spark, d):
-    r = views.records(spark, d)
+    r = views.answers(spark, d)
     manifest = r.select("category").distinct().unionByName(spark.createDataFrame([("absent",)], "category string")).withColumn("expected_n", F.lit(8).cast("long"))
     return A.table_status(r.groupBy("category", "lang").agg(F.count("*").alias("n")), manifest, "category", ["en", "es", "fr"])
 
@@ -478,7 +478,7 @@ def mcnemar_grid(spark, d):
 
 @query(f"WITH {RECORDS}, {_DETECT} SELECT doc_id, detected FROM det")
 def detect_lang(spark, d):
-    return views.records(spark, d).select("doc_id", T.detect_language("content").alias("detected"))
+    return views.answers(spark, d).select("doc_id", T.detect_language("content").alias("detected"))
 
 
 @query("SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[\\p{L}]+|[0-9]+|[^\\s\\p{L}0-9]'))::BIGINT AS tokens FROM documents")
@@ -502,7 +502,7 @@ def looping(spark, d):
   round(1000.0 * (count(*) FILTER (correct AND finish_reason = 'stop'))::DOUBLE / sum(completion_tokens)::DOUBLE, 6) AS success_per_1k FROM records GROUP BY lang""")
 def efficiency_looping(spark, d):
     """The efficiency row with the count of looping answers."""
-    r = views.records(spark, d)
+    r = views.answers(spark, d)
     return rounded(S.efficiency(r.withColumn("_loop", udfs.looping(F.col("content"))), looping=F.col("_loop")))
 
 

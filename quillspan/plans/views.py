@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillspan.functions import text as T
 from quillspan.operators.corpus import positions
 from quillspan.storage import scratch  # noqa: F401
 
@@ -13,15 +14,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One answer a document: ids count within each language, tokens follow the length, correct is the quality label. Only ids and languages go into the numbering; texts stay where they are unless a query asks for both."""
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One answer a document, with its text: tokens follow the length, correct is the quality label. Nothing but labels is joined."""
     d = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    ids = positions(d.select("doc_id", "lang"), ["lang"], ["doc_id"], "id").select("doc_id", "id")
     n = F.col("n_chars").cast("long")
-    return d.join(labels, "doc_id", "left").join(ids, "doc_id").select(
+    return d.join(labels, "doc_id", "left").select(
         "doc_id",
-        "id",
         "lang",
         F.col("source").alias("category"),
         F.col("text").alias("content"),
@@ -33,6 +32,12 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``answers`` with ids that count within each language, so that languages pair up. What is read from the text (``blank``) is read before rows are numbered; the text itself stays behind."""
+    rows = answers(spark, sf_dir).withColumn("blank", T.is_blank("content")).drop("content")
+    return positions(rows, ["lang"], ["doc_id"], "id")
+
+
 RECORDS = """records AS (
   SELECT d.doc_id, row_number() OVER (PARTITION BY d.lang ORDER BY d.doc_id) AS id, d.lang, d.source AS category, d.text AS content,
     (d.doc_id % 50 + 20)::BIGINT AS prompt_tokens, (d.n_chars // 4 + d.doc_id % 7)::BIGINT AS completion_tokens,

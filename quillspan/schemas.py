@@ -10,7 +10,8 @@ RECORD = (
 )
 MESSAGES = "array<struct<role:string,content:string>>"
 SAMPLE = f"row_index long, messages {MESSAGES}, source string, dataset_name string, ds_uid string"
-FIX = "bench string, id long, field string, original string, fixed string"
+#: A fix may hold any JSON value.
+FIX = "bench string, id long, field string, original variant, fixed variant"
 MANIFEST = "model string, bench string, setting string, tag string, raw string, ids string, expected_n long"
 FERTILITY = "source string, lang string, tokens long, chars long"
 LENGTHS = "shard string, row_group int, row int, source string, dataset_name string, n_tokens long"

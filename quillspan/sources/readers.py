@@ -193,6 +193,11 @@ def hashes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2("content", 256).alias("sha256"))
 
 
+def fixes(spark: SparkSession, path: str) -> DataFrame:
+    """Fixes of items as JSON lines; original and fixed are variants, texts or arrays alike. A malformed line stops the query."""
+    return spark.read.schema(schemas.FIX).option("mode", "FAILFAST").json(path)
+
+
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     return document(spark, path, schemas.MANIFEST)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quillspan.operators import audit as A
 from quillspan.operators import corpus as C
 from quillspan.operators import scorecard as S
+from quillspan.sources import readers
 
 # Published cells: category, per-language accuracy (in answers of n), weight of the full set.
 CELLS = [
@@ -235,3 +236,38 @@ def test_without_the_base_language(spark):
         assert sorted(r["lang"] for r in got) == ["es", "zh"] and all(r["ratio"] is None for r in got)
     pairs = S.efficiency_pairs(rows).collect()
     assert sorted((r["lang"], r["paired_ids"], r["total_token_ratio"]) for r in pairs) == [("es", 0, None), ("zh", 0, None)]
+
+
+def test_fixes_of_any_type(spark, tmp_path):
+    """Texts, arrays and numbers in one file; whatever doesn't fit stops the query."""
+    items = spark.createDataFrame([(1, "q1", ["a", "b"], 5, "x"), (2, None, None, 6, "y"), (3, "q3", ["c"], None, "z")], "id long, question string, options array<string>, gold long, `o.ther` string")
+
+    def overlaid(*lines):
+        path = tmp_path / f"fixes-{random.random()}.jsonl"
+        path.write_text("".join(f'{{"bench": "b", {x}}}\n' for x in lines))
+        return {r["id"]: tuple(r)[1:] for r in A.overlaid_fields(items, readers.fixes(spark, str(path)), "id", ["question", "options", "gold"]).collect()}
+
+    got = overlaid(
+        '"id": 1, "field": "question", "original": "q1", "fixed": "new [\\"1\\"]"',
+        '"id": 1, "field": "options", "original": ["a", "b"], "fixed": ["b", "ñ", "a"]',
+        '"id": 2, "field": "options", "original": null, "fixed": []',
+        '"id": 2, "field": "gold", "original": 6, "fixed": 7',
+        '"id": 9, "field": "gold", "original": 6, "fixed": 7',
+    )
+    assert got == {1: ('new ["1"]', ["b", "ñ", "a"], 5, "x", True), 2: (None, [], 7, "y", True), 3: ("q3", ["c"], None, "z", False)}
+    for line, why in (
+        ('"id": 1, "field": "question", "original": "other", "fixed": "x"', "original of question differs"),
+        ('"id": 1, "field": "options", "original": ["b", "a"], "fixed": ["a"]', "original of options differs"),
+        ('"id": 3, "field": "question", "original": "q3", "fixed": ["q3"]', "another type"),
+        ('"id": 3, "field": "options", "original": "c", "fixed": ["q3"]', "another type"),
+        ('"id": 3, "field": "o.ther", "original": "z", "fixed": "w"', "another field"),
+    ):
+        with pytest.raises(Exception, match=why):
+            overlaid(line)
+    twice = '"id": 1, "field": "gold", "original": 5, "fixed": 7'
+    with pytest.raises(Exception, match="(?i)duplicate"):
+        overlaid(twice, twice)
+    arrays = spark.createDataFrame([(1, ["a"], ["b"])], "id long, original array<string>, fixed array<string>")
+    assert A.overlaid(items.where("id = 1").withColumn("options", F.array(F.lit("a"))), arrays, "id", "options").first()["options"] == ["b"]
+    with pytest.raises(Exception, match="original differs"):
+        A.overlaid(items.where("id = 1"), arrays, "id", "options").collect()
