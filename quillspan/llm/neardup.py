@@ -36,7 +36,9 @@ from quillspan.llm.runtime import mapped, mix64, narrowed, ship, unused, without
 from quillspan.llm.words import distinct_shingles, split_words, texts, word_shingles
 
 HALVES, ROWS = 12, 3
-THRESHOLD, SHINGLE_WORDS, STAR_ROUNDS, BLOCK = 80, 2, 3, 128
+THRESHOLD, SHINGLE_WORDS, STAR_ROUNDS = 80, 2, 3
+#: Shingles (eight bytes each) and ids of a block, about.
+BLOCK_SHINGLES, BLOCK = 1 << 18, 4096
 _FACTORS = np.random.Generator(np.random.PCG64(906)).integers(1, 2**63, 2 * HALVES * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LOWEST = -(1 << 63)
 
@@ -192,7 +194,7 @@ def _grouped(docs: DataFrame, threshold: int, shingle_words: int) -> tuple[DataF
                 break
             offers = mixed.where("component <> lead.component").groupBy(F.col("id").alias("x"), F.col("lead.id").alias("y")).agg(F.count("*").alias("k"))
         if turn == STAR_ROUNDS:
-            pairs = _remaining(shared, mixed, labels, rows, threshold, shingle_words)
+            pairs = _remaining(shared, mixed, labels, classes.select(F.col("class").alias("id"), "n"), rows, threshold, shingle_words)
         else:
             best = Window.partitionBy("x").orderBy(F.desc("k"), "y")
             pairs = offers.withColumn("r", F.row_number().over(best)).where("r = 1").select("x", "y")
@@ -232,77 +234,97 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, shingle_words:
     return out.select(shown(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), shown(F.col("least")).alias("component_id"), (F.col("doc_id") == F.col("least")).alias("kept"))
 
 
-def _remaining(shared: DataFrame, mixed: DataFrame, labels: DataFrame, rows: DataFrame, threshold: int, shingle_words: int) -> DataFrame:
+def _remaining(shared: DataFrame, mixed: DataFrame, labels: DataFrame, sizes: DataFrame, rows: DataFrame, threshold: int, shingle_words: int) -> DataFrame:
     """Pairs of ids, of components that still share a bucket, whose sets are alike: x, y.
 
     Ids that have the same smallest bucket leader, or leader's leader and so on, form a star; stars are cut
-    into blocks of about ``BLOCK`` ids. An id probes the stars that hold an id
+    into blocks of about ``BLOCK_SHINGLES`` shingles. An id probes the stars that hold an id
     of a component below its own in one of its buckets, there all blocks that
     hold such a component (buckets are met by star, since a family's members
     share dozens of them); it is then compared with all such ids of the block at
     once. A block that many probe is copied, so that about as many probes as it
     holds ids meet each copy. What leaves a block is one pair for each probe and
     component that it reaches.
+
+    Texts become sets of shingle hashes once, and only these move: members of a
+    family made from one template meet in blocks, however many there are, and no
+    text goes anywhere unless a pair's sets are alike.
     """
     stars = shared.groupBy("id").agg(F.min("leader").alias("star"))
     for _ in range(2):  # a batch's own leader follows one of the whole bucket, which may follow another
         stars = written(stars, "stars")
         far = stars.select(F.col("id").alias("via"), F.col("star").alias("further"))
         stars = stars.join(far, F.col("star") == F.col("via"), "left").select("id", F.least("star", "further").alias("star"))
-    stars = stars.join(labels.select("id", "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    parts = stars.groupBy("star").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("parts"))
+    stars = stars.join(labels.select("id", "component"), "id", "left").withColumn("component", F.coalesce("component", "id")).join(sizes, "id")
+    cut = F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK)).cast("long")
+    parts = stars.groupBy("star").agg(cut.alias("parts"))
     block = F.xxhash64("star", F.pmod(F.xxhash64("id"), F.col("parts"))).alias("block")
     home = written(stars.join(parts, "star").select("id", "component", "star", block), "home")
     members = mixed.select("key", "id").join(home, "id")
     least = members.groupBy("key", "star").agg(F.min("component").alias("least")).select(F.col("key").alias("k"), F.col("star").alias("to"), "least")
     reach = members.select("key", "id", "component").join(least, (F.col("key") == F.col("k")) & (F.col("least") < F.col("component")))
     reach = reach.select("id", "component", "to").distinct()
-    blocks = home.groupBy(F.col("star").alias("to"), "block").agg(F.min("component").alias("lowest"))
-    probes = written(reach.join(blocks, "to").where("lowest < component").select("id", "component", "block"), "probes")
-    copies = probes.groupBy("block").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("copies"))
+    blocks = home.groupBy(F.col("star").alias("to"), "block").agg(F.min("component").alias("lowest"), F.count("*").alias("holds"))
+    probes = written(reach.join(blocks, "to").where("lowest < component").select("id", "component", "block", "holds"), "probes")
+    copies = probes.groupBy("block").agg(F.ceil(F.count("*") / F.greatest(F.lit(128), F.max("holds"))).cast("long").alias("copies"))
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy")
     held = home.join(copies, "block").select("id", "component", "block", every, F.lit(0).alias("probe"))
     asking = probes.join(copies, "block").select("id", "component", "block", F.pmod(F.xxhash64("id", "block"), F.col("copies")).alias("copy"), F.lit(1).alias("probe"))
     both = written(held.unionByName(asking), "blocks")
     dealt_by = ["block", "copy"]
-    full = both.join(narrowed(rows, "id", both.select("id")), "id").select(*dealt_by, "probe", "id", "component", "text")
-    return full.repartition(*dealt_by).sortWithinPartitions(*dealt_by, "probe").transform(mapped(_probe(threshold, shingle_words), "x long, y long"))
+    sets = written(narrowed(rows, "id", both.select("id")).select("id", "text").transform(mapped(_sets(shingle_words), "id long, set binary")), "sets", wide=True)
+    full = both.join(sets, "id").select(*dealt_by, "probe", "id", "component", "set")
+    return full.repartition(*dealt_by).sortWithinPartitions(*dealt_by, "probe").transform(mapped(_probe(threshold), "x long, y long"))
+
+
+def _sets(shingle_words: int):
+    """(id, text) -> the hashes of the text's shingles, ascending, as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo, hi, data, offsets in texts(b.column(1)):
+                h, text = distinct_shingles(split_words(data, offsets, lower=True), shingle_words)
+                each = np.split(h, np.searchsorted(text, np.arange(1, hi - lo)))
+                yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], pa.array([x.tobytes() for x in each], pa.binary())], ["id", "set"])
+
+    return run
+
 
+def _probe(threshold: int):
+    """Rows in order of (block, copy, ids held first) -> pairs of a probe and an id whose sets are alike, one for each component below the probe's."""
 
-def _probe(threshold: int, shingle_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, sets, ids, component, index = None, [], [], [], None
         for b in batches:
             block, copy, probe, own, of = (b.column(c).to_numpy(zero_copy_only=False) for c in range(5))
             found: list[tuple[int, int]] = []
-            row = 0
-            for lo, hi, data, offsets in texts(b.column(5)):
-                h, text = distinct_shingles(split_words(data, offsets, lower=True), shingle_words)
-                for mine in np.split(h, np.searchsorted(text, np.arange(1, hi - lo))):
-                    here = (block[row], copy[row])
-                    if here != at:
-                        at, sets, ids, component, index = here, [], [], [], None
-                    if not probe[row]:
-                        sets.append(mine)
-                        ids.append(own[row])
-                        component.append(of[row])
-                    elif sets:
-                        if index is None:
-                            size = np.array([len(x) for x in sets])
-                            every, who = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
-                            order = np.argsort(every)
-                            index = (every[order], who[order], size, np.array(ids), np.array(component))
-                        every, who, size, names, groups = index
-                        first, last = np.searchsorted(every, mine), np.searchsorted(every, mine, "right")
-                        n = last - first
+            for row, raw in enumerate(b.column(5)):
+                mine = np.frombuffer(raw.as_buffer(), np.uint64)
+                here = (block[row], copy[row])
+                if here != at:
+                    at, sets, ids, component, index = here, [], [], [], None
+                if not probe[row]:
+                    sets.append(mine.copy())
+                    ids.append(own[row])
+                    component.append(of[row])
+                elif sets:
+                    if index is None:
+                        size = np.array([len(x) for x in sets])
+                        every, who = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.int32), size)
+                        order = np.argsort(every)
+                        index, sets = (every[order], who[order], size, np.array(ids), np.array(component)), [None]
+                    every, who, size, names, groups = index
+                    first, last = np.searchsorted(every, mine), np.searchsorted(every, mine, "right")
+                    common = np.zeros(len(size), np.int64)
+                    step = max(1, (1 << 20) // len(size))  # a shingle that all ids of the block hold counts for each of them
+                    for k in range(0, len(mine), step):
+                        lo, n = first[k : k + step], last[k : k + step] - first[k : k + step]
                         stop = np.cumsum(n)
-                        hits = who[np.repeat(first - (stop - n), n) + np.arange(n.sum())]
-                        common = np.bincount(hits, minlength=len(size))
-                        good = (100 * common >= threshold * (size + len(mine) - common)) & (common > 0) & (groups < of[row])
-                        k = np.flatnonzero(good)
-                        for j in k[np.unique(groups[k], return_index=True)[1]].tolist():
-                            found.append((own[row], names[j]))
-                    row += 1
+                        common += np.bincount(who[np.repeat(lo - (stop - n), n) + np.arange(stop[-1])], minlength=len(size))
+                    good = (100 * common >= threshold * (size + len(mine) - common)) & (common > 0) & (groups < of[row])
+                    k = np.flatnonzero(good)
+                    for j in k[np.unique(groups[k], return_index=True)[1]].tolist():
+                        found.append((own[row], names[j]))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["x", "y"])
 
