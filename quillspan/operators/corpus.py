@@ -204,27 +204,54 @@ def batches(rows: DataFrame, groups: list[str], order: str, size: int) -> DataFr
     return positions(rows, groups, [order], "_n").withColumn("step", F.floor((F.col("_n") - 1) / size)).drop("_n")
 
 
-def value_counts(rows: DataFrame, group: str, value: str) -> DataFrame:
-    """Distinct values of each group with how many values stand before and up to them: group, value, before, upto, n. Exact quantiles come from here: what meets in one task is a group's distinct values, not its rows."""
-    counts = rows.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("_k"))
-    w = Window.partitionBy(group)
-    upto = F.sum("_k").over(w.orderBy(value))
-    return counts.select(group, value, (upto - F.col("_k")).alias("before"), upto.alias("upto"), F.sum("_k").over(w).alias("n"))
+#: Bits that a round of ``exact_ranks`` settles: a group has at most so many counts (two to that power) for each value sought.
+RANK_BITS = 16
 
 
-def _at(value: str, index: Column) -> Column:
-    """The value at an index from 0 of the sorted values of a group of ``value_counts``."""
-    return F.max(F.when((F.col("before") <= index) & (index < F.col("upto")), F.col(value)))
+def exact_ranks(rows: DataFrame, group: str, value: str, ranks: dict[str, Column]) -> DataFrame:
+    """Exact order statistics of whole numbers by group: group, n, and for each name the value at an index from 0 of the group's sorted values, null values left out. ``ranks``: indices as expressions of ``n``.
+
+    Values are never sorted or gathered. A group's range is cut into at most
+    2 ** ``RANK_BITS`` equal parts; rows are counted by part where they are read,
+    and only the part that holds a sought index goes on, cut anew, until parts
+    are single values: one round for a range of 65,536, two for billions, four or
+    five for all of 64 bits. What meets by group are counts of parts, however many distinct
+    values there are.
+    """
+    own = rows.where(F.col(value).isNotNull()).select(F.col(group).alias("_g"), F.col(value).cast("decimal(20,0)").alias("_v"))
+    stats = own.groupBy("_g").agg(F.count("*").alias("n"), F.min("_v").alias("low"), F.max("_v").alias("high"))
+    sought = F.array(*(F.struct(F.lit(k).alias("name"), i.cast("long").alias("at")) for k, i in ranks.items()))
+    # a row for each sought index: the range that holds it, and how many of its group's rows stand below that
+    state = stored(stats.select("_g", "n", "low", "high", F.explode(sought).alias("s")).select("_g", "n", "low", "high", "s.name", "s.at", F.lit(0).cast("long").alias("below")), "ranks")
+    width = F.ceil((F.col("high") - F.col("low") + 1).cast("decimal(38,0)") / (1 << RANK_BITS)).cast("decimal(20,0)")
+    while not state.where("high > low").isEmpty():
+        open_ = state.where("high > low").select("_g", "low", "high", width.alias("width")).distinct()
+        part = F.floor((F.col("_v") - F.col("low")) / F.col("width")).cast("int")
+        counts = own.join(small(open_.withColumnRenamed("_g", "_of")), F.col("_g").eqNullSafe(F.col("_of")) & F.col("_v").between(F.col("low"), F.col("high"))).groupBy("_g", "low", "high", "width", part.alias("part")).agg(F.count("*").alias("k"))
+        upto = F.sum("k").over(Window.partitionBy("_g", "low", "high").orderBy("part"))  # counts of parts, at most 2 ** RANK_BITS
+        counts = counts.withColumn("upto", upto).select(*(F.col(c).alias(f"c_{c}") for c in ("_g", "low", "high", "width", "part", "k", "upto")))
+        same = F.col("_g").eqNullSafe(F.col("c__g")) & (F.col("low") == F.col("c_low")) & (F.col("high") == F.col("c_high"))
+        inside = F.col("at") - F.col("below")
+        hit = state.join(counts, same & (inside < F.col("c_upto")) & (inside >= F.col("c_upto") - F.col("c_k")), "left")
+        low = (F.col("low") + F.col("c_part") * F.col("c_width")).cast("decimal(20,0)")
+        high = F.least(F.col("high"), (F.col("low") + (F.col("c_part") + 1) * F.col("c_width") - 1).cast("decimal(20,0)"))
+        moved = F.col("c_part").isNotNull()
+        state = stored(hit.select("_g", "n", F.when(moved, low).otherwise(F.col("low")).alias("low"), F.when(moved, high).otherwise(F.col("high")).alias("high"), "name", "at", F.when(moved, F.col("below") + F.col("c_upto") - F.col("c_k")).otherwise(F.col("below")).alias("below")), "ranks")
+    found = state.groupBy("_g").agg(F.first("n").alias("n"), *(F.max(F.when(F.col("name") == k, F.col("low"))).cast("long").alias(k) for k in ranks))
+    return found.withColumnRenamed("_g", group)
 
 
 def described(rows: DataFrame, group: str, value: str) -> DataFrame:
-    """n, mean (one place), upper median, 90th hundredth, largest and sum."""
-    v, n = F.col(value), F.col("n")
-    total = F.sum(v * (F.col("upto") - F.col("before")))
-    out = value_counts(rows, group, value).groupBy(group).agg(
-        F.max("n").alias("n"), F.bround(ratio(total, F.max("n")), 1).alias("mean"), _at(value, F.floor(n / 2)).alias("median"), _at(value, F.floor(n * F.lit(0.9))).alias("p90"), F.max(v).alias("most"), total.alias("sum")
-    )
-    return out.select(group, "n", "mean", "median", "p90", "most", "sum")
+    """n, mean (one place), upper median, 90th hundredth, largest and sum of whole numbers."""
+    n = F.col("n")
+    ranks = exact_ranks(rows, group, value, {"median": F.floor(n / 2), "p90": F.floor(n * F.lit(0.9))})
+    sums = rows.groupBy(group).agg(F.bround(ratio(F.sum(value), F.count(value)), 1).alias("mean"), F.max(value).alias("most"), F.sum(value).alias("sum"))
+    return _beside(ranks, sums, group).select(group, "n", "mean", "median", "p90", "most", "sum")
+
+
+def _beside(ranks: DataFrame, sums: DataFrame, group: str) -> DataFrame:
+    """Two tables of one row a group, side by side; null is a group too."""
+    return ranks.join(sums.withColumnRenamed(group, "_group"), F.col(group).eqNullSafe(F.col("_group")))
 
 
 def described_middle(rows: DataFrame, group: str, value: str) -> DataFrame:
@@ -233,18 +260,12 @@ def described_middle(rows: DataFrame, group: str, value: str) -> DataFrame:
 
 
 def length_quantiles(rows: DataFrame, group: str, value: str, limits: list[int]) -> DataFrame:
-    """n, upper median, 90th and 99th hundredths, largest; number and share of values within each limit."""
-    n, v, times = F.col("n"), F.col(value), F.col("upto") - F.col("before")
-    within = {m: F.sum(F.when(v <= m, times).otherwise(0)) for m in limits}
-    return value_counts(rows, group, value).groupBy(group).agg(
-        F.max("n").alias("n"),
-        _at(value, F.floor(n / 2)).alias("median"),
-        _at(value, F.floor(n * F.lit(0.9))).alias("p90"),
-        _at(value, F.floor(n * F.lit(0.99))).alias("p99"),
-        F.max(v).alias("most"),
-        *(within[m].alias(f"n_within_{m}") for m in limits),
-        *(ratio(within[m], F.max("n")).alias(f"within_{m}") for m in limits),
-    )
+    """n, upper median, 90th and 99th hundredths, largest of whole numbers; number and share of values within each limit."""
+    n, v = F.col("n"), F.col(value)
+    ranks = exact_ranks(rows, group, value, {"median": F.floor(n / 2), "p90": F.floor(n * F.lit(0.9)), "p99": F.floor(n * F.lit(0.99))})
+    within = {m: F.count_if(v <= m) for m in limits}
+    sums = rows.groupBy(group).agg(F.max(v).alias("most"), *(c.alias(f"n_within_{m}") for m, c in within.items()), *(ratio(c, F.count(v)).alias(f"within_{m}") for m, c in within.items()))
+    return _beside(ranks, sums, group).drop("_group")
 
 
 def drop_accounting(rows: DataFrame, steps: dict[str, Column]) -> DataFrame:

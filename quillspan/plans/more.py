@@ -113,10 +113,10 @@ def report_scrape(spark, d):
 
 @query("SELECT lower(r_name) AS tag, n_nationkey::VARCHAR AS id, n_name AS name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 3 <> 0")
 def headed_blocks(spark, d):
-    """Blocks of a report that have a header and a line of JSON; others are passed over."""
+    """Headers of a report with the last line of JSON under each; those without one are passed over."""
     n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     header = F.format_string("[%s id=%d", F.regexp_replace(F.lower("r_name"), " ", "_"), "n_nationkey")
-    body = F.when(F.col("n_nationkey") % 3 != 0, F.concat(F.lit("ES: "), F.to_json(F.struct(F.col("n_name").alias("name"))))).otherwise("nothing here")
+    body = F.when(F.col("n_nationkey") % 3 != 0, F.concat(F.lit('ES: {"name": "an earlier one"}\nwords\nES: '), F.to_json(F.struct(F.col("n_name").alias("name"))), F.lit("\n\nmore words"))).otherwise("nothing here")
     path = views.scratch(spark, "blocks")
     n.select(F.concat(header, F.lit("]\nsome words\n"), body).alias("value")).write.text(path)
     got = readers.headed_blocks(spark, path, r"\[(\w+) id=(\d+)\]", ["tag", "id"], r"ES: (\{.*\})", "name string")
@@ -405,7 +405,7 @@ def tokenizer_hook(spark, d):
     return table(spark, d, "documents").select("doc_id", udfs.token_count(F.col("text"), lambda: len).alias("tokens"))
 
 
-@query("""SELECT doc_id AS id, CASE WHEN doc_id % 5 = 0 THEN upper(source) || '?' ELSE source END AS question, CASE WHEN doc_id % 4 = 0 THEN [source, 'ñ', lang] ELSE [lang, source] END AS options, doc_id % 5 = 0 OR doc_id % 4 = 0 AS is_fixed FROM documents""")
+@query("""SELECT doc_id AS id, CASE WHEN doc_id % 5 = 0 THEN upper(source) || '?' ELSE source END AS question, CASE WHEN doc_id % 4 = 0 THEN source || '|ñ|' || lang ELSE lang || '|' || source END AS options, doc_id % 5 = 0 OR doc_id % 4 = 0 AS is_fixed FROM documents""")
 def overlay_fields(spark, d):
     """Fixes of texts and of arrays, from one file, in one pass."""
     items = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("question"), F.array("lang", "source").alias("options"))
@@ -414,7 +414,7 @@ def overlay_fields(spark, d):
     arrays = items.where("id % 4 = 0").select(line("options", F.col("options"), F.array(F.get("options", F.lit(1)), F.lit("ñ"), F.get("options", F.lit(0)))))
     path = views.scratch(spark, "fixes")
     texts.unionByName(arrays).write.text(path)
-    return A.overlaid_fields(items, readers.fixes(spark, path), "id", ["question", "options"])
+    return A.overlaid_fields(items, readers.fixes(spark, path), "id", ["question", "options"]).withColumn("options", F.array_join("options", "|"))
 
 
 # Checks.

@@ -6,13 +6,14 @@ import json
 import uuid
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspan import schemas
 from quillspan.operators.corpus import positions
 from quillspan.sources.answers import answered  # noqa: F401
 from quillspan.sources.rowgroups import evenly
+from quillspan.storage import stored
 
 
 def records(spark: SparkSession, path: str | list[str], schema: str = schemas.RECORD) -> DataFrame:
@@ -131,12 +132,29 @@ def scrape(spark: SparkSession, path: str, patterns: dict[str, tuple[str, str]])
 
 
 def headed_blocks(spark: SparkSession, path: str, header: str, names: list[str], line: str, schema: str) -> DataFrame:
-    """Reports in which a header line (groups ``names``) is followed by a line ``line`` (one group, JSON of ``schema``): a row for each block that has both."""
-    df = spark.read.text(path, wholetext=True)
-    mark = "\x1e"
-    blocks = df.select(F.explode(F.slice(F.split(F.regexp_replace("value", f"(?m)(?=^{header})", mark), mark), F.lit(2), F.lit(1 << 30))).alias("b"))
-    parts = [F.regexp_extract("b", f"(?m)^{header}", i + 1).alias(n) for i, n in enumerate(names)]
-    return blocks.where(F.col("b").rlike(f"(?m)^{line}")).select(*parts, F.from_json(F.regexp_extract("b", f"(?m)^{line}", 1), schema).alias("value"))
+    """Reports in which a header line (groups ``names``) stands above lines ``line`` (one group, JSON of ``schema``): a row for each header that has such a line under it, with the last of them.
+
+    Files are read in splits, line by line. Lines that matter are few; each knows
+    its file and its byte (the split's start, and where it stands in the split),
+    and takes the last header before it. That is carried from split to split by
+    two small steps: the last header of each split, and of those the last one
+    before.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"))
+    is_header, is_line = F.col("value").rlike(f"^{header}"), F.col("value").rlike(f"^{line}")
+    marks = stored(lines.where(is_header | is_line).select("file", "split", "at", F.when(is_header, F.col("value")).alias("header"), F.when(~is_header, F.col("value")).alias("line")), "marks")
+    # within a split the last header above; before its first one, that of the splits before
+    above = F.last("header", True).over(Window.partitionBy("file", "split").orderBy("at"))
+    own = F.max(F.when(F.col("header").isNotNull(), F.col("at"))).over(Window.partitionBy("file", "split").orderBy("at"))
+    ends = marks.where("header IS NOT NULL").groupBy("file", "split").agg(F.max_by("header", "at").alias("header"), F.max("at").alias("began"))
+    splits = marks.select("file", "split").distinct().join(ends, ["file", "split"], "left")
+    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)  # a row a split
+    carried = splits.select("file", "split", F.last("header", True).over(before).alias("carried"), F.last("began", True).over(before).alias("carried_at"))
+    rows = marks.withColumns({"above": above, "own": own}).where("line IS NOT NULL").join(carried, ["file", "split"])
+    rows = rows.select("file", F.coalesce("above", "carried").alias("header"), F.coalesce("own", "carried_at").alias("began"), "split", "at", "line").where("header IS NOT NULL")
+    last = rows.groupBy("file", "began", "header").agg(F.max_by("line", F.struct("split", "at")).alias("line"))
+    parts = [F.regexp_extract("header", f"^{header}", i + 1).alias(n) for i, n in enumerate(names)]
+    return last.select(*parts, F.from_json(F.regexp_extract("line", f"^{line}", 1), schema).alias("value"))
 
 
 def number_rows(spark: SparkSession, path: str, width: int, kind: str = "float") -> DataFrame:

@@ -271,3 +271,16 @@ def test_fixes_of_any_type(spark, tmp_path):
     assert A.overlaid(items.where("id = 1").withColumn("options", F.array(F.lit("a"))), arrays, "id", "options").first()["options"] == ["b"]
     with pytest.raises(Exception, match="original differs"):
         A.overlaid(items.where("id = 1"), arrays, "id", "options").collect()
+
+
+def test_ranks_of_many_values(spark):
+    """A million distinct values, ties, negative and extreme ones, null values and a null group."""
+    many = spark.range(1_000_000).select(F.lit("many").alias("g"), (F.xxhash64("id") % 10**15).alias("v"))
+    some = [("ties", 5)] * 70 + [("ties", 6)] * 30 + [("far", v) for v in (-(1 << 63), -1, 0, 1, (1 << 63) - 1)] + [("one", 3), ("none", None), (None, 4), (None, 8), (None, 6), ("ties", None)]
+    rows = many.unionByName(spark.createDataFrame(some, "g string, v long"))
+    ranks = C.exact_ranks(rows, "g", "v", {"low": F.lit(0), "mid": F.floor(F.col("n") / 2), "p90": F.floor(F.col("n") * 0.9), "top": F.col("n") - 1})
+    assert "Window" not in many._jdf.queryExecution().toString()
+    got = {r["g"]: (r["n"], r["low"], r["mid"], r["p90"], r["top"]) for r in ranks.collect()}
+    values = sorted(r["v"] for r in many.collect())
+    assert got["many"] == (10**6, values[0], values[500_000], values[900_000], values[-1])
+    assert got["ties"] == (100, 5, 5, 6, 6) and got["far"] == (5, -(1 << 63), 0, (1 << 63) - 1, (1 << 63) - 1) and got["one"] == (1, 3, 3, 3, 3) and got[None] == (3, 4, 6, 8, 8) and "none" not in got

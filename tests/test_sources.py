@@ -79,3 +79,35 @@ def test_stream(spark, tmp_path):
     assert {r["lang"]: (r["n"], r["n_correct"]) for r in spark.table("live").collect()} == {"en": (2, 2), "es": (1, 0)}
     assert logs.deadline("07:30", datetime(2026, 1, 1, 8)) == datetime(2026, 1, 2, 7, 30)
     assert schemas.KEY[0] == "tag" and F is not None
+
+
+def test_headers_are_carried_over_splits(spark, tmp_path):
+    """Files of many splits beside a plain reading: lines before any header, headers without lines, several lines under one."""
+    import json
+    import random
+
+    rng, want = random.Random(4), []
+    for f in range(3):
+        lines, head, said = [], None, None
+        for i in range(400):
+            kind = rng.random()
+            if kind < 0.05:
+                if said is not None:
+                    want.append((*head, said))
+                head, said = (f"t{f}", str(i)), None
+                lines.append(f"[{head[0]} id={i}] more words")
+            elif kind < 0.15:
+                said = f"{i} ñ" if head else None
+                lines.append("ES: " + json.dumps({"q": f"{i} ñ"}, ensure_ascii=False))
+            else:
+                lines.append(rng.choice(["", "words " * rng.randint(1, 30), " ES: {}", " [x id=3]"]))
+        if said is not None:
+            want.append((*head, said))
+        (tmp_path / f"r{f}.md").write_text("\n".join(lines))
+    for size in ("128m", "700b"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            got = readers.headed_blocks(spark, str(tmp_path / "*.md"), r"\[(\w+) id=(\d+)\]", ["tag", "id"], r"ES: (\{.*\})", "q string").collect()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert sorted((r["tag"], r["id"], r["value"]["q"]) for r in got) == sorted(want) and len(want) > 20

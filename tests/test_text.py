@@ -125,3 +125,24 @@ def test_chat_and_labels(spark):
     assert one(spark, T.rendered_chat, [("user", "a")], "array<struct<role:string,content:string>>") == "<|im_start|>user\na<|im_end|>\n"
     df = spark.createDataFrame([([5, 6, 7], [(0, 2), (2, 4), (4, 9)])], "ids array<long>, offsets array<struct<start:long,end:long>>")
     assert df.select(T.loss_labels("ids", "offsets", F.lit(2), F.lit(5))).first()[0] == [-100, 6, -100]
+
+
+def test_mcnemar_at_any_size(spark):
+    """Equal to the sum of the tail where that can be added up, and defined far beyond."""
+    import math
+    from fractions import Fraction
+
+    pairs = [(k, n - k) for n in (1, 2, 3, 7, 20, 57, 333, 1000, 10_000) for k in sorted({0, 1, 2, n // 10, n // 3, n // 2 - int(math.sqrt(n)), (n - 1) // 2, n // 2}) if 0 <= k <= n]
+    df = spark.createDataFrame([(i, b, c) for i, (b, c) in enumerate(pairs)], "i int, b long, c long")
+    got = {r["i"]: r["p"] for r in df.select("i", stats.mcnemar(F.col("b"), F.col("c")).alias("p")).collect()}
+    for i, (b, c) in enumerate(pairs):
+        n, term, total = b + c, 1, 1
+        for j in range(min(b, c)):
+            term = term * (n - j) // (j + 1)
+            total += term
+        assert abs(got[i] - min(1.0, float(Fraction(2 * total, 2**n)))) < 1e-12, (b, c)
+    n = 10**9
+    far = spark.createDataFrame([(n // 2 - round(z * math.sqrt(n) / 2), n // 2 + round(z * math.sqrt(n) / 2)) for z in (0.0, 0.5, 2, 5)] + [(0, n)], "b long, c long")
+    p = [r[0] for r in far.select(stats.mcnemar(F.col("b"), F.col("c"))).collect()]
+    assert p[0] == 1.0 and p[4] == 0.0 and all(abs(x - math.erfc(z / math.sqrt(2))) < 1e-4 * x + 1e-4 for x, z in zip(p[1:4], (0.5, 2, 5)))
+    assert one(spark, lambda v: stats.mcnemar(v, v), None, "long") is None
