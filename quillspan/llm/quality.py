@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.llm.labels import held_out, sample
-from quillspan.llm.runtime import mapped, ship
+from quillspan.llm.runtime import mapped, ship, whole_rows
 from quillspan.llm.words import texts
 
 PER_CLASS, MOST_BYTES = 1500, 8192
@@ -182,13 +182,13 @@ def scored(docs: DataFrame, net: Network) -> DataFrame:
 
 
 def accepted(docs: DataFrame, net: Network) -> DataFrame:
-    """``docs`` without those that the network rejects, all columns as they are: the score is computed beside each row, with or without a doc_id. Null and empty texts are scored like any other."""
+    """``docs`` without those that the network rejects, all columns as they are, whatever they are called: the score is computed beside each row, with or without a doc_id. Null and empty texts are scored like any other, repeated rows go the same way, an empty table stays empty."""
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, hi, data, offsets in texts(b.column(b.schema.get_field_index("text")), SLICE_BYTES):
-                yield b.slice(lo, hi - lo).filter(pa.array(probabilities(shared.value, data, offsets) >= CUT))
+            for lo, hi, data, offsets in texts(b.column(1), SLICE_BYTES):
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo).filter(pa.array(probabilities(shared.value, data, offsets) >= CUT))], ["row"])
 
-    return docs.transform(mapped(run, docs.schema))
+    return whole_rows(docs, run)

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspan.storage import shared_folder as _shared
+
 #: Bits of a key filter. Fixed: the broadcast stays 1 MiB whatever the input; a full filter lets rows through and the join behind it decides.
 FILTER_BITS = 1 << 23
 #: Keys (8 bytes each) that are broadcast at most.
@@ -63,6 +65,13 @@ def mapped(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
     return lambda df: df.mapInArrow(whole, schema)
 
 
+def whole_rows(docs: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """The rows of ``docs`` that ``run`` keeps: it is handed (row, text), row a struct of all columns whatever they are called, and gives back rows."""
+    named = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text")
+    kept = named.transform(mapped(run, named.select("row").schema))
+    return kept.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
+
+
 def trim() -> None:
     try:
         import ctypes
@@ -89,11 +98,8 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one of our own where it is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        given = spark.sparkContext.getCheckpointDir()
-        folder = given or os.path.join(tempfile.gettempdir(), "quillspan-shared")
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one of our own where it is unset and the session is local (tests); elsewhere that is an error."""
+    folder = _shared(spark)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")

@@ -67,18 +67,20 @@ def shingles(text, n=5):
     return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set()
 
 
-@pytest.mark.parametrize("most", [1_000_000, 0])
+@pytest.mark.parametrize("most", [64 << 20, 0])
 def test_contamination_broadcast_and_joined(spark, corpus, empty, most):
-    """Alike whether the benchmark is broadcast or joined; items of one to eight shingles; rows that share an id or have none."""
+    """Alike whether the benchmark is broadcast or joined; items of one to four words and of one to eight shingles; rows that share an id or have none; a column with a dot."""
     rng = random.Random(6)
     long = corpus[-2][1]
     w = WORD.findall(long)
     items = [(i, " ".join(w[s : s + n])) for i, (s, n) in enumerate([(10, 5), (50, 6), (90, 7), (200, 8), (300, 9), (400, 12), (600, 40), (1000, 300), (0, 5), (len(w) - 5, 5)])]
     items += [(20, "one"), (21, "a b c"), (22, None), (23, " "), (24, " ".join(w[700:712] + ["other"] * 2)), (24, " ".join(w[700:712] + ["other"] * 2))]
     rows = [*corpus, (None, f"x {items[5][1]} y"), (None, "clean words here and there"), (0, f"{items[6][1]}"), (0, "a b c"), (0, "a b c"), (300, "ONE"), (301, "one two")]
+    items += [(25, "alpha beta gamma"), (26, "Delta"), (27, "p q r s"), (28, " ".join(w[800:804])), (29, "p q")]
+    rows += [(302, "a longer text, alpha BETA gamma and more"), (303, "alpha beta delta gamma"), (304, "p q r s"), (305, "p q r"), (306, "x p\tq  r\n s x"), (307, "alpha beta gammas")]
     rows += [(400 + i, " ".join(rng.sample(w, 30) + w[200:208] + rng.sample(w, 10))) for i in range(5)]
-    docs, bench = clashing(spark, rows), spark.createDataFrame(items, "item_id long, text string")
-    old, contamination.MOST_SHINGLES = contamination.MOST_SHINGLES, most
+    docs, bench = clashing(spark, rows).withColumn("a.dot", F.lit(1)), spark.createDataFrame(items, "item_id long, text string")
+    old, contamination.MOST_BYTES = contamination.MOST_BYTES, most
     try:
         got = sorted(((r["doc_id"], r["item_id"], r["n_item"], r["n_shared"]) for r in contamination.contaminated(docs, bench).collect()), key=str)
         kept = contamination.clean(docs, bench)
@@ -86,8 +88,16 @@ def test_contamination_broadcast_and_joined(spark, corpus, empty, most):
         assert contamination.contaminated(empty, bench).count() == 0 and contamination.contaminated(docs, bench.limit(0)).count() == 0
         assert contamination.clean(empty, bench).count() == 0 and contamination.clean(docs, bench.limit(0)).count() == len(rows)
     finally:
-        contamination.MOST_SHINGLES = old
-    hit = lambda t: [(k, len(q), len(q & shingles(t))) for k, x in items if (q := shingles(x)) and len(q & shingles(t)) >= 0.8 * len(q)]
+        contamination.MOST_BYTES = old
+    def hit(t):
+        out = []
+        for k, x in items:
+            n = min(5, len(WORD.findall(x or ""))) or 5  # an item under five words is one run of them
+            own = {s for s in shingles(t, n) if len(s) == n}
+            if (q := shingles(x)) and len(q & own) >= 0.8 * len(q):
+                out.append((k, len(q), len(q & own)))
+        return out
+
     assert got == sorted(((i, *h) for i, t in rows for h in hit(t)), key=str) and len(got) > 20
     assert left == sorted(((i, t) for i, t in rows if not hit(t)), key=str) and kept.columns == docs.columns
 
@@ -97,14 +107,14 @@ def test_contamination_recall_at_the_threshold():
     rng = np.random.default_rng(7)
     sizes = rng.integers(5, 201, 400)
     sets = [np.sort(rng.integers(1, 2**63, n, dtype=np.uint64)) for n in sizes]
-    index = contamination.ItemIndex(list(range(400)), sets, [b""] * 400)
+    index = contamination.ItemIndex(list(range(400)), sets, [b""] * 400, [99] * 400)
     found = 0
     for k, own in enumerate(sets):
         part = rng.permutation(own)
         part[: int(0.2 * len(part))] = rng.integers(1, 2**63, int(0.2 * len(part)), dtype=np.uint64)
         at = int(rng.integers(0, 3000))
         doc = np.concatenate([rng.integers(1, 2**63, at, dtype=np.uint64), part, rng.integers(1, 2**63, 500, dtype=np.uint64)])
-        docs, items = index.search(doc, np.array([0, len(doc)]))
+        docs, items = index.search(None, doc, np.array([0, len(doc)]))
         found += k in items.tolist()
     assert found == 400
 
@@ -224,8 +234,9 @@ def test_scores_don_t_depend_on_neighbours(spark):
             got.append(sorted(((str(r["doc_id"]), r[col]) for r in run(docs).collect())))
         assert len(got[0]) == len(rows) and np.allclose([g[1] for g in got[0]], [g[1] for g in got[1]], atol=1e-6)
         assert len({round(g[1], 5) for g in got[0]}) <= len(every)
-    kept = quality.accepted(clashing(spark, rows), net)
-    assert kept.columns[2:] == CLASH.split()
+    dotted = clashing(spark, rows).withColumn("a.dot", F.lit(7))
+    kept = quality.accepted(dotted, net)
+    assert kept.columns == dotted.columns and kept.columns[2:-1] == CLASH.split() and all(r["a.dot"] == 7 for r in kept.collect())
 
 
 # 7
