@@ -102,8 +102,24 @@ def _shipped() -> None:
     ship(SparkSession.active())
 
 
+def may_loop(text: Column, span: int = SPAN, repeats: int = REPEATS) -> Column:
+    """False only for texts that ``loops`` denies, by expressions alone.
+
+    Words are what stands between blanks. Where none is longer than half a
+    span, every stretch of ``span`` characters has a blank among its first ones,
+    and what follows that blank up to ``span - span // 2 - 1`` characters still
+    lies in the stretch. Equal stretches agree in it, so a text that loops has
+    such a piece at ``repeats`` places. Texts with longer words may loop.
+    """
+    longest = span // 2
+    pieces = F.regexp_extract_all(text, F.lit(rf"(?s)(?<=[\x20\n\t])(?=(.{{{span - longest - 1}}}))"), F.lit(1))
+    sorted_ = F.sort_array(F.transform(pieces, lambda p: F.xxhash64(p)))
+    again = F.get(F.transform(F.array(sorted_), lambda h: F.exists(F.zip_with(h, F.slice(h, repeats, F.greatest(F.size(h), F.lit(1))), lambda a, b: a == b), lambda same: F.coalesce(same, F.lit(False)))), F.lit(0))
+    return F.when(F.length(text) < span * repeats, False).when(text.rlike(rf"[^\x20\n\t]{{{longest + 1}}}"), True).otherwise(again)
+
+
 def looping(text: Column, span: int = SPAN, repeats: int = REPEATS) -> Column:
-    """``loops`` as a column; texts too short to loop never reach Python."""
+    """``loops`` as a column; only texts that ``may_loop`` reach Python."""
     _shipped()
 
     @pandas_udf("boolean")
@@ -119,8 +135,7 @@ def looping(text: Column, span: int = SPAN, repeats: int = REPEATS) -> Column:
                     size = 0
             yield pd.Series(np.concatenate([loops(p, span, repeats) for p in parts if p] or [np.zeros(0, bool)]))
 
-    long_enough = F.length(text) >= span * repeats
-    return F.coalesce(long_enough, F.lit(False)) & run(F.when(long_enough, text))
+    return F.coalesce(run(F.when(may_loop(text, span, repeats), text)), F.lit(False))
 
 
 def gram_hashes(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -156,34 +171,51 @@ def grams(norm: Column, n: int) -> Column:
     return run(F.coalesce(norm, F.lit("")))
 
 
+class Overlaps:
+    """Texts by language with the hashes of their n-grams: what ``overlap_reason`` broadcasts. Eight bytes a word for the hash, four for the number of its text, and the texts themselves."""
+
+    def __init__(self, texts: dict[str, set[str]], n: int):
+        self.n, self.texts, self.hashes, self.of = n, {}, {}, {}
+        for key, own in texts.items():
+            rows = sorted(own)
+            h, of = gram_hashes(rows, n)
+            order = np.argsort(h, kind="stable")
+            self.texts[key], self.hashes[key], self.of[key] = rows, h[order], of[order].astype(np.int32)
+
+    def shared(self, key: str, text: str, hashes: np.ndarray, places: np.ndarray) -> bool:
+        """Whether the n-gram at one of the ``places`` of ``text`` stands in a text of its hash; confirmed on the words."""
+        have, words = self.hashes[key], text.split(" ")
+        for h, i in zip(hashes.tolist(), places.tolist()):
+            gram = " " + " ".join(words[i : i + self.n]) + " "
+            lo, hi = np.searchsorted(have, np.uint64(h)), np.searchsorted(have, np.uint64(h), "right")
+            if any(gram in f" {self.texts[key][k]} " for k in dict.fromkeys(self.of[key][lo:hi].tolist())):
+                return True
+        return False
+
+
 def overlap_reason(lang: Column, norm: Column, texts: dict[str, set[str]], n: int) -> Column:
-    """``exact`` for a text that is among ``texts`` of its language, ``ngram`` for another that shares an n-gram with one of them, else null. Found by hashes, confirmed on the n-grams themselves."""
+    """``exact`` for a text that is among ``texts`` of its language, ``ngram`` for another that shares an n-gram with one of them, else null. Found by hashes, confirmed on the texts, which are broadcast with them."""
     _shipped()
-    hashes, spelled = {}, {}
-    for key, own in texts.items():
-        rows = sorted(own)
-        hashes[key] = np.unique(gram_hashes(rows, n)[0])
-        spelled[key] = {" ".join(w[i : i + n]) for t in rows for w in [t.split(" ")] for i in range(len(w) - n + 1)}
-
-    def shares(text: str, places: np.ndarray, grams: set[str]) -> bool:
-        w = text.split(" ")
-        return any(" ".join(w[i : i + n]) in grams for i in places.tolist())
+    shared = SparkSession.active().sparkContext.broadcast(Overlaps(texts, n))
 
     @pandas_udf("string")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        bench = shared.value
+        whole = {key: set(own) for key, own in bench.texts.items()}
         for langs, norms in batches:
             rows, out = norms.tolist(), np.full(len(norms), None, object)
-            for key in set(langs.tolist()) & texts.keys():
+            for key in set(langs.tolist()) & whole.keys():
                 at = np.flatnonzero((langs == key).to_numpy())
                 h, of = gram_hashes([rows[i] for i in at], n)
-                have = hashes[key]
+                have = bench.hashes[key]
                 hit = np.flatnonzero(have[np.minimum(np.searchsorted(have, h), len(have) - 1)] == h) if len(have) else np.zeros(0, np.int64)
                 first = np.searchsorted(of, np.arange(len(at)))
                 for k in np.unique(of[hit]).tolist():
-                    if shares(rows[at[k]], hit[of[hit] == k] - first[k], spelled[key]):
+                    own = hit[of[hit] == k]
+                    if bench.shared(key, rows[at[k]], h[own], own - first[k]):
                         out[at[k]] = "ngram"
                 for i in at:
-                    if rows[i] in texts[key]:
+                    if rows[i] in whole[key]:
                         out[i] = "exact"
             yield pd.Series(out, dtype=object)
 

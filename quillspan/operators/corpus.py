@@ -12,8 +12,8 @@ from quillspan.operators.audit import draw_order
 from quillspan.storage import stored
 
 NGRAM = 13
-#: A benchmark that is broadcast has at most so many texts and bytes in normal form; a larger one is joined by hash.
-BROADCAST_TEXTS, BROADCAST_BYTES = 200_000, 16 << 20
+#: A benchmark that is broadcast has at most so many texts and bytes in normal form; a larger one is joined by hash. With it go twelve bytes a word, at most six times the texts (words of one letter).
+BROADCAST_TEXTS, BROADCAST_BYTES = 200_000, 8 << 20
 #: Rows of a quota table that are broadcast at most.
 BROADCAST_STRATA = 10_000
 
