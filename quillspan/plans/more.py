@@ -10,6 +10,7 @@ from quillspan.functions import text as T
 from quillspan.functions import vectors as V
 from quillspan.operators import audit as A
 from quillspan.operators import corpus as C
+from quillspan.operators import language as L
 from quillspan.operators import scorecard as S
 from quillspan.plans import views
 from quillspan.plans.queries import ORACLES, QUERIES, query, rounded  # noqa: F401
@@ -417,6 +418,39 @@ def overlay_fields(spark, d):
     return A.overlaid_fields(items, readers.fixes(spark, path), "id", ["question", "options"]).withColumn("options", F.array_join("options", "|"))
 
 
+# Languages by trigrams: fitted on four texts in five, scored on all.
+_LANGS = ["de", "en", "es", "fr"]
+_GRAMS = f"""lt AS (SELECT doc_id, lang, CASE WHEN l = '' THEN '' ELSE ' ' || l || ' ' END AS l FROM (SELECT doc_id, lang, trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{M}}]+', ' ', 'g'), ' ') AS l FROM documents)),
+gr AS MATERIALIZED (SELECT doc_id, lang, substr(l, i, 3) AS gram, count(*) AS k FROM (SELECT doc_id, lang, l, unnest(generate_series(1, length(l) - 2)) AS i FROM lt) GROUP BY ALL),
+dr AS (SELECT doc_id FROM documents WHERE doc_id % 5 <> 0 AND text IS NOT NULL QUALIFY row_number() OVER (PARTITION BY lang ORDER BY md5('0|' || doc_id), doc_id) <= {L.TEXTS}),
+cn AS (SELECT lang, gram, sum(k) AS n FROM gr WHERE doc_id IN (SELECT doc_id FROM dr) GROUP BY ALL),
+tp AS (SELECT DISTINCT gram FROM (SELECT gram FROM cn QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, gram) <= {L.TRIGRAMS})),
+tl AS (SELECT lang, sum(n) AS total FROM cn WHERE gram IN (SELECT gram FROM tp) GROUP BY lang),
+md AS MATERIALIZED (SELECT tp.gram, tl.lang, ln((coalesce(n, 0) + {L.SMOOTHING}::DOUBLE) / (total + {L.SMOOTHING}::DOUBLE * (SELECT count(*) FROM tp))) AS w FROM tp CROSS JOIN tl LEFT JOIN cn ON cn.gram = tp.gram AND cn.lang = tl.lang),
+sc AS (SELECT doc_id, md.lang, sum(k * w) AS s, sum(k) AS known FROM gr JOIN md USING (gram) GROUP BY ALL)"""
+
+
+def _language_scores(spark, d) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "lang", "text")
+    model = L.fitted(docs.where("doc_id % 5 <> 0"), "doc_id")
+    return L.scores(docs, "doc_id", model, _LANGS)
+
+
+@query(f"WITH {_GRAMS} SELECT lt.doc_id, coalesce(max(known), 0)::BIGINT AS known, " + ", ".join(f"round(coalesce(max(s) FILTER (sc.lang = '{k}'), 0), 4) AS {k}" for k in _LANGS) + """,
+  CASE WHEN any_value(l) = '' THEN 'none' WHEN max(known) IS NULL THEN 'other' ELSE arg_max(sc.lang, s) END AS detected FROM lt LEFT JOIN sc USING (doc_id) GROUP BY lt.doc_id""")
+def language_scores(spark, d):
+    """What each document's trigrams say for each language."""
+    return rounded(_language_scores(spark, d), 4)
+
+
+@query(f"""WITH {_GRAMS}, dt AS (SELECT doc_id, arg_max(lang, s) AS detected FROM sc GROUP BY doc_id)
+SELECT d.lang, count(*) AS n, count(*) FILTER (detected = d.lang) AS "right", round(count(*) FILTER (detected = d.lang)::DOUBLE / count(*), 6) AS share FROM documents d LEFT JOIN dt USING (doc_id) WHERE doc_id % 5 = 0 GROUP BY d.lang""")
+def language_held_out(spark, d):
+    """The share of texts, none of which the model has seen, whose language is told."""
+    held = table(spark, d, "documents").where("doc_id % 5 = 0")
+    return rounded(L.accuracy(_language_scores(spark, d), held, "doc_id"))
+
+
 # Checks.
 @query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'not reviewed' WHEN doc_id % 4 = 1 THEN 'differs' WHEN doc_id % 4 = 2 THEN 'no change' END AS problem FROM documents WHERE doc_id % 10 = 3 OR doc_id % 10 = 8 OR doc_id % 10 = 1 OR doc_id % 10 = 6")
 def reviewed_fixes(spark, d):
