@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.functions import stats, udfs
+from quillspan.functions import bytepair, stats, udfs
 from quillspan.functions import text as T
 from quillspan.functions import vectors as V
 from quillspan.operators import audit as A
@@ -394,6 +394,32 @@ def loss_labels(spark, d):
     return m.select("row_index", F.aggregate(labels, F.lit(0).cast("long"), lambda a, b: a + b).alias("total"), "n")
 
 
+_CHAT = "ch AS (SELECT row_index, array_to_string(list_transform(messages, lambda m: '<|im_start|>' || m.role || chr(10) || m.content || '<|im_end|>' || chr(10)), '') AS t FROM messages)"
+
+
+def _chat_tokens(spark, d) -> DataFrame:
+    import public_tokenizers
+
+    chats = views.messages(spark, d).select("row_index", T.rendered_chat("messages").alias("t"))
+    return chats.withColumn("tokens", bytepair.tokens(F.col("t"), public_tokenizers.path("byte_bpe_50k.json")))
+
+
+@query(f"""WITH {MESSAGES}, {_CHAT} SELECT row_index, length(t)::BIGINT AS covered, 0::BIGINT AS gaps,
+  CASE WHEN contains(t, '<|im_start|>assistant' || chr(10)) THEN length(string_split(string_split(t, '<|im_start|>assistant' || chr(10))[-1], '<|im_end|>')[1])::BIGINT + 10 ELSE 0 END AS loss_chars FROM ch""")
+def token_offsets(spark, d):
+    """Whole chats in tokens of a vocabulary: their places cover the text without a gap; the last assistant turn is what carries loss."""
+    rows = _chat_tokens(spark, d).withColumn("turn", bytepair.last_turn(F.col("t")))
+    gaps = F.aggregate("tokens", F.struct(F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("gaps")), lambda a, x: F.struct(x["end"].alias("at"), (a["gaps"] + F.when(x["start"] > a["at"], 1).otherwise(0)).alias("gaps")))
+    return rows.select("row_index", gaps["at"].alias("covered"), gaps["gaps"].alias("gaps"), F.coalesce(F.col("turn.end") - F.col("turn.start"), F.lit(0)).alias("loss_chars"))
+
+
+@query()
+def token_labels(spark, d):
+    """Labels of whole chats on tokens: how many tokens, how many carry loss, and a digest of all labels."""
+    rows = _chat_tokens(spark, d).withColumn("labels", bytepair.labels(F.col("tokens"), bytepair.last_turn(F.col("t"))))
+    return rows.select("row_index", F.size("tokens").cast("long").alias("n_tokens"), F.size(F.filter("labels", lambda x: x != -100)).cast("long").alias("n_loss"), F.md5(F.array_join(F.col("labels").cast("array<string>"), ",")).alias("digest"))
+
+
 @query("SELECT doc_id, CASE WHEN trim(coalesce(text, ''), E' \\n\\t') = '' THEN 'none' WHEN text LIKE '%the%' THEN 'en' ELSE 'other' END AS lang FROM documents")
 def detector_hook(spark, d):
     """A detector of one's own in place of the heuristic."""
