@@ -20,11 +20,11 @@ from quillspan.streaming import logs
 
 
 # Logs written by our own sink and read again.
-_LOG = """lg AS (SELECT doc_id AS id, lang, source AS gold, text AS content, 'run' || doc_id % 3 AS tag, doc_id % 50 AS prompt_tokens, n_chars // 4 AS completion_tokens FROM documents WHERE doc_id % 7 <> 0)"""
+_LOG = """lg AS (SELECT doc_id AS id, lang, source AS gold, text AS content, 'run' || doc_id % 3 AS tag, doc_id % 50 AS prompt_tokens, n_chars // 4 AS completion_tokens FROM documents)"""
 
 
 def _log(spark, d) -> DataFrame:
-    docs = table(spark, d, "documents").where("doc_id % 7 <> 0")
+    docs = table(spark, d, "documents")
     usage = F.when(F.col("doc_id") % 11 != 0, F.struct((F.col("doc_id") % 50).alias("prompt_tokens"), F.floor(F.col("n_chars") / 4).cast("long").alias("completion_tokens")))
     return docs.select(F.col("doc_id").alias("id"), "lang", F.col("source").alias("gold"), F.col("text").alias("content"), F.concat(F.lit("run"), (F.col("doc_id") % 3).cast("string")).alias("tag"), usage.alias("usage"))
 
@@ -124,11 +124,11 @@ def headed_blocks(spark, d):
     return got.select(F.regexp_replace("tag", "_", " ").alias("tag"), "id", F.col("value.name").alias("name"))
 
 
-@query("SELECT doc_id, lang, row_number() OVER (ORDER BY doc_id) AS id FROM documents WHERE doc_id % 3 = 1")
+@query("SELECT doc_id, lang, row_number() OVER (ORDER BY doc_id) AS id FROM documents")
 def hub_numbered(spark, d):
     """A local copy of a dataset, columns picked and renamed, ids by position."""
     path = views.scratch(spark, "hub")
-    table(spark, d, "documents").where("doc_id % 3 = 1").write.parquet(path)
+    table(spark, d, "documents").write.parquet(path)
     return readers.hub(spark, path, "doc_id", {"doc_id": "doc_id", "lang": "lang"})
 
 
@@ -313,11 +313,11 @@ def stratified_subset(spark, d):
     return C.chosen(docs, "category", "doc_id", 120, 7, docs.where("doc_id % 17 = 0").select("doc_id"))
 
 
-@query("SELECT doc_id, row_number() OVER (ORDER BY md5('42|' || doc_id), doc_id) AS position FROM documents QUALIFY position <= 100")
+@query("SELECT doc_id, row_number() OVER (ORDER BY md5('42|' || doc_id), doc_id) AS position FROM documents")
 def shuffled(spark, d):
-    """The first hundred of a seeded shuffle, with their places."""
-    first = C.shuffled(table(spark, d, "documents").select("doc_id"), 42, "doc_id").limit(100)
-    return C.positions(first.withColumn("_k", A.draw_order(42, "doc_id")[0]), [], ["_k", "doc_id"]).drop("_k")
+    """A seeded shuffle of all rows, with their places."""
+    rows = C.shuffled(table(spark, d, "documents").select("doc_id"), 42, "doc_id")
+    return C.positions(rows.withColumn("_k", A.draw_order(42, "doc_id")[0]), [], ["_k", "doc_id"]).drop("_k")
 
 
 @query("SELECT lang, count(*) AS n, row_number() OVER (ORDER BY (lang <> 'es')::INT, lang) AS position FROM documents GROUP BY lang")
@@ -347,9 +347,9 @@ def record_lines(spark, d):
     return docs.select("doc_id", T.present_json("id", "lang", "tokens").alias("line"))
 
 
-@query("SELECT ps_key, n FROM (SELECT l_orderkey || ':' || l_linenumber AS ps_key, count(*) AS n FROM lineitem WHERE l_orderkey % 50 = 1 GROUP BY 1)")
+@query("SELECT ps_key, n FROM (SELECT l_orderkey || ':' || l_linenumber AS ps_key, count(*) AS n FROM lineitem GROUP BY 1)")
 def composite_keys(spark, d):
-    rows = table(spark, d, "lineitem").where("l_orderkey % 50 = 1").select(T.composite_key("l_orderkey", "l_linenumber").alias("ps_key"))
+    rows = table(spark, d, "lineitem").select(T.composite_key("l_orderkey", "l_linenumber").alias("ps_key"))
     return rows.groupBy("ps_key").agg(F.count("*").alias("n"))
 
 
@@ -361,10 +361,10 @@ def signed_change(spark, d):
     return sums.join(mean, "source").select("source", "lang", stats.change_percent(F.col("a"), F.col("b")).alias("change"))
 
 
-@query("SELECT doc_id, CASE lang WHEN 'en' THEN 'Solve: ' WHEN 'es' THEN 'Resuelve: ' ELSE 'any: ' END || left(coalesce(text, ''), 20) AS prompt FROM documents")
+@query("SELECT doc_id, CASE lang WHEN 'en' THEN 'Solve: ' WHEN 'es' THEN 'Resuelve: ' ELSE 'any: ' END || coalesce(text, '') AS prompt FROM documents")
 def localised_prompt(spark, d):
     lead = T.localised("lang", {"en": "Solve: {question}", "es": "Resuelve: {question}"}, "any: {question}")
-    return table(spark, d, "documents").select("doc_id", F.replace(lead, F.lit("{question}"), F.substring(F.coalesce("text", F.lit("")), 1, 20)).alias("prompt"))
+    return table(spark, d, "documents").select("doc_id", F.replace(lead, F.lit("{question}"), F.coalesce("text", F.lit(""))).alias("prompt"))
 
 
 @query("SELECT doc_id, coalesce(length(text), 0)::BIGINT AS chars FROM documents")
@@ -478,10 +478,10 @@ def language_held_out(spark, d):
 
 
 # Checks.
-@query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'not reviewed' WHEN doc_id % 4 = 1 THEN 'differs' WHEN doc_id % 4 = 2 THEN 'no change' END AS problem FROM documents WHERE doc_id % 10 = 3 OR doc_id % 10 = 8 OR doc_id % 10 = 1 OR doc_id % 10 = 6")
+@query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'not reviewed' WHEN doc_id % 4 = 1 THEN 'differs' WHEN doc_id % 4 = 2 THEN 'no change' END AS problem FROM documents")
 def reviewed_fixes(spark, d):
     """Fixes beside the reviewed text."""
-    docs = table(spark, d, "documents").where("doc_id % 10 IN (1, 3, 6, 8)")
+    docs = table(spark, d, "documents")
     k = F.col("doc_id") % 4
     fixes = docs.select("doc_id", F.col("source").alias("original"), F.when(k == 2, F.col("source")).otherwise("new").alias("fixed"))
     shown = docs.where("doc_id % 4 > 0").select("doc_id", F.when(k == 1, F.concat("source", F.lit("?"))).otherwise(F.col("source")).alias("shown"))

@@ -350,9 +350,9 @@ def fixes_group(spark, d):
     return rounded(S.corrected_group(r.where("repeat > 1"), r.where("repeat = 1").groupBy("item").agg(F.max("value").alias("value")), "item", "value"))
 
 
-@query(f"WITH {REPEATS} SELECT item, list_sort(list(repeat)) = [1, 2, 3, 4, 5] AS complete FROM repeats WHERE condition = (SELECT min(event_type) FROM events) GROUP BY item")
+@query(f"WITH {REPEATS} SELECT item || ':' || condition AS item, list_sort(list(repeat)) = [1, 2, 3, 4, 5] AS complete FROM repeats GROUP BY ALL")
 def repeats_complete(spark, d):
-    return A.complete_repeats(views.repeats(spark, d).where(F.col("condition") == _base(spark, d)), "item", "repeat", 5)
+    return A.complete_repeats(views.repeats(spark, d).withColumn("item", F.concat_ws(":", F.col("item").cast("string"), "condition")), "item", "repeat", 5)
 
 
 @query(f"WITH {VECTORS} SELECT count(*) AS positions, count(*) FILTER (list_position(p, list_max(p)) = list_position(q, list_max(q))) AS agree, round(100.0 * count(*) FILTER (list_position(p, list_max(p)) = list_position(q, list_max(q))) / count(*), 6) AS top1_pct FROM vectors")

@@ -82,9 +82,10 @@ def published(path: str | Path, content: str) -> None:
     os.replace(part, path)
 
 
-def ids(df: DataFrame, key: str, path: str) -> None:
-    """One id a line, in order, in one file: a subset is a small table."""
-    df.select(F.col(key).cast("string")).orderBy(F.col(key).cast("long")).coalesce(1).write.mode("overwrite").text(path)
+def ids(df: DataFrame, key: str, path: str, one_file: bool = False) -> None:
+    """One id a line, in order, over the sorted parts of a folder; ``one_file`` for a subset that is small."""
+    rows = df.select(F.col(key).cast("long").alias("id")).orderBy("id").select(F.col("id").cast("string"))
+    (rows.coalesce(1) if one_file else rows).write.mode("overwrite").text(path)
 
 
 def done_if(df: DataFrame, expected: int, marker: str | Path) -> bool:
