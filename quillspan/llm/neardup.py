@@ -37,8 +37,8 @@ from quillspan.llm.words import distinct_shingles, split_words, texts, word_shin
 
 HALVES, ROWS = 12, 3
 THRESHOLD, SHINGLE_WORDS, STAR_ROUNDS = 80, 2, 3
-#: Shingles (eight bytes each) and ids of a block, about.
-BLOCK_SHINGLES, BLOCK = 1 << 18, 4096
+#: A block has about so many shingles at most (eight bytes each), and as many ids as four times the root of its star, within these bounds: so copies grow with the power 1.5 of a family.
+BLOCK_SHINGLES, BLOCK, MOST_BLOCK = 1 << 18, 256, 4096
 _FACTORS = np.random.Generator(np.random.PCG64(906)).integers(1, 2**63, 2 * HALVES * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LOWEST = -(1 << 63)
 
@@ -238,7 +238,7 @@ def _remaining(shared: DataFrame, mixed: DataFrame, labels: DataFrame, sizes: Da
     """Pairs of ids, of components that still share a bucket, whose sets are alike: x, y.
 
     Ids that have the same smallest bucket leader, or leader's leader and so on, form a star; stars are cut
-    into blocks of about ``BLOCK_SHINGLES`` shingles. An id probes the stars that hold an id
+    into blocks (``BLOCK``). An id probes the stars that hold an id
     of a component below its own in one of its buckets, there all blocks that
     hold such a component (buckets are met by star, since a family's members
     share dozens of them); it is then compared with all such ids of the block at
@@ -256,7 +256,8 @@ def _remaining(shared: DataFrame, mixed: DataFrame, labels: DataFrame, sizes: Da
         far = stars.select(F.col("id").alias("via"), F.col("star").alias("further"))
         stars = stars.join(far, F.col("star") == F.col("via"), "left").select("id", F.least("star", "further").alias("star"))
     stars = stars.join(labels.select("id", "component"), "id", "left").withColumn("component", F.coalesce("component", "id")).join(sizes, "id")
-    cut = F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK)).cast("long")
+    ids = F.least(F.lit(MOST_BLOCK), F.greatest(F.lit(BLOCK), 4 * F.sqrt(F.count("*"))))
+    cut = F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / ids)).cast("long")
     parts = stars.groupBy("star").agg(cut.alias("parts"))
     block = F.xxhash64("star", F.pmod(F.xxhash64("id"), F.col("parts"))).alias("block")
     home = written(stars.join(parts, "star").select("id", "component", "star", block), "home")

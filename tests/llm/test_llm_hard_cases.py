@@ -305,12 +305,12 @@ def test_neardup_blocks(spark, rounds, monkeypatch):
     monkeypatch.setattr(runtime, "BROADCAST_KEYS", (200_000, 0, 30)[rounds])
     rng = random.Random(rounds)
     rows = [(i, t) for i, t in enumerate([*family(rng, 70), *family(rng, 40, 30, 5), *(f"other {i} words {i * i}" for i in range(20))])]
-    old = neardup.BLOCK, neardup.STAR_ROUNDS
-    neardup.BLOCK, neardup.STAR_ROUNDS = 4, max(1, rounds)
+    old = neardup.MOST_BLOCK, neardup.STAR_ROUNDS
+    neardup.MOST_BLOCK, neardup.STAR_ROUNDS = 4, max(1, rounds)
     try:
         got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(clashing(spark, rows, 5)).collect())
     finally:
-        neardup.BLOCK, neardup.STAR_ROUNDS = old
+        neardup.MOST_BLOCK, neardup.STAR_ROUNDS = old
     assert got == sorted(brute(rows))
 
 
