@@ -572,6 +572,44 @@ def row_group_footers(spark, d):
     return rowgroups.footers(spark, _grouped_files(spark, d), ["doc_id"]).select("number", "row_group", "rows")
 
 
+@query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 6) AS total, len(embedding)::INT AS width FROM embeddings WHERE embedding IS NOT NULL")
+def number_files(spark, d):
+    """Vectors as files of 32-bit floats, their ids as files of integers; read back row by row, each file's rows in their order."""
+    rows = table(spark, d, "embeddings").where("embedding IS NOT NULL").repartition(4, "vec_id").sortWithinPartitions("vec_id")
+    paths = {kind: views.scratch(spark, f"numbers-{kind}") for kind in ("float", "int")}
+    sinks.number_files(rows, "embedding", paths["float"])
+    sinks.number_files(rows.select(F.array(F.col("vec_id").cast("int")).alias("one")), "one", paths["int"], "int")
+    stem = F.substring_index("file", ".", 1)
+    ids = readers.number_rows(spark, paths["int"], 1, "int").select(stem.alias("stem"), "position", F.col("values")[0].cast("long").alias("vec_id"))
+    values = readers.number_rows(spark, paths["float"], 64).select(stem.alias("stem"), "position", F.col("values").cast("array<double>").alias("v"))
+    total = F.aggregate("v", F.lit(0.0), lambda a, x: a + x)
+    return ids.join(values, ["stem", "position"]).select("vec_id", F.round(total, 6).alias("total"), F.size("v").alias("width"))
+
+
+@query("SELECT lang, count(*) AS n, count(*) FILTER (doc_id % 4 > 0) AS with_question, sum(length(text)) FILTER (doc_id % 4 > 0)::BIGINT AS chars FROM documents GROUP BY lang")
+def items_by_language(spark, d):
+    """Items of all languages from files named by language; rows without a question are passed over."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 4 > 0, F.col("text")).alias("question"), "lang")
+    path = views.scratch(spark, "items")
+    sinks.jsonl(docs, f"{path}/written", by="lang")
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(hadoop.Path(f"{path}/named"))
+    for n, f in enumerate(fs.globStatus(hadoop.Path(f"{path}/written/lang=*/part-*"))):
+        lang = f.getPath().getParent().getName()[5:]
+        fs.rename(f.getPath(), hadoop.Path(f"{path}/named/items{n}.{lang}.jsonl"))
+    got = readers.items(spark, f"{path}/named").groupBy("lang").agg(F.count("*").alias("with_question"), F.sum(F.length("question")).alias("chars"))
+    return docs.groupBy("lang").agg(F.count("*").alias("n")).join(got, "lang").select("lang", "n", "with_question", "chars")
+
+
+@query("SELECT lang, count(*) FILTER (length(coalesce(text, '')) % 3 = 0) AS n_correct, count(*) AS n FROM documents GROUP BY lang")
+def own_rule(spark, d):
+    """Correctness by a rule of one's own in place of the registered ones."""
+    rows = table(spark, d, "documents").select("lang", F.coalesce("text", F.lit("")).alias("content"), F.lit("3").alias("gold"))
+    scored = S.scored(rows, rule=lambda content, gold: F.length(content) % gold.cast("int") == 0)
+    return scored.groupBy("lang").agg(F.count_if("correct").alias("n_correct"), F.count("*").alias("n"))
+
+
 # Growing logs.
 @query("""SELECT lang, count(*) AS n, count(*) FILTER (doc_id % 3 = 0) AS n_correct, sum(n_chars + CASE WHEN doc_id % 2 = 1 AND doc_id % 5 <> 0 THEN 1000 ELSE 0 END)::BIGINT AS completion_tokens FROM documents GROUP BY lang""")
 def live_scorecard(spark, d):

@@ -88,6 +88,37 @@ def ids(df: DataFrame, key: str, path: str, one_file: bool = False) -> None:
     (rows.coalesce(1) if one_file else rows).write.mode("overwrite").text(path)
 
 
+def number_files(df: DataFrame, column: str, path: str, kind: str = "float") -> int:
+    """The numbers of an array column as little-endian 32-bit files (``float`` or ``int``), one a task, rows one after the other in the order they have there; how many rows. ``readers.number_rows`` reads them. A task writes beside its file and renames it, so one that is run again leaves the same."""
+    from collections.abc import Iterator
+
+    import numpy as np
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    from quillspan.session import ship
+    from quillspan.sources.answers import opened
+
+    ship(df.sparkSession)
+    form, end = {"float": ("<f4", "f32"), "int": ("<i4", "i32")}[kind]
+    hadoop = df.sparkSession._jvm.org.apache.hadoop.fs
+    hadoop.Path(path).getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).mkdirs(hadoop.Path(path))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        fs, folder = opened(path)
+        name, n = f"part-{task.partitionId():05d}.{end}", 0
+        part = f"{folder}/_{name}.{task.taskAttemptId()}"
+        with fs.open_output_stream(part) as f:
+            for b in batches:
+                n += len(b)
+                f.write(np.asarray(b.column(0).flatten().to_numpy(zero_copy_only=False), form).tobytes())
+        fs.move(part, f"{folder}/{name}") if n else fs.delete_file(part)
+        yield pa.RecordBatch.from_arrays([pa.array([n])], ["n"])
+
+    return df.select(column).mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+
+
 def done_if(df: DataFrame, expected: int, marker: str | Path) -> bool:
     """Write ``marker`` only if ``df`` has exactly the expected number of rows."""
     n = df.count()
