@@ -83,7 +83,7 @@ def with_candidates(docs: DataFrame) -> DataFrame:
 
 
 def ownership(candidates: DataFrame) -> DataFrame:
-    """Of each value (hash) its distinct owners and repositories, and whether a fixed pattern found it: hash, owners, repositories, known. ``candidates``: hash, base, owner, repository; a null owner or repository is one of its own; a repository belongs to its owner."""
+    """Of each value (hash) its distinct owners and repositories, and whether a row marks it as ``base``: hash, owners, repositories, known. ``candidates``: hash, base, owner, repository; a null owner or repository is one of its own; a repository belongs to its owner."""
     once = candidates.groupBy("hash", "owner", "repository").agg(F.max("base").alias("base"))
     by_owner = once.groupBy("hash", "owner").agg(F.count("*").alias("n"), F.max("base").alias("base"))
     return by_owner.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("n").alias("repositories"), F.max("base").alias("known"))
@@ -112,9 +112,10 @@ def found(docs: DataFrame, owner: str = "source", repository: str = "doc_id") ->
     rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "candidates", wide=True)
     some = rows.where(F.size("spans") > 0)
     each = some.select("row", "owner", "repository", F.explode("spans").alias("s"))
-    values = written(ownership(each.select(F.col("s.hash").alias("hash"), (F.col("s.place") < len(BASE)).alias("base"), "owner", "repository")), "values")
+    secret = (F.col("s.place") < len(BASE)) & F.col("s.random")  # found by a fixed pattern, and not a stand-in
+    values = written(ownership(each.select(F.col("s.hash").alias("hash"), secret.alias("base"), "owner", "repository")), "values")
     joined = each.select("row", "s.*").join(F.broadcast(values) if few(values, BROADCAST_VALUES) else values, "hash")
-    # a word that no fixed pattern finds anywhere must look random by itself; one that is known need not be of mixed case
+    # a word must look random by itself, or be what a fixed pattern finds somewhere and looks random there
     live = F.col("owners") < F.lit(2)
     stays = (F.col("place") < len(BASE)) | (live & (F.col("random") | F.col("known")))
     verdict = F.when(F.col("place") < len(BASE), _verdict(F.col("random"), F.col("owners"))).otherwise("live")
@@ -157,7 +158,7 @@ def _oracle() -> str:
     every = " UNION ALL ".join(places(i, k) for i, k in enumerate(KINDS))
     every = every.replace("SELECT doc_id, source, m[i] AS match, match AS value,", "SELECT doc_id, source, m[i] AS match, m[i] AS value,").replace("regexp_replace(match,", "regexp_replace(m[i],")
     return f"""WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents), c AS MATERIALIZED ({every}),
-v AS (SELECT value, count(DISTINCT coalesce(source, '<null>')) AS owners, bool_or(place < {len(BASE)}) AS known FROM c GROUP BY value),
+v AS (SELECT value, count(DISTINCT coalesce(source, '<null>')) AS owners, bool_or(place < {len(BASE)} AND random) AS known FROM c GROUP BY value),
 k AS (SELECT c.*, CASE WHEN place = {len(BASE)} THEN 'live' WHEN owners >= {EXAMPLE_OWNERS} THEN 'example' WHEN NOT random THEN 'plain' WHEN owners > 1 THEN 'shared' ELSE 'live' END AS verdict
   FROM c JOIN v USING (value) WHERE place < {len(BASE)} OR (owners < 2 AND (random OR known))),
 s AS (SELECT * FROM k WHERE place < {len(BASE)} OR NOT EXISTS (SELECT 1 FROM c b WHERE b.place < {len(BASE)} AND b.doc_id = k.doc_id AND b.start < k.stop AND k.start < b.stop)),

@@ -36,7 +36,7 @@ def plain_secrets(rows):
     for _, owner, text in rows:
         for c in candidates(text):
             owners[c[4]].add(owner)
-            if c[1] < 3:
+            if c[1] < 3 and not re.search(secrets._STAND_IN, c[4]) and len(c[4]) >= 8 and len(set(c[4])) >= 6:
                 known.add(c[4])
     out = []
     for i, _, text in rows:
@@ -67,7 +67,7 @@ SECRETS = [
     (5, "c", f"AKIAAKIA1 {KEY} AKIA{'Z' * 30} ſecret=abcdefgh toKen=abcdefgh"),
     (6, None, f"Tok3nLikeWord9876QwErTyZz {'0' * 24} {'f' * 23} {'a1' * 3000}"),
     (7, None, None), (8, "a", ""), (9, "d", "secret=changeme_please token = example1234567"), (None, "d", f"passwd='{HEX[:20]}'"),
-    (10, "e", f"token={HEX[::-1]}"), (10, "f", f"token={HEX[::-1]}"), (11, "g", f"x{HEX[::-1]}"), (12, "a", f'token = "{HEX}"'), (12, "a", f'token = "{HEX}"'),
+    (13, "h", "token=changeme0changeme0"), (14, "h", "a stand-in elsewhere: changeme0changeme0"), (10, "e", f"token={HEX[::-1]}"), (10, "f", f"token={HEX[::-1]}"), (11, "g", f"x{HEX[::-1]}"), (12, "a", f'token = "{HEX}"'), (12, "a", f'token = "{HEX}"'),
 ]
 
 
@@ -77,6 +77,7 @@ def test_secrets_beside_a_plain_version(spark):
     assert got.columns == ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_added", "verdicts"]
     assert sorted(map(tuple, got.collect()), key=str) == plain_secrets([(i, s or "<null>", t) for i, s, t in SECRETS])
     by = {r["doc_id"]: r for r in got.collect()}
+    assert by[14]["spans"] == "" and by[13]["verdicts"] == "plain"
     assert by[4]["n_added"] >= 1  # the bare value of another document's password
     assert by[3]["verdicts"].split(",")[1] == "example" and by[7]["spans"] == by[8]["spans"] == ""
 
