@@ -259,11 +259,19 @@ def originals_over_twice(originals: DataFrame, item: str, group: str, value: str
 
 
 def over_twice(repeats: DataFrame, item: str, group: str, value: str, base: str) -> DataFrame:
-    """Share of a group's repeats over twice their item's mean in ``base``, and the ratio of the sums of item means."""
-    means = repeats.groupBy(item, group).agg(F.avg(value).alias("m"))
-    ref = means.where(F.col(group) == base).select(item, F.col("m").alias("b"))
-    over = repeats.where(F.col(group) != base).join(ref, item).groupBy(group).agg(F.count("*").alias("n"), F.count_if(F.col(value) > 2 * F.col("b")).alias("n_over"))
-    sums = means.where(F.col(group) != base).join(ref, item).groupBy(group).agg(ratio(F.sum("m"), F.sum("b")).alias("mean_ratio"))
+    """Share of a group's repeats over twice their item's mean in ``base``, and the ratio of the sums of item means.
+
+    A repeat of exactly twice the mean is not over it. Sums of doubles depend on
+    the order of the rows, so measurements of up to eight decimals below 10^12
+    are added and compared as decimals; a mean of others is one of doubles.
+    """
+    exact = F.col(value).try_cast("decimal(20,8)")
+    same = F.coalesce(exact.cast("double") == F.col(value), F.col(value).isNull())
+    means = repeats.groupBy(item, group).agg(F.avg(value).alias("m"), F.sum(exact).alias("s"), F.count(value).cast("decimal(12,0)").alias("k"), F.min(same).alias("same"))
+    ref = means.where(F.col(group) == base).select(item, F.col("m").alias("b"), "s", "k", "same")
+    above = F.when(F.col("same") & same, exact * F.col("k") > 2 * F.col("s")).otherwise(F.col(value) > 2 * F.col("b"))
+    over = repeats.where(F.col(group) != base).join(ref, item).groupBy(group).agg(F.count("*").alias("n"), F.count_if(above).alias("n_over"))
+    sums = means.where(F.col(group) != base).join(ref.select(item, "b"), item).groupBy(group).agg(ratio(F.sum("m"), F.sum("b")).alias("mean_ratio"))
     return over.join(sums, group).select(group, "n", "n_over", ratio(F.col("n_over"), F.col("n")).alias("share_over"), "mean_ratio")
 
 
