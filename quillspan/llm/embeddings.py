@@ -1,25 +1,31 @@
 """Embedding near-dedup by lattice hashing.
 
-Unit vectors are projected to eight dimensions and decoded to points of the E8
-lattice, the densest packing there is in eight dimensions; every table has its
-own projection and offset, and a point is the key of its bucket. Each vector
-also probes lattice cells next to it, the neighbours of its point in the
-directions it leans to most. Two vectors meet where one's own cell is among the
-cells the other visits. Vectors of each length have projections of their own.
+Unit vectors are projected to sixteen dimensions and each half is decoded to a
+point of the E8 lattice, the densest packing there is in eight dimensions;
+every table has its own projection and offset, and a pair of points is the key
+of its bucket. Each vector also probes the lattice cell next to it in either
+half, the neighbour in the direction it leans to most. Two vectors meet where
+one's own cell is among the cells the other visits. Vectors of each length have
+projections of their own.
 
 Vectors that are equal component by component are one class. A bucket of up to
-``BLOCK`` classes is compared as it is; a pair that meets in several of them
-counts in the first table in which it meets. What meets in a larger bucket, a
-family of vectors that share many, is settled on ids first: each class has one
-home block, a part of the largest bucket it visits, and learns from its large
-buckets, once each, the blocks in which somebody meets it. Only then vectors
-move, one copy for each such block, and two blocks are compared once. What
-leaves a comparison is a count for each member and which members hang together,
-never all pairs. Cosines are in double precision.
+``BLOCK`` classes (or a small share of all, where these are many) is compared as
+it is; a pair that meets in several of them counts in the first table in which
+it meets. Buckets come in waves, slices of the key space, and what a wave moved
+is gone before the next one, so that disk holds each vector a few times however
+many cells it visits. What meets in a larger bucket, a family of vectors that
+share many, is settled on ids first: each class has one home block, a part of
+the largest bucket it visits, and learns from its large buckets, once each, the
+blocks in which somebody meets it. Only then vectors move, one copy for each
+such block, and two blocks are compared once. What leaves a comparison is a
+count for each member and which members hang together, never all pairs.
+Cosines are in single precision, and in double where that leaves a doubt.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,11 +35,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.llm.components import components
-from quillspan.llm.runtime import mapped, mix64, ship, written
-
-COSINE, TABLES, SCALE, PROBES = 0.95, 10, 0.4, 4
-#: Classes in a bucket that is compared as it is. Those in a home block are four times the root of the family within these bounds, so that copies grow with the power 1.5 of it.
-BLOCK, MOST_BLOCK = 256, 4096
+from quillspan.llm.runtime import keep_memory, mapped, mix64, narrowed, ship, written
+
+COSINE, TABLES, SCALE, PROBES = 0.95, 16, 0.75, 2
+#: Classes in a bucket that is compared as it is: so many, or this share of all classes up to ``MOST_BUCKET``. Those in a home block are four times the root of the family within ``BLOCK`` and ``MOST_BLOCK``, so that copies grow with the power 1.5 of it.
+BLOCK, BUCKET_SHARE, MOST_BUCKET, MOST_BLOCK = 256, 1 / 256, 32_768, 4096
+#: Bytes that a wave moves: so many, or what ``MOST_WAVES`` leave for each. A task compares a part of its buckets of about ``PART_BYTES`` at once.
+WAVE_BYTES, MOST_WAVES, PART_BYTES = 1 << 30, 48, 8 << 20
+#: Classes among which large buckets are looked for, at least; beyond it enough for 64 in each.
+SAMPLED = 1 << 16
+#: Single precision decides a cosine that is further from the threshold than this.
+DOUBT = 1e-4
 _LOWEST = -(1 << 63)
 
 
@@ -57,13 +69,13 @@ def nearest_e8(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def projections(dim: int, tables: int, seed: int = 8) -> tuple[np.ndarray, np.ndarray]:
-    """For each table eight orthonormal directions (as far as the dimension allows) and an offset."""
+    """For each table sixteen orthonormal directions (as far as the dimension allows) and an offset."""
     rng = np.random.Generator(np.random.PCG64(seed))
-    out = np.zeros((tables, dim, 8))
+    out = np.zeros((tables, dim, 16))
     for t in range(tables):
-        q, _ = np.linalg.qr(rng.normal(size=(dim, max(8, min(dim, 8)))) if dim >= 8 else rng.normal(size=(8, 8)))
-        out[t] = q[:dim, :8]
-    return out, rng.uniform(0, 2, (tables, 8))
+        q, _ = np.linalg.qr(rng.normal(size=(max(dim, 16), 16)))
+        out[t] = q[:dim]
+    return out, rng.uniform(0, 2, (tables, 16))
 
 
 def _minimal() -> np.ndarray:
@@ -84,6 +96,7 @@ def _minimal() -> np.ndarray:
 
 
 _NEIGHBOURS = _minimal()
+_DIRECTIONS = np.ascontiguousarray(_NEIGHBOURS.T, np.float32)
 
 
 def _cell_key(points: np.ndarray, table: int) -> np.ndarray:
@@ -94,20 +107,27 @@ def _cell_key(points: np.ndarray, table: int) -> np.ndarray:
 
 
 def cells(unit: np.ndarray, dim_scale: float, tables: int, probes: int) -> np.ndarray:
-    """Keys of the cells each vector visits: rows x tables x (1 + probes), the own cell first."""
+    """Cells each vector visits, as 32 bits that tell those of a table apart: rows x tables x (1 + probes), the own cell first, then one with a neighbour in the first half and one in the second."""
     proj, off = projections(unit.shape[1], tables)
-    out = np.zeros((len(unit), tables, 1 + probes), np.int64)
+    out = np.zeros((len(unit), tables, 1 + probes), np.uint32)
     for t in range(tables):
         x = unit @ proj[t] / dim_scale + off[t]
-        best, other = nearest_e8(x)
-        out[:, t, 0] = _cell_key(best, t)
-        lean = (2 * x - best) @ _NEIGHBOURS.T
-        order = np.argpartition(-lean, probes, axis=1)[:, :probes] if probes else np.zeros((len(unit), 0), np.int64)
-        for p in range(probes):
-            out[:, t, 1 + p] = _cell_key(best + _NEIGHBOURS[order[:, p]], t)
+        halves = []
+        for half in (x[:, :8], x[:, 8:]):
+            best, _ = nearest_e8(half)
+            lean = ((2 * half - best).astype(np.float32) @ _DIRECTIONS).argmax(1)
+            halves.append([_cell_key(p, t).view(np.uint64) for p in (best, best + _NEIGHBOURS[lean])])
+        (a, a_next), (b, b_next) = halves
+        for k, (first, second) in enumerate(((a, b), (a_next, b), (a, b_next))[: 1 + probes]):
+            out[:, t, k] = mix64(first * np.uint64(0x9E3779B97F4A7C15) + second) >> np.uint64(32)
     return out
 
 
+def _keys(seen: np.ndarray) -> np.ndarray:
+    """Keys of buckets, the table above the 32 bits of the cell, of rows x tables x visits."""
+    return seen.astype(np.int64) | np.arange(seen.shape[1], dtype=np.int64)[None, :, None] << 32
+
+
 def matrices(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each length of the batch's vectors: positions of those that can link, and these vectors in double precision."""
     n = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
@@ -118,32 +138,119 @@ def matrices(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield at[fine], flat[fine]
 
 
-def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each row with its components as bytes, null where the vector can link with nothing."""
-    for b in batches:
-        raw = [None] * len(b)
-        for at, v in matrices(b.column(1)):
-            for i, r in zip(at.tolist(), v + 0.0):
-                raw[i] = r.tobytes()
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(raw, pa.binary())], ["vec_id", "raw"])
+def _classes(kind, hashed: bool):
+    """Each row with its components as bytes of ``kind``, or a hash of these; null where the vector can link with nothing."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw = [None] * len(b)
+            for at, v in matrices(b.column(1)):
+                for i, r in zip(at.tolist(), (v + 0.0).astype(kind)):
+                    raw[i] = hashlib.blake2b(r.tobytes(), digest_size=16).digest() if hashed else r.tobytes()
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(raw, pa.binary())], ["vec_id", "hash" if hashed else "raw"])
+
+    return run
+
+
+def _vectors(raw: pa.Array, kind) -> np.ndarray:
+    return _units(np.frombuffer(b"".join(raw.to_pylist()), kind).reshape(len(raw), -1).astype(np.float64))
 
 
-def _vectors(raw: pa.Array) -> np.ndarray:
-    v = np.frombuffer(b"".join(raw.to_pylist()), np.float64).reshape(len(raw), -1)
+def _units(v: np.ndarray) -> np.ndarray:
     scaled = v / np.abs(v).max(1, keepdims=True)
-    return scaled / np.sqrt((scaled * scaled).sum(1, keepdims=True))
+    scaled /= np.sqrt(np.einsum("ij,ij->i", scaled, scaled))[:, None]
+    return scaled
 
 
-def _visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All cells of each class as bytes, and as a list for joins; its own cell of each table comes before the neighbours."""
-    for b in batches:
-        size = np.array([len(x) for x in b.column(1).to_pylist()])
-        for dim in np.unique(size):
-            part = b.take(pa.array(np.flatnonzero(size == dim)))
-            unit = _vectors(part.column(1))
-            seen = cells(unit, SCALE * np.sqrt(8 / unit.shape[1]), TABLES, PROBES).reshape(len(unit), -1)
-            edges = pa.array(np.arange(len(unit) + 1, dtype=np.int32) * seen.shape[1])
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array([r.tobytes() for r in seen], pa.binary()), pa.ListArray.from_arrays(edges, pa.array(seen.ravel()))], ["id", "raw", "copies", "cells", "keys"])
+def _visits(kind):
+    """Each class with all cells it visits as bytes, table by table, and the hash of its components."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            size = pc.binary_length(b.column(1)).to_numpy(zero_copy_only=False)
+            for dim in np.unique(size):
+                part = b.take(pa.array(np.flatnonzero(size == dim)))
+                unit = _vectors(part.column(1), kind)
+                seen = cells(unit, SCALE * np.sqrt(8 / unit.shape[1]), TABLES, PROBES).reshape(len(unit), -1)
+                hashes = [hashlib.blake2b(r, digest_size=16).digest() for r in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([r.tobytes() for r in seen], pa.binary()), pa.array(hashes, pa.binary())], ["id", "raw", "copies", "cells", "hash"])
+
+    return run
+
+
+def _seen(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(len(column), TABLES, 1 + PROBES)
+
+
+def _among(keys: np.ndarray, few: np.ndarray) -> np.ndarray:
+    """Whether keys are in a sorted array."""
+    if not len(few):
+        return np.zeros(keys.shape, bool)
+    return few[np.minimum(np.searchsorted(few, keys), len(few) - 1)] == keys
+
+
+def _listed(few: np.ndarray | None = None):
+    """Rows (id, cells) -> id, key, own for all visits; with ``few`` those to its keys only. A cell that one visits twice counts once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seen = _seen(b.column(1))
+            mine = np.ones(seen.shape, bool)
+            for k in range(1, 1 + PROBES):
+                mine[:, :, k] &= (seen[:, :, :k] != seen[:, :, k : k + 1]).all(2)
+            keys = _keys(seen)
+            if few is not None:
+                mine &= _among(keys, few)
+            row, _, visit = np.nonzero(mine)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(keys[mine]), pa.array(visit == 0)], ["id", "key", "own"])
+
+    return run
+
+
+def _marks(keys: np.ndarray, large: np.ndarray) -> np.ndarray:
+    """For rows of keys of buckets a bit for each table in which the own cell is among ``large``."""
+    return (_among(keys[:, :, 0], large) * _TABLE_BITS).sum(1)
+
+
+def _marked(large: np.ndarray):
+    """Rows (id, raw, copies, cells) with their marks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(_marks(_keys(_seen(b.column(3))), large))], ["id", "raw", "copies", "cells", "large"])
+
+    return run
+
+
+def _sent(kind, large: np.ndarray, wave: int, waves: int, parts: int):
+    """Rows (id, raw, copies, cells) -> one for each part of the buckets and length of vectors, with all visits of the wave to buckets that aren't large as arrays."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_memory()
+        for b in batches:
+            size = pc.binary_length(b.column(1)).to_numpy(zero_copy_only=False)
+            for dim in np.unique(size):
+                own = b if (size == dim).all() else b.take(pa.array(np.flatnonzero(size == dim)))
+                seen = _seen(own.column(3))
+                keys = _keys(seen)
+                mine = (seen % np.uint32(waves) == wave) & ~_among(keys, large)
+                for k in range(1, 1 + PROBES):
+                    mine[:, :, k] &= (seen[:, :, :k] != seen[:, :, k : k + 1]).all(2)
+                row, _, visit = np.nonzero(mine)
+                key = keys[mine]
+                part = (mix64(key.view(np.uint64)) % np.uint64(parts)).astype(np.int32)
+                order = np.argsort(part, kind="stable")
+                row, key, visit, part = row[order], key[order], visit[order], part[order]
+                head = np.zeros(len(row), _HEAD)
+                head["key"], head["own"], head["large"] = key, visit == 0, _marks(keys, large)[row]
+                head["id"], head["copies"] = (own.column(i).to_numpy()[row] for i in (0, 2))
+                raw, cell = np.frombuffer(b"".join(own.column(1).to_pylist()), kind).reshape(len(own), -1), seen.reshape(len(own), -1)
+                new = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else []
+                blobs = [(part[s], dim, head[s:e].tobytes(), raw[row[s:e]].tobytes(), cell[row[s:e]].tobytes()) for s, e in zip(new, np.append(new[1:], len(part)).astype(int))]
+                if blobs:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*blobs), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["part", "size", "head", "raw", "cells"])
+
+    return run
 
 
 def _meetings(a: np.ndarray, b: np.ndarray, in_a: np.ndarray, in_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -157,7 +264,7 @@ def _meetings(a: np.ndarray, b: np.ndarray, in_a: np.ndarray, in_b: np.ndarray)
     to_a, to_b = (a[:, :, :1] == b).any(2), (b[:, :, :1] == a).any(2)
     t = (to_a | to_b).argmax(1)
     row = np.arange(len(a))
-    return (to_a & in_a | to_b & in_b).any(1), np.where(to_a[row, t], a[row, t, 0], b[row, t, 0])
+    return (to_a & in_a | to_b & in_b).any(1), np.where(to_a[row, t], a[row, t, 0], b[row, t, 0]).astype(np.int64) | t << 32
 
 
 def joined(n: int, p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -173,76 +280,146 @@ def joined(n: int, p: np.ndarray, q: np.ndarray) -> np.ndarray:
             return label
 
 
-def _compared(left: np.ndarray, right: np.ndarray, unit: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of linked pairs, one of ``left`` and one of ``right`` each; each pair once where both are the same."""
-    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-    same = left is right
-    for at in range(0, len(left), 256):
-        i, j = np.nonzero(unit[left[at : at + 256]] @ unit[right].T >= cosine)
-        i = i + at
-        if same:
-            i, j = i[i < j], j[i < j]
-        found.append((left[i], right[j]))
-    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+_HEAD = np.dtype([("key", np.int64), ("id", np.int64), ("copies", np.int64), ("large", np.int32), ("own", bool)])
+#: Buckets of up to so many members are compared all at once, neighbours in their order at growing distance.
+_TINY = 16
+_TABLE_BITS = np.int64(1) << np.arange(TABLES)
 
 
-_TABLE_BITS = np.int64(1) << np.arange(TABLES)
+def _near(single: np.ndarray, least: float, new: np.ndarray, sides: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Positions and cosines of pairs of ``least`` at least within groups that begin at ``new``; one is of ``sides[0]``, the other of ``sides[1]``, and each pair comes once."""
+    left, right = sides
+    end = np.append(new[1:], len(single))
+    last, many = np.repeat(end, end - new), np.repeat(end - new, end - new)
+    every = np.flatnonzero((many <= _TINY) & (many > 1))
+    for k in range(1, _TINY):
+        every = every[every + k < last[every]]
+        if not len(every):
+            break
+        i = every[left[every] & right[every + k] | right[every] & left[every + k]]
+        for at in range(0, len(i), 2048):
+            p = i[at : at + 2048]
+            cosine = np.einsum("ij,ij->i", single[p], single[p + k])
+            hit = cosine >= least
+            yield p[hit], p[hit] + k, cosine[hit]
+    for g in np.flatnonzero(end - new > _TINY).tolist():
+        s, e = int(new[g]), int(end[g])
+        a, b = s + np.flatnonzero(left[s:e]), s + np.flatnonzero(right[s:e])
+        other = single[b].T
+        step = max(16, (1 << 18) // max(1, len(b)))
+        for at in range(0, len(a), step):
+            cosine = single[a[at : at + step]] @ other
+            i, j = np.divmod(np.flatnonzero(cosine >= least), len(b))
+            p, q = a[at + i], b[j]
+            once = (p < q) | ~(left[q] & right[p]) & (p != q)
+            yield p[once], q[once], cosine[i[once], j[once]]
+
+
+def _counted(raw: np.ndarray, group: list[np.ndarray], sides: list[np.ndarray], ids: np.ndarray, copies: np.ndarray, marks: np.ndarray, seen: np.ndarray, cosine: float, large: bool) -> Iterator[pa.RecordBatch]:
+    """Counts and links among rows of vectors of one length, which stand in order of their groups.
+
+    ``large``: groups are of two home blocks and only pairs that meet in a large
+    bucket count; else they are of buckets and the others do, once.
+    """
+    n, lo = len(ids), group[0]
+    new = np.flatnonzero(np.append(True, np.any([g[1:] != g[:-1] for g in group], axis=0)))
+    if len(new) == n:
+        return
+    single = _units(raw).astype(np.float32, copy=False)
+    links, edges = np.zeros(n, np.int64), [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+
+    def count(i: np.ndarray, j: np.ndarray, near: np.ndarray) -> None:
+        doubt = np.flatnonzero(near < cosine + DOUBT)
+        if len(doubt):
+            a, b = (_units(raw[x[doubt]].astype(np.float64)) for x in (i, j))
+            real = np.ones(len(i), bool)
+            real[doubt] = np.einsum("ij,ij->i", a, b) >= cosine
+            i, j = i[real], j[real]
+        i, j = np.where(ids[i] < ids[j], i, j), np.where(ids[i] < ids[j], j, i)
+        inside = [(marks[x][:, None] & _TABLE_BITS) > 0 for x in (i, j)]
+        among, key = _meetings(seen[i], seen[j], *inside)
+        counts = among if large else ~among & (key == lo[i])
+        i, j = i[counts], j[counts]
+        if len(i):
+            np.add.at(links, i, copies[j])
+            np.add.at(links, j, copies[i])
+            met, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+            label = joined(len(met), at[: len(i)], at[len(i) :])
+            child = np.flatnonzero(label != np.arange(len(met)))
+            edges.append((met[child], met[label[child]]))
+
+    held, size = [], 0
+    for found in _near(single, cosine - DOUBT, new, sides):
+        held.append(found)
+        size += len(found[0])
+        if size >= 4096:
+            whole = [np.concatenate(x) for x in zip(*held)]
+            held, size = [], 0
+            for k in range(0, len(whole[0]), 8192):
+                count(*(x[k : k + 8192] for x in whole))
+    if size:
+        count(*(np.concatenate(x) for x in zip(*held)))
+    label = joined(n, *(np.concatenate(x) for x in zip(*edges)))
+    some, child = np.flatnonzero(links), np.flatnonzero(label != np.arange(n))
+    if len(some):
+        other = np.concatenate([np.full(len(some), _LOWEST), ids[label[child]]])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([ids[some], ids[child]])), pa.array(np.concatenate([links[some], np.zeros(len(child), np.int64)])), pa.array(other, mask=np.arange(len(other)) < len(some))], ["id", "links", "other"])
+
+
+def _by_key(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.Table]:
+    """Rows that are in order of ``names`` in tables that split no group."""
+    held: list[pa.Table] = []
+    for b in batches:
+        rows = pa.Table.from_batches([b])
+        keys = [rows[c].to_numpy() for c in names]
+        other = np.flatnonzero(np.any([k != k[-1] for k in keys], axis=0))
+        at = int(other[-1]) + 1 if len(other) else 0
+        if held and (at or any(held[-1][c][-1].as_py() != k[0] for c, k in zip(names, keys))):
+            yield pa.concat_tables([*held, rows.slice(0, at)])
+            held = []
+        elif at:
+            yield rows.slice(0, at)
+        held.append(rows.slice(at))
+    if held:
+        yield pa.concat_tables(held)
+
+
+def _bucket_links(cosine: float, kind):
+    """Rows of ``_sent`` in order of part and size -> counts of links (id, links), and links that join what hangs together (id, other)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_memory()
+        for rows in _by_key(batches, ["part", "size"]):
+            keys = np.stack([rows[c].to_numpy() for c in ("part", "size")])
+            new = np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(0)))
+            for s, e in zip(new.tolist(), [*new[1:].tolist(), len(rows)]):
+                head, raw, seen = (np.frombuffer(b"".join(rows[c].slice(s, e - s).to_pylist()), t) for c, t in (("head", _HEAD), ("raw", kind), ("cells", np.uint32)))
+                order = np.argsort(head["key"], kind="stable")
+                lo = head["key"][order]
+                meet = np.zeros(len(lo), bool)
+                meet[1:] = lo[1:] == lo[:-1]
+                meet[:-1] |= meet[1:]
+                order = order[meet]
+                if len(order):
+                    head, raw, seen = head[order], raw.reshape(len(meet), -1)[order], seen.reshape(len(meet), TABLES, -1)[order]
+                    yield from _counted(raw, [head["key"]], [head["own"], np.ones(len(head), bool)], head["id"], head["copies"], head["large"], seen, cosine, False)
 
+    return run
 
-def _links(cosine: float, large: bool):
-    """Rows (lo, hi, first, id, raw, copies, cells, large) in order of (lo, hi) -> counts of links (id, links), and links that join what hangs together (id, other).
 
-    ``large``: rows are of two home blocks and only pairs that meet in a large
-    bucket count; else they are of the bucket ``lo`` and the others do, once.
-    """
-    names = ["id", "links", "other"]
-
-    def settle(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        lo, hi, first, ids, copies, own = (rows[c].to_numpy() for c in ("lo", "hi", "first", "id", "copies", "large"))
-        raw, seen = rows["raw"].combine_chunks(), np.frombuffer(b"".join(rows["cells"].to_pylist()), np.int64).reshape(len(ids), TABLES, 1 + PROBES)
-        size = np.array([len(x) for x in raw.to_pylist()])
-        inside = (own[:, None] & _TABLE_BITS) > 0
-        new = np.flatnonzero(np.append(True, (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])))
-        out: list[list[np.ndarray]] = [[], [], []]
-        for s, e in zip(new.tolist(), np.append(new[1:], len(lo)).tolist()):
-            for dim in np.unique(size[s:e]):
-                of = s + np.flatnonzero(size[s:e] == dim)
-                unit, every = _vectors(raw.take(pa.array(of))), np.arange(len(of))
-                left, right = (every, every) if lo[s] == hi[s] else (np.flatnonzero(first[of]), np.flatnonzero(~first[of]))
-                p, q = _compared(left, right, unit, cosine)
-                p, q = np.where(ids[of][p] < ids[of][q], p, q), np.where(ids[of][p] < ids[of][q], q, p)
-                counts = [np.zeros(0, bool)]
-                for k in range(0, len(p), 4096):
-                    i, j = of[p[k : k + 4096]], of[q[k : k + 4096]]
-                    among, key = _meetings(seen[i], seen[j], inside[i], inside[j])
-                    counts.append(among if large else ~among & (key == lo[s]))
-                counts = np.concatenate(counts)
-                p, q = p[counts], q[counts]
-                links = np.bincount(p, copies[of][q], len(of)) + np.bincount(q, copies[of][p], len(of))
-                label = joined(len(of), p, q)
-                some, child = np.flatnonzero(links), np.flatnonzero(label != every)
-                out[0] += [ids[of][some], ids[of][child]]
-                out[1] += [links[some].astype(np.int64), np.zeros(len(child), np.int64)]
-                out[2] += [np.full(len(some), _LOWEST), ids[of][label[child]]]
-        if out[0]:
-            i, n, other = (np.concatenate(c) for c in out)
-            none = np.concatenate([np.full(len(x), k % 2 == 0) for k, x in enumerate(out[2])])
-            yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(n), pa.array(other, mask=none)], names)
+def _block_links(cosine: float, kind):
+    """The same from rows (lo, hi, first, id, raw, copies, cells, large) of two home blocks each, in order of these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for b in batches:
-            rows = pa.Table.from_batches([b])
-            if held is not None:
-                rows = pa.concat_tables([held, rows])
-            lo, hi = rows["lo"].to_numpy(), rows["hi"].to_numpy()
-            other = np.flatnonzero((lo != lo[-1]) | (hi != hi[-1]))
-            cut = int(other[-1]) + 1 if len(other) else 0
-            if cut:
-                yield from settle(rows.slice(0, cut))
-            held = rows.slice(cut)
-        if held is not None and len(held):
-            yield from settle(held)
+        keep_memory()
+        for rows in _by_key(batches, ["lo", "hi"]):
+            size = pc.binary_length(rows["raw"]).to_numpy()
+            for dim in np.unique(size):
+                of = rows.filter(pa.array(size == dim))
+                lo, hi, ids, copies, marks = (of[c].to_numpy() for c in ("lo", "hi", "id", "copies", "large"))
+                first, same = of["first"].to_numpy(), lo == hi
+                raw = np.frombuffer(b"".join(of["raw"].to_pylist()), kind).reshape(len(of), -1)
+                yield from _counted(raw, [lo, hi], [first | same, ~first | same], ids, copies, marks, _seen(of["cells"]), cosine, True)
 
     return run
 
@@ -261,6 +438,13 @@ def _home_blocks(hits: DataFrame) -> DataFrame:
     return met.select("id", F.least("home", "with").alias("lo"), F.greatest("home", "with").alias("hi"), (F.col("home") < F.col("with")).alias("first"))
 
 
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
+
+
 def linked(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """One row per row of ``vectors`` (vec_id, embedding): vec_id, n_links, component_id, kept.
 
@@ -270,30 +454,45 @@ def linked(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     in the result. Other columns are not read; an empty table gives an empty
     result.
     """
-    ship(vectors.sparkSession)
-    rows = vectors.select(F.coalesce(F.col("vec_id").cast("long"), F.lit(_LOWEST)).alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    each = written(rows.transform(mapped(_classes, "vec_id long, raw binary")), "vectors", wide=True)
-    classes = each.where("raw IS NOT NULL").groupBy("raw").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")).select("id", "raw", "copies")
-    seen = written(classes.transform(mapped(_visits, "id long, raw binary, copies long, cells binary, keys array<long>")), "cells", wide=True)
-    visits = seen.select("id", F.posexplode("keys").alias("slot", "key")).select("id", "key", F.floor(F.col("slot") / (1 + PROBES)).cast("int").alias("t"), (F.col("slot") % (1 + PROBES) == 0).alias("own"))
-    busy = visits.groupBy("key").agg(F.count("*").alias("members"), F.max("own").alias("any")).where("members > 1 AND any")
+    spark = vectors.sparkSession
+    ship(spark)
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")  # what a wave shuffled goes when it is written
+    given = dict(vectors.dtypes)["embedding"]
+    single = given == "array<float>"
+    kind = np.float32 if single else np.float64
+    rows = vectors.select(F.coalesce(F.col("vec_id").cast("long"), F.lit(_LOWEST)).alias("vec_id"), F.col("embedding").cast(given if single else "array<double>").alias("embedding"))
+    each = written(rows.transform(mapped(_classes(kind, True), "vec_id long, hash binary")), "hashes", wide=True)
+    classes = rows.transform(mapped(_classes(kind, False), "vec_id long, raw binary")).where("raw IS NOT NULL").groupBy("raw").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")).select("id", "raw", "copies")
+    seen = written(classes.transform(mapped(_visits(kind), "id long, raw binary, copies long, cells binary, hash binary")), "cells", wide=True)
+    many, size = seen.agg(F.count("*"), F.sum(F.octet_length("raw") + F.octet_length("cells") + 60)).first()
+    waves = min(MOST_WAVES, max(1, math.ceil(TABLES * (1 + PROBES) * (size or 0) / WAVE_BYTES)))
+    most = max(BLOCK, min(MOST_BUCKET, int(many * BUCKET_SHARE)))
+    narrow, moved = seen.select("id", "cells"), seen.select("id", "raw", "copies", "cells")
+    # which buckets are large only decides how they are compared, so of many classes a sample tells them
+    rate = min(1.0, max(SAMPLED, 64 * many / most) / max(1, many))
+    some = narrow.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(rate * (1 << 30)))
+    visits = some.transform(mapped(_listed(), "id long, key long, own boolean"))
+    busy = visits.groupBy("key").agg(F.count("*").alias("members"), F.max("own").alias("any")).where((F.col("members") > most * rate) & F.col("any"))
     busy = written(busy.select("key", "members"), "busy")
-    hits = written(visits.join(busy.where(F.col("members") > BLOCK), "key"), "large")
-    bits = hits.where("own").groupBy("id").agg(F.bit_or(F.get(F.lit(_TABLE_BITS.tolist()).cast("array<long>"), F.col("t"))).alias("large"))
-    moved = seen.select("id", "raw", "copies", "cells").join(bits, "id", "left").withColumn("large", F.coalesce("large", F.lit(0).cast("long")))
-    columns = ["lo", "hi", "first", "id", "raw", "copies", "cells", "large"]
-    small = visits.join(busy.where(F.col("members") <= BLOCK).select("key"), "key").select("id", F.col("key").alias("lo"), F.col("key").alias("hi"), F.lit(True).alias("first"))
-    found = []
-    for large, where in ((False, small), (True, _home_blocks(hits))):
-        dealt = where.join(moved, "id").select(*columns).repartition("lo", "hi").sortWithinPartitions("lo", "hi")
-        found.append(written(dealt.transform(mapped(_links(cosine, large), "id long, links long, other long")), "links", heavy=True))
-    found = found[0].unionByName(found[1])
+    keys = np.sort(busy.select("key").toArrow()["key"].to_numpy())  # a few for each share of the classes that makes a bucket large
+    found, parts = [], max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(TABLES * (1 + PROBES) * (size or 0) / waves / PART_BYTES))
+    for wave in range(waves):
+        sent = moved.transform(mapped(_sent(kind, keys, wave, waves, parts), "part int, size int, head binary, raw binary, cells binary"))
+        dealt = sent.repartition("part").sortWithinPartitions("part", "size")
+        found.append(written(dealt.transform(mapped(_bucket_links(cosine, kind), "id long, links long, other long")), "links", heavy=True))
+    if len(keys):
+        hits = narrow.transform(mapped(_listed(keys), "id long, key long, own boolean")).join(F.broadcast(busy), "key")
+        hits = written(hits, "large")
+        marked = narrowed(moved, "id", hits.select("id")).transform(mapped(_marked(keys), "id long, raw binary, copies long, cells binary, large long"))
+        dealt = _home_blocks(hits).join(marked, "id").select("lo", "hi", "first", "id", "raw", "copies", "cells", "large").repartition("lo", "hi").sortWithinPartitions("lo", "hi")
+        found.append(written(dealt.transform(mapped(_block_links(cosine, kind), "id long, links long, other long")), "links", heavy=True))
+    found = _union(found)
     groups = components(found.where("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b")))
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
-    whole = seen.select("id", "raw", "copies").join(counts, "id", "left").join(groups, "id", "left")
-    info = whole.select("raw", F.col("copies"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "id").alias("component"))
+    whole = seen.select("id", "hash", "copies").join(counts, "id", "left").join(groups, "id", "left")
+    info = whole.select("hash", F.col("copies"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "id").alias("component"))
     shown = lambda c: F.when(c != _LOWEST, c)
-    out = each.join(info, "raw", "left")
+    out = each.join(info, "hash", "left")
     component = F.coalesce("component", "vec_id")
     return out.select(shown(F.col("vec_id")).alias("vec_id"), F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).cast("long").alias("n_links"), shown(component).alias("component_id"), (F.col("vec_id") == component).alias("kept"))
 

@@ -4,11 +4,13 @@ import hashlib
 import random
 import re
 from collections import defaultdict
+from pathlib import Path
 
 import corpus_pipeline as P
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -395,3 +397,32 @@ def test_pipeline_by_brute_force(spark, tmp_path, corpus):
 
 def test_sanitised_texts_have_no_sha_left(spark):
     assert hashlib.sha256(b"").hexdigest() == pii.detected(spark.createDataFrame([(1, None)], "doc_id long, text string")).first()["base_sha256"]
+
+
+# 7
+def test_embeddings_disk(spark, tmp_path):
+    """All that a run writes stays below three times the vectors; waves and a sample for large buckets change no link."""
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(12_000, 64)).astype(np.float32)
+    base[6000:] = base[:6000] + rng.normal(size=(6000, 64)).astype(np.float32) * 0.15
+    pq.write_table(pa.table({"vec_id": np.arange(len(base)), "embedding": pa.array(list(base), pa.list_(pa.float32()))}), tmp_path / "e.parquet")
+    rows = spark.read.parquet(str(tmp_path / "e.parquet"))
+    sent, whole, old = [], embeddings.written, (embeddings.WAVE_BYTES, embeddings.SAMPLED, embeddings.MOST_WAVES)
+
+    def wrote(df, name, **how):
+        out = whole(df, name, **how)
+        sent.append((name, sum(p.stat().st_size for p in Path(out._quillspan_path.removeprefix("file:")).rglob("*.parquet"))))
+        return out
+
+    got = []
+    embeddings.written = wrote
+    try:
+        for embeddings.WAVE_BYTES, embeddings.SAMPLED, embeddings.MOST_WAVES in ((1 << 40, 1 << 16, 48), (1 << 22, 100, 5)):
+            sent.clear()
+            got.append(sorted(map(tuple, embeddings.linked(rows).collect())))
+            assert sum(n for _, n in sent) < 3 * base.nbytes
+    finally:
+        embeddings.written, (embeddings.WAVE_BYTES, embeddings.SAMPLED, embeddings.MOST_WAVES) = whole, old
+    assert got[0] == got[1] and sum(name == "links" for name, _ in sent) >= 5
+    unit = base / np.linalg.norm(base, axis=1)[:, None]
+    assert sum(r[1] for r in got[0]) == 2 * sum(((unit[i : i + 500] @ unit[: i + 500].T >= 0.95) & (np.arange(i + 500)[None, :] < np.arange(i, i + 500)[:, None])).sum() for i in range(0, 12_000, 500)) > 9000
