@@ -62,9 +62,9 @@ def _bound(value: Column, body) -> Column:
 
 
 def mcnemar(b: Column, c: Column) -> Column:
-    """Two-sided exact McNemar test of discordant counts; 1 where both are 0, null where one is null. Time and memory grow with the root of the counts."""
+    """Two-sided exact McNemar test of discordant counts; 1 where they differ by at most one (half of the coins' outcomes), a power of two where one is 0, null where one is null. Time and memory grow with the root of the counts."""
     n, k = (b + c).cast("double"), F.least(b, c).cast("double")
-    return F.when(n.isNull(), None).when(2 * k >= n, 1.0).otherwise(F.least(F.lit(1.0), 2 * _half_tail(n, k)))
+    return F.when(n.isNull(), None).when(F.abs(b - c) <= 1, 1.0).when(k == 0, F.pow(F.lit(2.0), 1 - n)).otherwise(F.least(F.lit(1.0), 2 * _half_tail(n, k)))
 
 
 def change_percent(a: Column, b: Column) -> Column:

@@ -146,3 +146,12 @@ def test_mcnemar_at_any_size(spark):
     p = [r[0] for r in far.select(stats.mcnemar(F.col("b"), F.col("c"))).collect()]
     assert p[0] == 1.0 and p[4] == 0.0 and all(abs(x - math.erfc(z / math.sqrt(2))) < 1e-4 * x + 1e-4 for x, z in zip(p[1:4], (0.5, 2, 5)))
     assert one(spark, lambda v: stats.mcnemar(v, v), None, "long") is None
+
+
+def test_mcnemar_is_exact_where_it_is_simple(spark):
+    """One more on one side is half of the outcomes, none on one side a power of two; to the last bit."""
+    halves, bare = [(k, k + 1) for k in (0, 1, 2, 5, 10, 31, 100, 1234, 10**6)], [(0, n) for n in (2, 3, 9, 17, 60, 500, 1074)]
+    df = spark.createDataFrame([(i, b, c) for i, (b, c) in enumerate([*halves, *bare])], "i int, b long, c long")
+    for p in (stats.mcnemar(F.col("b"), F.col("c")), stats.mcnemar(F.col("c"), F.col("b"))):
+        got = [r["p"] for r in df.select("i", p.alias("p")).orderBy("i").collect()]
+        assert got == [1.0] * len(halves) + [2.0 ** (1 - n) for _, n in bare]
