@@ -21,7 +21,8 @@ sample doesn't depend on its neighbours, the partitioning or a retry.
 
 No piece goes beyond a word with the spaces before it, so each distinct word
 gets its lattice once, kept for the texts that follow in a store of bounded
-size, and all words advance together.
+size, and all words advance together. What follows a node depends on the rest of
+its word alone, so words that end alike share the nodes of their common end.
 """
 
 from __future__ import annotations
@@ -39,8 +40,12 @@ from quillspan.llm.runtime import keep_memory, mapped, mix64, ship
 from quillspan.llm.words import _BYTE, _R, byte_hashes, powers, texts
 
 SAMPLES, TEMPERATURE, SLICE_BYTES = 2, 1.0, 180_000
-#: Edges of lattices that a process keeps (about 30 bytes each); beyond it the store starts anew.
+#: Edges of lattices that a process keeps (32 bytes each, and 24 a node); beyond it the store starts anew.
 MOST_EDGES = 1_000_000
+#: Ends of words up to so many bytes share their nodes; of longer ones only whole words do, so hashing stays linear in a word's length.
+SHARED_BYTES = 24
+#: An edge's fields lie side by side: a draw touches one line of memory.
+_EDGE = np.dtype([("cum", np.float64), ("log_q", np.float64), ("source", np.int32), ("size", np.int32), ("id", np.int32), ("target", np.int32)])
 _BITS = 20
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -99,6 +104,7 @@ class Vocabulary:
         self.size = np.array([len(b) for b in self.bytes])
         self.start = np.concatenate([[0], np.cumsum(self.size)])
         self.flat = np.frombuffer(b"".join(self.bytes), np.uint8)
+        self.spelling = pa.array(self.bytes, pa.binary())
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which of the hashes are pieces, and the pieces' places."""
@@ -142,121 +148,172 @@ class Grown:
     def __init__(self, dtype):
         self.whole, self.n = np.empty(1 << 12, dtype), 0
 
-    def add(self, x: np.ndarray) -> None:
-        if self.n + len(x) > len(self.whole):
-            old, self.whole = self.whole, np.empty(max(2 * len(self.whole), self.n + len(x)), self.whole.dtype)
+    def room(self, n: int) -> np.ndarray:
+        """``n`` more at the end, to be filled."""
+        if self.n + n > len(self.whole):
+            old, self.whole = self.whole, np.empty(max(2 * len(self.whole), self.n + n), self.whole.dtype)
             self.whole[: self.n] = old[: self.n]
-        self.whole[self.n : self.n + len(x)] = x
-        self.n += len(x)
+        self.n += n
+        return self.whole[self.n - n : self.n]
 
     @property
     def now(self) -> np.ndarray:
         return self.whole[: self.n]
 
 
+def alike(h: np.ndarray) -> np.ndarray:
+    """For each hash the place of one that is equal to it, the same for all that are equal: each round the hashes that hold a slot of a table are settled."""
+    out, open_, factor = np.empty(len(h), np.int64), np.arange(len(h)), int(_GOLD)
+    while len(open_):
+        own, bits = h[open_], (4 * len(open_)).bit_length()
+        slots = (own * np.uint64(factor) >> np.uint64(64 - bits)).astype(np.int64)
+        table = np.zeros(1 << bits, np.int64)
+        table[slots] = open_
+        holder = table[slots]
+        same = h[holder] == own
+        out[open_[same]] = holder[same]
+        open_, factor = open_[~same], factor * 0xD1342543DE82EF95 + 2 & (1 << 64) - 1 | 1
+    return out
+
+
 class Lattices:
-    """Lattices of distinct words, kept by the hash of the word. An edge of a node leads to another node, or to -1 at the word's end."""
+    """Lattices of distinct words, their nodes kept by the hash of what is left of the word. An edge of a node leads to another node, or to node 0 at the word's end.
+
+    A node is found at the slot that its hash gives or at that one's neighbour.
+    One whose slots others have taken is learned again when it is met, which
+    changes no result.
+    """
 
     def __init__(self, v: Vocabulary):
         self.v = v
-        self._first, self._edges = Grown(np.int64), {k: Grown(t) for k, t in (("source", np.int32), ("size", np.int32), ("id", np.int32), ("target", np.int32), ("log_q", np.float64), ("cum", np.float64))}
+        self._first, self._hash, self._beta, self._edge = Grown(np.int64), Grown(np.uint64), Grown(np.float64), Grown(_EDGE)
+        self.slot = np.empty(1 << _BITS, np.int32)
         self._reset()
 
     def _reset(self) -> None:
-        self.hash, self.root = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        for g in (self._first, *self._edges.values()):
+        self.slot[:] = 0
+        for g in (self._first, self._hash, self._beta, self._edge):
             g.n = 0
-        self._first.add(np.zeros(1, np.int64))
+        self._first.room(2)[:], self._hash.room(1)[:], self._beta.room(1)[:] = 0, 0, 0.0
         self._see()
 
     def _see(self) -> None:
-        self.first = self._first.now
-        for k, g in self._edges.items():
-            setattr(self, k, g.now)
+        self.first, self.hash, self.beta, edge = self._first.now, self._hash.now, self._beta.now, self._edge.now
+        for k in _EDGE.names:
+            setattr(self, k, edge[k])
+
+    def _known(self, h: np.ndarray) -> np.ndarray:
+        """Nodes of hashes, 0 for those not kept."""
+        slots = (h >> np.uint64(64 - _BITS)).astype(np.int64)
+        out = self.slot[slots].astype(np.int64)
+        other = np.flatnonzero(self.hash[out] != h)
+        beside = self.slot[slots[other] ^ 1]
+        out[other] = np.where(self.hash[beside] == h[other], beside, 0)
+        return out
+
+    def _keep(self, h: np.ndarray, nodes: np.ndarray) -> None:
+        slots = (h >> np.uint64(64 - _BITS)).astype(np.int64)
+        self.slot[np.where(self.slot[slots] == 0, slots, slots ^ 1)] = nodes
 
     def roots(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """First node of each word ``data[start:end]``; words not seen before get their lattices."""
         if len(self.source) > MOST_EDGES:
             self._reset()
-        hashes, first, which = np.unique(byte_hashes(data, start, end), return_index=True, return_inverse=True)
-        at = np.searchsorted(self.hash, hashes)
-        new = np.ones(len(hashes), bool)
-        if len(self.hash):
-            new = self.hash[np.minimum(at, len(self.hash) - 1)] != hashes
-        if new.any():
-            begin, size = start[first[new]], (end - start)[first[new]]
+        hashes = byte_hashes(data, start, end)
+        out = self._known(hashes)
+        new = np.flatnonzero(out == 0)
+        if len(new):
+            one = alike(hashes[new])
+            own = np.flatnonzero(one == np.arange(len(new)))
+            begin, size = start[new[own]], (end - start)[new[own]]
             stop = np.cumsum(size)
             flat = data[np.repeat(begin - (stop - size), size) + np.arange(stop[-1])]
-            roots = self._learn(flat, stop - size, stop)
-            to = at[new]
-            self.hash, self.root = np.insert(self.hash, to, hashes[new]), np.insert(self.root, to, roots)
-            at = np.searchsorted(self.hash, hashes)
-        return self.root[at][which]
+            learned = np.zeros(len(new), np.int64)
+            learned[own] = self._learn(flat, stop - size, stop)
+            out[new] = learned[one]
+        return out
 
     def _learn(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Append the lattices of words, nodes in the order of their distance to the word's end; the words' first nodes."""
-        v, n = self.v, len(data)
+        """Append what the lattices of words lack, nodes in the order of their distance to the word's end; the words' first nodes."""
+        v, n, before = self.v, len(data), len(self.first) - 1
         left = np.repeat(end, end - start) - np.arange(n)
-        lead = (data & 0xC0) != 0x80
-        width = np.ones(n, np.int64)
-        width[data >= 0xC0], width[data >= 0xE0], width[data >= 0xF0] = 2, 3, 4
+        at = np.flatnonzero((data & 0xC0) != 0x80)
+        far = left[at]
+        shared = far <= SHARED_BYTES
+        shared[np.searchsorted(at, start)] = True
+        own = np.flatnonzero(shared)
+        h = byte_hashes(data, at[own], at[own] + far[own])
+        node = np.zeros(n + 1, np.int32)
+        known = self._known(h)
+        node[at[own]] = known
+        new = np.flatnonzero(known == 0)
+        own, h = own[new], h[new]
+        one = alike(h)
+        first_of = one == np.arange(len(one))
+        twin, model = at[own[~first_of]], at[own[one[~first_of]]]
+        learn = ~shared
+        learn[own[first_of]] = True
+        hashes = np.zeros(len(at), np.uint64)
+        hashes[own] = h
+        hashes, kept, at, far = hashes[learn], shared[learn], at[learn], far[learn]
+        order = np.argsort(far.astype(np.uint16) if len(far) and far.max() < 1 << 16 else far, kind="stable")
+        hashes, kept, at, far = hashes[order], kept[order], at[order], far[order]
+        many = len(at)
+        node[at] = np.arange(before, before + many)
+        node[twin] = node[model]
+        self._hash.room(many)[:] = hashes
+        self._keep(hashes[kept], node[at[kept]])
+
         pw, inv = powers(_R, n + 1)
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(_BYTE[data] * pw[:n], out=sums[1:])
+        lead = data[at]
+        width = 1 + (lead >= 0xC0).astype(np.int32) + (lead >= 0xE0) + (lead >= 0xF0)
+        begun, scale = sums[at], inv[at]
         hits: list[tuple[np.ndarray, int, np.ndarray]] = []
-        single, degree = np.zeros(n, bool), np.zeros(n, np.int32)
-        here = np.flatnonzero(lead)
-        room, begun, scale = left[here], sums[here], inv[here]
-        for size in v.lengths.tolist():
-            fits = room >= size
-            if not fits.all():
-                here, room, begun, scale = here[fits], room[fits], begun[fits], scale[fits]
-            if not len(here):
+        single, degree = np.zeros(many, bool), np.zeros(many, np.int32)
+        for size, lo in zip(v.lengths.tolist(), np.searchsorted(far, v.lengths).tolist()):
+            if lo == many:
                 break
-            k, pos = v.find((sums[here + size] - begun) * scale + np.uint64(size * 0xD1342543DE82EF95 & (1 << 64) - 1))
-            k = here[k]
-            single[k[width[k] == size]] = True
+            k, pos = v.find((sums[at[lo:] + size] - begun[lo:]) * scale[lo:] + np.uint64(size * 0xD1342543DE82EF95 & (1 << 64) - 1))
+            k += lo
+            if size <= 4:
+                single[k[width[k] == size]] = True
             degree[k] += 1
             hits.append((k, size, pos))
-        bare = np.flatnonzero(lead & ~single)
+        bare = np.flatnonzero(~single)
         degree[bare] += 1
-        nodes = np.flatnonzero(lead)
-        far = left[nodes]
-        nodes = nodes[np.argsort(far.astype(np.uint16) if n and far.max() < 1 << 16 else far, kind="stable")]
-        node = np.full(n + 1, -1, np.int32)
-        node[nodes] = np.arange(len(nodes))
-        first = np.concatenate([[0], np.cumsum(degree[nodes])]).astype(np.int64)
-        edges = int(first[-1])
-        source, sizes, ids, weights = np.empty(edges, np.int32), np.empty(edges, np.int32), np.empty(edges, np.int32), np.empty(edges)
-        slot = np.zeros(n, np.int64)
-        slot[nodes] = first[:-1]
+        first = np.concatenate([[0], np.cumsum(degree)]).astype(np.int64)
+        edges, edges_before = int(first[-1]), len(self.source)
+        sizes, ids, weights = np.empty(edges, np.int32), np.empty(edges, np.int32), np.empty(edges)
+        slot = first[:-1].copy()
         for k, size, pos in hits[::-1]:  # long pieces first: likelier, so found sooner by draw()
             e = slot[k]
             slot[k] += 1
-            source[e], sizes[e], ids[e], weights[e] = node[k], size, v.id[pos], v.weight[pos]
+            sizes[e], ids[e], weights[e] = size, v.id[pos], v.weight[pos]
         e = slot[bare]
-        source[e], sizes[e], ids[e], weights[e] = node[bare], np.minimum(width[bare], left[bare]), -1, v.byte_weight * width[bare]
-        here = nodes[source]
-        target = np.where(left[here] == sizes, len(nodes), node[here + sizes])
-        beta = np.zeros(len(nodes) + 1)
-        depth = left[nodes]
-        cut = np.concatenate([[0], np.flatnonzero(depth[1:] != depth[:-1]) + 1, [len(nodes)]])
+        sizes[e], ids[e], weights[e] = np.minimum(width[bare], far[bare]), -1, v.byte_weight * width[bare]
+        source = np.repeat(np.arange(many), degree)
+        beyond = at[source] + sizes
+        target = np.where(far[source] == sizes, 0, node[beyond])
+        self._beta.room(many)[:] = 0.0
+        beta, through = self._beta.now, weights
+        cut = np.concatenate([[0], np.flatnonzero(far[1:] != far[:-1]) + 1, [many]])
         for s, e in zip(cut[:-1].tolist(), cut[1:].tolist()):
             lo, hi = first[s], first[e]
-            beta[s:e] = np.logaddexp.reduceat(weights[lo:hi] + beta[target[lo:hi]], first[s:e] - lo)
-        log_q = np.minimum(weights + beta[target] - beta[source], 0.0)
-        only = np.diff(first) == 1
-        log_q[first[:-1][only]] = 0.0
+            through[lo:hi] += beta[target[lo:hi]]
+            beta[before + s : before + e] = np.logaddexp.reduceat(through[lo:hi], first[s:e] - lo)
+        log_q = np.minimum(through - np.repeat(beta[before:], degree), 0.0)
+        log_q[first[:-1][degree == 1]] = 0.0
         q = np.exp(log_q)
         total = np.cumsum(q)
-        cum = source + np.minimum(total - (total - q)[first[:-1]][source], 1.0)
-        cum[first[1:] - 1] = np.arange(len(nodes)) + 1.0
-        before = len(self.first) - 1
-        self._first.add(first[1:] + len(self.source))
-        for name, x in (("source", source + before), ("size", sizes), ("id", ids), ("target", np.where(target == len(nodes), -1, target + before)), ("log_q", log_q), ("cum", cum + before)):
-            self._edges[name].add(x)
+        cum = source + np.minimum(total - np.repeat((total - q)[first[:-1]], degree), 1.0)
+        cum[first[1:] - 1] = np.arange(many) + 1.0
+        self._first.room(many)[:] = first[1:] + edges_before
+        edge = self._edge.room(edges)
+        edge["cum"], edge["log_q"], edge["source"], edge["size"], edge["id"], edge["target"] = cum + before, log_q, source + before, sizes, ids, target
         self._see()
-        return node[start].astype(np.int64) + before
+        return node[start].astype(np.int64)
 
     def draw(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge out of each node, by conditional probability."""
@@ -267,23 +324,20 @@ class Lattices:
             open_ = open_[self.cum[e[open_]] <= want[open_]]
         return e
 
-    def others(self, node: int, out: list[int]) -> np.ndarray:
-        """Edges out of a node other than those in ``out``."""
-        lo = int(self.first[node])
-        keep = np.ones(int(self.first[node + 1]) - lo, bool)
-        keep[[e - lo for e in out]] = False
-        return lo + np.flatnonzero(keep)
-
-    def draw_other(self, node: int, u: float, out: list[int]) -> int:
-        """One of ``others``, by conditional probability."""
-        edges = self.others(node, out)
-        share = np.exp(self.log_q[edges] - self.log_q[edges].max())
-        return int(edges[min(np.searchsorted(np.cumsum(share), u * share.sum(), "right"), len(edges) - 1)])
-
-    def rest(self, node: int, out: list[int]) -> float:
-        """Log probability of ``others``."""
-        edges = self.others(node, out)
-        return float(np.logaddexp.reduce(self.log_q[edges])) if len(edges) else -np.inf
+    def draw_other(self, node: np.ndarray, u: np.ndarray, out: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        """Of each node one of the edges that are not in its ``out``, by conditional probability, and the log probability of those then left."""
+        lo, degree = self.first[node], self.first[node + 1] - self.first[node]
+        place = np.arange(int(degree.max()))
+        edges = lo[:, None] + place
+        inside = place < degree[:, None]
+        log_q = np.where(inside, self.log_q[np.where(inside, edges, lo[:, None])], -np.inf)
+        row = np.repeat(np.arange(len(node)), [len(x) for x in out])
+        log_q[row, np.concatenate([np.array(x, np.int64) for x in out]) - lo[row]] = -np.inf
+        total = np.cumsum(np.exp(log_q - log_q.max(1, keepdims=True)), axis=1)
+        last = len(place) - 1 - np.isfinite(log_q[:, ::-1]).argmax(1)
+        new = np.minimum((total <= (u * total[:, -1])[:, None]).sum(1), last)
+        log_q[np.arange(len(node)), new] = -np.inf
+        return lo + new, np.logaddexp.reduce(log_q, axis=1)
 
 
 def _spread(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -319,7 +373,7 @@ class Sampler:
             e = lat.draw(node, uniform(self.keys[self.doc[at]], at - self.offsets[self.doc[at]], draw))
             edge_at[at] = e
             at, node = at + lat.size[e], lat.target[e]
-            on = node >= 0
+            on = node > 0
             at, node = at[on], node[on]
 
     def _regions(self, edge_at: np.ndarray, since: np.ndarray, most: np.ndarray, draw: int) -> dict:
@@ -330,15 +384,17 @@ class Sampler:
         cut = np.searchsorted(at, self.offsets)
         run = np.concatenate([[0.0], np.cumsum(log_q)])
         before = run[:-1] - run[cut[:-1]][doc]
-        with np.errstate(divide="ignore"):
-            beside = np.log(-np.expm1(np.where(log_q == 0, 0.0, log_q)))
-        mass = np.where(at >= since[doc], before + beside, -np.inf)
-        value = truncated(mass, uniform(self.keys[doc], at - self.offsets[doc], draw), most[doc])
-        return {"edge_at": edge_at, "at": at, "cut": cut, "before": before, "value": value, "total": run[cut[1:]] - run[cut[:-1]], "out": {}}
+        value = np.full(len(at), -np.inf)
+        open_ = np.flatnonzero((log_q < 0) & (at >= since[doc]))
+        own = doc[open_]
+        mass = before[open_] + np.log(-np.expm1(log_q[open_]))
+        value[open_] = truncated(mass, uniform(self.keys[own], at[open_] - self.offsets[own], draw), most[own])
+        return {"edge_at": edge_at, "at": at, "doc": doc, "cut": cut, "before": before, "value": value, "total": run[cut[1:]] - run[cut[:-1]], "out": {}}
 
     def run(self, k: int) -> list[list[tuple[np.ndarray, float, float]]]:
         """Per text the paths in order of their perturbed values: (edges' places, log probability, value); and kappa in ``self.kappa``."""
         found: list[list] = [[] for _ in range(self.docs)]
+        lat = self.lattice
         self.kappa = np.full(self.docs, -np.inf)
         empty = np.diff(self.offsets) == 0
         for d in np.flatnonzero(empty):
@@ -367,29 +423,32 @@ class Sampler:
                 break
             path = np.full(len(self.data), -1, np.int32)
             since, starts, nodes = np.full(self.docs, 1 << 60), [], []
-            for d in live.tolist():
-                leaf = leaves[which[d]]
-                a, b = leaf["cut"][d : d + 2]
-                i = a + int(leaf["value"][a:b].argmax())
-                place, old = int(leaf["at"][i]), int(leaf["edge_at"][leaf["at"][i]])
-                lat, node = self.lattice, int(self.lattice.source[old])
-                out = leaf["out"].setdefault(i, [old])
-                u = uniform(self.keys[d : d + 1], np.array([place]), 16 * turn + 4)[0]
-                new = lat.draw_other(node, u, out)
-                out.append(new)
-                rest = leaf["before"][i] + lat.rest(node, out)
-                again = uniform(self.keys[d : d + 1], np.array([place]), 16 * turn + 5)
-                leaf["value"][i] = truncated(np.array([rest]), again, best[d : d + 1])[0]
-                lo = self.offsets[d]
-                path[lo:place] = leaf["edge_at"][lo:place]
+            for i, leaf in enumerate(leaves):
+                of = live[which[live] == i]
+                if not len(of):
+                    continue
+                goal = np.full(self.docs, np.inf)
+                goal[of] = best[of]
+                top = np.flatnonzero(leaf["value"] == goal[leaf["doc"]])
+                top = top[np.unique(leaf["doc"][top], return_index=True)[1]]
+                place = leaf["at"][top]
+                old = leaf["edge_at"][place]
+                node = lat.source[old].astype(np.int64)
+                out = [leaf["out"].setdefault(t, [e]) for t, e in zip(top.tolist(), old.tolist())]
+                new, rest = lat.draw_other(node, uniform(self.keys[of], place, 16 * turn + 4), out)
+                for x, e in zip(out, new.tolist()):
+                    x.append(e)
+                leaf["value"][top] = truncated(leaf["before"][top] + rest, uniform(self.keys[of], place, 16 * turn + 5), best[of])
+                for lo, hi in zip(self.offsets[of].tolist(), place.tolist()):
+                    path[lo:hi] = leaf["edge_at"][lo:hi]
                 path[place] = new
-                since[d] = place + 1
-                if lat.target[new] >= 0:
-                    starts.append(place + int(lat.size[new]))
-                    nodes.append(int(lat.target[new]))
+                since[of] = place + 1
+                on = lat.target[new] > 0
+                starts.append((place + lat.size[new])[on])
+                nodes.append(lat.target[new[on]])
             fresh = self.word > since[self.doc[self.word]] - 1
-            at = np.concatenate([np.array(starts, np.int64), self.word[fresh]])
-            node = np.concatenate([np.array(nodes, np.int64), self.root[fresh]])
+            at = np.concatenate([*starts, self.word[fresh]])
+            node = np.concatenate([*nodes, self.root[fresh]])
             self._walk(path, at, node, 16 * turn + 6)
             leaf = self._regions(path, since, best, 16 * turn + 7)
             leaves.append(leaf)
@@ -410,6 +469,11 @@ class Sampler:
             return ids, many
         size = lat.size[edges].astype(np.int64)
         upto = np.concatenate([[0], np.cumsum(size)])
+        bare = np.flatnonzero(ids < 0)
+        if (size[bare] == 1).all():
+            row = np.searchsorted(last, bare, "right")
+            ids[bare] = self.v.byte_id[self.data[upto[bare] + (self.offsets[docs] - upto[last - many])[row]]]
+            return ids, many
         start = upto[:-1] + np.repeat(self.offsets[docs] - upto[last - many], many)
         n = np.where(ids < 0, size, 1)
         stop = np.cumsum(n)
@@ -422,19 +486,20 @@ class Sampler:
 
     def spelled(self, ids: np.ndarray, many: np.ndarray, docs: np.ndarray) -> np.ndarray:
         """Whether the ids (``many`` of each) spell the bytes of texts ``docs``."""
-        size = self.v.size[ids]
-        upto, last = np.concatenate([[0], np.cumsum(size)]), np.cumsum(many)
+        spelt = self.v.spelling.take(pa.array(ids, mask=ids < 0))
+        upto, last = np.frombuffer(spelt.buffers()[1], np.int32)[: len(ids) + 1], np.cumsum(many)
         length, want = upto[last] - upto[last - many], np.diff(self.offsets)[docs]
         out = length == want
         if not out.all():  # the others are compared by themselves
             keep = np.repeat(out, many)
             out[out] = self.spelled(ids[keep], many[out], docs[out])
             return out
-        flat = np.arange(upto[-1])
-        got = self.v.flat[np.repeat(self.v.start[ids] - upto[:-1], size) + flat]
-        stop = np.cumsum(want)
-        differs = np.concatenate([[0], np.cumsum(got != self.data[np.repeat(self.offsets[docs] - (stop - want), want) + flat])])
-        return differs[stop] == differs[stop - want]
+        if not upto[-1]:
+            return out
+        got, stop = np.frombuffer(spelt.buffers()[2], np.uint8)[: upto[-1]], np.cumsum(want)
+        own = self.data if len(self.data) == stop[-1] and (np.diff(docs) > 0).all() else self.data[np.repeat(self.offsets[docs] - (stop - want), want) + np.arange(stop[-1])]
+        out[np.searchsorted(stop, np.flatnonzero(got != own), "right")] = False
+        return out
 
 
 _KEPT: dict[tuple[str, float], Vocabulary] = {}
